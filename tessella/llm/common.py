@@ -74,6 +74,17 @@ def release() -> None:
 atexit.register(release)
 
 
+def row_key(id_col: str, digest: Column) -> Column:
+    """A key of a row's id and a digest of its text; null ids have keys too."""
+    return F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), digest)
+
+
+def keep_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is in ``kept`` (column ``_key``), one row for each key, with all their columns."""
+    once = Window.partitionBy("_key").orderBy(F.lit(0))
+    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_key", "_n")
+
+
 def running_offsets(rows: DataFrame, weight: str, group: list[str], order: list[str], name: str = "offset") -> DataFrame:
     """Add ``name``: the sum of ``weight`` over the rows before each in its group, in an order that a hash of ``order`` fixes.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, text_of
+from .common import ascii_lower, keep_rows, materialise, row_key, text_of
 
 #: A digest is heavy if it holds at least one row in so many. At most so many digests can be, which bounds the broadcast.
 HEAVY_ONE_IN = 1024
@@ -65,13 +65,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns; repeated rows come out once."""
-    key = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_digest(text_col))
-    kept = exact_dedup(docs, id_col, text_col).where("kept")
-    kept = kept.select(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_sha256")).alias("_key"))
-    once = Window.partitionBy("_key").orderBy(F.lit(0))
-    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_key", "_n")
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(row_key("doc_id", F.col("text_sha256")).alias("_key"))
+    return keep_rows(docs, row_key(id_col, text_digest(text_col)), kept)
 
 
 ORACLE = """
