@@ -29,7 +29,8 @@ def heavy_digests(digests: DataFrame, one_in: int = HEAVY_ONE_IN) -> DataFrame:
     total = digests.count()
     code = digests.select(F.xxhash64("text_sha256").alias("code"), (F.spark_partition_id() % SUMMARIES).alias("part"))
     parts = code.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(code, {COUNTERS})").alias("state"))
-    merged = parts.agg(F.expr(f"approx_top_k_combine(state, {COUNTERS})").alias("state"))
+    whole = F.col("part") >= SUMMARIES  # one group, false; a sketch can't be made of a partition without rows, as an ungrouped aggregate would ask
+    merged = parts.groupBy(whole).agg(F.expr(f"approx_top_k_combine(state, {COUNTERS})").alias("state"))
     candidates = merged.select(F.explode(F.expr(f"approx_top_k_estimate(state, {one_in})")).alias("top")).select(F.col("top.item").alias("code"))
     counted = (
         digests.join(F.broadcast(candidates), F.xxhash64("text_sha256") == F.col("code"), "left_semi")
