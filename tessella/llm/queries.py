@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding, simhash
+from . import bpe, exact_dedup, mixing, sharding, simhash
 from .common import read
 
 
@@ -18,9 +18,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(read(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_digests(read(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op4_simhash, op8_feistel_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op4_simhash, op5_bpe, op7_mixing, op8_feistel_sharding)}
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE}
