@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, sharding, simhash
+from . import bpe, exact_dedup, mixing, piecewise, sharding, simhash
 from .common import read
 
 
@@ -30,5 +30,9 @@ def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op4_simhash, op5_bpe, op7_mixing, op8_feistel_sharding)}
+def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.piecewise_fingerprints(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op4_simhash, op5_bpe, op7_mixing, op8_feistel_sharding, op10_piecewise_hash)}
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE}
