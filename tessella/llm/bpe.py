@@ -62,9 +62,9 @@ def encoder(raw: bytes) -> tiktoken.Encoding:
     return _encoders[key]
 
 
-def pack(values: np.ndarray) -> bytes:
+def pack(values: np.ndarray, level: int = 3) -> bytes:
     """Whole numbers below 2**32, compressed: all low bytes first, then the next."""
-    return zstandard.compress(np.ascontiguousarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+    return zstandard.compress(np.ascontiguousarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), level)
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -72,6 +72,18 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel()
 
 
+def frequency_classes(counts: np.ndarray) -> np.ndarray:
+    """Bits of a count: words of a class are about as frequent as each other."""
+    return np.frexp(counts.astype(np.float64))[1]
+
+
+def numbering(classes: np.ndarray) -> np.ndarray:
+    """Numbers of a block's words, the more frequent classes first, so that a stream of numbers compresses well."""
+    out = np.empty(len(classes), np.uint32)
+    out[np.argsort(-classes.astype(np.int64), kind="stable")] = np.arange(len(classes), dtype=np.uint32)
+    return out
+
+
 def _blocks(tokens: pa.ListArray) -> Iterator[tuple[int, int]]:
     """Runs of rows with BLOCK_TOKENS tokens at most, or one row."""
     offsets = tokens.offsets.to_numpy()
@@ -84,7 +96,7 @@ def _blocks(tokens: pa.ListArray) -> Iterator[tuple[int, int]]:
 
 def _split_blocks(buckets: int, kind: pa.DataType):
     """Documents (doc_id, tokens) in; word rows and one stream row for each block out."""
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary()), ("docs", pa.list_(kind)), ("counts", pa.binary()), ("stream", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary()), ("classes", pa.binary()), ("docs", pa.list_(kind)), ("counts", pa.binary()), ("stream", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -97,17 +109,19 @@ def _split_blocks(buckets: int, kind: pa.DataType):
                 bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words.to_pylist()), np.int64, len(words))
                 alphabetical = pc.sort_indices(words).to_numpy()
                 order = alphabetical[np.argsort(bucket[alphabetical], kind="stable")]
+                at = coded.indices.to_numpy()
+                classes = frequency_classes(np.bincount(at, minlength=len(words))[order])
                 place = np.empty(len(words), np.uint32)
-                place[order] = np.arange(len(words), dtype=np.uint32)
-                stream = place[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint32)
+                place[order] = numbering(classes)
+                stream = place[at] if len(words) else np.zeros(0, np.uint32)
                 words, filled = words.take(pa.array(order)), np.flatnonzero(np.bincount(bucket, minlength=buckets))
                 ends = np.cumsum(np.bincount(bucket, minlength=buckets))[filled]
                 starts = np.r_[0, ends[:-1]]
                 lengths = pc.binary_length(words).to_numpy()
                 rows = {name: [None] for name in schema.names}
-                rows |= {"block": [block], "docs": [part.column(0).to_pylist()], "counts": [pack(np.diff(part.column(1).offsets.to_numpy()))], "stream": [pack(stream)]}
+                rows |= {"block": [block], "docs": [part.column(0).to_pylist()], "counts": [pack(np.diff(part.column(1).offsets.to_numpy()))], "stream": [pack(stream, 9)]}
                 for b, s, e in zip(filled.tolist(), starts.tolist(), ends.tolist()):
-                    for name, value in (("block", block), ("bucket", b), ("words", zstandard.compress(b"".join(words.slice(s, e - s).to_pylist()), 3)), ("lengths", pack(lengths[s:e])), ("docs", None), ("counts", None), ("stream", None)):
+                    for name, value in (("block", block), ("bucket", b), ("words", zstandard.compress(b"".join(words.slice(s, e - s).to_pylist()), 3)), ("lengths", pack(lengths[s:e])), ("classes", pack(classes[s:e])), ("docs", None), ("counts", None), ("stream", None)):
                         rows[name].append(value)
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
@@ -132,7 +146,7 @@ def _encode_words(raw):
                     found.append(code)
                 ids.append(pack(np.fromiter((i for code in found for i in code), np.uint32)))
                 numbers.append(pack(np.fromiter(map(len, found), np.uint32, len(found))))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(ids, pa.binary()), pa.array(numbers, pa.binary())], ["block", "bucket", "ids", "numbers"])
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), batch.column("classes"), pa.array(ids, pa.binary()), pa.array(numbers, pa.binary())], ["block", "bucket", "classes", "ids", "numbers"])
 
     return run
 
@@ -146,7 +160,10 @@ def _reassemble(kind: pa.DataType):
         coded = table.filter(pc.is_valid(table["ids"])).sort_by("bucket")
         ids = np.concatenate([np.zeros(0, np.uint32), *map(unpack, coded["ids"].to_pylist())]).astype(np.int32)
         numbers = np.concatenate([np.zeros(0, np.uint32), *map(unpack, coded["numbers"].to_pylist())]).astype(np.int64)
-        first = np.cumsum(numbers) - numbers
+        order = numbering(np.concatenate([np.zeros(0, np.uint32), *map(unpack, coded["classes"].to_pylist())]))
+        first = np.empty_like(numbers)
+        first[order] = np.cumsum(numbers) - numbers
+        numbers[order] = numbers.copy()
         stream, counts = unpack(whole["stream"][0].as_py()), unpack(whole["counts"][0].as_py()).astype(np.int64)
         docs, ends = whole["docs"].combine_chunks().flatten(), np.cumsum(counts)
         parts = []
@@ -177,8 +194,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(id_type)
-    pieces = materialise(source.mapInArrow(_split_blocks(buckets, kind), f"block long, bucket int, words binary, lengths binary, docs array<{id_type.simpleString()}>, counts binary, stream binary"))
-    coded = pieces.where("words is not null").select("block", "bucket", "words", "lengths").repartition("bucket").mapInArrow(_encode_words(raw), "block long, bucket int, ids binary, numbers binary")
+    pieces = materialise(source.mapInArrow(_split_blocks(buckets, kind), f"block long, bucket int, words binary, lengths binary, classes binary, docs array<{id_type.simpleString()}>, counts binary, stream binary"))
+    coded = pieces.where("words is not null").select("block", "bucket", "words", "lengths", "classes").repartition("bucket").mapInArrow(_encode_words(raw), "block long, bucket int, classes binary, ids binary, numbers binary")
     both = pieces.where("stream is not null").select("block", "docs", "counts", "stream").unionByName(coded, allowMissingColumns=True)
     return both.groupBy("block").applyInArrow(_reassemble(kind), f"doc_id {id_type.simpleString()}, ids array<int>")
 
