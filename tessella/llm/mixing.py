@@ -103,7 +103,8 @@ def mix_blocks(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: st
     plan = mix_plan(targets, block, seed)
     slots = plan.repartition(F.col("shard"), F.col("source")).withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("slots") - 1)))
     slots = slots.withColumn("index", _image("slot", "blocks", "key")).select(F.col("source").alias("slot_source"), F.col("index").alias("slot_index"), F.floor(F.col("slot") / F.col("blocks")).alias("turn"), "shard", "slot")
-    runs = parts.join(slots, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("index") == F.col("slot_index"))).drop("slot_source", "slot_index", "index")
+    # Merge: Spark takes the slots for as few as the plan's rows that they come from, and would broadcast them.
+    runs = parts.hint("merge").join(slots.hint("merge"), F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("index") == F.col("slot_index"))).drop("slot_source", "slot_index", "index")
     named = targets.select(F.col("source").alias("target_source"), "source_size", "target")
     rows = placed.drop("at").join(named, F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
     return rows, runs
