@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, piecewise, sharding, simhash, toxicity
+from . import bpe, exact_dedup, mixing, piecewise, quality, sharding, simhash, toxicity
 from .common import read
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -38,5 +42,12 @@ def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.piecewise_fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op4_simhash, op5_bpe, op6_toxicity, op7_mixing, op8_feistel_sharding, op10_piecewise_hash)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, one after another."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op3_exact_dedup, op4_simhash, op5_bpe, op6_toxicity, op7_mixing, op8_feistel_sharding, op10_piecewise_hash, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE}
