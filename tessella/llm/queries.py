@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, piecewise, quality, sharding, simhash, toxicity
+from . import bpe, exact_dedup, licenses, mixing, piecewise, quality, sharding, simhash, toxicity, warc
 from .common import read
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.page_responses(read(spark, sf_dir, "pages")))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -38,6 +42,10 @@ def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
 def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.piecewise_fingerprints(read(spark, sf_dir, "documents"))
 
@@ -49,5 +57,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op3_exact_dedup, op4_simhash, op5_bpe, op6_toxicity, op7_mixing, op8_feistel_sharding, op10_piecewise_hash, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_derivatives, op2_quality, op3_exact_dedup, op4_simhash, op5_bpe, op6_toxicity, op7_mixing, op8_feistel_sharding, op9_license_scan, op10_piecewise_hash, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE}
