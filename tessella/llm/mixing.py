@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import DOCUMENT_COLUMNS, WORD, materialise, running_offsets, text_of, word_count
 from .feistel import permute
@@ -77,7 +78,7 @@ def mix_plan(sources: DataFrame, block: int, seed: int) -> DataFrame:
     return spark.createDataFrame(rows, "source string, blocks long, key long, shard int, first long, slots long")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _image(slot: pd.Series, blocks: pd.Series, key: pd.Series) -> pd.Series:
     """Block of a slot: each turn through a source's blocks has a permutation of its own."""
     turn = slot // blocks
