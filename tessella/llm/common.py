@@ -81,8 +81,10 @@ def row_key(id_col: str, digest: Column) -> Column:
 
 def keep_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose key is in ``kept`` (column ``_key``), one row for each key, with all their columns."""
-    once = Window.partitionBy("_key").orderBy(F.lit(0))
-    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_key", "_n")
+    own, number = "__tessella_key", "__tessella_number"
+    once = Window.partitionBy(own).orderBy(F.lit(0))
+    found = docs.withColumn(own, key).join(kept.withColumnRenamed("_key", own), own, "left_semi")
+    return found.withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).select(*docs.columns)
 
 
 def running_offsets(rows: DataFrame, weight: str, group: list[str], order: list[str], name: str = "offset") -> DataFrame:

@@ -1,7 +1,7 @@
 """License notices by conditional compression (operator 9).
 
 A text that mentions licensing is read around each mention. The window is compressed alone and with every template as zstandard's
-raw dictionary; templates are ranked by the share of bytes that the dictionary saves, and the best are compared with the
+raw dictionary; templates are ranked by the bytes that the dictionary saves, against their own size, and the best are compared with the
 window word by word. The winner is the one with the fewest differences, if most of its words are there.
 """
 
@@ -21,7 +21,7 @@ from .common import text_of
 
 MENTION = r"(?i)licen[sc]e|copyright|spdx-|creative ?commons|\bcc[ -](by|0)\b|public domain|hereby granted|redistribution and use|all rights reserved|gnu (affero |lesser )?general public"
 #: Templates that a window is compared with, the share of a template's words that it must hold, and mentions' reach in template lengths.
-BEST, WORDS, REACH = 4, 0.8, 1.25
+BEST, WORDS, REACH = 6, 0.8, 1.25
 
 # Wordings of license notices, as their publishers recommend them.
 TEMPLATES = {
@@ -81,10 +81,14 @@ def _alone() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
 
 
-def saved(window: str, template: str) -> float:
-    """The share of a window's compressed bytes that the template as dictionary saves."""
+def reduction(window: str, template: str) -> int:
+    """Bytes by which the template as dictionary shortens a compressed window."""
     data = window.encode()
-    return 1 - len(_tools(template)[0].compress(data)) / max(1, len(_alone().compress(data)))
+    return len(_alone().compress(data)) - len(_tools(template)[0].compress(data))
+
+
+def size(text: str) -> int:
+    return max(1, len(_alone().compress(text.encode())))
 
 
 def wording(window: str, template: str) -> tuple[int, int, float, str] | None:
@@ -106,14 +110,14 @@ def wording(window: str, template: str) -> tuple[int, int, float, str] | None:
 
 
 def scan(text: str, templates: dict[str, str] = TEMPLATES) -> list[tuple[int, int, str, float, int, str]]:
-    """Notices in a text: (start, end, license, share saved, number of differences, differences), in order, none overlapping."""
+    """Notices in a text: (start, end, license, share of the notice's bytes saved, number of differences, differences), in order, none overlapping."""
     out, done = [], 0
     for mention in re.finditer(MENTION, text):
         at = mention.start()
         if at < done:
             continue
         windows = {name: (max(done, at - int(len(t) * REACH)), at + int(len(t) * REACH) + 8) for name, t in templates.items()}
-        ranked = sorted(templates, key=lambda name: (-saved(text[slice(*windows[name])], templates[name]), name))[:BEST]
+        ranked = sorted(templates, key=lambda name: (-reduction(text[slice(*windows[name])], templates[name]) / size(templates[name]), name))[:BEST]
         confirmed = []
         for name in ranked:
             start, end = windows[name]
@@ -123,7 +127,7 @@ def scan(text: str, templates: dict[str, str] = TEMPLATES) -> list[tuple[int, in
                 confirmed.append((n / len(_tools(templates[name])[1]), -len(templates[name]), name, start + place[0], start + place[1], n, place[3]))
         if confirmed:
             _, _, name, start, end, n, said = min(confirmed)
-            out.append((start, end, name, saved(text[start:end], templates[name]), n, said))
+            out.append((start, end, name, reduction(text[start:end], templates[name]) / size(text[start:end]), n, said))
             done = end
     return out
 

@@ -81,7 +81,10 @@ def derive(page_id, record_id: str, uri: str | None, date: str, headers: str, pa
     title, lang = _TITLE.search(source), _LANG.search(source)
     text = plain_text(source)
     meta = [f"conversion: {record_uuid('conversion', record_id, own)}", f"payload-length: {len(payload)}", f"text-length: {len(text)}"]
-    meta += [f"title: {re.sub(r'\s+', ' ', html.unescape(title[1])).strip()}"] * bool(title) + [f"language: {lang[1]}" if lang else ""] * bool(lang)
+    if title:
+        meta.append(f"title: {re.sub(r'\s+', ' ', html.unescape(title[1])).strip()}")
+    if lang:
+        meta.append(f"language: {lang[1]}")
     meta += [f"http-{line}" for line in headers.split("\r\n")[1:] if line] + [f"outlink: {x}" for x in outlinks(source, uri or "")]
     out = []
     for kind, content_type, content in (("metadata", "application/warc-fields", "\r\n".join(meta) + "\r\n"), ("conversion", "text/plain; charset=utf-8", text)):
