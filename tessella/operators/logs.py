@@ -18,7 +18,7 @@ LOG = r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:[.,]\d{3})?)\s+(TRACE|DEBUG|I
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """``lines`` with kind (causedBy, suppressed, header, omitted, log, frame; null: none) and the parts of that kind."""
     raw = F.regexp_replace(F.col(line), r"\r$", "")
-    bare = F.trim(raw)
+    bare = F.regexp_replace(raw, r"^\s+|\s+$", "")
     kind = F.when(bare.rlike(CAUSED), "causedBy").when(bare.rlike(SUPPRESSED), "suppressed").when(bare.rlike(HEADER), "header").when(bare.rlike(OMITTED), "omitted").when(bare.rlike(LOG), "log").when(raw.rlike(FRAME), "frame")
     thrown = lambda group: F.when(F.col("kind") == "causedBy", F.regexp_extract(bare, CAUSED, group)).when(F.col("kind") == "suppressed", F.regexp_extract(bare, SUPPRESSED, group)).when(F.col("kind") == "header", F.regexp_extract(bare, HEADER, group))
     part = lambda k, pattern, group: F.when(F.col("kind") == k, F.regexp_extract(raw if k == "frame" else bare, pattern, group))
