@@ -23,7 +23,7 @@ SEED = 7
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """Targets of sources: (source, source_size) in, with target added.
+    """Targets of sources: (source, source_size) in; rank (the number of the source, from 1) and target added.
 
     Sources by code point, null last, weigh ``weights``, repeating, and share ``share`` times all sizes. A target
     stops at ``most`` times its source's size; the excess is shared anew by weight until none is above. In the
@@ -40,7 +40,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     level = F.col("left") / F.col("left_weight")
     s = s.withColumn("here", level).withColumn("capped", cap / weight <= level)
     first_open = F.min(F.when(~F.col("capped"), F.struct((cap / weight).alias("r"), F.col("rank").alias("k"), F.col("here").alias("here")))).over(every)
-    return s.select("source", "source_size", F.when(F.col("capped"), cap).otherwise(first_open.getField("here") * weight).alias("target"))
+    return s.select("source", "rank", "source_size", F.when(F.col("capped"), cap).otherwise(first_open.getField("here") * weight).alias("target"))
 
 
 def draw_counts(left: np.ndarray, shards: int, seed: int) -> Iterator[np.ndarray]:
@@ -64,8 +64,8 @@ def draw_counts(left: np.ndarray, shards: int, seed: int) -> Iterator[np.ndarray
 
 
 def mix_plan(sources: DataFrame, block: int, seed: int) -> DataFrame:
-    """Slots of each source in each output shard: (source, blocks, key, shard, first, slots), first counting the source's earlier slots."""
-    table = sources.orderBy(F.col("source").isNull(), "source").collect()  # one row per source
+    """Slots of each source in each output shard: (rank, blocks, key, shard, first, slots), first counting the source's earlier slots."""
+    table = sources.orderBy("rank").collect()  # one row per source
     spark = sources.sparkSession
     want = np.array([int(r.target // block) for r in table], np.int64)
     shards = max(SHARDS, -(-int(want.sum()) // SHARD_SLOTS))
@@ -73,9 +73,9 @@ def mix_plan(sources: DataFrame, block: int, seed: int) -> DataFrame:
     for k, counts in enumerate(draw_counts(want, shards, seed)):
         for i in np.flatnonzero(counts):
             r = table[i]
-            rows.append((r.source, -(-r.source_size // block), zlib.crc32((r.source if r.source is not None else "\0").encode()) + (seed << 32), k, int(first[i]), int(counts[i])))
+            rows.append((r["rank"], -(-r.source_size // block), zlib.crc32((r.source if r.source is not None else "\0").encode()) + (seed << 32), k, int(first[i]), int(counts[i])))
         first += counts
-    return spark.createDataFrame(rows, "source string, blocks long, key long, shard int, first long, slots long")
+    return spark.createDataFrame(rows, "rank int, blocks long, key long, shard int, first long, slots long")
 
 
 @F.pandas_udf(LongType())
@@ -86,29 +86,29 @@ def _image(slot: pd.Series, blocks: pd.Series, key: pd.Series) -> pd.Series:
 
 
 def mix_blocks(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """The documents' words (doc_id, text_sha256, source, size, copy, source_size, target) and the drawn runs of words.
+    """The documents (doc_id, text_sha256, source, size, copy, at, rank, source_size, target) and the drawn runs of their words.
 
-    A run (doc_id, text_sha256, source, copy, turn, shard, slot, start, words) is what one drawn block holds of one
-    document: ``words`` words from word ``start`` on. turn 0 draws each block of a source once at most, as does turn 1.
+    ``at`` is a document's first word in its source's row of words; rank and at name a document with words. A run (rank,
+    at, turn, shard, start, words) is what one drawn block holds of one document: ``words`` words from word
+    ``start`` on. turn 0 draws each block of a source once at most, as does turn 1.
     """
     text = text_of(text_col)
     sized = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.col(source_col).alias("source"), word_count(text).alias("size"))
     counted = materialise(sized.groupBy("doc_id", "text_sha256", "source", "size").agg(F.count("*").alias("copies")).withColumn("weight", F.col("size") * F.col("copies")))
     targets = materialise(source_targets(counted.groupBy("source").agg(F.sum("weight").alias("source_size"))))
     placed = running_offsets(counted, "weight", ["source"], ["doc_id", "text_sha256", "size"], "at").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    placed = materialise(placed.select("doc_id", "text_sha256", "source", "size", "copy", (F.col("at") + F.col("copy") * F.col("size")).alias("at")))
+    placed = placed.select("doc_id", "text_sha256", "source", "size", "copy", (F.col("at") + F.col("copy") * F.col("size")).alias("at"))
+    named = targets.select(F.col("source").alias("target_source"), "rank", "source_size", "target")
+    placed = materialise(placed.join(named, F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source"))
     end = F.col("at") + F.col("size")
-    parts = placed.where("size > 0").withColumn("index", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))))
+    parts = placed.where("size > 0").select("rank", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))).alias("index"))
     low, high = F.greatest("at", F.col("index") * block), F.least(end, (F.col("index") + 1) * block)
-    parts = parts.select("doc_id", "text_sha256", "source", "copy", "index", (low - F.col("at")).alias("start"), (high - low).alias("words"))
+    parts = parts.select("rank", "at", "index", (low - F.col("at")).cast("int").alias("start"), (high - low).cast("int").alias("words"))
     plan = mix_plan(targets, block, seed)
-    slots = plan.repartition(F.col("shard"), F.col("source")).withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("slots") - 1)))
-    slots = slots.withColumn("index", _image("slot", "blocks", "key")).select(F.col("source").alias("slot_source"), F.col("index").alias("slot_index"), F.floor(F.col("slot") / F.col("blocks")).alias("turn"), "shard", "slot")
+    slots = plan.repartition(F.col("shard"), F.col("rank")).withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("slots") - 1)))
+    slots = slots.select("rank", _image("slot", "blocks", "key").alias("index"), F.floor(F.col("slot") / F.col("blocks")).cast("int").alias("turn"), "shard")
     # Merge: Spark takes the slots for as few as the plan's rows that they come from, and would broadcast them.
-    runs = parts.hint("merge").join(slots.hint("merge"), F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("index") == F.col("slot_index"))).drop("slot_source", "slot_index", "index")
-    named = targets.select(F.col("source").alias("target_source"), "source_size", "target")
-    rows = placed.drop("at").join(named, F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
-    return rows, runs
+    return placed, parts.hint("merge").join(slots.hint("merge"), ["rank", "index"]).drop("index")
 
 
 def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -121,11 +121,9 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Data
     columns of ``docs`` are not looked at. The draws depend on the rows and the seed alone.
     """
     rows, runs = mix_blocks(docs, block, seed)
-    key = ["doc_id", "text_sha256", "source", "copy"]
-    taken = runs.groupBy(*key).agg(F.sum("words").alias("taken"))
-    taken = taken.select(*[F.col(c).alias(f"_{c}") for c in key], "taken")
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
-    found = rows.join(taken, on[0] & on[1] & on[2] & on[3], "left")
+    taken = runs.groupBy("rank", "at").agg(F.sum("words").alias("taken"))
+    # Documents without words share their place with the next one, and take nothing.
+    found = rows.join(taken, ["rank", "at"], "left").withColumn("taken", F.when(F.col("size") > 0, F.col("taken")))
     return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -135,15 +133,14 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     A document drawn whole keeps its text as it is; otherwise text holds the drawn words, joined by spaces, and
     n_chars its length. Documents of which nothing is drawn are left out.
     """
-    _, runs = mix_blocks(docs, block, seed)
-    digest = F.sha2(text_of("text").cast("binary"), 256)
-    drawn = runs.groupBy("doc_id", "text_sha256", "source", "copy", "turn").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("runs"))
-    drawn = drawn.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "text_sha256", "source", "copy")], "runs")
-    once = Window.partitionBy("_k").orderBy(F.lit(0))
-    docs = docs.select(*DOCUMENT_COLUMNS).withColumn("_k", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest, F.coalesce("source", F.lit("\0null"))))
+    rows, runs = mix_blocks(docs, block, seed)
+    drawn = runs.groupBy("rank", "at", "turn").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("runs"))
+    key = lambda digest: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest, F.coalesce("source", F.lit("\0null")))
+    drawn = rows.where("size > 0").join(drawn, ["rank", "at"]).select(key(F.col("text_sha256")).alias("_key"), "copy", "runs")
+    once = Window.partitionBy("_own").orderBy(F.lit(0))
+    docs = docs.select(*DOCUMENT_COLUMNS).withColumn("_own", key(F.sha2(text_of("text").cast("binary"), 256)))
     docs = docs.withColumn("_n", (F.row_number().over(once) - 1).cast("long"))
-    drawn = drawn.withColumn("_k", F.concat_ws("|", F.coalesce(F.col("_doc_id").cast("string"), F.lit("null")), F.col("_text_sha256"), F.coalesce("_source", F.lit("\0null"))))
-    both = docs.join(drawn, (docs["_k"] == drawn["_k"]) & (F.col("_n") == F.col("_copy")))
+    both = docs.join(drawn, (F.col("_own") == F.col("_key")) & (F.col("_n") == F.col("copy")))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     some = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, r["start"].cast("int") + 1, r["words"].cast("int")))), " ")
     whole = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["words"]) == word_count(F.col("text"))
