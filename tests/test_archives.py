@@ -25,6 +25,14 @@ SOURCES = {
 }
 
 
+EXTRA = {
+    "META-INF/services/demo.Service": "# providers\ndemo.Child\n",
+    "config/app.properties": "main=demo.Main\n",
+    "blob.txt": b"a\0b",
+    "META-INF/maven/g/a/pom.properties": "groupId=g\nartifactId=a\nversion=1.2\n",
+}
+
+
 def build(folder, name, sources, extra=None):
     src, out = folder / f"{name}-src", folder / f"{name}-out"
     for path, text in sources.items():
@@ -44,13 +52,7 @@ def build(folder, name, sources, extra=None):
 @pytest.fixture(scope="module")
 def world(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("jars")
-    extra = {
-        "META-INF/services/demo.Service": "# providers\ndemo.Child\n",
-        "config/app.properties": "main=demo.Main\n",
-        "blob.txt": b"a\0b",
-        "META-INF/maven/g/a/pom.properties": "groupId=g\nartifactId=a\nversion=1.2\n",
-    }
-    build(folder, "demo", SOURCES, extra)
+    build(folder, "demo", SOURCES, EXTRA)
     (folder / "jars" / "bad.apk").write_bytes(b"PK\x05\x06" + b"\0" * 18)
     (folder / "jars" / "note.txt").write_text("no archive")
     store = IndexStore(spark, str(folder / "index"))
@@ -106,7 +108,7 @@ def test_refresh_skips_what_is_current(spark, world):
     assert store.manifest().collect() == before
     changed = dict(SOURCES, **{"demo/Dependency.java": SOURCES["demo/Dependency.java"].replace('"worker"', '"two"')})
     shutil.rmtree(folder / "demo-out")
-    build(folder, "demo", changed)
+    build(folder, "demo", changed, EXTRA)
     watch(spark, str(folder / "jars"), store, str(folder / "stream"), once=True).awaitTermination()
     assert {r.text for r in store.read("strings").collect()} == {"constant", "two"}
     assert store.read("classes").count() == 4
@@ -130,3 +132,30 @@ def test_log_kinds(spark):
     assert [r.kind for r in rows] == ["log", "header", "frame", "frame", "causedBy", "frame", "omitted", None]
     assert (rows[2].class_name, rows[2].method_name, rows[2].file_name, rows[2].source_line) == ("demo.Main", "run", "Main.java", 5)
     assert rows[3].native_method and rows[5].unknown_source and rows[6].omitted == 2
+
+
+def test_scope(spark, world):
+    from tessella.api import Scope
+
+    folder, store, _ = world
+    scope = Scope(spark, str(folder / "jars"), store.path, build=False)
+    hits = scope.search("value").collect()
+    assert {"method", "string"} & {r.kind for r in hits} and all(r.total == len(hits) for r in hits)
+    assert [r.kind for r in scope.search("demo.main", kind="resource").collect()] == ["resource"]
+    assert scope.type_lookup("demo.ch*d", "wildcard").first().internal_name == "demo/Child"
+    assert {r.source_name for r in scope.find_references("method", "demo.Child", "value", "()I").collect()} >= {"run"}
+    assert {r.node for r in scope.type_hierarchy("demo.Child").collect()} == {"demo/Child", "demo/Base", "java/lang/Runnable", "java/lang/Object"}
+    chain = scope.call_chain("demo.Main", "run", "(Ldemo/Base;)V")
+    assert {"demo/Main#helper()V", "demo/Child#run()V"} <= {r.node for r in chain.collect()}
+    trace = scope.resolve_stacktrace("java.lang.IllegalStateException\n\tat demo.Child.run(Child.java:1)\n\tat no.Such.x(Native Method)").collect()
+    assert [(r.kind, r.archives, r.methods) for r in trace] == [("header", None, None), ("frame", 1, 1), ("frame", 0, 0)]
+    assert scope.list_classes("demo.D").count() == 1
+    assert {r.status for r in scope.compare(str(folder / "jars" / "demo.jar")).collect()} == {"unchanged"}
+
+
+def test_descriptors():
+    from tessella.functions.descriptors import readable
+
+    assert readable("(I[[Ljava/lang/String;J)V") == "(int, java.lang.String[][], long): void"
+    assert readable("(I[[Ljava/lang/String;J)V", short=True) == "(int, String[][], long): void"
+    assert readable("[Z") == "boolean[]" and readable("(Q") == "(Q"
