@@ -119,3 +119,22 @@ def first_matching_line(text: Column, hit) -> Column:
     lines = F.split(text, r"\R", -1)
     at = F.array_position(F.transform(lines, hit), True)
     return F.when(at > 0, F.struct(at.cast("long").alias("line"), F.trim(F.element_at(lines, at.cast("int"))).alias("snippet")))
+
+
+def sources_sibling(name: Column) -> Column:
+    """The file name under which an archive's sources usually stand beside it."""
+    return F.regexp_replace(name, r"\.(jar|war|zip|aar)$", "-sources.$1")
+
+
+#: A cast of a string or character literal to its own type.
+LITERAL_CAST = r"""\((?:java\.lang\.)?(?:String\)\s*("(?:[^"\\]|\\.)*")|char\)\s*('(?:[^'\\]|\\.)'))"""
+
+
+def without_literal_casts(source: Column) -> Column:
+    """STRUCT(text, removed): source text without casts of literals, and how many there were."""
+    return F.struct(F.regexp_replace(source, LITERAL_CAST, "$1$2").alias("text"), F.regexp_count(source, F.lit(LITERAL_CAST)).cast("long").alias("removed"))
+
+
+def checksum_line(line: Column) -> Column:
+    """STRUCT(checksum, file) of a line of a checksum list, whether in text or in binary (``*``) form."""
+    return F.struct(F.lower(F.regexp_extract(line, r"^([0-9A-Fa-f]+)\s+", 1)).alias("checksum"), F.regexp_extract(line, r"^[0-9A-Fa-f]+\s+\*?(.*)$", 1).alias("file"))

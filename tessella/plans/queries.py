@@ -492,3 +492,47 @@ def file_coordinates(spark, sf_dir):
     name = F.concat(F.lit("art-"), i, F.lit("-1."), i, F.when(i % 3 == 0, ".jar").when(i % 3 == 1, ".WAR").otherwise(".zip"))
     pages = b.table(spark, sf_dir, "pages").select("page_id", name.alias("file")).where(F.lower("file").rlike(fn.ARCHIVE))
     return pages.select("page_id", F.concat(F.lit("art-"), F.regexp_extract("file", r"^art-(\d+)", 1)).alias("artifact"), F.regexp_extract("file", r"-(\d+\.\d+)\.", 1).alias("version"), F.lower(F.regexp_extract("file", r"\.([A-Za-z]+)$", 1)).alias("packaging"))
+
+
+@query("SELECT doc_id, sha1(coalesce(text, '')) AS checksum, 'f' || doc_id || '.jar' AS file FROM documents")
+def checksum_list(spark, sf_dir):
+    """SC17, J15: a checksum list read back, in text and binary form."""
+    i = F.col("doc_id")
+    line = F.concat(F.sha1(F.coalesce("text", F.lit("")).cast("binary")), F.when(i % 2 == 0, "  ").otherwise(" *"), F.lit("f"), i.cast("string"), F.lit(".jar"))
+    return docs(spark, sf_dir).select("doc_id", fn.checksum_line(line).alias("c")).select("doc_id", "c.checksum", "c.file")
+
+
+@query("""SELECT o_orderkey, 'x = "' || o_orderpriority || '"; c = ''y''; n = (int) 3;' AS text, CAST(2 AS BIGINT) AS removed FROM orders""")
+def literal_casts(spark, sf_dir):
+    """TX19."""
+    source = F.concat(F.lit('x = (String) "'), "o_orderpriority", F.lit("\"; c = (char)'y'; n = (int) 3;"))
+    return b.table(spark, sf_dir, "orders").select("o_orderkey", fn.without_literal_casts(source).alias("r")).select("o_orderkey", "r.text", "r.removed")
+
+
+@query("""SELECT l_partkey, l_suppkey, side FROM (
+(SELECT l_partkey, l_suppkey, 'removed' AS side FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey, l_suppkey, 'removed' FROM lineitem WHERE l_returnflag = 'A')
+UNION ALL (SELECT l_partkey, l_suppkey, 'added' FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey, l_suppkey, 'added' FROM lineitem WHERE l_returnflag = 'R'))""")
+def entry_difference(spark, sf_dir):
+    """Keys on one side alone."""
+    line = b.table(spark, sf_dir, "lineitem")
+    side = lambda flag: line.where(F.col("l_returnflag") == flag).select("l_partkey", "l_suppkey").distinct()
+    gone = side("R").join(side("A"), ["l_partkey", "l_suppkey"], "left_anti").withColumn("side", F.lit("removed"))
+    return gone.unionByName(side("A").join(side("R"), ["l_partkey", "l_suppkey"], "left_anti").withColumn("side", F.lit("added")))
+
+
+@query("""SELECT p_partkey, coalesce(given, sibling, inferred, 'none') AS chosen FROM (SELECT p_partkey,
+CASE WHEN p_partkey % 5 = 0 THEN 'given-' || p_partkey END AS given, CASE WHEN p_partkey % 3 = 0 THEN 'lib-' || p_partkey || '-sources.jar' END AS sibling,
+CASE WHEN p_partkey % 2 = 0 THEN p_brand || ':' || p_size END AS inferred FROM part)""")
+def source_lookup(spark, sf_dir):
+    """T24, T25, TX14: where sources come from, by precedence."""
+    i = F.col("p_partkey")
+    name = F.concat(F.lit("lib-"), i.cast("string"), F.lit(".jar"))
+    chosen = F.coalesce(F.when(i % 5 == 0, F.concat(F.lit("given-"), i.cast("string"))), F.when(i % 3 == 0, fn.sources_sibling(name)), F.when(i % 2 == 0, F.concat_ws(":", "p_brand", "p_size")), F.lit("none"))
+    return b.table(spark, sf_dir, "part").select("p_partkey", chosen.alias("chosen"))
+
+
+@query("""SELECT d.source, count(*) AS total, sum(len(string_split(d.text, chr(10)))) AS lines, max(len(string_split(d.text, chr(10)))) AS longest FROM documents d WHERE d.text IS NOT NULL GROUP BY d.source""")
+def export_totals(spark, sf_dir):
+    """Sums of array sizes and the largest line number, by archive."""
+    lines = F.size(F.split("text", "\n", -1)).cast("long")
+    return docs(spark, sf_dir).where("text is not null").groupBy("source").agg(F.count("*").alias("total"), F.sum(lines).alias("lines"), F.max(lines).alias("longest"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -56,6 +57,14 @@ def read_archives(spark: SparkSession, path: str, recursive: bool = False, neste
     return every.where("error_type is null").drop("error_type", "message"), every.where("error_type is not null").select("archive_path", "error_type", "message")
 
 
+def read_class_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Entries (ENTRIES) of the class files below a folder, which counts as one archive; names start below the folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.class").load(path)
+    root = path.rstrip("/")
+    name = F.regexp_extract("path", rf"{re.escape(root)}/(.*)$", 1)
+    return files.select(F.lit(root).alias("archive_path"), name.alias("entry"), F.lit(0).alias("ord"), F.col("length").alias("size"), F.crc32("content").alias("crc"), "content")
+
+
 def fingerprints(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(archive_path, fingerprint): SHA-256 of each archive's bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)

@@ -126,6 +126,15 @@ def test_coordinates_and_nested_libraries(spark, tmp_path):
     assert [tuple(r)[1:] for r in archives.coordinates(entries).collect()] == [("g", "a", "1.2")]
 
 
+def test_class_folder(spark, world):
+    from tessella.sources.index import relations
+
+    folder, _, _ = world
+    entries = archives.read_class_folder(spark, str(folder / "demo-out"))
+    assert {r.entry for r in entries.select("entry").collect()} == {f"demo/{n}.class" for n in ("Dependency", "Base", "Child", "Main")}
+    assert relations(entries)["methods"].where("name = 'helper'").count() == 1
+
+
 def test_log_kinds(spark):
     text = ["2024-05-05 10:00:00,123 ERROR [main] demo.Main - failed", "java.lang.IllegalStateException: boom", "\tat demo.Main.run(Main.java:5)", "\tat a.B.c(Native Method)", "Caused by: x.DeepError", "\tat a.B.d(Unknown Source)", "\t... 2 more", "prose"]
     rows = logs.parse_lines(spark.createDataFrame(list(enumerate(text)), "n int, line string")).orderBy("n").collect()
