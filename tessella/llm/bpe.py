@@ -30,6 +30,8 @@ from .common import materialise, text_of
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens of a block at most (a single longer document is a block of its own), and buckets at least.
 BLOCK_TOKENS, BUCKETS = 6_000_000, 256
+#: How hard what is shuffled is compressed.
+LEVEL = 12
 
 _encoders: dict[int, tiktoken.Encoding] = {}
 
@@ -119,9 +121,9 @@ def _split_blocks(buckets: int, kind: pa.DataType):
                 starts = np.r_[0, ends[:-1]]
                 lengths = pc.binary_length(words).to_numpy()
                 rows = {name: [None] for name in schema.names}
-                rows |= {"block": [block], "docs": [part.column(0).to_pylist()], "counts": [pack(np.diff(part.column(1).offsets.to_numpy()))], "stream": [pack(stream, 9)]}
+                rows |= {"block": [block], "docs": [part.column(0).to_pylist()], "counts": [pack(np.diff(part.column(1).offsets.to_numpy()))], "stream": [pack(stream, LEVEL)]}
                 for b, s, e in zip(filled.tolist(), starts.tolist(), ends.tolist()):
-                    for name, value in (("block", block), ("bucket", b), ("words", zstandard.compress(b"".join(words.slice(s, e - s).to_pylist()), 3)), ("lengths", pack(lengths[s:e])), ("classes", pack(classes[s:e])), ("docs", None), ("counts", None), ("stream", None)):
+                    for name, value in (("block", block), ("bucket", b), ("words", zstandard.compress(b"".join(words.slice(s, e - s).to_pylist()), LEVEL)), ("lengths", pack(lengths[s:e])), ("classes", pack(classes[s:e])), ("docs", None), ("counts", None), ("stream", None)):
                         rows[name].append(value)
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
@@ -144,7 +146,7 @@ def _encode_words(raw):
                     if code is None:
                         code = known[word] = tuple(encode(word))
                     found.append(code)
-                ids.append(pack(np.fromiter((i for code in found for i in code), np.uint32)))
+                ids.append(pack(np.fromiter((i for code in found for i in code), np.uint32), LEVEL))
                 numbers.append(pack(np.fromiter(map(len, found), np.uint32, len(found))))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), batch.column("classes"), pa.array(ids, pa.binary()), pa.array(numbers, pa.binary())], ["block", "bucket", "classes", "ids", "numbers"])
 
