@@ -91,12 +91,11 @@ def tree_labels(codes: np.ndarray) -> np.ndarray:
             i, j, known, acc = ci[real], cj[real], known[real], acc[real]
     order = np.argsort(j - i, kind="stable")  # near leaves first: what they join needs no more comparing
     i, j = i[order], j[order]
-    inside = np.arange(LEAF)
+    inside, starts = np.arange(LEAF), np.arange(0, codes.size, LEAF)
     for k in range(0, i.size, 512):
         a, b = i[k : k + 512], j[k : k + 512]
-        whole = np.array([labels[x * LEAF : x * LEAF + LEAF].max() for x in range(0, levels[0][0].size)])
-        least = np.minimum.reduceat(labels, np.arange(0, codes.size, LEAF))
-        open_ = (whole[a] != least[a]) | (whole[b] != least[b]) | (least[a] != least[b])
+        least, most = np.minimum.reduceat(labels, starts), np.maximum.reduceat(labels, starts)
+        open_ = (most[a] != least[a]) | (most[b] != least[b]) | (least[a] != least[b])
         a, b = a[open_], b[open_]
         x = (a[:, None, None] * LEAF + inside[None, :, None] + np.zeros((1, 1, LEAF), np.int64)).ravel()
         y = (b[:, None, None] * LEAF + inside[None, None, :] + np.zeros((1, LEAF, 1), np.int64)).ravel()
