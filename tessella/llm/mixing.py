@@ -142,6 +142,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     docs = docs.withColumn("_n", (F.row_number().over(once) - 1).cast("long"))
     both = docs.join(drawn, (F.col("_own") == F.col("_key")) & (F.col("_n") == F.col("copy")))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, r["start"].cast("int") + 1, r["words"].cast("int")))), " ")
+    # The outer array of one binds the words, so that they are found once for a text and not for each of its runs.
+    some = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, r["start"] + 1, r["words"]))), " "))[0]
     whole = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["words"]) == word_count(F.col("text"))
     return both.select("doc_id", F.when(whole, F.col("text")).otherwise(some).alias("text"), "lang", "source", "n_chars").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
