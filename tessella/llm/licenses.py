@@ -2,7 +2,8 @@
 
 A text that mentions licensing is read around each mention. The window is compressed alone and with every template as zstandard's
 raw dictionary; templates are ranked by the bytes that the dictionary saves, against their own size, and the best are compared with the
-window word by word. The winner is the one with the fewest differences, if most of its words are there.
+window word by word. The winner is the one with the fewest differences, if most of its words are there; where a word differs that names
+a license or its version, the row says so in the license's name. SPDX tags are read as they stand.
 """
 
 from __future__ import annotations
@@ -18,62 +19,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
+from .license_texts import PARTIAL, TEMPLATES
 
-MENTION = r"(?i)licen[sc]e|copyright|spdx-|creative ?commons|\bcc[ -](by|0)\b|public domain|hereby granted|redistribution and use|all rights reserved|gnu (affero |lesser )?general public"
+#: Mentions of licensing; ~ is a gap between words, which may stand on two lines of a comment.
+MENTION = (
+    r"(?i)licen[sc]e|copyright|spdx-|creative ?commons|creative~commons|\bcc([ -]by|[ -]?0)\b|public~domain|hereby~granted|permission~is~granted|permission~to~use|provided~'as-is'|"
+    r"redistribution~and~use|all~rights~reserved|gnu~(affero~|lesser~|library~)?general~public"
+).replace("~", r"[\s*#/;-]+")
 #: Templates that a window is compared with, the share of a template's words that it must hold, and mentions' reach in template lengths.
-BEST, WORDS, REACH = 6, 0.8, 1.25
-
-# Wordings of license notices, as their publishers recommend them.
-TEMPLATES = {
-    "MIT notice": "Released under the MIT License.",
-    "MIT licensed": "Licensed under the MIT License.",
-    "MIT text": (
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software '
-        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
-        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
-        "or substantial portions of the Software."
-    ),
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0 header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
-        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
-    ),
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0 header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
-        "either version 3 of the License, or (at your option) any later version."
-    ),
-    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "BSD-3-Clause text": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must "
-        "retain the above copyright notice, this list of conditions and the following disclaimer."
-    ),
-    "BSD-3-Clause notice": "Licensed under the BSD 3-Clause License.",
-    "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
-    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
-    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
-    "CC-BY-4.0 long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0 long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC-BY-NC-4.0 long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "All rights reserved": "All rights reserved.",
-}
+BEST, WORDS, REACH = 12, 0.8, 1.25
+
 _WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
+#: What numbers an item of a list: it isn't a word of a notice, unless it is a version.
+_ITEM, _BEFORE_ITEM, _VERSION_OF = re.compile(r"\(?(?:\d|[a-e]|iv|i{1,3})[.)]\s"), re.compile(r"(?:^|[\n.:;,]|\band|\bor)[^\w\n]*\(?$"), re.compile(r"(?i)\b(?:version|v\.?|licen[sc]e)[\s*#/;-]*$")
+#: A tag names its license itself.
+_TAG = re.compile(r"(?i:SPDX-License-Identifier):[ \t]*(\(*[ \t]*[A-Za-z0-9][\w.:+-]*(?:[ \t]*\))*(?:[ \t]+(?:AND|OR|WITH|and|or|with)[ \t]+\(*[ \t]*[A-Za-z0-9][\w.:+-]*(?:[ \t]*\))*)*)")
+#: Words that name a license or its version, or tell BSD licenses apart: a notice that differs in one isn't that license's. Years aren't versions.
+_NAMING = re.compile(
+    r"(?!(?:19|20)\d\d$)v?\d+(?:\.\d+)*\+?|[1-4]-clause|by-.*|attribution.*|.*(?:commercial|sharealike|share-alike|noderiv\w*)|lesser|library-general|affero|later|endorse|advertising|mit|mit-0|bsd|isc|zlib|boost|apache|mozilla|eclipse|"
+    r"artistic|perl|gnu|cc0?|[al]?gpl.*|mpl.*|epl.*|apache-.*|cc-.*|unlicense|x11|expat"
+)
+OTHER = " (another version or license)"
+
+
+def _words(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, word) of a text's words: in lower case, versions without a last .0, the name Library General as one, numbers of list items left out."""
+    out = []
+    for m in _WORD.finditer(text):
+        if len(m[0]) < 4 and _ITEM.match(text, m.start()) and _BEFORE_ITEM.search(before := text[max(0, m.start() - 24) : m.start()]) and not _VERSION_OF.search(before):
+            continue
+        word = m[0].lower()
+        if word == "general" and out and out[-1][2] == "library":  # a name; alone it is a kind of software
+            out[-1] = (out[-1][0], m.end(), "library-general")
+        else:
+            out.append((m.start(), m.end(), word[:-2] if re.fullmatch(r"v?\d+\.0", word) else word))
+    return out
+
+
+def names_another(said: str) -> bool:
+    """Whether a word that names a license or its version is among the differences."""
+    return any(_NAMING.fullmatch(w[1:]) for w in said.split())
 
 
 @cache
 def _tools(template: str) -> tuple[zstandard.ZstdCompressor, list[str]]:
     """A compressor with the template as raw dictionary, and the template's words."""
     raw = zstandard.ZstdCompressionDict(template.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=9, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False), [w.lower() for w in _WORD.findall(template)]
+    return zstandard.ZstdCompressor(level=9, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False), [w for _, _, w in _words(template)]
 
 
 @cache
@@ -96,8 +88,8 @@ def wording(window: str, template: str) -> tuple[int, int, float, str] | None:
 
     Differences are words that the template has and the window lacks (-) or that stand between its words there (+).
     """
-    found = list(_WORD.finditer(window))
-    words, wanted = [m[0].lower() for m in found], _tools(template)[1]
+    found = _words(window)
+    words, wanted = [w for _, _, w in found], _tools(template)[1]
     blocks = [b for b in SequenceMatcher(None, words, wanted, autojunk=False).get_matching_blocks() if b.size]
     if not blocks:
         return None
@@ -106,7 +98,7 @@ def wording(window: str, template: str) -> tuple[int, int, float, str] | None:
         said += [f"-{w}" for w in wanted[j : b.b]] + [f"+{w}" for w in words[i : b.a]]
         i, j = b.a + b.size, b.b + b.size
     said += [f"-{w}" for w in wanted[j:]]
-    return found[blocks[0].a].start(), found[blocks[-1].a + blocks[-1].size - 1].end(), sum(b.size for b in blocks) / len(wanted), " ".join(said)
+    return found[blocks[0].a][0], found[blocks[-1].a + blocks[-1].size - 1][1], sum(b.size for b in blocks) / len(wanted), " ".join(said)
 
 
 def scan(text: str, templates: dict[str, str] = TEMPLATES) -> list[tuple[int, int, str, float, int, str]]:
@@ -116,6 +108,10 @@ def scan(text: str, templates: dict[str, str] = TEMPLATES) -> list[tuple[int, in
         at = mention.start()
         if at < done:
             continue
+        if tag := _TAG.match(text, at):
+            done = at + len(tag[0].rstrip())
+            out.append((at, done, f"{tag[1].strip()} tag", reduction(text[at:done], text[at:done]) / size(text[at:done]), 0, ""))
+            continue
         windows = {name: (max(done, at - int(len(t) * REACH)), at + int(len(t) * REACH) + 8) for name, t in templates.items()}
         ranked = sorted(templates, key=lambda name: (-reduction(text[slice(*windows[name])], templates[name]) / size(templates[name]), name))[:BEST]
         confirmed = []
@@ -124,10 +120,10 @@ def scan(text: str, templates: dict[str, str] = TEMPLATES) -> list[tuple[int, in
             place = wording(text[start:end], templates[name])
             if place and place[2] >= WORDS and start + place[0] <= mention.end() and start + place[1] >= at:
                 n = len(place[3].split())
-                confirmed.append((n / len(_tools(templates[name])[1]), -len(templates[name]), name, start + place[0], start + place[1], n, place[3]))
+                confirmed.append((names_another(place[3]), name in PARTIAL, n / len(_tools(templates[name])[1]), -len(templates[name]), name, start + place[0], start + place[1], n, place[3]))
         if confirmed:
-            _, _, name, start, end, n, said = min(confirmed)
-            out.append((start, end, name, reduction(text[start:end], templates[name]) / size(text[start:end]), n, said))
+            other, _, _, _, name, start, end, n, said = min(confirmed)
+            out.append((start, end, name + OTHER * other, reduction(text[start:end], templates[name]) / size(text[start:end]), n, said))
             done = end
     return out
 
@@ -136,6 +132,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
     """One row per notice found: doc_id, start, end (characters), license, saved, differences, wording, exact.
 
     Every whole text with a mention of licensing is read; others can't hold a notice of the templates. exact: no word differs.
+    A notice whose difference names another license or version has OTHER after its template's name; an SPDX tag has its expression and "tag".
     Null and empty texts, empty tables and texts without a notice give no rows; null ids are kept as null; repeated rows give
     repeated rows. Other columns of ``docs`` are not looked at.
     """

@@ -274,6 +274,36 @@ def test_licenses(spark, empty):
         assert r.doc_id != 1 or "icensed under" in text[r.start : r.end] and 0 < r.saved < 1
 
 
+def test_license_wordings_name_their_license():
+    for name, text in licenses.TEMPLATES.items():
+        assert re.search(licenses.MENTION, text), name
+        wrapped = re.sub(r"(.{60}\S*) ", r"\1\n * ", f"int main;\n/* {text} */\nint x;")
+        assert [(h[2], h[4]) for h in licenses.scan(wrapped)][:1] == [(name, 0)], name
+
+
+@pytest.mark.parametrize("bullets", ["* ", "- ", "", "1. 2. 3. "])
+def test_bsd_licenses_are_told_apart(bullets):
+    for name, clauses in (("BSD-2-Clause text", 2), ("BSD-3-Clause text", 3)):
+        marks = bullets.split(" ") if bullets.startswith("1") else [bullets.strip()] * 3
+        text = licenses.TEMPLATES[name]
+        for mark, start in zip(marks, ["Redistributions of source", "Redistributions in binary", "Neither the name"][:clauses]):
+            text = text.replace(start, f"\n{mark} {start}")
+        assert [(h[2], h[4]) for h in licenses.scan(f"Copyright (c) 2020, A. All rights reserved.\n{text}")] == [("All rights reserved", 0), (name, 0)]
+
+
+def test_license_versions_and_tags():
+    gpl = licenses.TEMPLATES["GPL-3.0 header"]
+    got = lambda text: [(h[2], h[4] == 0) for h in licenses.scan(text)]
+    assert got(gpl.replace("version 3", "version 2")) == [("GPL-2.0 header", True)]
+    assert got(gpl.replace("version 3", "version 4")) in [[(f"GPL-{v}.0 header{licenses.OTHER}", False)] for v in (2, 3)]
+    assert got(gpl.replace("GNU General", "GNU Lesser General")) == [("LGPL-3.0 header", False)]
+    assert got("Licensed under CC BY 3.0.") == [(f"CC-BY-4.0{licenses.OTHER}", False)]
+    assert got("Licensed under CC0 1.0.") == got("Licensed under CC0-1.0.")[:0] + [("CC0-1.0 notice", True)]
+    assert re.search(licenses.MENTION, "dedicated by CC0") and re.search(licenses.MENTION, "CC 0")
+    assert got("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\nfn main() {}") == [("(MIT OR Apache-2.0) AND BSD-3-Clause tag", True)]
+    assert got("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */") == [("GPL-2.0-only WITH Linux-syscall-note tag", True)]
+
+
 def test_piecewise(docs, rows, empty):
     found = piecewise.piecewise_fingerprints(docs).collect()
     assert len(found) == len(rows)
