@@ -14,8 +14,8 @@ def _mix(x: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def permute(index: np.ndarray, n: np.ndarray | int, key: np.ndarray | int) -> np.ndarray:
-    """Images of ``index`` under the permutation of 0 .. n-1 that ``key`` picks; n and key may differ by element.
+def permute(index: np.ndarray, n: np.ndarray | int, key: np.ndarray | int, back: bool = False) -> np.ndarray:
+    """Images of ``index`` under the permutation of 0 .. n-1 that ``key`` picks, or under its inverse; n and key may differ by element.
 
     A balanced Feistel network permutes the next power of four at or above n; an image of n or more is sent
     through again (cycle walking) until it falls below n, which takes under four rounds on average.
@@ -33,8 +33,10 @@ def permute(index: np.ndarray, n: np.ndarray | int, key: np.ndarray | int) -> np
         while todo.size:
             h, m, k = half[todo], mask[todo], key[todo]
             left, right = out[todo] >> h, out[todo] & m
-            for r in range(ROUNDS):
+            if back:
+                left, right = right, left
+            for r in range(ROUNDS)[:: -1 if back else 1]:
                 left, right = right, left ^ (_mix(right, k + np.uint64(0x632BE59BD9B4E019 * (r + 1) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11) & m)
-            out[todo] = left << h | right
+            out[todo] = right << h | left if back else left << h | right
             todo = todo[out[todo] >= n[todo]]
     return out.astype(np.int64)

@@ -20,6 +20,8 @@ MOST = 2
 #: Words of a block. Output shards at least, and slots that a shard has at most in a large mix.
 BLOCK, SHARDS, SHARD_SLOTS = 32, 64, 1 << 20
 SEED = 7
+#: A source whose whole blocks miss its target by a larger share has shorter ones. Added to a source's key for each turn.
+NEAR, TURN_KEY = 0.05, 0x1_0000_0001
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -63,30 +65,56 @@ def draw_counts(left: np.ndarray, shards: int, seed: int) -> Iterator[np.ndarray
         yield counts
 
 
-def mix_plan(sources: DataFrame, block: int, seed: int) -> DataFrame:
-    """Slots of each source in each output shard: (rank, blocks, key, shard, first, slots), first counting the source's earlier slots."""
+def choose_slots(size: np.ndarray, target: np.ndarray, key: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(block, slots) of each source: so many slots in the order of its permutations that their words come nearest to its target.
+
+    The last block of a source may be shorter; its place in each turn tells which slots hold it. Where the words miss the target by
+    more than NEAR of it, as in sources of a few blocks, the source's block is halved, down to one word.
+    """
+    blocks, slots = np.full(size.size, block, np.int64), np.zeros(size.size, np.int64)
+    todo = np.flatnonzero(size > 0)
+    while todo.size:
+        s, t, b = size[todo], target[todo], blocks[todo]
+        n = -(-s // b)
+        turn = np.minimum(t // s, MOST - 1).astype(np.int64)
+        last = permute(n - 1, n, key[todo] + turn * TURN_KEY, back=True)
+        best, off = np.zeros_like(n), np.full(n.size, np.inf)
+        for more in range(3):
+            k = np.minimum((t - turn * s) // b + more, n).astype(np.int64)
+            miss = np.abs(turn * s + k * b - np.where(k > last, n * b - s, 0) - t)
+            best, off = np.where(miss < off, k, best), np.minimum(miss, off)
+        slots[todo] = turn * n + best
+        todo = todo[(off > NEAR * t) & (off > 0.5) & (b > 1)]
+        blocks[todo] = np.maximum(1, blocks[todo] // 2)
+    return blocks, slots
+
+
+def mix_plan(sources: DataFrame, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The block of each source (rank, block), and its slots in each output shard: (rank, blocks, key, shard, first, slots), first counting the source's earlier slots."""
     table = sources.orderBy("rank").collect()  # one row per source
     spark = sources.sparkSession
-    want = np.array([int(r.target // block) for r in table], np.int64)
+    size, target = np.array([r.source_size for r in table], np.int64), np.array([r.target or 0 for r in table], float)
+    keys = np.array([zlib.crc32((r.source if r.source is not None else "\0").encode()) + (seed << 32) for r in table], np.int64)
+    length, want = choose_slots(size, target, keys, block)
     shards = max(SHARDS, -(-int(want.sum()) // SHARD_SLOTS))
     first, rows = np.zeros(len(table), np.int64), []
     for k, counts in enumerate(draw_counts(want, shards, seed)):
         for i in np.flatnonzero(counts):
-            r = table[i]
-            rows.append((r["rank"], -(-r.source_size // block), zlib.crc32((r.source if r.source is not None else "\0").encode()) + (seed << 32), k, int(first[i]), int(counts[i])))
+            rows.append((table[i]["rank"], int(-(-size[i] // length[i])), int(keys[i]), k, int(first[i]), int(counts[i])))
         first += counts
-    return spark.createDataFrame(rows, "rank int, blocks long, key long, shard int, first long, slots long")
+    lengths = spark.createDataFrame([(r["rank"], int(b)) for r, b in zip(table, length)], "rank int, block long")
+    return lengths, spark.createDataFrame(rows, "rank int, blocks long, key long, shard int, first long, slots long")
 
 
 @F.pandas_udf(LongType())
 def _image(slot: pd.Series, blocks: pd.Series, key: pd.Series) -> pd.Series:
     """Block of a slot: each turn through a source's blocks has a permutation of its own."""
     turn = slot // blocks
-    return pd.Series(permute((slot - turn * blocks).to_numpy(), blocks.to_numpy(), (key + turn * 0x1_0000_0001).to_numpy()))
+    return pd.Series(permute((slot - turn * blocks).to_numpy(), blocks.to_numpy(), (key + turn * TURN_KEY).to_numpy()))
 
 
 def mix_blocks(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, text_sha256, source, size, copy, at, rank, source_size, target) and the drawn runs of their words.
+    """The documents (doc_id, text_sha256, source, size, copy, at, rank, source_size, target, block) and the drawn runs of their words.
 
     ``at`` is a document's first word in its source's row of words; rank and at name a document with words. A run (rank,
     at, turn, shard, start, words) is what one drawn block holds of one document: ``words`` words from word
@@ -98,13 +126,13 @@ def mix_blocks(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: st
     targets = materialise(source_targets(counted.groupBy("source").agg(F.sum("weight").alias("source_size"))))
     placed = running_offsets(counted, "weight", ["source"], ["doc_id", "text_sha256", "size"], "at").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     placed = placed.select("doc_id", "text_sha256", "source", "size", "copy", (F.col("at") + F.col("copy") * F.col("size")).alias("at"))
-    named = targets.select(F.col("source").alias("target_source"), "rank", "source_size", "target")
+    lengths, plan = mix_plan(targets, block, seed)
+    named = targets.join(lengths, "rank").select(F.col("source").alias("target_source"), "rank", "source_size", "target", "block")
     placed = materialise(placed.join(named, F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source"))
     end = F.col("at") + F.col("size")
-    parts = placed.where("size > 0").select("rank", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))).alias("index"))
-    low, high = F.greatest("at", F.col("index") * block), F.least(end, (F.col("index") + 1) * block)
+    parts = placed.where("size > 0").select("rank", "at", "size", "block", F.explode(F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((end - 1) / F.col("block")))).alias("index"))
+    low, high = F.greatest("at", F.col("index") * F.col("block")), F.least(end, (F.col("index") + 1) * F.col("block"))
     parts = parts.select("rank", "at", "index", (low - F.col("at")).cast("int").alias("start"), (high - low).cast("int").alias("words"))
-    plan = mix_plan(targets, block, seed)
     slots = plan.repartition(F.col("shard"), F.col("rank")).withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("slots") - 1)))
     slots = slots.select("rank", _image("slot", "blocks", "key").alias("index"), F.floor(F.col("slot") / F.col("blocks")).cast("int").alias("turn"), "shard")
     # Merge: Spark takes the slots for as few as the plan's rows that they come from, and would broadcast them.
@@ -115,7 +143,7 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Data
     """One row per row of ``docs``: doc_id, size, source_size, target, taken.
 
     size: the words of the text (null: none). A source's words stand in one row, in an order that a hash of doc_id and
-    text fixes, and are cut into blocks of ``block`` words; ``taken`` counts the words of the document's blocks that
+    text fixes, and are cut into blocks of ``block`` words, of fewer in sources so small that whole ones would miss their target; ``taken`` counts the words of the document's blocks that
     the mix draws, 2 times its size at most. Null sources form one source, the last; texts without words
     take nothing; repeated rows have words and draws of their own. An empty table gives an empty result. Other
     columns of ``docs`` are not looked at. The draws depend on the rows and the seed alone.

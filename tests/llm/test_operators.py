@@ -239,6 +239,29 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix_documents(empty).count() == 0
 
 
+def test_small_sources_meet_their_targets(spark):
+    sizes = {"hot": 20000, "a": 1, "b": 5, "c": 15, "d": 16, "e": 31, "f": 40, None: 3}
+    rows = [(i, "w " * n, "en", s, 2 * n) for i, (s, n) in enumerate(sizes.items())]
+    found = mixing.mix_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.size for r in found} == set(sizes.values())
+    for r in found:
+        assert r.taken == r.target == 2 * r.size if r.size < 20000 else abs(r.taken - r.target) <= 16
+    alike = mixing.mix_documents(spark.createDataFrame([(i, "w " * n, "en", s, 2 * n) for i, (s, n) in enumerate((("a", 31), ("b", 15), ("c", 77)))], SCHEMA)).collect()
+    assert all(0 < r.taken and abs(r.taken - r.target) <= max(0.5, mixing.NEAR * r.target) for r in alike)
+
+
+def test_slots_count_the_words_of_their_blocks():
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 3000, 400)
+    target, key = rng.uniform(0, 2, 400) * size, rng.integers(0, 1 << 40, 400)
+    block, slots = mixing.choose_slots(size, target, key, 32)
+    for s, t, k, b, n in zip(*(x.tolist() for x in (size, target, key, block, slots))):
+        many = -(-s // b)
+        held = np.concatenate([np.minimum(b, s - b * feistel.permute(np.arange(many), many, k + turn * mixing.TURN_KEY)) for turn in (0, 1)])
+        totals = np.concatenate([[0], np.cumsum(held)])
+        assert abs(totals[n] - t) == pytest.approx(np.abs(totals - t).min()) and abs(totals[n] - t) <= max(0.5, 0.05 * t)
+
+
 def test_feistel_permutes():
     for n in (1, 2, 3, 5, 64, 65, 1000):
         images = [feistel.permute(np.arange(n), n, k) for k in (1, 2)]
