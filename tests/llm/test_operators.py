@@ -392,3 +392,35 @@ def test_warc(spark):
     files = spark.createDataFrame([(bytearray(response),)], "content binary")
     back = warc.derivatives(warc.read_responses(files)).where("record_type = 'conversion'").first()
     assert back.refers_to == "<urn:uuid:1>" and back.content == "é" and "latin-1" in back.source_headers
+
+
+def test_damaged_warc_files_lose_one_record_only():
+    member = lambda i: warc.record_bytes("response", f"<{i}>", [], b"HTTP/1.1 200 OK\r\n\r\n" + random.Random(i).randbytes(3000))
+    plain = lambda i: zlib.decompress(member(i), 31)
+    bad = bytearray(member(2))
+    bad[len(bad) // 2 :] = bad[len(bad) // 2 :][::-1]
+    no_length = b"WARC/1.0\r\nWARC-Type: response\r\n\r\nabc\r\n\r\n"
+    squeeze = lambda raw: zlib.compress(raw, wbits=31)
+    for data, ids, failures in (
+        (member(1) + bytes(bad) + member(3), "13", 1), (member(1) + b"\0" * 9 + member(3), "13", 0), (member(1) + b"junk" + member(3), "13", 1), (member(1) + member(2)[:-40] + member(3), "13", 1), 
+        (plain(1) + plain(2)[:-900] + plain(3), "13", 1), (plain(1) + no_length + plain(3), "13", 1), (squeeze(plain(1) + no_length + plain(3)) + member(4), "134", 1), (plain(1) + member(2), "12", 0), (member(1)[:-20], "", 1),
+    ):
+        parts = list(warc.parse_parts(data))
+        got = "".join(p[0]["warc-record-id"][1:-1] for p in parts if not isinstance(p, str))
+        assert got == ids and any(isinstance(p, str) for p in parts) == failures
+
+
+def test_warc_digests_encodings_and_failures(spark):
+    html = "<p>Größe</p>".encode()
+    body = zlib.compress(html, wbits=31)
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (body[:5], body[5:])) + b"0\r\n\r\n"
+    fields = [("WARC-Payload-Digest", "sha256:abc"), ("WARC-Target-URI", "http://a.example/")]
+    heads = [(b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked), (b"Content-Encoding: gzip", body), (b"Content-Encoding: deflate", zlib.compress(html)), (b"Transfer-Encoding: chunked", html), (b"Content-Encoding: odd", body)]
+    data = b"".join(warc.record_bytes("response", f"<{i}>", fields, b"HTTP/1.1 200 OK\r\n" + h + b"\r\n\r\n" + b) for i, (h, b) in enumerate(heads))
+    derived = warc.derivatives(warc.read_responses(spark.createDataFrame([("f.warc", bytearray(data + b"junk"))], "path string, content binary")))
+    rows = derived.collect()
+    assert {r.refers_to: r.content for r in rows if r.record_type == "conversion"} == {f"<{i}>": "" if i == 4 else "Größe" for i in range(5)}
+    assert all(r.source_digest == "sha256:abc" for r in rows if r.record_type != "failure")
+    assert all("source-block-digest: sha1:" in r.content and ("not-decoded: odd" in r.content) == (r.refers_to == "<4>") for r in rows if r.record_type == "metadata")
+    assert [r.content.startswith("f.warc, offset ") for r in rows if r.record_type == "failure"] == [True]
+    assert warc.warc_members(derived).count() == 10
