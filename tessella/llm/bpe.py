@@ -1,10 +1,11 @@
 """Byte-level BPE by a global shuffle of distinct words (operator 5).
 
-1. Spark's regular expressions split each text into pre-tokens. A block of documents becomes its distinct words, dealt into
-   buckets by a hash, and one stream that names the word at every position.
+1. Texts are split into pre-tokens. A block of documents becomes its distinct words, dealt into buckets by a hash, and one
+   stream that names the word at every position.
 2. The words are shuffled by bucket. There each distinct word is encoded once, whatever the number of blocks that have it.
    No position travels with a word, so a word that is in every text is one more entry for each block, no more.
-3. The ids go back to their block, where documents are put together by position.
+3. The ids go back to their block, where documents are put together by position. The streams stay where they are: they
+   are a table bucketed by block, to whose buckets only the ids are shuffled.
 
 Decoding looks ids up in the token-byte table, whose size the vocabulary bounds.
 """
@@ -24,14 +25,16 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialise, text_of
+from . import pretokens
+from .common import bucketed, materialise, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens of a block at most (a single longer document is a block of its own), and buckets at least.
-BLOCK_TOKENS, BUCKETS = 6_000_000, 256
+#: UTF-8 bytes of a block at most (a single longer document is a block of its own), and buckets at least.
+BLOCK_BYTES, BUCKETS = 16_000_000, 256
 #: How hard what is shuffled is compressed.
-LEVEL = 12
+LEVEL = 9
 
 _encoders: dict[int, tiktoken.Encoding] = {}
 
@@ -47,9 +50,12 @@ def vocabulary(path: str | None = None) -> bytes:
 
 
 def pattern() -> str:
+    """The pattern of the public tokenizers, which must be the one that the splitter knows."""
     import public_tokenizers
 
-    return public_tokenizers.PATTERN
+    if public_tokenizers.PATTERN != pretokens.PATTERN:
+        raise ValueError("the tokenizers' pattern has changed")
+    return pretokens.PATTERN
 
 
 def ranks(raw: bytes) -> dict[bytes, int]:
@@ -86,65 +92,90 @@ def numbering(classes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(tokens: pa.ListArray) -> Iterator[tuple[int, int]]:
-    """Runs of rows with BLOCK_TOKENS tokens at most, or one row."""
-    offsets = tokens.offsets.to_numpy()
+def _texts(column: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The texts of a string column one after another, and where each ends; bytes that aren't UTF-8 count as U+FFFD."""
+    values = column.cast(pa.binary()).to_pylist()
+    raw = b"".join(values)
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        values = [v.decode("utf-8", "replace").encode() for v in values]
+        raw = b"".join(values)
+    return raw, np.cumsum(np.fromiter(map(len, values), np.int64, len(values)))
+
+
+def split_texts(column: pa.Array, table: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pre-tokens (binary) of a column of texts, and how many each text has."""
+    raw, ends = _texts(column)
+    starts = pretokens.token_starts(raw, ends, table)
+    offsets = np.r_[starts, len(raw)].astype(np.int32)
+    places = np.searchsorted(starts, ends)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]), np.diff(np.r_[0, places])
+
+
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows with BLOCK_BYTES at most, or one row."""
+    end = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     row = 0
-    while row < len(tokens):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_TOKENS, "right")) - 1)
-        yield row, min(end, len(tokens))
-        row = end
+    while row < len(texts):
+        last = max(row + 1, int(np.searchsorted(end, (end[row - 1] if row else 0) + BLOCK_BYTES, "right")))
+        yield row, last
+        row = last
 
 
-def _split_blocks(buckets: int, kind: pa.DataType):
-    """Documents (doc_id, tokens) in; word rows and one stream row for each block out."""
+def _split_blocks(shared, buckets: int, kind: pa.DataType):
+    """Documents (doc_id, text) in; word rows and one stream row for each block out."""
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary()), ("classes", pa.binary()), ("docs", pa.list_(kind)), ("counts", pa.binary()), ("stream", pa.binary())])
 
+    def block_rows(block: int, part: pa.RecordBatch) -> pa.RecordBatch:
+        tokens, counts = split_texts(part.column(1), np.frombuffer(shared.value[1], np.uint8))
+        coded = tokens.dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words.to_pylist()), np.int64, len(words))
+        alphabetical = pc.sort_indices(words).to_numpy()
+        order = alphabetical[np.argsort(bucket[alphabetical], kind="stable")]
+        classes = frequency_classes(np.bincount(at, minlength=len(words))[order])
+        place = np.empty(len(words), np.uint32)
+        place[order] = numbering(classes)
+        stream = place[at] if len(words) else np.zeros(0, np.uint32)
+        size = np.bincount(bucket, minlength=buckets)
+        filled, words = np.flatnonzero(size), words.take(pa.array(order))
+        ends = np.cumsum(size)[filled]
+        lengths = pc.binary_length(words).to_numpy()
+        rows = {name: [None] for name in schema.names}
+        rows |= {"block": [block], "docs": [part.column(0).to_pylist()], "counts": [pack(counts)], "stream": [pack(stream, LEVEL)]}
+        for b, s, e in zip(filled.tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+            for name, value in (("block", block), ("bucket", b), ("words", zstandard.compress(b"".join(words.slice(s, e - s).to_pylist()), LEVEL)), ("lengths", pack(lengths[s:e])), ("classes", pack(classes[s:e])), ("docs", None), ("counts", None), ("stream", None)):
+                rows[name].append(value)
+        return pa.RecordBatch.from_pydict(rows, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             for row, end in _blocks(batch.column(1)):
-                part = batch.slice(row, end - row)
-                block, number = task << 32 | number, number + 1
-                coded = part.column(1).flatten().dictionary_encode()
-                words = coded.dictionary.cast(pa.binary())
-                bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words.to_pylist()), np.int64, len(words))
-                alphabetical = pc.sort_indices(words).to_numpy()
-                order = alphabetical[np.argsort(bucket[alphabetical], kind="stable")]
-                at = coded.indices.to_numpy()
-                classes = frequency_classes(np.bincount(at, minlength=len(words))[order])
-                place = np.empty(len(words), np.uint32)
-                place[order] = numbering(classes)
-                stream = place[at] if len(words) else np.zeros(0, np.uint32)
-                words, filled = words.take(pa.array(order)), np.flatnonzero(np.bincount(bucket, minlength=buckets))
-                ends = np.cumsum(np.bincount(bucket, minlength=buckets))[filled]
-                starts = np.r_[0, ends[:-1]]
-                lengths = pc.binary_length(words).to_numpy()
-                rows = {name: [None] for name in schema.names}
-                rows |= {"block": [block], "docs": [part.column(0).to_pylist()], "counts": [pack(np.diff(part.column(1).offsets.to_numpy()))], "stream": [pack(stream, LEVEL)]}
-                for b, s, e in zip(filled.tolist(), starts.tolist(), ends.tolist()):
-                    for name, value in (("block", block), ("bucket", b), ("words", zstandard.compress(b"".join(words.slice(s, e - s).to_pylist()), LEVEL)), ("lengths", pack(lengths[s:e])), ("classes", pack(classes[s:e])), ("docs", None), ("counts", None), ("stream", None)):
-                        rows[name].append(value)
-                yield pa.RecordBatch.from_pydict(rows, schema=schema)
+                yield block_rows(task << 32 | number, batch.slice(row, end - row))
+                number += 1
 
     return run
 
 
-def _encode_words(raw):
-    """Word rows in, their ids and the number of ids of each word out; a word is encoded when it first appears."""
+def _encode_words(shared):
+    """Word rows in the order of their buckets in, their ids and the number of ids of each word out; a bucket's word is encoded when it first appears."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = encoder(raw.value)._encode_single_piece, {}
+        encode, bucket, known = encoder(shared.value[0]).encode_ordinary, None, {}
         for batch in batches:
             ids, numbers = [], []
-            for data, lengths in zip(batch.column("words").to_pylist(), batch.column("lengths").to_pylist()):
+            for b, data, lengths in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), batch.column("lengths").to_pylist()):
+                if b != bucket:
+                    bucket, known = b, {}
                 data, end, found = zstandard.decompress(data), 0, []
                 for n in unpack(lengths).tolist():
                     start, end = end, end + n
                     word = data[start:end]
                     code = known.get(word)
                     if code is None:
-                        code = known[word] = tuple(encode(word))
+                        code = known[word] = tuple(encode(word.decode()))
                     found.append(code)
                 ids.append(pack(np.fromiter((i for code in found for i in code), np.uint32), LEVEL))
                 numbers.append(pack(np.fromiter(map(len, found), np.uint32, len(found))))
@@ -157,9 +188,8 @@ def _reassemble(kind: pa.DataType):
     """A block's stream and the ids of its words in; the ids of its documents out."""
     schema = pa.schema([("doc_id", kind), ("ids", pa.list_(pa.int32()))])
 
-    def run(table: pa.Table) -> pa.Table:
-        whole = table.filter(pc.is_valid(table["stream"]))
-        coded = table.filter(pc.is_valid(table["ids"])).sort_by("bucket")
+    def run(whole: pa.Table, coded: pa.Table) -> pa.Table:
+        coded = coded.sort_by("bucket")
         ids = np.concatenate([np.zeros(0, np.uint32), *map(unpack, coded["ids"].to_pylist())]).astype(np.int32)
         numbers = np.concatenate([np.zeros(0, np.uint32), *map(unpack, coded["numbers"].to_pylist())]).astype(np.int64)
         order = numbering(np.concatenate([np.zeros(0, np.uint32), *map(unpack, coded["classes"].to_pylist())]))
@@ -189,17 +219,19 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     an empty result. Special tokens are ordinary text. Other columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
-    raw = spark.sparkContext.broadcast(vocabulary(path))
-    buckets = max(BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    source = docs.select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(text_of(text_col), F.lit("(?U)" + pattern()), F.lit(0)).alias("tokens"))
+    pattern()
+    shared = spark.sparkContext.broadcast((vocabulary(path), pretokens.code_points().tobytes()))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS, 4 * parts)
+    source = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kind = to_arrow_type(id_type)
-    pieces = materialise(source.mapInArrow(_split_blocks(buckets, kind), f"block long, bucket int, words binary, lengths binary, classes binary, docs array<{id_type.simpleString()}>, counts binary, stream binary"))
-    coded = pieces.where("words is not null").select("block", "bucket", "words", "lengths", "classes").repartition("bucket").mapInArrow(_encode_words(raw), "block long, bucket int, classes binary, ids binary, numbers binary")
-    both = pieces.where("stream is not null").select("block", "docs", "counts", "stream").unionByName(coded, allowMissingColumns=True)
-    return both.groupBy("block").applyInArrow(_reassemble(kind), f"doc_id {id_type.simpleString()}, ids array<int>")
+    pieces = source.mapInArrow(_split_blocks(shared, buckets, kind), f"block long, bucket int, words binary, lengths binary, classes binary, docs array<{id_type.simpleString()}>, counts binary, stream binary")
+    pieces = bucketed(pieces, parts, "block")
+    words = pieces.where("words is not null").select("block", "bucket", "words", "lengths", "classes").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    coded = words.mapInArrow(_encode_words(shared), "block long, bucket int, classes binary, ids binary, numbers binary")
+    streams = pieces.where("stream is not null").select("block", "docs", "counts", "stream")
+    return streams.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_reassemble(kind), f"doc_id {id_type.simpleString()}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BUCKET_ROWS = 4096
 
 _scratch: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,8 +60,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, buckets: int, key: str) -> DataFrame:
+    """Like :func:`materialise`, as a table in ``buckets`` buckets by ``key``: what groups or joins it by the key need not shuffle it."""
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    _tables.append((spark, name))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def release() -> None:
     """Delete every scratch table that this process has written; results that read them must be written first."""
+    while _tables:
+        spark, name = _tables.pop()
+        try:
+            spark.sql(f"drop table if exists {name}")
+        except Exception:  # the session may have ended
+            break
     while _scratch:
         spark, path = _scratch.pop()
         try:

@@ -6,12 +6,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, exact_dedup, feistel, gray_index, licenses, mixing, piecewise, quality, sharding, simhash, toxicity, warc
+from tessella.llm import bpe, exact_dedup, feistel, gray_index, licenses, mixing, piecewise, pretokens, quality, sharding, simhash, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -163,6 +165,39 @@ def test_bpe_as_the_library_does(docs, rows, empty):
     assert bpe.encoding_digests(empty).count() == 0
 
 
+def test_pretokens_of_every_code_point():
+    enc = tiktoken.Encoding("own", pat_str=bpe.pattern(), mergeable_ranks=bpe.ranks(bpe.vocabulary()), special_tokens={})
+    one, table, known = bpe.encoder(bpe.vocabulary()), pretokens.code_points(), {}
+    rng, signs = random.Random(1), ["'", "s", "t", "re", "ve", "l", "ll", "d", "m", " ", "  ", "\n", "\t", "a", "Z", "1", "²", "!", "''", "é", "\u2003", "\u3000", "日", "e", "r", "v", "\r\n", "😀"]
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)} {chr(c)}'s 1{chr(c)}'  {chr(c)}\n{chr(c)}'re" for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(20000)]
+    texts.append(" ".join(texts[-20000:]))
+    for k in range(0, len(texts), 200_000):
+        part = texts[k : k + 200_000]
+        words, counts = bpe.split_texts(pa.array(part), table)
+        words, at = words.to_pylist(), 0
+        for text, n in zip(part, counts.tolist()):
+            ids = []
+            for w in words[at : at + n]:
+                if w not in known:
+                    known[w] = one.encode_ordinary(w.decode())
+                ids += known[w]
+            assert ids == enc.encode_ordinary(text), repr(text[:60])
+            at += n
+
+
+@pytest.mark.parametrize("piece", [7, 40])
+def test_long_texts_are_cut_where_tokens_begin(monkeypatch, piece):
+    monkeypatch.setattr(pretokens, "PIECE", piece)
+    table, texts = pretokens.code_points(), ["it's a b  c d'll " * 9, "", "x" * 100, "é ü a b c"]
+    words, counts = bpe.split_texts(pa.array(texts), table)
+    assert counts.tolist() == [len(re_matches(t)) for t in texts] and words.to_pylist() == [w.encode() for t in texts for w in re_matches(t)]
+
+
+def re_matches(text):
+    return regex.findall(bpe.pattern(), text)
+
+
 def test_pack_round_trip():
     for values in ([], [0], [1, 70000, 2**32 - 1] * 9):
         assert bpe.unpack(bpe.pack(np.array(values))).tolist() == values
