@@ -6,10 +6,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from .common import DOCUMENT_COLUMNS, WORD, materialise, running_offsets, text_of, word_count
 from .feistel import permute
@@ -19,6 +18,8 @@ SHARE = 1.5
 MOST = 2
 #: Words of a block. Output shards at least, and slots that a shard has at most in a large mix.
 BLOCK, SHARDS, SHARD_SLOTS = 32, 64, 1 << 20
+#: Slots that a task makes, about, and at a time.
+TASK_SLOTS, PIECE = 1 << 19, 1 << 16
 SEED = 7
 #: A source whose whole blocks miss its target by a larger share has shorter ones. Added to a source's key for each turn.
 NEAR, TURN_KEY = 0.05, 0x1_0000_0001
@@ -45,24 +46,35 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return s.select("source", "rank", "source_size", F.when(F.col("capped"), cap).otherwise(first_open.getField("here") * weight).alias("target"))
 
 
-def draw_counts(left: np.ndarray, shards: int, seed: int) -> Iterator[np.ndarray]:
-    """For each output shard, multinomial counts of the sources; what a source has been given lowers its later chances.
+def draw(left: np.ndarray, slots: int, rng: np.random.Generator) -> np.ndarray:
+    """Multinomial counts of the sources for ``slots`` slots, with chances by the slots that each has left, none above these.
 
-    The chances of a shard are the slots that the sources still lack, so the sums end near the targets and never
-    exceed them; a draw beyond what a source lacks is drawn again among the others.
+    What a draw gives a source beyond what it has left is drawn again among the others.
     """
-    rng = np.random.default_rng(seed)
-    left = left.astype(np.int64).copy()
-    for k in range(shards):
-        lacking = int(left.sum() // (shards - k))
-        counts = np.zeros_like(left)
-        while lacking > 0:
-            rest = left - counts
-            take = np.minimum(rng.multinomial(lacking, rest / rest.sum()), rest)
-            counts += take
-            lacking -= int(take.sum())
-        left -= counts
-        yield counts
+    counts = np.zeros_like(left)
+    while slots > 0:
+        rest = left - counts
+        take = np.minimum(rng.multinomial(slots, rest / rest.sum()), rest)
+        counts += take
+        slots -= int(take.sum())
+    return counts
+
+
+def shard_counts(want: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, counts) of the sources in an output shard: the slots before it and in it.
+
+    The shards are halved again and again; at each step a draw, which its place and the seed fix, deals the slots out to
+    the two halves. So any task finds the counts of its shards alone, all agree, and the sums are the sources' slots.
+    """
+    first, counts, low, high = np.zeros_like(want), want.copy(), 0, shards
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = draw(counts, int(counts.sum()) * (middle - low) // (high - low), np.random.default_rng([seed, low, high]))
+        if shard < middle:
+            counts, high = left, middle
+        else:
+            first, counts, low = first + left, counts - left, middle
+    return first, counts
 
 
 def choose_slots(size: np.ndarray, target: np.ndarray, key: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,28 +101,39 @@ def choose_slots(size: np.ndarray, target: np.ndarray, key: np.ndarray, block: i
     return blocks, slots
 
 
-def mix_plan(sources: DataFrame, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The block of each source (rank, block), and its slots in each output shard: (rank, blocks, key, shard, first, slots), first counting the source's earlier slots."""
-    table = sources.orderBy("rank").collect()  # one row per source
+def mix_slots(sources: DataFrame, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The block of each source (rank, block), and the slots of all output shards: (rank, index, turn, shard), index the block that is drawn.
+
+    One row per source passes the driver. Each task draws the counts of its shards and permutes their slots; every turn through
+    a source's blocks has a permutation of its own.
+    """
+    table = sources.orderBy("rank").collect()
     spark = sources.sparkSession
     size, target = np.array([r.source_size for r in table], np.int64), np.array([r.target or 0 for r in table], float)
     keys = np.array([zlib.crc32((r.source if r.source is not None else "\0").encode()) + (seed << 32) for r in table], np.int64)
     length, want = choose_slots(size, target, keys, block)
-    shards = max(SHARDS, -(-int(want.sum()) // SHARD_SLOTS))
-    first, rows = np.zeros(len(table), np.int64), []
-    for k, counts in enumerate(draw_counts(want, shards, seed)):
-        for i in np.flatnonzero(counts):
-            rows.append((table[i]["rank"], int(-(-size[i] // length[i])), int(keys[i]), k, int(first[i]), int(counts[i])))
-        first += counts
-    lengths = spark.createDataFrame([(r["rank"], int(b)) for r, b in zip(table, length)], "rank int, block long")
-    return lengths, spark.createDataFrame(rows, "rank int, blocks long, key long, shard int, first long, slots long")
-
-
-@F.pandas_udf(LongType())
-def _image(slot: pd.Series, blocks: pd.Series, key: pd.Series) -> pd.Series:
-    """Block of a slot: each turn through a source's blocks has a permutation of its own."""
-    turn = slot // blocks
-    return pd.Series(permute((slot - turn * blocks).to_numpy(), blocks.to_numpy(), (key + turn * TURN_KEY).to_numpy()))
+    rank, blocks = np.array([r["rank"] for r in table], np.int32), -(-size // np.maximum(length, 1))
+    total = int(want.sum())
+    shards = max(SHARDS, -(-total // SHARD_SLOTS))
+    shared = spark.sparkContext.broadcast((rank, blocks, keys, want))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, blocks, keys, want = shared.value
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                first, counts = shard_counts(want, shards, shard, seed)
+                end = np.cumsum(counts)
+                for k in range(0, int(end[-1]) if end.size else 0, PIECE):
+                    place = np.arange(k, min(k + PIECE, int(end[-1])))
+                    source = np.searchsorted(end, place, "right")
+                    slot = first[source] + place - (end - counts)[source]
+                    turn = slot // blocks[source]
+                    index = permute(slot - turn * blocks[source], blocks[source], keys[source] + turn * TURN_KEY)
+                    yield pa.RecordBatch.from_arrays([pa.array(rank[source]), pa.array(index), pa.array(turn.astype(np.int32)), pa.array(np.full(place.size, shard, np.int32))], ["rank", "index", "turn", "shard"])
+
+    tasks = min(shards, max(spark.sparkContext.defaultParallelism, -(-total // TASK_SLOTS)))
+    lengths = spark.createDataFrame([(int(r), int(b)) for r, b in zip(rank, length)], "rank int, block long")
+    return lengths, spark.range(0, shards, 1, tasks).mapInArrow(run, "rank int, index long, turn int, shard int")
 
 
 def mix_blocks(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -126,16 +149,14 @@ def mix_blocks(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: st
     targets = materialise(source_targets(counted.groupBy("source").agg(F.sum("weight").alias("source_size"))))
     placed = running_offsets(counted, "weight", ["source"], ["doc_id", "text_sha256", "size"], "at").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     placed = placed.select("doc_id", "text_sha256", "source", "size", "copy", (F.col("at") + F.col("copy") * F.col("size")).alias("at"))
-    lengths, plan = mix_plan(targets, block, seed)
+    lengths, slots = mix_slots(targets, block, seed)
     named = targets.join(lengths, "rank").select(F.col("source").alias("target_source"), "rank", "source_size", "target", "block")
     placed = materialise(placed.join(named, F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source"))
     end = F.col("at") + F.col("size")
     parts = placed.where("size > 0").select("rank", "at", "size", "block", F.explode(F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((end - 1) / F.col("block")))).alias("index"))
     low, high = F.greatest("at", F.col("index") * F.col("block")), F.least(end, (F.col("index") + 1) * F.col("block"))
     parts = parts.select("rank", "at", "index", (low - F.col("at")).cast("int").alias("start"), (high - low).cast("int").alias("words"))
-    slots = plan.repartition(F.col("shard"), F.col("rank")).withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("slots") - 1)))
-    slots = slots.select("rank", _image("slot", "blocks", "key").alias("index"), F.floor(F.col("slot") / F.col("blocks")).cast("int").alias("turn"), "shard")
-    # Merge: Spark takes the slots for as few as the plan's rows that they come from, and would broadcast them.
+    # Merge: Spark can't tell how many slots the tasks make of their few rows, and might broadcast them.
     return placed, parts.hint("merge").join(slots.hint("merge"), ["rank", "index"]).drop("index")
 
 
