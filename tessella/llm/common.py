@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A key is heavy if it holds at least one row in so many; at most so many keys can be, which bounds what is broadcast.
+HEAVY_ONE_IN = 1024
 #: Rows that one bucket of :func:`running_offsets` holds on average in a large table.
 BUCKET_ROWS = 4096
 
@@ -97,13 +99,30 @@ def row_key(id_col: str, digest: Column) -> Column:
 
 
 def keep_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key is in ``kept`` (column ``_key``), one row for each key, with all their columns."""
-    own, number = "__tessella_key", "__tessella_number"
-    once = Window.partitionBy(own).orderBy(F.lit(0))
-    found = docs.withColumn(own, key).join(kept.withColumnRenamed("_key", own), own, "left_semi")
+    """The rows of ``docs`` whose key is in ``kept`` (column ``_key``, each once), one row for each key, with all their columns.
+
+    Of several rows with one key the one that a hash of its columns puts first stays, so that reruns agree.
+    """
+    own, number, mark = "__tessella_key", "__tessella_number", "__tessella_mark"
+    plain = [F.col(f"`{c}`").cast("string") if "map" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
+    once = Window.partitionBy(own).orderBy(mark)
+    found = docs.withColumn(own, key).withColumn(mark, F.xxhash64(*plain)).join(kept.withColumnRenamed("_key", own), own, "left_semi")
     return found.withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).select(*docs.columns)
 
 
+def heavy_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, one_in: int = HEAVY_ONE_IN) -> DataFrame:
+    """``rows`` inner-joined by ``key`` with ``table``, which has each key once and in ``count`` how many rows have it; ``count`` is dropped.
+
+    Keys that hold at least 1/``one_in`` of ``total`` rows are broadcast and meet their rows where these are read; the
+    other rows are shuffled, and no key of theirs fills a task.
+    """
+    heavy = F.col(count) * one_in >= F.lit(total)
+    hot, cold = table.where(heavy).drop(count), table.where(~heavy).drop(count)
+    many = rows.join(F.broadcast(hot), key)
+    few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return many.unionByName(few)
+
+
 def running_offsets(rows: DataFrame, weight: str, group: list[str], order: list[str], name: str = "offset") -> DataFrame:
     """Add ``name``: the sum of ``weight`` over the rows before each in its group, in an order that a hash of ``order`` fixes.
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep_rows, materialise, row_key, text_of
+from .common import HEAVY_ONE_IN, ascii_lower, keep_rows, materialise, row_key, text_of
 
-#: A digest is heavy if it holds at least one row in so many. At most so many digests can be, which bounds the broadcast.
-HEAVY_ONE_IN = 1024
 #: Counters of each Misra-Gries summary: several times HEAVY_ONE_IN, so that no heavy digest escapes it.
 COUNTERS = 16384
 #: First-level summaries, merged into one afterwards.
@@ -49,14 +47,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of ``docs`` are not looked at.
 
     Rows of heavy digests meet the broadcast winners (at most ``one_in``) where they are read; only the rest,
-    in which no digest holds more than 1/``one_in`` of the rows, are shuffled.
+    in which no digest holds more than 1/``one_in`` of the rows, are shuffled, once: groups are aggregated where they come
+    together, and their rows pass by the winners one at a time.
     """
     digests = materialise(docs.select(F.col(id_col).alias("doc_id"), text_digest(text_col).alias("text_sha256"), F.monotonically_increasing_id().alias("row_tag")))
     winners = materialise(heavy_digests(digests, one_in))
     heavy = digests.join(F.broadcast(winners), "text_sha256")
     light = digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-    group = Window.partitionBy("text_sha256")
-    light = light.withColumn("keep", F.max(F.struct("doc_id", "row_tag")).over(group)).withColumn("group_size", F.count("*").over(group))
+    light = light.repartition("text_sha256")
+    groups = light.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row_tag")).alias("keep"), F.count("*").alias("group_size"))
+    light = light.join(groups.hint("merge"), "text_sha256")
     return heavy.unionByName(light).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
