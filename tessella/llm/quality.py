@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import heavy_join, materialise, text_of
 from .linear import logistic
 
 #: Labelled rows that the classifier is fitted on at most, taken by a hash of their id.
@@ -90,8 +90,8 @@ def strength(groups: DataFrame, mean: str) -> float:
 
 
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """(site, path, site_posterior, path_posterior) and the corpus's mean, from rows (site, path, p)."""
-    paths = materialise(scored.groupBy("site", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss")))
+    """(group, n, site_posterior, path_posterior) and the corpus's mean, from rows (group, site, path, p); group names site and path."""
+    paths = materialise(scored.groupBy("group", "site", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss")))
     total = paths.agg(F.sum("s"), F.sum("n")).first()
     mean = min(max((total[0] or 0.5) / (total[1] or 1), 1e-6), 1 - 1e-6)
     sites = paths.groupBy("site").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).withColumn("prior", F.lit(mean))
@@ -99,22 +99,36 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     sites = materialise(sites.select("site", ((F.lit(k * mean) + F.col("s")) / (F.lit(k) + F.col("n"))).alias("site_posterior")))
     paths = paths.join(sites.withColumnRenamed("site", "_site"), F.col("site").eqNullSafe(F.col("_site"))).drop("_site")
     k = strength(paths, "site_posterior")
-    return materialise(paths.select("site", "path", "site_posterior", ((F.col("site_posterior") * k + F.col("s")) / (F.lit(k) + F.col("n"))).alias("path_posterior"))), mean
+    return materialise(paths.select("group", "n", "site_posterior", ((F.col("site_posterior") * k + F.col("s")) / (F.lit(k) + F.col("n"))).alias("path_posterior"))), mean
 
 
-def judged(docs: DataFrame, labels: DataFrame, site: Column | None = None, path: Column | None = None, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with columns _site, _path, _evidence, _site_posterior, _path_posterior, _score and _keep."""
-    site = F.col("source") if site is None else site
-    path = F.col("lang") if path is None else path
-    odds = log_odds(*fit(docs, labels, sample))
-    one = docs.select(*docs.columns, site.alias("_site"), path.alias("_path"), odds(text_of("text")).alias("_odds"))
+def group_key(site: str, path: str) -> Column:
+    """One name for a site and a path within it; null is a site (path) of its own."""
+    return F.concat_ws("|", F.coalesce(F.length(site).cast("string"), F.lit("null")), F.col(path).isNull().cast("string"), site, path)
+
+
+def judged(odds: DataFrame) -> DataFrame:
+    """``odds`` (_row, _site, _path, _odds) with evidence, site_posterior, path_posterior, score and keep, with a leading underscore.
+
+    The classifier has read each text once; rows of hot sites meet their posteriors in a broadcast join.
+    """
+    rows = materialise(odds.withColumn("_group", group_key("_site", "_path")))
     p = 1 / (1 + F.exp(-F.col("_odds")))
-    posteriors, mean = site_posteriors(docs.select(site.alias("site"), path.alias("path"), odds(text_of("text")).alias("_odds")).select("site", "path", p.alias("p")))
-    posteriors = posteriors.select(F.col("site").alias("_s"), F.col("path").alias("_p"), F.col("site_posterior").alias("_site_posterior"), F.col("path_posterior").alias("_path_posterior"))
-    found = one.join(posteriors, F.col("_site").eqNullSafe(F.col("_s")) & F.col("_path").eqNullSafe(F.col("_p"))).drop("_s", "_p")
+    posteriors, mean = site_posteriors(rows.select(F.col("_group").alias("group"), F.col("_site").alias("site"), F.col("_path").alias("path"), p.alias("p")))
+    posteriors = posteriors.select(*[F.col(c).alias(f"_{c}") for c in posteriors.columns])
+    found = heavy_join(rows, posteriors, "_group", "_n", rows.count())
     q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("_path_posterior")))
     total = F.col("_odds") + F.log(q / (1 - q)) - float(np.log(mean / (1 - mean)))
-    return found.withColumn("_evidence", p).withColumn("_score", 1 / (1 + F.exp(-total))).withColumn("_keep", F.col("_score") >= THRESHOLD).drop("_odds")
+    found = found.withColumn("_evidence", p).withColumn("_score", 1 / (1 + F.exp(-total))).withColumn("_keep", F.col("_score") >= THRESHOLD)
+    return found.select("_row", "_site", "_path", "_evidence", "_site_posterior", "_path_posterior", "_score", "_keep")
+
+
+def with_odds(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, site: Column | None = None, path: Column | None = None, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` (all columns, unless given) as _row, their site (source, unless given), path (lang) and the classifier's log odds."""
+    score = log_odds(*fit(docs, labels, sample))
+    site, path = F.col("source") if site is None else site, F.col("lang") if path is None else path
+    row = F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("_row")
+    return docs.select(row, site.alias("_site"), path.alias("_path"), score(text_of("text")).alias("_odds"))
 
 
 def quality_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -125,10 +139,10 @@ def quality_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     repeated rows each count, and an empty table gives an empty result. Without labels the evidence is one half for all,
     and all are kept; with labels of one kind, it is that kind's. Other columns of ``docs`` are not looked at.
     """
-    rows = judged(docs.select("doc_id", "text", "lang", "source"), labels, sample=sample)
-    return rows.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("site", "path", "evidence", "site_posterior", "path_posterior", "score", "keep")])
+    rows = judged(with_odds(docs, labels, ["doc_id"], sample=sample))
+    return rows.select("_row.doc_id", *[F.col(f"_{c}").alias(c) for c in ("site", "path", "evidence", "site_posterior", "path_posterior", "score", "keep")])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    return judged(docs, labels).where("_keep").select(*docs.columns)
+    return judged(with_odds(docs, labels)).where("_keep").select("_row.*")
