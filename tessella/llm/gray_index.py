@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -23,10 +23,10 @@ from .common import materialise
 DISTANCE = 4
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 MASKS = [sum(((1 << n) - 1) << at for at, n in pair) for pair in combinations(BLOCKS, 2)]
-#: A top node with more fingerprints is cut into segments of about this many in Gray order, which are paired.
-SEGMENT = 2048
-#: Segments of a top node at most; beyond SEGMENT * CUTS fingerprints its segments grow instead.
-CUTS = 256
+#: A top node with more than twice as many fingerprints is cut into segments of so many in Gray order, which are paired by runs of WIDE.
+SEGMENT, WIDE = 2048, 64
+#: Large top nodes that are broadcast at most.
+BROADCAST = 10_000
 LEAF, FANOUT = 32, 8
 
 
@@ -150,6 +150,34 @@ def _run(rows: DataFrame) -> DataFrame:
     return rows.repartition("task").sortWithinPartitions("task", rank).select("task", "fp").mapInArrow(_link_batches, "u long, v long")
 
 
+def _segments(hot: DataFrame) -> DataFrame:
+    """(top, fp, seg) of rows (top, fp, rank): a top node's fingerprints in the order of their Gray rank, SEGMENT to a segment.
+
+    Rows are dealt by ranges and numbered within each; the few counts of ranges give where each begins.
+    """
+    n = hot.count()
+    dealt = materialise(hot.repartitionByRange(max(1, -(-n // (8 * SEGMENT))), "top", "rank").select("top", "fp", "rank", F.spark_partition_id().alias("range")))
+    before = Window.partitionBy("top").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("top", "range").agg(F.count("*").alias("n")).select("top", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    number = F.row_number().over(Window.partitionBy("top", "range").orderBy("rank")) - 1
+    placed = dealt.withColumn("number", number).join(counts, ["top", "range"])
+    return materialise(placed.select("top", "fp", F.floor((F.col("base") + F.col("number")) / SEGMENT).alias("seg")))
+
+
+def _near_segments(segments: DataFrame) -> DataFrame:
+    """(top, seg, seg2) of the pairs of segments of a top node whose shared bits differ in DISTANCE places at most.
+
+    Runs of WIDE segments are compared first, and only the segments of near runs after them.
+    """
+    apart = F.bit_count(F.expr("(ones & ~some2) | (ones2 & ~some)")) <= DISTANCE
+    wide = segments.groupBy("top", F.floor(F.col("seg") / WIDE).alias("run")).agg(F.bit_and("ones").alias("ones"), F.bit_or("some").alias("some"))
+    second = wide.select("top", F.col("run").alias("run2"), F.col("ones").alias("ones2"), F.col("some").alias("some2"))
+    runs = wide.join(second, "top").where((F.col("run") <= F.col("run2")) & apart).select("top", "run", "run2")
+    first = segments.withColumn("run", F.floor(F.col("seg") / WIDE))
+    second = first.select("top", F.col("run").alias("run2"), F.col("seg").alias("seg2"), F.col("ones").alias("ones2"), F.col("some").alias("some2"))
+    return runs.join(first, ["top", "run"]).join(second, ["top", "run2"]).where((F.col("seg") <= F.col("seg2")) & apart).select("top", "seg", "seg2")
+
+
 def gray_links(codes: DataFrame) -> DataFrame:
     """Links (u, v) that span the components of the distinct long column ``fp`` under DISTANCE or fewer differing bits."""
     trees = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("tree"), F.lit(signed(m)).alias("mask")) for k, m in enumerate(MASKS)])
@@ -157,14 +185,8 @@ def gray_links(codes: DataFrame) -> DataFrame:
     large = materialise(nodes.groupBy("top").agg(F.count("*").alias("n")).where(F.col("n") > 2 * SEGMENT))
     cold = _run(nodes.join(large, "top", "left_anti").select(F.col("top").alias("task"), "fp"))
 
-    hot = nodes.join(large, "top").withColumn("rank", gray_rank(F.col("fp")))
-    cuts = hot.groupBy("top").agg(F.max("n").alias("n"), F.percentile_approx("rank", [k / CUTS for k in range(1, CUTS)], 10000).alias("q"))
-    k = F.least(F.lit(CUTS), F.ceil(F.col("n") / SEGMENT)).cast("int")
-    cuts = materialise(cuts.select("top", F.transform(F.sequence(F.lit(1), k - 1), lambda i: F.element_at("q", F.floor(i * CUTS / k).cast("int"))).alias("cuts")))
-    rows = materialise(hot.join(cuts, "top").select("top", "fp", F.size(F.filter("cuts", lambda c: c < F.col("rank"))).alias("seg")))
-    segments = rows.groupBy("top", "seg").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("some"))
-    other = segments.select(F.col("top").alias("top2"), F.col("seg").alias("seg2"), F.col("ones").alias("ones2"), F.col("some").alias("some2"))
-    apart = F.bit_count(F.expr("(ones & ~some2) | (ones2 & ~some)"))
-    pairs = segments.join(other, (F.col("top") == F.col("top2")) & (F.col("seg") <= F.col("seg2"))).where(apart <= DISTANCE)
-    sides = pairs.select("top", F.xxhash64("top", "seg", "seg2").alias("task"), F.explode(F.array_distinct(F.array("seg", "seg2"))).alias("seg"))
+    hot = nodes.join(F.broadcast(large.drop("n")), "top") if large.count() <= BROADCAST else nodes.join(large.drop("n"), "top")
+    rows = _segments(hot.withColumn("rank", gray_rank(F.col("fp"))))
+    segments = materialise(rows.groupBy("top", "seg").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("some")))
+    sides = _near_segments(segments).select("top", F.xxhash64("top", "seg", "seg2").alias("task"), F.explode(F.array_distinct(F.array("seg", "seg2"))).alias("seg"))
     return cold.unionByName(_run(rows.join(sides, ["top", "seg"]).select("task", "fp")))

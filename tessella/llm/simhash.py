@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, materialise, row_key, text_of
+from .common import heavy_join, keep_rows, materialise, row_key, text_of
 from .components import components
 from .gray_index import gray_links
 
@@ -59,15 +59,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def simhash_components(prints: DataFrame) -> DataFrame:
-    """(fp, component_id, first_sha) for each distinct fingerprint of ``prints`` (doc_id, text_sha256, fp)."""
+    """(fp, n: how many rows have it, component_id, first_sha) for each distinct fingerprint of ``prints`` (doc_id, text_sha256, fp)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256")
-    classes = materialise(prints.groupBy("fp").agg(F.min(order).alias("first")))
+    classes = materialise(prints.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("n")))
     members = components(gray_links(classes.select("fp")))
-    named = members.join(classes, members["node"] == classes["fp"]).select("fp", "root", "first")
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
-    named = named.join(least, "root").select(F.col("fp").alias("member"), "least")
+    named = materialise(members.join(classes, members["node"] == classes["fp"]).select("fp", "root", "first"))
+    least = named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("members"))
+    named = heavy_join(named, materialise(least), "root", "members", named.count()).select(F.col("fp").alias("member"), "least")
     found = classes.join(named, F.col("fp") == F.col("member"), "left")
-    return materialise(found.select("fp", F.coalesce("least", "first").alias("first")).select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_sha256").alias("first_sha")))
+    return materialise(found.select("fp", "n", F.coalesce("least", "first").alias("first")).select("fp", "n", F.col("first.doc_id").alias("component_id"), F.col("first.text_sha256").alias("first_sha")))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,7 +80,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prints = materialise(fingerprints(docs, id_col, text_col))
     found = simhash_components(prints)
-    return prints.join(found.withColumnRenamed("fp", "fp2"), F.col("fp") == F.col("fp2")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return heavy_join(prints, found, "fp", "n", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
