@@ -96,24 +96,48 @@ def failure_category(message: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """A key that sorts as versions do: numbers by value and above text, and trailing zeros without weight."""
-    parts = F.split(F.lower(version), r"[._-]")
-    number = lambda p: p.rlike(r"^\d+$")
-    trimmed = F.regexp_replace(F.array_join(F.transform(parts, lambda p: F.when(number(p), F.concat(F.lit("1"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 20, "0"))).otherwise(F.concat(F.lit("0"), p))), " "), r"( 100000000000000000000)+$", "")
-    return trimmed
+    """A key that sorts as versions do: part by part, numbers by value and above text, parts that one lacks as zero; then by the text in any case.
+
+    As any version goes on with zeros, each part stands with the zeros before it: text after more zeros is later, a number after
+    more zeros earlier, and the end lies between the two.
+    """
+    parts = F.filter(F.split(F.lower(version), r"[._-]"), lambda p: F.trim(p) != "")
+    number = lambda p: F.when(p.rlike(r"^\d+$"), p.try_cast("long"))
+    part = lambda side, zeros, value, text: F.struct(side.alias("side"), zeros.alias("zeros"), value.alias("value"), text.alias("text"))
+    none = F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("zeros"), F.array().cast("array<struct<side:int,zeros:int,value:bigint,text:string>>").alias("out"))
+
+    def add(state: Column, p: Column) -> Column:
+        n, zeros = number(p), state["zeros"]
+        said = F.when(n.isNull(), part(F.lit(0), zeros, none, p)).otherwise(part(F.lit(2), -zeros, F.coalesce(n, none), F.lit("")))
+        zero = F.coalesce(n == 0, F.lit(False))
+        return F.struct(F.when(zero, zeros + 1).otherwise(0).alias("zeros"), F.when(zero, state["out"]).otherwise(F.concat(state["out"], F.array(said))).alias("out"))
+
+    end = F.array(part(F.lit(1), F.lit(0), none, F.lit("")))
+    return F.struct(F.concat(F.aggregate(parts, start, add)["out"], end).alias("parts"), F.lower(version).alias("raw"))
 
 
 def artifact_key(name: Column) -> Column:
     """A file name up to its version: what stands before the first hyphen that a digit follows."""
-    stem = F.regexp_replace(name, r"\.[A-Za-z]+$", "")
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
     return F.when(stem.rlike(r"-\d"), F.regexp_extract(stem, r"^(.*?)-\d", 1)).otherwise(stem)
 
 
 def artifact_version(name: Column) -> Column:
-    stem = F.regexp_replace(name, r"\.[A-Za-z]+$", "")
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
     return F.when(stem.rlike(r"-\d"), F.regexp_extract(stem, r"^.*?-(\d.*)$", 1)).otherwise("")
 
 
+def inferred_coordinates(name: Column) -> Column:
+    """STRUCT(group_id, artifact_id, version, packaging) of an archive's file name; without a version in it, a local one that is made up."""
+    packaging = F.lower(F.regexp_extract(name, r"\.([A-Za-z]+)$", 1))
+    version = artifact_version(name)
+    return F.struct(
+        F.lit("local.inferred").alias("group_id"), artifact_key(name).alias("artifact_id"), F.when(version == "", "0.0.0-local").otherwise(version).alias("version"),
+        F.when(packaging == "", "jar").otherwise(packaging).alias("packaging"),
+    )
+
+
 def first_matching_line(text: Column, hit) -> Column:
     """STRUCT(line, snippet) of the first line for which ``hit`` (of a column) holds, counted from 1; null if none."""
     lines = F.split(text, r"\R", -1)

@@ -1,43 +1,81 @@
-"""Control-flow graphs from an instruction relation (method, idx, op, target_idxs): blocks, edges and their rendering."""
+"""Control-flow graphs from an instruction relation (method, idx, op, kind, targets): blocks, edges and their rendering."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Opcodes that a block's label shows.
+SHOWN = 3
+
 
 def blocks(instructions: DataFrame) -> DataFrame:
-    """Instructions with their block: a method's first, a jump's target and what follows a jump or an end each start one.
+    """Instructions with their block: a method's first, a jump's or switch's targets and what follows it each start one.
 
-    Expects (method, idx, op, kind, targets) with kind one of jump, goto, switch, return, throw and plain.
+    Expects (method, idx, op, kind, targets) with kind one of jump, goto, switch, return, throw and plain; the first target of a switch is its default.
     """
     order = Window.partitionBy("method").orderBy("idx")
     led = instructions.select("method", F.explode("targets").alias("idx")).distinct().withColumn("_target", F.lit(True))
     marked = instructions.join(led, ["method", "idx"], "left").withColumn("_before", F.lag("kind").over(order))
-    leader = F.col("_before").isNull() | F.coalesce("_target", F.lit(False)) | (F.col("_before") != "plain")
+    leader = F.col("_before").isNull() | F.coalesce("_target", F.lit(False)) | F.col("_before").isin("jump", "goto", "switch")
     return marked.withColumn("block", F.sum(leader.cast("int")).over(order).cast("long") - 1).drop("_target", "_before")
 
 
 def edges(blocked: DataFrame) -> DataFrame:
-    """(method, from_block, to_block, kind) with one edge for each pair of blocks, jumps before falling through."""
+    """(method, from_block, to_block, kind) with one edge for each pair of blocks: jump before fallthrough, default before case."""
     last = blocked.groupBy("method", "block").agg(F.max(F.struct("idx", "kind", "targets")).alias("t"))
     at = blocked.select("method", "idx", F.col("block").alias("to_block"))
-    jumps = last.select("method", F.col("block").alias("from_block"), F.when(F.col("t.kind") == "switch", "case").otherwise("jump").alias("kind"), F.explode("t.targets").alias("idx")).join(at, ["method", "idx"]).select("method", "from_block", "to_block", "kind", F.lit(0).alias("ord"))
+    kind = F.when(F.col("tail") != "switch", "jump").when(F.col("place") == 0, "default").otherwise("case")
+    jumps = last.select("method", F.col("block").alias("from_block"), F.col("t.kind").alias("tail"), F.posexplode("t.targets").alias("place", "idx")).join(at, ["method", "idx"])
+    jumps = jumps.select("method", "from_block", "to_block", kind.alias("kind"), F.col("place").alias("ord"))
     following = blocked.groupBy("method").agg(F.max("block").alias("end"))
     falls = last.where(F.col("t.kind").isin("plain", "jump")).join(following, "method").where(F.col("block") < F.col("end")).select("method", F.col("block").alias("from_block"), (F.col("block") + 1).alias("to_block"), F.lit("fallthrough").alias("kind"), F.lit(1).alias("ord"))
     return jumps.unionByName(falls).groupBy("method", "from_block", "to_block").agg(F.min_by("kind", "ord").alias("kind"))
 
 
 def exception_edges(blocked: DataFrame, handlers: DataFrame) -> DataFrame:
-    """Edges of blocks that begin in [start, end) of a handler (method, start, end, handler, type) to the handler's block; finally if it has no type."""
-    first = blocked.groupBy("method", "block").agg(F.min("idx").alias("idx"))
-    to = blocked.select("method", F.col("idx").alias("handler"), F.col("block").alias("to_block"))
-    inside = first.join(handlers, "method").where((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("end")))
-    return inside.join(to, ["method", "handler"]).select("method", F.col("block").alias("from_block"), "to_block", F.coalesce("type", F.lit("finally")).alias("kind")).distinct()
-
-
-def mermaid(edge: DataFrame) -> DataFrame:
-    """(method, diagram): a method's edges in order, as Mermaid text."""
-    line = F.format_string("  b%d -->|%s| b%d", F.col("from_block"), F.col("kind"), F.col("to_block"))
-    rows = F.array_sort(F.collect_list(F.struct("from_block", "to_block", line.alias("line"))))
-    return edge.groupBy("method").agg(F.concat_ws("\n", F.lit("flowchart TD"), F.transform(rows, lambda r: r["line"])).alias("diagram"))
+    """Edges of the blocks from that of ``start`` up to the one before that of ``end`` (the last one, if nothing stands there) to the handler's block.
+
+    Expects (method, start, end, handler, type); kind is exception, or finally where the handler has no type.
+    """
+    where = blocked.select("method", "idx", "block")
+    place = lambda c: where.select("method", F.col("idx").alias(c), F.col("block").alias(f"_{c}"))
+    end = blocked.groupBy("method").agg(F.max("block").alias("_last"))
+    spans = handlers.join(place("start"), ["method", "start"]).join(place("handler"), ["method", "handler"]).join(place("end"), ["method", "end"], "left").join(end, "method")
+    stop = F.when(F.col("_end").isNull(), F.col("_last")).otherwise(F.greatest(F.col("_start"), F.col("_end") - 1))
+    kind = F.when(F.col("type").isNull(), "finally").otherwise("exception")
+    return spans.select("method", F.explode(F.sequence("_start", stop)).alias("from_block"), F.col("_handler").alias("to_block"), kind.alias("kind")).distinct()
+
+
+def all_edges(blocked: DataFrame, handlers: DataFrame) -> DataFrame:
+    """Edges of control flow and of exceptions; between two blocks only the first kind."""
+    both = edges(blocked).withColumn("ord", F.lit(0)).unionByName(exception_edges(blocked, handlers).withColumn("ord", F.when(F.col("kind") == "exception", 1).otherwise(2)))
+    return both.groupBy("method", "from_block", "to_block").agg(F.min_by("kind", "ord").alias("kind"))
+
+
+def labels(blocked: DataFrame) -> DataFrame:
+    """(method, block, label): the first SHOWN opcodes of a block with their places."""
+    ops = F.slice(F.array_sort(F.collect_list(F.struct("idx", F.col("op").cast("string").alias("op")))), 1, SHOWN)
+    return blocked.groupBy("method", "block").agg(F.array_join(F.transform(ops, lambda o: F.concat(o["idx"].cast("string"), F.lit(": "), o["op"])), "\\n").alias("label"))
+
+
+def _diagram(edge: DataFrame, label: DataFrame, head: str, node: str, arrow: str, tail: list[str]) -> DataFrame:
+    """(method, diagram): nodes and then edges, both in order, between the first and last lines."""
+    text = F.replace(F.col("label"), F.lit('"'), F.lit("'"))
+    nodes = label.groupBy("method").agg(F.array_sort(F.collect_list(F.struct("block", F.format_string(node, F.col("block"), text).alias("line")))).alias("nodes"))
+    line = F.format_string(arrow, F.col("from_block"), F.col("kind"), F.col("to_block"))
+    arrows = edge.groupBy("method").agg(F.array_sort(F.collect_list(F.struct("from_block", "to_block", line.alias("line")))).alias("arrows"))
+    lines = lambda c: F.coalesce(F.transform(c, lambda r: r["line"]), F.array().cast("array<string>"))
+    every = F.concat(F.array(F.lit(head)), lines("nodes"), lines("arrows"), F.array(*map(F.lit, tail)).cast("array<string>"))
+    return nodes.join(arrows, "method", "left").select("method", F.array_join(every, "\n").alias("diagram"))
+
+
+def mermaid(edge: DataFrame, label: DataFrame) -> DataFrame:
+    """(method, diagram) as Mermaid text."""
+    return _diagram(edge, label, "graph TD", '  B%d["%s"]', "  B%d -->|%s| B%d", [])
+
+
+def plantuml(edge: DataFrame, label: DataFrame) -> DataFrame:
+    """(method, diagram) as PlantUML text."""
+    swapped = edge.select("method", "from_block", "to_block", "kind")
+    return _diagram(swapped, label, "@startuml", 'state B%1$d as "%2$s"', "B%1$d --> B%3$d : %2$s", ["@enduml"])

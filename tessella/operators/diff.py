@@ -18,7 +18,7 @@ def compare_entries(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 def compare_lines(left: DataFrame, right: DataFrame, key: str, text: str) -> DataFrame:
     """Lines that differ by position in two texts of a key: (key, line from 1, left, right); a side that ends counts as empty."""
     def lines(df: DataFrame, name: str) -> DataFrame:
-        return df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n", -1)).alias("_pos", name))
+        return df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\R", -1)).alias("_pos", name))
 
     both = lines(left, "left").join(lines(right, "right"), [key, "_pos"], "full_outer")
     both = both.select(key, (F.col("_pos") + 1).cast("long").alias("line"), F.coalesce("left", F.lit("")).alias("left"), F.coalesce("right", F.lit("")).alias("right"))

@@ -41,15 +41,15 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that stand on neighbouring lines of an order, both in large quantities."""
-    line = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_partkey")
+    """Parts that stand on neighbouring lines of an order."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     following = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next"))
     pairs = line.join(following, ["l_orderkey", "l_linenumber"]).where("l_partkey <> next").select("l_partkey", "next").distinct()
     return pairs.select(F.lit("parts").alias("archive_path"), _id("P/", "l_partkey").alias("source_owner"), F.lit("run").alias("source_name"), F.lit("()V").alias("source_desc"), _id("P/", "next").alias("target_owner"), F.lit("run").alias("target_name"), F.lit("()V").alias("target_desc"))
 
 
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as methods and turns as instructions: every third turn jumps back two, every fifth is a switch on, every seventh ends."""
+    """Conversations as methods and turns as instructions: every third turn jumps back two, every fifth is a switch on (the first target its default), every seventh ends."""
     t = F.col("turn")
     last = F.max("turn").over(Window.partitionBy("conv_id"))
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("method"), t.alias("idx"), F.col("role").alias("op"), last.alias("last"))
@@ -71,26 +71,26 @@ calls AS (
   SELECT DISTINCT 'parts' AS archive_path, 'P/' || a.l_partkey AS source_owner, 'run' AS source_name, '()V' AS source_desc,
          'P/' || b.l_partkey AS target_owner, 'run' AS target_name, '()V' AS target_desc
   FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_quantity > 40 AND b.l_quantity > 40 AND a.l_partkey <> b.l_partkey),
+  WHERE a.l_partkey <> b.l_partkey),
 instructions AS (
   SELECT conv_id AS method, turn AS idx, role AS op,
          CASE WHEN turn % 3 = 2 AND turn >= 2 THEN 'jump' WHEN turn % 5 = 3 AND turn + 2 <= max(turn) OVER (PARTITION BY conv_id) THEN 'switch'
               WHEN turn % 7 = 6 THEN 'return' ELSE 'plain' END AS kind
   FROM conversations),
 targets AS (
-  SELECT method, idx, idx - 2 AS target, kind FROM instructions WHERE kind = 'jump'
-  UNION ALL SELECT method, idx, idx + 1, kind FROM instructions WHERE kind = 'switch'
-  UNION ALL SELECT method, idx, idx + 2, kind FROM instructions WHERE kind = 'switch'),
+  SELECT method, idx, idx - 2 AS target, 'jump' AS kind, 0 AS ord FROM instructions WHERE kind = 'jump'
+  UNION ALL SELECT method, idx, idx + 1, 'default', 0 FROM instructions WHERE kind = 'switch'
+  UNION ALL SELECT method, idx, idx + 2, 'case', 1 FROM instructions WHERE kind = 'switch'),
 marked AS (
   SELECT i.*, CASE WHEN lag(kind) OVER (PARTITION BY method ORDER BY idx) IS NULL
-                     OR lag(kind) OVER (PARTITION BY method ORDER BY idx) <> 'plain'
+                     OR lag(kind) OVER (PARTITION BY method ORDER BY idx) IN ('jump', 'goto', 'switch')
                      OR EXISTS (SELECT 1 FROM targets t WHERE t.method = i.method AND t.target = i.idx) THEN 1 ELSE 0 END AS leader
   FROM instructions i),
 blocked AS (SELECT method, idx, op, kind, CAST(sum(leader) OVER (PARTITION BY method ORDER BY idx) - 1 AS BIGINT) AS block FROM marked),
 tails AS (SELECT b.* FROM blocked b WHERE idx = (SELECT max(idx) FROM blocked c WHERE c.method = b.method AND c.block = b.block)),
 flow AS (
   SELECT method, from_block, to_block, arg_min(kind, ord) AS kind FROM (
-    SELECT t.method, t.block AS from_block, b.block AS to_block, CASE WHEN t.kind = 'switch' THEN 'case' ELSE 'jump' END AS kind, 0 AS ord
+    SELECT t.method, t.block AS from_block, b.block AS to_block, g.kind, g.ord
     FROM tails t JOIN targets g ON g.method = t.method AND g.idx = t.idx JOIN blocked b ON b.method = g.method AND b.idx = g.target
     UNION ALL
     SELECT t.method, t.block, t.block + 1, 'fallthrough', 1 FROM tails t

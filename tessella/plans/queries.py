@@ -189,17 +189,33 @@ def symbol_resolution(spark, sf_dir):
 # --- graphs ------------------------------------------------------------------------------------------
 
 
-def _bfs_sql(edges: str, root: str, depth: int, budget: int) -> str:
-    """Breadth-first levels written out: rank new nodes of each level by their first parent, then by name."""
+def _bfs_sql(edges: str, root: str, depth: int, budget: int, further: bool = False) -> str:
+    """Breadth-first levels written out: rank new nodes of each level by their first parent, then by name.
+
+    With ``further`` the root takes nothing of the budget, and one node beyond it is flagged.
+    """
     out = f", e AS ({edges}), l0 AS (SELECT {root} AS node, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, 0 AS seq)"
     seen = "SELECT node FROM l0"
     for d in range(1, depth + 1):
         out += f""", p{d} AS (SELECT e.dst, min(l.seq * 10 + e.ord) AS k FROM l{d - 1} l JOIN e ON e.src = l.node WHERE e.dst NOT IN ({seen}) GROUP BY e.dst),
         q{d} AS (SELECT dst, k, row_number() OVER (ORDER BY k, dst) + (SELECT max(seq) FROM l{d - 1}) AS seq FROM p{d}),
-        l{d} AS (SELECT q.dst AS node, l.node AS parent, {d} AS depth, q.seq FROM q{d} q JOIN l{d - 1} l ON l.seq = q.k // 10 WHERE q.seq < {budget})"""
+        l{d} AS (SELECT q.dst AS node, l.node AS parent, {d} AS depth, q.seq FROM q{d} q JOIN l{d - 1} l ON l.seq = q.k // 10 WHERE q.seq < {budget + 2 * further})"""
         seen += f" UNION ALL SELECT node FROM l{d}"
     every = " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(depth + 1))
-    return out + f", a AS ({every}) SELECT node, parent, depth, CAST(seq AS INTEGER) AS seq, (seq = max(seq) OVER () AND count(*) OVER () >= {budget}) AS truncated FROM a"
+    flag = f"seq > {budget}" if further else f"seq = max(seq) OVER () AND count(*) OVER () >= {budget}"
+    return out + f", a AS ({every}) SELECT node, parent, depth, CAST(seq AS INTEGER) AS seq, ({flag}) AS truncated FROM a WHERE seq <= {budget}" + " + 1" * further
+
+
+def _emitted_sql(edges: str, root: str, depth: int, budget: int) -> str:
+    """Levels in which every edge has a row; a node is searched from where it comes first."""
+    out = f", e AS ({edges}), r0 AS (SELECT {root} AS node, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, 0 AS seq), f0 AS (SELECT node, seq FROM r0)"
+    for d in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT node FROM f{k}" for k in range(d))
+        before = " UNION ALL ".join(f"SELECT seq FROM r{k}" for k in range(d))
+        out += f""", r{d} AS (SELECT e.dst AS node, f.node AS parent, {d} AS depth, (SELECT max(seq) FROM ({before})) + row_number() OVER (ORDER BY f.seq, e.dst) AS seq FROM f{d - 1} f JOIN e ON e.src = f.node),
+        f{d} AS (SELECT node, min(seq) AS seq FROM r{d} WHERE node NOT IN ({seen}) GROUP BY node)"""
+    every = " UNION ALL ".join(f"SELECT * FROM r{d}" for d in range(depth + 1))
+    return out + f", a AS ({every}) SELECT node, parent, depth, CAST(seq AS INTEGER) AS seq, seq > {budget} AS truncated FROM a WHERE seq <= {budget} + 1"
 
 
 _MOST_CALLS = "(SELECT source_owner FROM calls GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
@@ -234,25 +250,47 @@ def type_closure(spark, sf_dir):
     return graph.closure(e.select(F.col("child").alias("src"), F.col("parent").alias("dst")))
 
 
-@query(b.with_relations(_bfs_sql("SELECT internal_name AS src, super_name AS dst, 0 AS ord FROM classes WHERE super_name IS NOT NULL UNION SELECT owner, interface_name, 1 FROM interfaces", "'C/5'", 8, 256)))
+@query(b.with_relations(_bfs_sql("SELECT internal_name AS src, super_name AS dst, 0 AS ord FROM classes WHERE super_name IS NOT NULL UNION SELECT owner, interface_name, 1 FROM interfaces", "'C/5'", 8, 3, True)))
 def supertypes(spark, sf_dir):
-    """G7."""
-    return graph.supertypes(b.classes(spark, sf_dir), b.interfaces(spark, sf_dir), "C/5")
+    """The superclass, the interface and what they lead to, with a budget that just suffices."""
+    return graph.supertypes(b.classes(spark, sf_dir), b.interfaces(spark, sf_dir), "C/5", budget=graph.Budget(3))
+
+
+_DOWN = "SELECT super_name AS src, internal_name AS dst FROM classes WHERE super_name IS NOT NULL UNION ALL SELECT interface_name, owner FROM interfaces"
 
 
-@query(b.with_relations(_bfs_sql("SELECT super_name AS src, internal_name AS dst, 0 AS ord FROM classes WHERE super_name IS NOT NULL UNION SELECT interface_name, owner, 0 FROM interfaces", "'R/1'", 2, 40)))
+@query(b.with_relations(_emitted_sql(_DOWN, "'R/1'", 2, 40)))
 def subtypes(spark, sf_dir):
-    """G8, G9."""
+    """One more than the budget is there, flagged."""
     return graph.subtypes(b.classes(spark, sf_dir), b.interfaces(spark, sf_dir), "R/1", 2, graph.Budget(40))
 
 
-_BOTH = "SELECT internal_name AS src, super_name AS dst, 0 AS ord FROM classes WHERE super_name IS NOT NULL UNION SELECT super_name, internal_name, 0 FROM classes WHERE super_name IS NOT NULL UNION SELECT owner, interface_name, 0 FROM interfaces UNION SELECT interface_name, owner, 0 FROM interfaces"
+#: Types that two of their supertypes lead to: nations below regions, and below a root that regions have too.
+_DIAMOND = f"""{_DOWN} UNION ALL SELECT 'T', 'R/' || r_regionkey FROM region UNION ALL SELECT 'T', 'N/' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0
+UNION ALL SELECT 'R/' || r_regionkey, 'R/' || (r_regionkey + 1) FROM region WHERE r_regionkey < 4"""
 
 
-@query(b.with_relations(_bfs_sql(_BOTH, "'N/3'", 1, 256).replace("SELECT node, parent, depth, CAST", ", z AS (SELECT node, depth, CAST") + ") SELECT m.archive_path, m.owner, m.name, m.descriptor, z.depth FROM methods m JOIN z ON z.node = m.owner WHERE m.name = '1-URGENT'"))
+@query(b.with_relations(_emitted_sql(_DIAMOND, "'T'", 3, 60)))
+def subtypes_of_diamonds(spark, sf_dir):
+    """A type comes once for each edge that leads to it, and is searched from once."""
+    none = F.lit("geo")
+    region, nation = b.table(spark, sf_dir, "region"), b.table(spark, sf_dir, "nation")
+    name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    i = F.col("r_regionkey")
+    also = (
+        region.select(none.alias("archive_path"), name("R/", i).alias("owner"), F.lit("T").alias("interface_name"))
+        .union(nation.where("n_nationkey % 2 = 0").select(none, name("N/", F.col("n_nationkey")), F.lit("T")))
+        .union(region.where("r_regionkey < 4").select(none, name("R/", i + 1), name("R/", i)))
+    )
+    return graph.subtypes(b.classes(spark, sf_dir), b.interfaces(spark, sf_dir).unionByName(also), "T", 3, graph.Budget(60))
+
+
+@query(b.with_relations(f""", z AS (SELECT 'N/3' AS node, 0 AS depth UNION SELECT dst, 1 FROM ({_DOWN}) WHERE src = 'N/3' UNION SELECT src, 1 FROM ({_DOWN}) WHERE dst = 'N/3'),
+f AS (SELECT m.*, z.depth, row_number() OVER (ORDER BY z.depth, m.owner, m.archive_path, m.descriptor) AS r FROM methods m JOIN z ON z.node = m.owner WHERE m.name = '1-URGENT')
+SELECT archive_path, owner, name, descriptor, depth, r > 8 AS truncated FROM f WHERE r <= 9"""))
 def method_overrides(spark, sf_dir):
-    """G10, T12."""
-    return graph.method_overrides(b.classes(spark, sf_dir), b.interfaces(spark, sf_dir), b.methods(spark, sf_dir), "N/3", "1-URGENT", depth=1)
+    """G10, G11, T12."""
+    return graph.method_overrides(b.classes(spark, sf_dir), b.interfaces(spark, sf_dir), b.methods(spark, sf_dir), "N/3", "1-URGENT", depth=1, max_nodes=8)
 
 
 # --- control flow ------------------------------------------------------------------------------------
@@ -270,19 +308,43 @@ def cfg_edges(spark, sf_dir):
     return cfg.edges(cfg.blocks(b.instructions(spark, sf_dir)))
 
 
-@query(b.with_relations("""SELECT DISTINCT f.method, f.block AS from_block, h.block AS to_block, 'finally' AS kind
-FROM (SELECT method, block, min(idx) AS idx FROM blocked GROUP BY ALL) f JOIN (SELECT method, block, idx FROM blocked WHERE idx = 4) h ON h.method = f.method WHERE f.idx >= 0 AND f.idx < 3"""))
+@query(b.with_relations("""SELECT method, generate_series AS from_block, h AS to_block, 'exception' AS kind FROM (
+SELECT s.method, s.block AS a, greatest(s.block, coalesce(e.block - 1, (SELECT max(block) FROM blocked m WHERE m.method = s.method), s.block)) AS z, t.block AS h
+FROM blocked s JOIN blocked t ON t.method = s.method AND t.idx = 4 LEFT JOIN blocked e ON e.method = s.method AND e.idx = 7 WHERE s.idx = 1), generate_series(a, z)"""))
 def cfg_exceptions(spark, sf_dir):
-    """Blocks that begin in a guarded range, to the handler's block."""
+    """The blocks of a guarded range, or up to the method's last where its end is missing, to the handler's block."""
     blocked = cfg.blocks(b.instructions(spark, sf_dir))
-    handlers = blocked.select("method").distinct().select("method", F.lit(0).alias("start"), F.lit(3).alias("end"), F.lit(4).alias("handler"), F.lit(None).cast("string").alias("type"))
-    return cfg.exception_edges(blocked, handlers)
+    return cfg.exception_edges(blocked, _handlers(blocked, "x/E"))
+
+
+def _handlers(blocked, caught):
+    return blocked.select("method").distinct().select("method", F.lit(1).cast("long").alias("start"), F.lit(7).cast("long").alias("end"), F.lit(4).cast("long").alias("handler"), F.lit(caught).cast("string").alias("type"))
+
 
+_LABELS = """, lines AS (SELECT method, block, string_agg(idx || ': ' || op, '\\n' ORDER BY idx) FILTER (n <= 3) AS label FROM (SELECT *, row_number() OVER (PARTITION BY method, block ORDER BY idx) AS n FROM blocked) GROUP BY ALL)"""
 
-@query(b.with_relations("SELECT method, 'flowchart TD' || chr(10) || string_agg('  b' || from_block || ' -->|' || kind || '| b' || to_block, chr(10) ORDER BY from_block, to_block) AS diagram FROM flow GROUP BY method"))
+
+@query(b.with_relations(_LABELS + "SELECT method, block, label FROM lines"))
+def cfg_labels(spark, sf_dir):
+    """TX21: a block's first three operations."""
+    return cfg.labels(cfg.blocks(b.instructions(spark, sf_dir)))
+
+
+_NODES, _ARROWS = "(SELECT string_agg({}, chr(10) ORDER BY block) FROM lines n WHERE n.method = m.method)", "coalesce((SELECT chr(10) || string_agg({}, chr(10) ORDER BY from_block, to_block) FROM flow f WHERE f.method = m.method), '')"
+
+
+@query(b.with_relations(_LABELS + "SELECT method, 'graph TD' || chr(10) || " + _NODES.format("""'  B' || block || '["' || label || '"]'""") + " || " + _ARROWS.format("'  B' || from_block || ' -->|' || kind || '| B' || to_block") + " AS diagram FROM (SELECT DISTINCT method FROM blocked) m"))
 def cfg_mermaid(spark, sf_dir):
     """SK8, T20."""
-    return cfg.mermaid(cfg.edges(cfg.blocks(b.instructions(spark, sf_dir))))
+    blocked = cfg.blocks(b.instructions(spark, sf_dir))
+    return cfg.mermaid(cfg.edges(blocked), cfg.labels(blocked))
+
+
+@query(b.with_relations(_LABELS + "SELECT method, '@startuml' || chr(10) || " + _NODES.format("""'state B' || block || ' as "' || label || '"'""") + " || " + _ARROWS.format("'B' || from_block || ' --> B' || to_block || ' : ' || kind") + " || chr(10) || '@enduml' AS diagram FROM (SELECT DISTINCT method FROM blocked) m"))
+def cfg_plantuml(spark, sf_dir):
+    """SK8, T20."""
+    blocked = cfg.blocks(b.instructions(spark, sf_dir))
+    return cfg.plantuml(cfg.edges(blocked), cfg.labels(blocked))
 
 
 # --- differences -------------------------------------------------------------------------------------
@@ -312,7 +374,7 @@ def compare_summary(spark, sf_dir):
     return _sides(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("""WITH p AS (SELECT a.doc_id, string_split(a.text, chr(10)) AS l, string_split(b.text, chr(10)) AS r FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+@query("""WITH p AS (SELECT a.doc_id, regexp_split_to_array(a.text, '\\r\\n|[\\n\\x0B\\f\\r\\x{85}\\x{2028}\\x{2029}]') AS l, regexp_split_to_array(b.text, '\\r\\n|[\\n\\x0B\\f\\r\\x{85}\\x{2028}\\x{2029}]') AS r FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
 x AS (SELECT doc_id, unnest(range(1, greatest(len(l), len(r)) + 1)) AS line, l, r FROM p)
 SELECT doc_id, line, coalesce(l[line], '') AS "left", coalesce(r[line], '') AS "right" FROM x WHERE coalesce(l[line], '') <> coalesce(r[line], '')""")
 def compare_lines(spark, sf_dir):
@@ -364,15 +426,19 @@ def frames_resolved(spark, sf_dir):
 # --- versions, policy, reports -----------------------------------------------------------------------
 
 
-@query("""SELECT artifact, arg_max(p_partkey, (CAST(a AS BIGINT) * 10 + b) * 100000000 + p_partkey) AS p_partkey FROM (
-SELECT p_brand AS artifact, p_partkey, p_size AS a, p_partkey % 7 AS b FROM part) GROUP BY artifact""")
+_VERSIONS = ["2.0", "1.2-rc1", "1.2", "alpha", "1.2.0.1", "1.2-beta", "10", "1.10", "1.2.0-SNAPSHOT", "1", "1.0-SNAPSHOT", "1.2.0.0.1", "2"]
+#: The same in their order, as the rules give it by hand.
+_ORDERED = ["alpha", "1.0-SNAPSHOT", "1", "1.2-beta", "1.2-rc1", "1.2.0-SNAPSHOT", "1.2", "1.2.0.0.1", "1.2.0.1", "1.10", "2", "2.0", "10"]
+
+
+@query(f"""WITH v AS (SELECT p_brand AS artifact, p_partkey, [{', '.join(f"'{v}'" for v in _VERSIONS)}][p_partkey % 13 + 1] AS version FROM part)
+SELECT artifact, arg_max(version, k) AS newest, arg_min(version, k) AS oldest, count(*) AS n FROM (SELECT *, list_position([{', '.join(f"'{v}'" for v in _ORDERED)}], version) AS k FROM v) GROUP BY artifact""")
 def newest_versions(spark, sf_dir):
-    """Of each artifact the newest version, then the largest key."""
-    name = F.concat("p_brand", F.lit("-"), "p_size", F.lit("."), F.col("p_partkey") % 7, F.lit(".jar"))
-    plain = F.regexp_replace(name, "#", "_")
-    files = b.table(spark, sf_dir, "part").select("p_partkey", "p_brand", plain.alias("file"))
-    files = files.select("p_brand", "p_partkey", F.regexp_replace(F.element_at(F.split("file", "-"), -1), r"\.jar$", "").alias("version"))
-    return files.groupBy(F.col("p_brand").alias("artifact")).agg(F.max_by("p_partkey", F.struct(fn.version_key(F.col("version")), "p_partkey")).alias("p_partkey"))
+    """Of each artifact the newest and the oldest version; text, missing parts and numbers all take part."""
+    version = F.element_at(F.array(*map(F.lit, _VERSIONS)), (F.col("p_partkey") % 13 + 1).cast("int"))
+    files = b.table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("-"), version, F.lit(".jar")).alias("file"), "p_brand", version.alias("version"))
+    key = fn.version_key(F.col("version"))
+    return files.groupBy(F.col("p_brand").alias("artifact")).agg(F.max_by("version", key).alias("newest"), F.min_by("version", key).alias("oldest"), F.count("*").alias("n"))
 
 
 @query("""SELECT d.source AS engine, count(*) AS total, count_if(l.quality = 1) AS success, count_if(l.toxic = 1) AS patched, count_if(l.quality = 0) AS failed
@@ -485,13 +551,15 @@ def skeleton(spark, sf_dir):
     return head.groupBy("source").agg(F.concat_ws("\n", F.transform(rows, lambda r: r["line"])).alias("listing"))
 
 
-@query("""SELECT page_id, 'art-' || page_id AS artifact, '1.' || page_id AS version, CASE page_id % 3 WHEN 0 THEN 'jar' WHEN 1 THEN 'war' ELSE 'zip' END AS packaging FROM pages""")
+@query("""SELECT page_id, 'local.inferred' AS group_id, CASE page_id % 4 WHEN 0 THEN 'art-' || chr(CAST(97 + page_id % 26 AS INTEGER)) ELSE 'art' END AS artifact_id,
+CASE page_id % 4 WHEN 0 THEN '0.0.0-local' WHEN 1 THEN '1.' || page_id ELSE '2-beta' END AS version, CASE page_id % 3 WHEN 0 THEN 'jar' WHEN 1 THEN 'war' ELSE 'zip' END AS packaging FROM pages""")
 def file_coordinates(spark, sf_dir):
-    """TX12, TX13, T25, SC2, SC18: artifact, version and packaging of a file name."""
+    """TX12, TX13, T25, SC2, SC18: coordinates that a file name gives, a local version where it has none, and its packaging."""
     i = F.col("page_id")
-    name = F.concat(F.lit("art-"), i, F.lit("-1."), i, F.when(i % 3 == 0, ".jar").when(i % 3 == 1, ".WAR").otherwise(".zip"))
+    stem = F.when(i % 4 == 0, F.concat(F.lit("art-"), F.char(97 + i % 26))).when(i % 4 == 1, F.concat(F.lit("art-1."), i)).otherwise("art-2-beta")
+    name = F.concat(stem, F.when(i % 3 == 0, ".jar").when(i % 3 == 1, ".WAR").otherwise(".zip"))
     pages = b.table(spark, sf_dir, "pages").select("page_id", name.alias("file")).where(F.lower("file").rlike(fn.ARCHIVE))
-    return pages.select("page_id", F.concat(F.lit("art-"), F.regexp_extract("file", r"^art-(\d+)", 1)).alias("artifact"), F.regexp_extract("file", r"-(\d+\.\d+)\.", 1).alias("version"), F.lower(F.regexp_extract("file", r"\.([A-Za-z]+)$", 1)).alias("packaging"))
+    return pages.select("page_id", fn.inferred_coordinates(F.col("file")).alias("c")).select("page_id", "c.*")
 
 
 @query("SELECT doc_id, sha1(coalesce(text, '')) AS checksum, 'f' || doc_id || '.jar' AS file FROM documents")

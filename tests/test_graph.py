@@ -46,12 +46,49 @@ def test_random_graphs(spark, seed):
 
 
 def test_versions_sort_by_value(spark):
-    wanted = ["alpha", "1", "1.2-beta", "1.2", "1.10", "2.0", "10"]
-    df = spark.createDataFrame([(v,) for v in wanted], "v string")
-    got = [r.v for r in df.orderBy(fn.version_key(F.col("v"))).collect()]
-    assert got.index("1.2") < got.index("1.10") < got.index("2.0") < got.index("10") and got[0] == "alpha"
-    same = df.limit(1).select(fn.version_key(F.lit("2")).alias("a"), fn.version_key(F.lit("2.0")).alias("b")).first()
-    assert same.a == same.b
+    ordered = ["", "alpha", "1.0-SNAPSHOT", "1", "1.0.0.1", "1.2-beta", "1.2-rc1", "1.2-RC2", "1.2.0-SNAPSHOT", "1.2.0.0-x", "1.2", "1.2.0.0.1", "1.2.0.1", "1.10", "2.0", "10"]
+    shuffled = random.Random(3).sample(ordered[1:], len(ordered) - 1)
+    df = spark.createDataFrame([(v,) for v in shuffled], "v string")
+    assert [r.v for r in df.orderBy(fn.version_key(F.col("v"))).collect()] == ordered[1:]
+    same = df.limit(1).select(fn.version_key(F.lit("2")).alias("a"), fn.version_key(F.lit("2.0")).alias("b"), fn.version_key(F.lit("9" * 30)).alias("c")).first()
+    assert same.a.parts == same.b.parts and same.a.raw < same.b.raw  # equal parts: the text decides
+    assert same.c.parts[0].side == 0  # no number of that size
+
+
+def hierarchy(edges, root, depth, budget):
+    """Every edge of types in the order in which they are taken from a queue, each searched from once; one more than the budget is flagged."""
+    out, seen, queue = [], set(), [(root, 0)]
+    while queue:
+        node, level = queue.pop(0)
+        if node in seen or level >= depth:
+            seen.add(node)
+            continue
+        seen.add(node)
+        for child in sorted(b for a, b in edges if a == node and b != node):
+            if len(out) >= budget:
+                return [*out, (child, node, level + 1, True)]
+            out.append((child, node, level + 1, False))
+            queue.append((child, level + 1))
+    return out
+
+
+@pytest.mark.parametrize("budget", [4, 5, 6, 50])
+def test_hierarchies_with_diamonds(spark, budget):
+    edges = [("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("D", "E"), ("E", "A")]
+    df = spark.createDataFrame(edges, "src string, dst string").withColumn("ord", F.lit(0))
+    found = [(r.node, r.parent, r.depth, r.truncated) for r in graph.emitted(df, "A", 8, graph.Budget(budget)).orderBy("seq").collect()]
+    assert found[0] == ("A", None, 0, False) and found[1:] == hierarchy(edges, "A", 8, budget)
+    once = graph.bfs(df, "A", 8, graph.Budget(budget), further=True).orderBy("seq").collect()
+    assert [r.node for r in once] == list("ABCDE")[: budget + 2] and [r.truncated for r in once if r.truncated] == [True] * (budget < 4)
+    near = {r.node: r.depth for r in graph.within(df, "B", 2).collect()}
+    assert near == {"B": 0, "D": 1, "E": 2}
+
+
+def test_search_by_frontier(spark):
+    df = spark.createDataFrame([("a", "x|b"), ("b", "x|c"), ("b", "y|c")], "src string, dst string").withColumn("ord", F.lit(0))
+    step = lambda frontier: df.join(F.broadcast(frontier), "src")
+    found = graph.bfs(step, "x|a", 3, graph.Budget(9), name=lambda n: n.split("|")[1]).orderBy("seq").collect()
+    assert [(r.node, r.parent) for r in found] == [("x|a", None), ("x|b", "x|a"), ("x|c", "x|b"), ("y|c", "x|b")]
 
 
 def test_wildcards_are_literal_elsewhere(spark):
