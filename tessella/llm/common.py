@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -19,6 +20,7 @@ BUCKET_ROWS = 4096
 
 _scratch: list[tuple[SparkSession, str]] = []
 _tables: list[tuple[SparkSession, str]] = []
+_own: dict[int, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,14 +43,12 @@ def word_count(text: Column) -> Column:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``).
-
-    Only where the setting is absent, as in local tests, a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); only a local session, as in tests, may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own.get(id(spark))
     if not root:
-        root = tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own[id(spark)] = tempfile.mkdtemp(prefix="tessella-")
     path = f"{root.rstrip('/')}/tessella-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
     return path

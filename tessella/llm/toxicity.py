@@ -3,17 +3,20 @@
 The kernel compares words (or windows of long ones) by the ordered triples of letters that they have in common, gaps
 allowed: a triple that spans g letters more than three counts DECAY**g, up to GAP. An insult with letters put in or
 taken out still has most of its triples. A support vector machine is trained in the space that the kernel's values at a
-few landmark words span; because a triple is one of 32**3 features, its decision collapses into one weight
-for each triple. The margin of a sentence, and of a text, is the largest of its words.
-
-Labels say which texts are toxic, not which words. Words of the labelled sentences take their label from the share of
-toxic texts among those that hold them, if chance hardly gives such a share; clean texts' words that a model mistakes
-are counter-examples of the next. A logistic curve through the labelled texts' margins makes a score of a margin.
+few landmarks span; because a triple is one of CODES**3 features, its decision collapses into one weight
+for each triple. The margin of a sentence is the largest of its words, and that of a text the largest of its sentences.
+
+It is trained on labelled sentences. Those of clean texts are clean. Of a toxic text, the sentences that hold a word which chance
+hardly puts into so many toxic texts are toxic; which of the others are is not known. A sentence stands for its witness, the word that
+makes it what it is: of a toxic one first the most surprising word, of a clean one any. Then the model itself finds witnesses, over whole
+texts: clean texts' words that it mistakes, and words for which it takes toxic texts for toxic, train the next model. A logistic curve
+through the labelled texts' margins makes a score of a margin.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +32,11 @@ GAP, DECAY = 3, 0.6
 #: Letters of a window; words that are longer give windows that overlap by half.
 LETTERS = 24
 LANDMARKS = 320
-#: Labelled rows that the model is fitted on at most, taken by a hash of their id, and words of either kind.
-SAMPLE, WORDS = 20_000, 3_000
-#: Models fitted one after another, each with the clean texts' words that the one before mistook.
+#: Codes of letters: a-z have their own, any other character one of the rest by a hash.
+CODES = 48
+#: Labelled rows that the model is fitted on at most, taken by a hash of their id, and labelled sentences of either kind, by a hash of the sentence.
+SAMPLE, SENTENCES = 20_000, 5_000
+#: Models fitted one after another, each with the witnesses of the one before.
 ROUNDS = 4
 THRESHOLD = 0.3
 SEED = 6
@@ -39,24 +44,26 @@ _RUNS = re.compile(r"(.)\1{2,}", re.S)
 _SPANS = [(a, b) for b in range(2, GAP + 3) for a in range(1, b)]
 
 
-def letter_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (0 to 31, -1 beyond the end) of windows of words, and the word that each window belongs to.
+def plain(word: str) -> str:
+    """A word in lower case without the signs at its ends and marks on its letters; of a character many times in a row two stay."""
+    word = _RUNS.sub(r"\1\1", word.strip(".,;:!?\"'()[]{}<>*#$%&|-_/\\~`+=@^").lower())
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
 
-    a-z have codes of their own; other characters share the six that are left. Signs at a word's ends are cut off, and of a
-    character many times in a row two stay.
-    """
+
+def letter_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (-1 beyond the end) of windows of words, and the word that each window belongs to."""
     windows, owner = [], []
     for i, w in enumerate(words):
-        w = _RUNS.sub(r"\1\1", w.strip(".,;:!?\"'()[]{}<>*#$%&|-_/\\~`+=@^").lower())
+        w = plain(w)
         for k in range(0, max(1, len(w) - LETTERS // 2), LETTERS // 2):
             windows.append(w[k : k + LETTERS])
             owner.append(i)
     width = max(map(len, windows), default=0)
     codes = np.full((len(windows), width + GAP + 2), -1, np.int32)
     if width:
-        points = np.frombuffer("".join(x.ljust(width, "\0") for x in windows).encode("utf-32-le"), np.uint32).reshape(-1, width).astype(np.int32)
-        letter = (points >= 97) & (points <= 122)
-        codes[:, :width] = np.where(points == 0, -1, np.where(letter, points - 97, 26 + points % 6))
+        points = np.frombuffer("".join(x.ljust(width, "\0") for x in windows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, width)
+        other = 26 + (points * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(CODES - 26)
+        codes[:, :width] = np.where(points == 0, -1, np.where((points >= 97) & (points <= 122), points.astype(np.int32) - 97, other.astype(np.int32)))
     return codes, np.array(owner, np.int64)
 
 
@@ -65,7 +72,7 @@ def triples(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     width, out = codes.shape[1] - GAP - 2, []
     for a, b in _SPANS:
         x, y, z = codes[:, :width], codes[:, a : width + a], codes[:, b : width + b]
-        out.append((np.where(z >= 0, x << 10 | y << 5 | z, -1), np.where(z >= 0, DECAY ** (b - 2), 0.0)))
+        out.append((np.where(z >= 0, (x * CODES + y) * CODES + z, -1), np.where(z >= 0, DECAY ** (b - 2), 0.0)))
     return out
 
 
@@ -84,8 +91,8 @@ def scale(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def features(codes: np.ndarray) -> np.ndarray:
-    """The scaled feature vector (32**3) of one window."""
-    found, out = triples(codes), np.zeros(32**3)
+    """The scaled feature vector (CODES**3) of one window."""
+    found, out = triples(codes), np.zeros(CODES**3)
     for f, w in found:
         np.add.at(out, f[0], w[0])
     return out / scale(found)[0]
@@ -117,21 +124,23 @@ def fit_words(words: list[str], y: np.ndarray, weight: np.ndarray) -> tuple[np.n
     codes, owner = letter_codes(words)
     found = triples(codes)
     length, count = scale(found), min(LANDMARKS, len(codes))
-    factor, marks, chosen = np.zeros((len(codes), count)), np.zeros((count, 32**3)), []
+    factor, chosen = np.zeros((len(codes), count)), []
     rest = (length > 1e-3).astype(float)
     for k in range(count):
         i = int(np.argmax(rest * weight[owner]))
         if rest[i] < 1e-3:
             break
-        marks[k] = features(codes[i : i + 1])
-        column = project(found, marks[k]) / length - factor[:, :k] @ factor[i, :k]
+        column = project(found, features(codes[i : i + 1])) / length - factor[:, :k] @ factor[i, :k]
         factor[:, k] = column / np.sqrt(column[i])
         rest = np.maximum(0, rest - factor[:, k] ** 2)
         rest[i] = 0
         chosen.append(i)
-    factor, marks = factor[:, : len(chosen)], marks[: len(chosen)]
+    factor = factor[:, : len(chosen)]
     w = squared_hinge(factor, y[owner], weight[owner], ridge=0.02)
-    return marks.T @ np.linalg.solve(factor[chosen].T, w[:-1]), float(w[-1])
+    weights = np.zeros(CODES**3)
+    for i, share in zip(chosen, np.linalg.solve(factor[chosen].T, w[:-1])):
+        weights += share * features(codes[i : i + 1])
+    return weights.astype(np.float32), float(w[-1])
 
 
 def words_of(texts: pa.Array) -> tuple[pa.ListArray, list[str], np.ndarray]:
@@ -178,42 +187,48 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+def labelled_sentences(rows: DataFrame, base: float, sentences: int) -> tuple[list, list]:
+    """(word, n) of toxic and of clean labelled sentences of ``rows`` (toxic, text): their witnesses, and of how many sentences each is; ``sentences`` sentences of a kind at most."""
+    spoken = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).where("word <> ''")
+    counted = materialise(spoken.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")))
+    share, tests = F.col("bad") / F.col("n"), counted.count()
+    # The share's divergence from that of all texts, n times: the logarithm of how unlikely chance makes it.
+    part = lambda p, q: F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
+    counted = counted.withColumn("surprise", F.col("n") * (part(share, F.lit(base)) + part(1 - share, F.lit(1 - base))))
+    telling = counted.where((share > (1 + base) / 3) & (F.col("surprise") > float(np.log(2 * max(tests, 1))))).select("word", "surprise")
+    spoken = rows.select("toxic", F.explode(F.split(F.lower("text"), r"[.!?]+\s+|\n")).alias("sentence"))
+    spoken = spoken.select("toxic", "sentence", F.array_distinct(F.filter(F.split("sentence", r"\s+"), lambda w: w != "")).alias("words")).where(F.size("words") > 0)
+    toxic = spoken.where("toxic = 1").select("sentence", F.explode("words").alias("word")).join(telling, "word").groupBy("sentence").agg(F.max(F.struct("surprise", "word")).alias("top"))
+    clean = spoken.where("toxic = 0").select("sentence", F.element_at("words", (F.pmod(F.xxhash64("sentence"), F.size("words")) + 1).cast("int")).alias("word")).dropDuplicates(["sentence"])
+    chosen = lambda df, word: df.select("sentence", F.col(word).alias("word")).orderBy(F.xxhash64("sentence")).limit(sentences).groupBy("word").agg(F.count("*").alias("n")).orderBy("word").collect()
+    return chosen(toxic, "top.word"), chosen(clean, "word")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sentences: int = SENTENCES):
     """(weights, bias) of the words' margin and (slope, shift) of the score, from labelled rows that aren't held out."""
     spark = docs.sparkSession
     chosen = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id")).limit(sample)  # so many rows at most are broadcast
     rows = materialise(docs.select("doc_id", unspaced(text_of("text")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic", "text"))
     base, n = rows.agg(F.avg("toxic"), F.count("*")).first()
-    constant = (np.zeros(32**3), 0.0), (0.0, float(np.log((base or 0.1) / (1 - min(base or 0.1, 0.999)))))
+    constant = (np.zeros(CODES**3, np.float32), 0.0), (0.0, float(np.log((base or 0.1) / (1 - min(base or 0.1, 0.999)))))
     if not n or base in (0.0, 1.0):
         return constant
-    sentences = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).where("word <> ''")
-    counted = materialise(sentences.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where("n >= 2"))
-    share, tests = F.col("bad") / F.col("n"), counted.count()
-    # The share's divergence from that of all texts, n times: the logarithm of how unlikely chance makes it.
-    part = lambda p, q: F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
-    counted = counted.withColumn("share", share).withColumn("surprise", F.col("n") * (part(share, F.lit(base)) + part(1 - share, F.lit(1 - base))))
-    toxic = (F.col("share") > (1 + base) / 3) & (F.col("surprise") > float(np.log(2 * max(tests, 1))))
-    bad = counted.where(toxic).orderBy(F.desc("surprise"), "word").limit(WORDS).collect()
-    often = counted.where(~toxic & (F.col("share") < 0.4)).orderBy(F.desc("n"), "word").limit(WORDS // 2).collect()
-    any_ = counted.where(~toxic & (F.col("share") < 0.4)).orderBy(F.xxhash64("word")).limit(WORDS).collect()
-    good = list({r.word: r for r in [*often, *any_]}.values())
+    bad, good = labelled_sentences(rows, base, sentences)
     if not bad or not good:
         return constant
-    words = [r.word for r in [*bad, *good]]
-    y = np.r_[np.ones(len(bad)), -np.ones(len(good))]
-    trust = np.r_[[r.share * float(r.bad) for r in bad], np.full(len(good), 1.0)]
+    known = {r.word: (-1.0, float(r.n) ** 0.5) for r in good} | {r.word: (1.0, float(r.n)) for r in bad}
     for turn in range(ROUNDS):
+        words, (y, trust) = list(known), np.array(list(known.values())).T
         weight = np.minimum(trust * np.where(y > 0, 0.5 / trust[y > 0].sum(), 0.5 / trust[y < 0].sum()) * len(y), 50.0)
         model = fit_words(words, y, weight)
         shared = spark.sparkContext.broadcast(model)
         scored = _scored(rows.select("doc_id", "toxic", "text"), shared, "doc_id long, toxic int, margin double, word string").toPandas()  # ``sample`` rows at most
-        known = set(words)
-        wrong = sorted(set(scored[(scored.toxic == 0) & (scored.margin > -0.6)].word) - known)
-        if turn == ROUNDS - 1 or not wrong:
+        wrong = set(scored[(scored.toxic == 0) & (scored.margin > -0.6)].word) - {"", *known}
+        right = set(scored[(scored.toxic == 1) & (scored.margin > 0)].word) - {"", *known, *wrong}
+        if turn == ROUNDS - 1 or not wrong | right:
             break
-        words, y, trust = words + wrong, np.r_[y, -np.ones(len(wrong))], np.r_[trust, np.full(len(wrong), 2.0)]
+        known |= {w: (-1.0, 2.0) for w in sorted(wrong)} | {w: (1.0, 1.0) for w in sorted(right)}
     slope, shift = logistic(scored[["margin"]].to_numpy(), scored["toxic"].to_numpy().astype(float), ridge=0.1)
     return model, (float(slope), float(shift))
 
