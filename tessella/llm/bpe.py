@@ -32,7 +32,7 @@ from .common import bucketed, materialise, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: UTF-8 bytes of a block at most (a single longer document is a block of its own), and buckets at least.
-BLOCK_BYTES, BUCKETS = 16_000_000, 256
+BLOCK_BYTES, BUCKETS = 8_000_000, 256
 #: How hard what is shuffled is compressed.
 LEVEL = 9
 
