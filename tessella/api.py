@@ -6,25 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as fn
-from .operators import diff, graph, logs, paging, symbols
+from .functions.descriptors import display_type
+from .operators import cfg, diff, graph, logs, paging, symbols
+from .schemas import RELATIONS
 from .sources import archives
 from .sources.index import IndexStore
 
 
 class Scope:
-    """The archives at a path and their index. With ``build`` what is new or changed is indexed first; ``failures`` has what can't be read."""
+    """The archives at a path and their index. With ``build`` what is new or changed is indexed first; ``failures`` has what can't be read.
+
+    Several scopes may share an index; each sees its own archives only.
+    """
 
     def __init__(self, spark: SparkSession, path: str, index_path: str, recursive: bool = False, build: bool = True):
-        self.spark, self.path, self.recursive, self.store = spark, path, recursive, IndexStore(spark, index_path)
-        self.failures = self.store.refresh(path, recursive) if build else None
+        self.spark, self.path, self.recursive, self.store = spark, fn.checked_path(path), recursive, IndexStore(spark, fn.checked_path(index_path))
+        self.failures = self.store.refresh(self.path, recursive) if build else None
+        self.archives = archives.scope_inputs(spark, self.path, recursive)
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in ("classes", "interfaces", "fields", "methods", "strings", "calls", "field_refs", "type_refs", "resources"):
-            return self.store.read(name)
+        if name in RELATIONS:
+            return self.store.read(name, self.archives)
         raise AttributeError(name)
 
-    def search(self, query: str, kind: str = "all", mode: str = "plain", case_sensitive: bool = False, limit: int = 50, offset: int = 0, distinct: bool = False) -> DataFrame:
-        """Hits (kind, archive_path, owner, name, descriptor, text) of all kinds in a fixed order, paged as one, with the total."""
+    def search(self, query: str, kind: str = "all", mode: str = "plain", case_sensitive: bool = False, limit: int | None = 50, offset: int = 0, distinct: bool = False) -> DataFrame:
+        """Hits (kind, archive_path, owner, name, descriptor, text) of all kinds in a fixed order, paged as one, with the total; all of them where ``limit`` is None."""
         hit = lambda c: fn.match(c, query, mode, case_sensitive)
         none = F.lit(None).cast("string")
 
@@ -38,7 +44,7 @@ class Scope:
         line = fn.first_matching_line(F.col("text_content"), lambda x: hit(x))
         resources = self.resources.withColumn("_hit", line).where(hit("entry_path") | F.col("_hit").isNotNull())
         every = [
-            rows(1, "type", self.classes.where(hit("display_name") | hit("internal_name")), F.col("internal_name")),
+            rows(0, "module", self.modules.where(hit("module_name")), F.col("module_name")), rows(1, "type", self.classes.where(hit("display_name") | hit("internal_name")), F.col("internal_name")),
             rows(2, "field", self.fields.where(hit("name")), F.col("owner"), F.col("name"), F.col("descriptor")),
             rows(3, member_kind, self.methods.where(hit("name")), F.col("owner"), F.col("name"), F.col("descriptor")),
             rows(4, "string", strings, F.col("owner"), F.col("method_name"), F.col("descriptor"), F.col("text")),
@@ -47,22 +53,48 @@ class Scope:
         out = every[0]
         for df in every[1:]:
             out = out.unionByName(df)
-        wanted = {"type": ["type"], "field": ["field"], "method": ["method", "constructor"], "constructor": ["constructor"], "string": ["string"], "resource": ["resource"]}.get(kind)
+        wanted = {"module": ["module"], "type": ["type"], "field": ["field"], "method": ["method", "constructor"], "constructor": ["constructor"], "string": ["string"], "resource": ["resource"]}.get(kind)
         out = out if wanted is None else out.where(F.col("kind").isin(wanted))
-        return paging.with_total(paging.page(out, ["kind_ord", "archive_path", "owner", "name", "descriptor", "text"], offset, limit), out).drop("kind_ord")
+        order = ["kind_ord", "archive_path", "owner", "name", "descriptor", "text"]
+        return paging.with_total(paging.page(out, order, offset, limit, limit is None), out).drop("kind_ord")
+
+    def search_to(self, folder: str, query: str, **options) -> DataFrame:
+        """Write all hits of a search, whatever their number, as tab-separated text to ``folder``; returns the first twenty."""
+        hits = self.search(query, **{**options, "limit": None, "offset": 0})
+        line = F.concat_ws("\t", *[F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\t\r\n]", " ") for c in hits.columns if c != "total"])
+        hits.select(line.alias("value")).write.text(fn.checked_path(folder))
+        return hits.limit(20)
 
     def type_lookup(self, query: str, mode: str = "plain", case_sensitive: bool = False, limit: int = 50, offset: int = 0) -> DataFrame:
         found = self.classes.where(fn.match("display_name", query, mode, case_sensitive) | fn.match("internal_name", query, mode, case_sensitive)).select("archive_path", "internal_name", "display_name")
         return paging.with_total(paging.page(found, ["archive_path", "internal_name"], offset, limit), found)
 
+    def resolve_symbol(self, class_name: str, field: str | None = None, method: str | None = None, descriptor: str | None = None) -> DataFrame:
+        """Types, fields and methods (kind, archive_path, owner, name, descriptor, outcome) that a name may mean, and why it is not one where it isn't."""
+        owner, none = class_name.replace(".", "/"), F.lit(None).cast("string")
+        types = self.classes.where(F.col("internal_name") == owner)
+        n = types.agg(F.count("*").alias("_n"))
+        out = n.join(types, F.lit(True), "left").select(F.lit("type").alias("kind"), "archive_path", F.lit(owner).alias("owner"), none.alias("name"), none.alias("descriptor"), F.when(F.col("_n") > 0, "resolved").otherwise("class_not_found").alias("outcome"))
+        if field:
+            out = out.unionByName(symbols.resolve(self.fields, self.classes, owner, field, descriptor, "field", one=False))
+        if method:
+            out = out.unionByName(symbols.resolve(self.methods, self.classes, owner, method, descriptor, "method"))
+        return out
+
     def find_references(self, kind: str, owner: str, name: str | None = None, descriptor: str | None = None, max_nodes: int = 256) -> DataFrame:
-        """Mentions of a type, callers of a method (and of its declaration in direct parents), or accesses of a field."""
+        """Mentions of a type, callers of a method (and of its declaration in direct parents), or accesses of a field, in order, with one further row, flagged truncated, if there is one."""
         owner = owner.replace(".", "/")
         if kind == "type":
-            return self.type_refs.where(F.col("target_type") == owner).limit(max_nodes)
-        if kind == "field":
-            return self.field_refs.where((F.col("field_owner") == owner) & (F.col("field_name") == name)).limit(max_nodes)
-        return symbols.callers(self.calls, owner, name, descriptor, symbols.direct_parents(self.classes, self.interfaces, owner)).orderBy("ord", "archive_path", "source_owner", "source_name", "source_desc").limit(max_nodes)
+            found, order = self.type_refs.where(F.col("target_type") == owner), ["archive_path", "source_owner", "source_member_name", "source_member_desc", "kind"]
+        elif kind == "field":
+            found = self.field_refs.where((F.col("field_owner") == owner) & (F.col("field_name") == name))
+            found, order = found if not (descriptor or "").strip() else found.where(F.col("field_desc") == descriptor), ["archive_path", "source_owner", "source_name", "source_desc", "field_desc"]
+        elif kind == "method":
+            found = symbols.callers(self.calls, owner, name, descriptor, symbols.direct_parents(self.classes, self.interfaces, owner))
+            order = ["ord", "archive_path", "source_owner", "source_name", "source_desc"]
+        else:
+            raise ValueError(f"unsupported kind: {kind}")
+        return graph.first_and_further(found.distinct(), order, max_nodes)
 
     def type_hierarchy(self, name: str, depth: int = 8, max_nodes: int = 256) -> DataFrame:
         return graph.type_hierarchy(self.classes, self.interfaces, name.replace(".", "/"), depth, max_nodes)
@@ -71,29 +103,97 @@ class Scope:
         return graph.method_overrides(self.classes, self.interfaces, self.methods, owner.replace(".", "/"), name, descriptor, depth, max_nodes)
 
     def call_chain(self, owner: str, name: str, descriptor: str, direction: str = "callees", depth: int = 3, max_nodes: int = 128) -> DataFrame:
-        """Callees or callers by levels; nodes are ``owner#name`` with the descriptor."""
-        key = lambda side: F.concat(F.col(f"{side}_owner"), F.lit("#"), F.col(f"{side}_name"), F.col(f"{side}_desc"))
-        edges = symbols.callees(self.calls, self.methods, self.classes, self.interfaces)
-        a, b = ("source", "target") if direction == "callees" else ("target", "source")
-        return graph.bfs(edges.select(key(a).alias("src"), key(b).alias("dst"), F.when(F.col("via") == "call", 0).otherwise(1).alias("ord")).distinct(), f"{owner.replace('.', '/')}#{name}{descriptor}", depth, graph.Budget(max_nodes))
-
-    def resolve_stacktrace(self, text: str, max_frames: int = 200) -> DataFrame:
-        """Log lines by kind; frames with the number of archives and methods that they may mean."""
-        lines = self.spark.createDataFrame([(i, line) for i, line in enumerate(text.splitlines())], "n int, line string")
+        """Callees or callers by levels; nodes are ``owner#name`` with the descriptor, archive_path where they were found. ``both`` gives each, with a budget of its own."""
+        if direction == "both":
+            both = [self.call_chain(owner, name, descriptor, d, depth, max_nodes).withColumn("direction", F.lit(d)) for d in ("callers", "callees")]
+            return both[0].unionByName(both[1])
+        calls, methods, classes, interfaces = self.calls, self.methods, self.classes, self.interfaces
+        step = lambda f: symbols.frontier_callees(f, calls, methods, classes, interfaces) if direction == "callees" else symbols.frontier_callers(f, calls, classes, interfaces)
+        found = graph.bfs(step, f"{owner.replace('.', '/')}#{name}{descriptor}", max(1, depth), graph.Budget(max(1, max_nodes)), name=lambda n: n.rsplit("|", 1)[-1])
+        key = lambda c: F.substring_index(c, "|", -1)
+        return found.select(key("node").alias("node"), F.when(F.col("node").contains("|"), F.substring_index("node", "|", 1)).alias("archive_path"), key("parent").alias("parent"), "depth", "seq", "truncated")
+
+    def resolve_stacktrace(self, text: str | None = None, file: str | None = None, max_frames: int = 200) -> DataFrame:
+        """Log lines by kind, of a text or else of a file; frames with their candidates: archives that hold the class, each with the methods of the name. Frames after ``max_frames`` are flagged skipped."""
+        if text is None:
+            lines = self.spark.read.text(fn.checked_path(file), wholetext=True).select(F.posexplode(F.split("value", r"\R")).alias("n", "line"))
+        else:
+            lines = self.spark.createDataFrame([(i, line) for i, line in enumerate(text.splitlines())], "n int, line string")
         entries = logs.parse_lines(lines)
-        frames = paging.page(entries.where("kind = 'frame'"), ["n"], 0, max_frames)
-        found = logs.resolve_frames(frames.select("n", "class_name", "method_name"), self.classes, self.methods, ["n"])
-        return entries.where("kind is not null").join(found.select("n", "archives", "methods"), "n", "left").orderBy("n")
+        frames = entries.where("kind = 'frame'").select("n", "class_name", "method_name")
+        first = paging.page(frames, ["n"], 0, max_frames)
+        found = logs.frame_candidates(first, self.classes, self.methods, ["n"])
+        out = entries.where("kind is not null").join(found.select("n", "candidates"), "n", "left")
+        out = out.withColumn("skipped", (F.col("kind") == "frame") & F.col("candidates").isNull())
+        return out.withColumn("archives", F.size("candidates")).withColumn("methods", F.aggregate("candidates", F.lit(0), lambda a, c: a + F.size(c["methods"]))).orderBy("n")
+
+    def _facts(self, class_name: str) -> DataFrame:
+        return self.store.read("facts", self.archives).where(F.col("owner") == class_name.replace(".", "/"))
+
+    def class_metadata(self, class_name: str) -> DataFrame:
+        """Name, parent, flags, version, interfaces, annotations, fields and methods of a class, for each archive that has it."""
+        facts = self._facts(class_name)
+        flags = lambda: fn.flag_names(F.col("access"))
+        kind = lambda k: facts.where(F.col("kind") == k)
+        head = kind("class").select("archive_path", F.col("owner").alias("internal_name"), fn.display_name(F.col("owner")).alias("display_name"), F.col("name").alias("super_name"), "access", flags().alias("access_flags"), F.col("seq").alias("bytecode_version"))
+        marks = kind("annotation").groupBy("archive_path", "name", "descriptor").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda a: a["text"]).alias("annotations"))
+        listed = lambda df, name, *cols: df.groupBy("archive_path").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+        none = F.array().cast("array<string>")
+        interfaces = kind("interface").groupBy("archive_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda i: fn.display_name(i["name"])).alias("interfaces"))
+        typed = lambda k: kind(k).withColumn("type", display_type("descriptor"))
+        fields = listed(typed("field"), "fields", "name", "descriptor", "type", flags().alias("access_flags"))
+        methods = typed("method").join(marks, ["archive_path", "name", "descriptor"], "left").withColumn("annotations", F.coalesce("annotations", none))
+        methods = listed(methods, "methods", "name", "descriptor", F.concat("name", "type").alias("signature"), flags().alias("access_flags"), "annotations")
+        out = head.join(interfaces, "archive_path", "left").join(marks.where("name is null").select("archive_path", "annotations"), "archive_path", "left").join(fields, "archive_path", "left").join(methods, "archive_path", "left")
+        kinds = dict(out.dtypes)
+        return out.withColumns({c: F.coalesce(c, F.array().cast(kinds[c])) for c in ("interfaces", "annotations", "fields", "methods")})
+
+    def show_bytecode(self, class_name: str) -> DataFrame:
+        """A class's instructions in order: (archive_path, method, idx, opcode, operand, targets)."""
+        code = self._facts(class_name).where("kind = 'instruction'")
+        member = F.concat(F.col("ref_owner"), F.when(F.col("ref_name").isNotNull(), F.concat(F.lit("#"), "ref_name", "ref_desc")).otherwise(""))
+        operand = F.coalesce("text", F.when(F.col("ref_owner").isNotNull(), member).otherwise(F.concat("ref_name", "ref_desc")))
+        return code.select("archive_path", F.concat("name", "descriptor").alias("method"), F.col("seq").alias("idx"), "opcode", operand.alias("operand"), "targets").orderBy("archive_path", "method", "idx")
+
+    def show_cfg(self, class_name: str, method: str, descriptor: str | None = None, format: str = "mermaid") -> DataFrame:
+        """(method, diagram) of the control flow of a class's methods of a name, as mermaid or plantuml or both; a method without code is empty."""
+        facts = self._facts(class_name).where(F.col("name") == method)
+        facts = facts.where(F.col("descriptor") == descriptor) if (descriptor or "").strip() else facts
+        code, handlers = cfg.from_facts(facts)
+        blocked = cfg.blocks(code)
+        edges, label = cfg.all_edges(blocked, handlers), cfg.labels(blocked)
+        made = [render(edges, label) for name, render in (("mermaid", cfg.mermaid), ("plantuml", cfg.plantuml)) if format in (name, "both")] or [cfg.mermaid(edges, label)]
+        names = facts.where("kind = 'method'").select(F.concat("owner", F.lit("#"), "name", "descriptor").alias("method"))
+        out = names
+        for i, df in enumerate(made):
+            out = out.join(df.withColumnRenamed("diagram", f"_{i}"), "method", "left")
+        empty = {"plantuml": "@startuml\nstate Empty\n@enduml"}.get(format, 'graph TD\n  Empty["empty"]')
+        return out.select("method", F.coalesce(F.array_join(F.array_compact(F.array(*[F.col(f"_{i}") for i in range(len(made))])), "\n\n"), F.lit("")).alias("diagram")).withColumn("diagram", F.when(F.col("diagram") == "", empty).otherwise(F.col("diagram")))
 
     def list_classes(self, package: str = "", include_inner: bool = False, limit: int = 200, offset: int = 0) -> DataFrame:
         found = self.classes.where(F.col("display_name").startswith(package))
         found = found if include_inner else found.where(~F.col("internal_name").contains("$"))
         return paging.page(found, ["archive_path", "internal_name"], offset, limit, zero_is_all=True)
 
-    def list_dependencies(self) -> DataFrame:
-        return archives.coordinates(archives.read_archives(self.spark, self.path, self.recursive)[0]).orderBy("archive_path")
+    def list_dependencies(self, limit: int = 0, offset: int = 0) -> DataFrame:
+        """Coordinates of the archives that state any, a page of them or all where ``limit`` is 0."""
+        return paging.page(archives.coordinates(archives.read_archives(self.spark, self.path, self.recursive)[0]), ["archive_path"], offset, limit, zero_is_all=True)
+
+    def dependencies_to(self, folder: str, limit: int = 0, offset: int = 0) -> None:
+        """Write a page of the dependencies as text, one ``group:artifact:version`` a line."""
+        self.list_dependencies(limit, offset).select(F.concat_ws(":", "group_id", "artifact_id", "version").alias("value")).coalesce(1).write.text(fn.checked_path(folder))
+
+    def build_skeleton(self) -> DataFrame:
+        """(archive_path, group_id, artifact_id, version, packaging) of all archives: what their pom.properties state, else what their names do."""
+        given = archives.coordinates(archives.read_archives(self.spark, self.path, self.recursive)[0])
+        name = fn.inferred_coordinates(F.element_at(F.split("archive_path", "/"), -1))
+        every = self.archives.where("kind = 'archive'").select("archive_path", name.alias("c")).join(given, "archive_path", "left")
+        return every.select("archive_path", *[F.coalesce(c, F.col(f"c.{c}")).alias(c) for c in ("group_id", "artifact_id", "version")], "c.packaging")
 
     def compare(self, other: str) -> DataFrame:
-        """Entries of this scope's archives against those of the archives at ``other``, by entry path."""
-        side = lambda path: archives.read_archives(self.spark, path, self.recursive, nested=0)[0].select("entry", "size", "crc")
-        return diff.compare_entries(side(self.path), side(other), ["entry"])
+        """Entries of this scope's archive against those of the archive at ``other``; in folders, of archives of the same name."""
+        name = F.element_at(F.split("archive_path", "/"), -1)
+        single = lambda path: self.spark.read.format("binaryFile").option("recursiveFileLookup", str(self.recursive).lower()).load(path).where(F.lower("path").rlike(fn.ARCHIVE)).select("path").limit(2).count() == 1
+        alone = single(self.path) and single(other)
+        side = lambda path: archives.read_archives(self.spark, path, self.recursive, nested=0)[0].select((F.lit("") if alone else name).alias("archive"), "entry", "size", "crc")
+        return diff.compare_entries(side(self.path), side(other), ["archive", "entry"])

@@ -20,6 +20,27 @@ LITERAL_FAILURES = ("// INTERNAL ERROR", "Decompilation failed at line #")
 QUALIFIED = r"(?<![\w$/])(?:[A-Za-z_$][\w$]*\.)+[A-Za-z_$][\w$]*(?:\$[A-Za-z_$][\w$]*)*"
 
 
+#: Other names of decompilers, by the name that they have here.
+ENGINES = {
+    "auto": ("auto",), "jd-core-v1": ("jd-core", "jd-core-v1", "jdcore", "jd"), "jd-core-v0": ("jd-core-v0", "jdcore-v0", "v0"), "cfr": ("cfr",), "procyon": ("procyon",),
+    "fernflower": ("fernflower", "ff"), "vineflower": ("vineflower", "vf"), "jadx": ("jadx",),
+}
+
+
+def engine_name(requested: Column) -> Column:
+    """A decompiler's name for any name of it, in any case; auto where none is asked for, null for an unknown one."""
+    names = F.create_map(*[F.lit(x) for name, others in ENGINES.items() for other in others for x in (other, name)])
+    return F.when(requested.isNull() | (F.trim(requested) == ""), "auto").otherwise(F.try_element_at(names, F.lower(requested)))
+
+
+def checked_path(path: str) -> str:
+    """A path from outside without white space round it; ValueError if it is empty, has control characters or leads upwards."""
+    path = path.strip()
+    if not path or any(ord(c) < 32 or 127 <= ord(c) < 160 for c in path) or ".." in re.split(r"[/\\\\]", path):
+        raise ValueError(f"bad path: {path!r}")
+    return path
+
+
 def match(col: str | Column, query: str, mode: str = "plain", case_sensitive: bool = False) -> Column:
     """Whether a text holds ``query`` anywhere: ``plain`` as it stands, ``wildcard`` with * and ?, or ``regex``; other modes are plain."""
     col = F.col(col) if isinstance(col, str) else col

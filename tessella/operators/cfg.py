@@ -9,6 +9,21 @@ from pyspark.sql import functions as F
 SHOWN = 3
 
 
+def from_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(instructions, handlers) of class files' facts; method is ``owner#name`` and descriptor, op the opcode."""
+    method = F.concat("owner", F.lit("#"), "name", "descriptor")
+    op = F.col("opcode")
+    kind = (
+        F.when(op.isin(167, 200), "goto").when(op.between(153, 168) | op.isin(198, 199, 201), "jump").when(op.isin(170, 171), "switch")
+        .when(op.between(172, 177), "return").when(op == 191, "throw").otherwise("plain")
+    )
+    long = lambda c: F.col(c).cast("array<bigint>")
+    code = facts.where("kind = 'instruction'").select(method.alias("method"), F.col("seq").cast("long").alias("idx"), op.alias("op"), kind.alias("kind"), long("targets").alias("targets"))
+    at = long("targets")
+    handlers = facts.where("kind = 'handler'").select(method.alias("method"), at[0].alias("start"), at[1].alias("end"), at[2].alias("handler"), F.col("text").alias("type"))
+    return code, handlers
+
+
 def blocks(instructions: DataFrame) -> DataFrame:
     """Instructions with their block: a method's first, a jump's or switch's targets and what follows it each start one.
 

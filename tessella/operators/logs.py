@@ -43,3 +43,13 @@ def resolve_frames(frames: DataFrame, classes: DataFrame, methods: DataFrame, ke
     m = methods.select("archive_path", F.col("owner").alias("internal_name"), F.col("name").alias("method_name"), "descriptor")
     joined = f.join(c, "internal_name", "left").join(m, ["archive_path", "internal_name", "method_name"], "left")
     return joined.groupBy(*keys, "class_name", "method_name").agg(F.countDistinct("archive_path").alias("archives"), F.count("descriptor").alias("methods"))
+
+
+def frame_candidates(frames: DataFrame, classes: DataFrame, methods: DataFrame, keys: list[str]) -> DataFrame:
+    """Frames with candidates: for each archive that holds their class, the descriptors of the methods of their name; none for a frame whose class is nowhere."""
+    f = frames.withColumn("internal_name", F.translate("class_name", ".", "/"))
+    m = methods.select("archive_path", F.col("owner").alias("internal_name"), F.col("name").alias("method_name"), "descriptor")
+    joined = f.join(classes.select("archive_path", "internal_name"), "internal_name", "left").join(m, ["archive_path", "internal_name", "method_name"], "left")
+    each = joined.groupBy(*keys, "class_name", "method_name", "archive_path").agg(F.array_sort(F.collect_set("descriptor")).alias("methods"))
+    found = F.array_sort(F.collect_list(F.when(F.col("archive_path").isNotNull(), F.struct("archive_path", "methods"))))
+    return each.groupBy(*keys, "class_name", "method_name").agg(found.alias("candidates"))

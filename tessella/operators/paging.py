@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def page(df: DataFrame, order: list[str | Column], offset: int, limit: int, zero_is_all: bool = False) -> DataFrame:
+def page(df: DataFrame, order: list[str | Column], offset: int, limit: int | None, zero_is_all: bool = False) -> DataFrame:
     """Rows ``offset`` + 1 to ``offset`` + ``limit`` of an order: a top-k of each partition, then of these.
 
     A limit of zero or less gives no rows, or all of them where ``zero_is_all``.
     """
+    limit = limit or 0
     rows = df.orderBy(*order).offset(max(0, offset)) if limit <= 0 and zero_is_all else df.orderBy(*order).limit(max(0, offset) + max(0, limit)).offset(max(0, offset))
     return rows
 

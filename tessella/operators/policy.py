@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def class_entries(entries: DataFrame) -> DataFrame:
-    """Class entries (column entry) with internal_name and version: the release of META-INF/versions/N, else null."""
-    path = F.translate("entry", "\\", "/")
+    """Class entries (column entry) with internal_name and version: the release of META-INF/versions/N, else null; modules inside (``inner!/entry``) count as the archive's own."""
+    path = F.regexp_replace(F.translate("entry", "\\", "/"), r"^.*!/", "")
     versioned = r"^META-INF/versions/(\d+)/"
     out = entries.withColumn("version", F.when(path.rlike(versioned), F.regexp_extract(path, versioned, 1).cast("long")))
     bare = F.regexp_replace(F.regexp_replace(path, versioned, ""), r"^(BOOT-INF/classes/|WEB-INF/classes/|classes/)", "")

@@ -105,8 +105,42 @@ def instructions(code: bytes) -> Iterator[tuple[int, int, int, list[int]]]:
         at += 1 + n
 
 
+def _skip_value(body: bytes, at: int) -> int:
+    """Where an annotation's element value ends."""
+    tag, at = chr(body[at]), at + 1
+    u2 = lambda k: int.from_bytes(body[k : k + 2])
+    if tag == "e":
+        return at + 4
+    if tag == "@":
+        return _skip_annotation(body, at)
+    if tag == "[":
+        n, at = u2(at), at + 2
+        for _ in range(n):
+            at = _skip_value(body, at)
+        return at
+    return at + 2
+
+
+def _skip_annotation(body: bytes, at: int) -> int:
+    n, at = int.from_bytes(body[at + 2 : at + 4]), at + 4
+    for _ in range(n):
+        at = _skip_value(body, at + 2)
+    return at
+
+
+def annotations(c: ClassFile, attributes: list[tuple[str, bytes]]) -> Iterator[str]:
+    """Descriptors of the annotations among attributes, visible ones first."""
+    for wanted in ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations"):
+        for name, body in attributes:
+            if name == wanted:
+                at = 2
+                for _ in range(int.from_bytes(body[:2])):
+                    yield c.text(int.from_bytes(body[at : at + 2]))
+                    at = _skip_annotation(body, at)
+
+
 def facts(archive: str, entry: str, data: bytes) -> Iterator[tuple]:
-    """Rows (FACTS) of a class file: class, interface, field, method, instruction, handler and constant kinds."""
+    """Rows (FACTS) of a class file: class, module, interface, field, method, annotation, instruction, handler and constant kinds."""
     c = ClassFile(data)
     access, owner, parent = c.u2(), c.name(c.u2()), c.name(c.u2())
     row = lambda kind, name=None, desc=None, flags=None, seq=None, op=None, ref=(None, None, None), text=None, targets=None: (archive, entry, kind, owner, name, desc, flags, seq, op, *ref, text, targets)
@@ -118,7 +152,11 @@ def facts(archive: str, entry: str, data: bytes) -> Iterator[tuple]:
         for _ in range(c.u2()):
             flags, name, desc = c.u2(), c.text(c.u2()), c.text(c.u2())
             yield row(kind, name, desc, flags)
-            for attribute, body in c.attributes():
+            attributes = c.attributes()
+            if kind == "method":
+                for k, found in enumerate(annotations(c, attributes)):
+                    yield row("annotation", name, desc, seq=k, text=found)
+            for attribute, body in attributes:
                 if attribute == "ConstantValue" and c.pool[int.from_bytes(body)][0] == 8:
                     yield row("string", name, desc, text=c.name(int.from_bytes(body)))
                 elif attribute == "Exceptions":
@@ -126,7 +164,13 @@ def facts(archive: str, entry: str, data: bytes) -> Iterator[tuple]:
                         yield row("throws", name, desc, seq=k, text=c.name(int.from_bytes(body[2 + 2 * k : 4 + 2 * k])))
                 elif attribute == "Code":
                     handles.append((name + "\0" + desc, body))
-    bootstrap = {name: body for name, body in c.attributes()}.get("BootstrapMethods", b"\0\0")
+    attributes = c.attributes()
+    for k, found in enumerate(annotations(c, attributes)):
+        yield row("annotation", seq=k, text=found)
+    own = dict(attributes)
+    if "Module" in own:
+        yield row("module", c.name(int.from_bytes(own["Module"][:2])))
+    bootstrap = own.get("BootstrapMethods", b"\0\0")
     arguments, p = [], 2
     for _ in range(int.from_bytes(bootstrap[:2])):
         n = int.from_bytes(bootstrap[p + 2 : p + 4])

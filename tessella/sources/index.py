@@ -1,18 +1,19 @@
-"""Symbol relations from facts, and their store: Parquet by archive with a manifest that is written last."""
+"""Symbol relations from facts, and their store: Parquet by generation with a manifest that is written last."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import QUALIFIED, object_types, resource_type
 from ..operators.graph import closure, type_edges
 from ..operators.policy import class_entries, multi_release, refresh_plan
-from ..schemas import SCHEMA_VERSION
+from ..schemas import FACTS, FAILURES, RELATIONS, SCHEMA_VERSION
 from . import archives, classfile
 
 MAX_TEXT = 1_000_000
-RELATIONS = ("classes", "interfaces", "fields", "methods", "strings", "calls", "field_refs", "type_refs", "resources")
 _TYPE_KINDS = {187: "new", 189: "anewarray", 192: "checkcast", 193: "instanceof", 197: "multi-anewarray"}
 
 
@@ -21,10 +22,18 @@ def visible_classes(entries: DataFrame, release: int) -> DataFrame:
     return multi_release(class_entries(entries), release, "ord").select("archive_path", "entry")
 
 
+def entry_facts(entries: DataFrame, release: int = 25) -> DataFrame:
+    """FACTS of the classes that ``release`` reads."""
+    return classfile.class_facts(entries.join(visible_classes(entries, release), ["archive_path", "entry"], "left_semi"))
+
+
 def relations(entries: DataFrame, release: int = 25) -> dict[str, DataFrame]:
     """The symbol relations of archive entries."""
-    own = visible_classes(entries, release)
-    facts = classfile.class_facts(entries.join(own, ["archive_path", "entry"], "left_semi")).persist()
+    return relations_of(entry_facts(entries, release), resource_rows(entries))
+
+
+def relations_of(facts: DataFrame, resources: DataFrame) -> dict[str, DataFrame]:
+    """The symbol relations of facts and resources; ``facts`` are read many times and should be written before."""
     kind = lambda k: facts.where(F.col("kind") == k)
     code = kind("instruction")
     classes = kind("class").select("archive_path", F.col("owner").alias("internal_name"), F.translate("owner", "/", ".").alias("display_name"), F.col("name").alias("super_name"), F.col("access").alias("access_flags"), F.col("seq").alias("bytecode_version"))
@@ -39,13 +48,15 @@ def relations(entries: DataFrame, release: int = 25) -> dict[str, DataFrame]:
     text = code.where("ref_owner = 'string' and opcode in (18, 19)").select("archive_path", "owner", F.col("name").alias("method_name"), "descriptor", "text").unionByName(kind("string").select("archive_path", "owner", F.col("name").alias("method_name"), "descriptor", "text"))
     accessed = code.where("opcode between 178 and 181").select("archive_path", F.col("ref_owner").alias("field_owner"), F.col("ref_name").alias("field_name"), F.col("ref_desc").alias("field_desc"), *source)
     declared = fields.select("archive_path", F.col("owner").alias("field_owner"), F.col("name").alias("field_name"), F.col("descriptor").alias("field_desc"))
-    resources = resource_rows(entries)
+    missed = kind("failure").select("archive_path", F.substring_index("text", ":", 1).alias("error_type"), F.concat_ws(": ", "entry", "text").alias("message"))
     return {
         "classes": classes, "interfaces": interfaces, "fields": fields, "methods": methods, "strings": text,
         "calls": direct.unionByName(virtual).distinct(),
         # A reference counts where its owner declares the field in the same archive.
         "field_refs": accessed.join(declared, ["archive_path", "field_owner", "field_name", "field_desc"], "left_semi"),
         "type_refs": type_references(facts, resources, virtual), "resources": resources,
+        "modules": kind("module").select("archive_path", F.col("name").alias("module_name")), "failures": missed,
+        "annotations": kind("annotation").select("archive_path", "owner", "name", "descriptor", "seq", F.col("text").alias("annotation")),
     }
 
 
@@ -95,15 +106,24 @@ def type_references(facts: DataFrame, resources: DataFrame, virtual: DataFrame)
     return out.unionByName(cha).unionByName(found.select("archive_path", "source_owner", none.alias("source_member_name"), none.alias("source_member_desc"), F.translate("target", ".", "/").alias("target_type"), "kind"))
 
 
+def resource_text() -> Column:
+    """Text of up to a megabyte without a null byte, else null."""
+    small = (F.length("content") <= MAX_TEXT) & (F.position(F.lit(b"\0"), F.col("content")) == 0)
+    return F.when(small, F.decode("content", "UTF-8"))
+
+
 def resource_rows(entries: DataFrame) -> DataFrame:
-    """Resources of the kinds that are indexed; text of up to a megabyte without a null byte, else null."""
+    """Resources of the kinds that are indexed, with their text."""
     kind = resource_type(F.col("entry"))
-    small = (F.length("content") <= MAX_TEXT) & (F.position(F.lit(b"\0"), F.col("content")) == 0)
-    return entries.where(~F.col("entry").endswith(".class") & kind.isNotNull()).select("archive_path", F.col("entry").alias("entry_path"), kind.alias("resource_type"), F.when(small, F.decode("content", "UTF-8")).alias("text_content"))
+    return entries.where(~F.col("entry").endswith(".class") & kind.isNotNull()).select("archive_path", F.col("entry").alias("entry_path"), kind.alias("resource_type"), resource_text().alias("text_content"))
 
 
 class IndexStore:
-    """Symbol relations on disk: one folder for each relation and generation; the manifest names what is current."""
+    """Symbol relations on disk: one folder for each relation and generation; the manifest names what is current.
+
+    An attempt to index writes a generation of its own and names it in the manifest last. What an attempt leaves that ended before is in no
+    manifest and never read, and the next attempt does not add to it; :meth:`vacuum` deletes it.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -118,27 +138,79 @@ class IndexStore:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             every = self.spark.createDataFrame([], schema)
-        newest = F.max("generation").over(Window.partitionBy("archive_path"))
-        return every.where(F.col("version") == SCHEMA_VERSION).withColumn("_n", newest).where("generation = _n and fingerprint is not null").select("archive_path", "fingerprint", "generation")
+        last = every.groupBy("archive_path").agg(F.max(F.struct("generation", "fingerprint", "version")).alias("m")).select("archive_path", "m.*")
+        return last.where((F.col("version") == SCHEMA_VERSION) & F.col("fingerprint").isNotNull()).select("archive_path", "fingerprint", "generation")
+
+    def _write(self, name: str, df: DataFrame, generation: int) -> DataFrame:
+        rows = df.withColumn("generation", F.lit(generation).cast("long"))
+        rows.write.mode("append").partitionBy("generation").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}").where(F.col("generation") == generation).drop("generation")
 
     def refresh(self, scope: str, recursive: bool = False, release: int = 25) -> DataFrame:
-        """Index the archives of ``scope`` whose fingerprint is new or changed; returns the failures. Others are left as they are."""
-        now = archives.fingerprints(self.spark, scope, recursive)
-        plan = refresh_plan(now, self.manifest().select("archive_path", "fingerprint")).where("state <> 'current'").select("archive_path", "fingerprint").persist()
-        entries, failures = archives.read_archives(self.spark, scope, recursive)
-        stale = plan.select("archive_path")
-        outer = F.regexp_replace("archive_path", r"!/.*", "")
-        entries = entries.withColumn("_outer", outer).join(stale.withColumnRenamed("archive_path", "_outer"), "_outer", "left_semi").drop("_outer")
-        generation = (self.manifest().agg(F.max("generation")).first()[0] or 0) + 1
-        for name, df in relations(entries, release).items():
-            df.withColumn("generation", F.lit(generation).cast("long")).write.mode("append").partitionBy("generation").parquet(f"{self.path}/{name}")
-        bad = failures.join(stale, "archive_path", "left_semi")
-        done = plan.join(bad.select("archive_path"), "archive_path", "left_anti")
-        done.select("archive_path", "fingerprint", F.lit(generation).cast("long").alias("generation"), F.lit(SCHEMA_VERSION).alias("version")).write.mode("append").parquet(f"{self.path}/manifest")
-        return bad
-
-    def read(self, name: str) -> DataFrame:
-        """A relation's current rows: those that the newest generation of each archive has written."""
+        """Index the archives of ``scope`` whose fingerprint is new or changed, and forget those that are gone; returns what can't be read.
+
+        Only archives that are not current are opened. An archive that fails stays as it was in the index, and is tried again next time; a class
+        that fails is left out of its archive and listed with the failures.
+        """
+        generation = max(time.time_ns(), (self.manifest().agg(F.max("generation")).first()[0] or 0) + 1)
+        plan = refresh_plan(archives.fingerprints(self.spark, scope, recursive), self.manifest().select("archive_path", "fingerprint"))
+        plan = self._write("plan", plan.where("state <> 'current'"), generation)
+        stale = [r.archive_path for r in plan.select("archive_path").toLocalIterator()]  # names alone, as Spark's own listing of files has them
+        folder = archives.qualified(self.spark, scope)
+        every = archives.read_entries(self.spark, [p for p in stale if p != folder], True) if set(stale) - {folder} else None
+        if folder in stale and archives._status(self.spark, scope).isDirectory():
+            none = F.lit(None).cast("string")
+            own = archives.read_class_folder(self.spark, scope).withColumns({"error_type": none, "message": none})
+            every = own if every is None else every.unionByName(own)
+        gone = self.gone(scope, recursive)
+        if every is None:
+            self._name(gone.select("archive_path", F.lit(None).cast("string").alias("fingerprint")), generation)
+            return self.spark.createDataFrame([], FAILURES)
+        entries = every.where("error_type is null").drop("error_type", "message")
+        facts = self._write("facts", entry_facts(entries, release), generation)
+        # What isn't a class: resources, and failures of archives, in one more pass.
+        other = every.where(F.col("error_type").isNotNull() | ~F.col("entry").endswith(".class"))
+        other = other.select("archive_path", "entry", resource_type(F.col("entry")).alias("resource_type"), resource_text().alias("text_content"), "error_type", "message").where("error_type is not null or resource_type is not null")
+        other = self._write("others", other, generation)
+        resources = other.where("error_type is null").select("archive_path", F.col("entry").alias("entry_path"), "resource_type", "text_content")
+        found = relations_of(facts, resources)
+        made = {name: self._write(name, found[name].select(*[c.split()[0] for c in schema.split(", ")]), generation) for name, schema in RELATIONS.items()}
+        bad = other.where("error_type is not null").select("archive_path", "error_type", "message")
+        done = plan.join(bad, "archive_path", "left_anti").select("archive_path", "fingerprint")
+        self._name(done.unionByName(gone.select("archive_path", F.lit(None).cast("string").alias("fingerprint"))), generation)
+        return bad.unionByName(made["failures"])
+
+    def _name(self, rows: DataFrame, generation: int) -> None:
+        """Add (archive_path, fingerprint) to the manifest; a null fingerprint says that the archive is gone."""
+        rows.select("archive_path", "fingerprint", F.lit(generation).cast("long").alias("generation"), F.lit(SCHEMA_VERSION).alias("version")).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def gone(self, scope: str, recursive: bool = False) -> DataFrame:
+        """Archives of the manifest that stood in a folder ``scope`` and do so no longer."""
+        root = archives.qualified(self.spark, scope)
+        below = F.col("archive_path").startswith(root + "/")
+        if not recursive:
+            below = below & ~F.substring("archive_path", len(root) + 2, 1 << 20).contains("/")
+        now = archives.scope_inputs(self.spark, scope, recursive).select("archive_path")
+        return self.manifest().where(below | (F.col("archive_path") == root)).select("archive_path").join(now, "archive_path", "left_anti")
+
+    def read(self, name: str, scope: DataFrame | None = None) -> DataFrame:
+        """A relation's current rows, of all archives or of those of ``scope`` (archive_path): what the newest generation of each archive has written."""
         current = self.manifest().select(F.col("archive_path").alias("_outer"), "generation")
-        rows = self.spark.read.parquet(f"{self.path}/{name}").withColumn("_outer", F.regexp_replace("archive_path", r"!/.*", ""))
+        if scope is not None:
+            current = current.join(scope.select(F.col("archive_path").alias("_outer")).distinct(), "_outer", "left_semi")
+        schema = f"{FACTS if name == 'facts' else RELATIONS[name]}, generation long"
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}").withColumn("_outer", F.regexp_replace("archive_path", r"!/.*", ""))
         return rows.join(current, ["_outer", "generation"], "left_semi").drop("_outer", "generation")
+
+    def vacuum(self) -> list[str]:
+        """Delete the generations that no archive's newest rows are in; returns their folders. No other attempt may be under way."""
+        kept = {f"generation={r.generation}" for r in self.manifest().select("generation").distinct().toLocalIterator()}
+        jvm, removed = self.spark._jvm, []
+        for name in (*RELATIONS, "facts", "others", "plan"):
+            where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            system = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for status in system.listStatus(where) if system.exists(where) else []:
+                if status.isDirectory() and status.getPath().getName() not in kept:
+                    removed.append(status.getPath().toString())
+                    system.delete(status.getPath(), True)
+        return removed

@@ -11,7 +11,7 @@ from ..sources.index import IndexStore
 def watch(spark: SparkSession, folder: str, store: IndexStore, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Start a stream over the archives of ``folder``; each batch refreshes ``store``, which skips what it has by fingerprint.
 
-    A batch that is run again after a failure finds its archives current and does nothing.
+    A batch that is run again after a failure finds what was finished current; what was not is indexed anew, in a generation of its own.
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
 

@@ -154,14 +154,180 @@ def test_scope(spark, world):
     assert scope.type_lookup("demo.ch*d", "wildcard").first().internal_name == "demo/Child"
     assert {r.source_name for r in scope.find_references("method", "demo.Child", "value", "()I").collect()} >= {"run"}
     assert {r.node for r in scope.type_hierarchy("demo.Child").collect()} == {"demo/Child", "demo/Base", "java/lang/Runnable", "java/lang/Object"}
-    chain = scope.call_chain("demo.Main", "run", "(Ldemo/Base;)V")
-    assert {"demo/Main#helper()V", "demo/Child#run()V"} <= {r.node for r in chain.collect()}
-    trace = scope.resolve_stacktrace("java.lang.IllegalStateException\n\tat demo.Child.run(Child.java:1)\n\tat no.Such.x(Native Method)").collect()
-    assert [(r.kind, r.archives, r.methods) for r in trace] == [("header", None, None), ("frame", 1, 1), ("frame", 0, 0)]
+    chain = scope.call_chain("demo.Main", "run", "(Ldemo/Base;)V").collect()
+    assert {"demo/Main#helper()V", "demo/Child#run()V"} <= {r.node for r in chain} and all(r.archive_path.endswith("demo.jar") for r in chain if r.depth)
+    callers = scope.call_chain("demo.Child", "value", "()I", "callers", depth=1).collect()
+    assert {"demo/Child#run()V", "demo/Main#run(Ldemo/Base;)V"} <= {r.node for r in callers}
+    assert {r.direction for r in scope.call_chain("demo.Child", "run", "()V", "both").collect()} == {"callers", "callees"}
+    trace = scope.resolve_stacktrace("java.lang.IllegalStateException\n\tat demo.Child.run(Child.java:1)\n\tat no.Such.x(Native Method)\n\tat demo.Child.gone(Child.java:9)", max_frames=2).collect()
+    assert [(r.kind, r.archives, r.methods, r.skipped) for r in trace] == [("header", None, None, False), ("frame", 1, 1, False), ("frame", 0, 0, False), ("frame", None, None, True)]
+    assert trace[1].candidates[0].archive_path.endswith("demo.jar") and trace[1].candidates[0].methods == ["()V"]
+    (folder / "trace.txt").write_text("x.BadError\r\n\tat demo.Main.helper(Main.java:4)\r\n")
+    assert [r.methods for r in scope.resolve_stacktrace(file=str(folder / "trace.txt")).where("kind = 'frame'").collect()] == [1]
     assert scope.list_classes("demo.D").count() == 1
     assert {r.status for r in scope.compare(str(folder / "jars" / "demo.jar")).collect()} == {"unchanged"}
 
 
+def test_references_are_cut_in_order(spark, world):
+    from tessella.api import Scope
+
+    folder, store, _ = world
+    scope = Scope(spark, str(folder / "jars"), store.path, build=False)
+    every = scope.find_references("type", "demo.Child").collect()
+    some = scope.find_references("type", "demo.Child", max_nodes=2).collect()
+    assert len(every) > 3 and not any(r.truncated for r in every)
+    assert [r.truncated for r in some] == [False, False, True] and [r[:-1] for r in some] == [r[:-1] for r in every[:3]]
+    assert scope.find_references("field", "demo.Base", "n", "I").count() == 1 and scope.find_references("field", "demo.Base", "n", "J").count() == 0
+
+
+def test_whole_results_as_text(spark, world, tmp_path):
+    from tessella.api import Scope
+
+    folder, store, _ = world
+    scope = Scope(spark, str(folder / "jars"), store.path, build=False)
+    shown = scope.search_to(str(tmp_path / "hits"), "demo", limit=1)
+    assert len(spark.read.text(str(tmp_path / "hits")).collect()) == scope.search("demo", limit=None).count() >= shown.count() > 1
+    scope.dependencies_to(str(tmp_path / "deps"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "deps")).collect()] == ["g:a:1.2"]
+    with pytest.raises(ValueError):
+        scope.dependencies_to(f"{tmp_path}/../deps")
+
+
+@pytest.fixture(scope="module")
+def annotated(spark, tmp_path_factory):
+    """Overloads, annotations, a module, the same class in two archives, and a class file that can't be read."""
+    folder = tmp_path_factory.mktemp("two")
+    worker = """package demo; @Deprecated public class Worker { int n; public void run() {} @Deprecated public int run(String s) { return s == null ? 1 : 2; }
+        static Object type() throws Throwable { return String.class; } static int pick(int x) { switch (x) { case 1: return 5; case 2: return 6; default: return 7; } }
+        void guarded() { try { run(); } catch (IllegalStateException e) { n = 1; } finally { n = 2; } } }"""
+    build(folder, "left", {"module-info.java": "module demo.left { }", "demo/Worker.java": worker}, {"demo/Broken.class": b"\xca\xfe\xba\xbe\0\0\0\x34\0\x05\x63"})
+    build(folder, "right", {"demo/Worker.java": "package demo; public class Worker { public void run() {} }", "demo/Other.java": "package demo; class Other extends Worker {}"})
+    from tessella.api import Scope
+
+    both = Scope(spark, str(folder / "jars"), str(folder / "index"))
+    return folder, both
+
+
+def test_symbols_resolve_or_say_why(annotated):
+    _, scope = annotated
+    outcomes = lambda *a, **k: sorted((r.kind, r.descriptor or "", r.outcome) for r in scope.resolve_symbol("demo.Worker", *a, **k).collect() if r.kind != "type")
+    assert outcomes(method="run", descriptor="(Ljava/lang/String;)I") == [("method", "(Ljava/lang/String;)I", "resolved")]
+    assert [o[2] for o in outcomes(method="run")] == ["overload_ambiguous"] * 3
+    assert [o[2] for o in outcomes(method="run", descriptor="()V")] == ["source_ambiguous"] * 2
+    assert [o[1:] for o in outcomes(method="run", descriptor="(J)V")] == [("()V", "descriptor_mismatch"), ("()V", "descriptor_mismatch"), ("(Ljava/lang/String;)I", "descriptor_mismatch")]
+    assert outcomes(method="none") == [("method", "", "method_not_found")] and outcomes(method="none", descriptor="()V") == [("method", "", "descriptor_mismatch")]
+    assert outcomes(field="n") == [("field", "I", "resolved")] and outcomes(field="x") == [("field", "", "field_not_found")] and outcomes(field="n", descriptor="J") == [("field", "I", "descriptor_mismatch")]
+    assert [(r.kind, r.outcome) for r in scope.resolve_symbol("no.Such").collect()] == [("type", "class_not_found")]
+    assert len(scope.resolve_symbol("demo.Worker").collect()) == 2
+
+
+def test_class_metadata_and_modules(annotated):
+    _, scope = annotated
+    left = next(r for r in scope.class_metadata("demo.Worker").collect() if "left" in r.archive_path)
+    assert left.super_name == "java/lang/Object" and left.annotations == ["Ljava/lang/Deprecated;"] and "public" in left.access_flags
+    assert [(m.signature, m.annotations) for m in left.methods if m.name == "run"] == [("run(): void", []), ("run(java.lang.String): int", ["Ljava/lang/Deprecated;"])]
+    assert [(f.name, f.type) for f in left.fields] == [("n", "int")]
+    assert [r.module_name for r in scope.modules.collect()] == ["demo.left"]
+    assert [(r.kind, r.owner) for r in scope.search("demo.left", kind="module").collect()] == [("module", "demo.left")]
+    assert ("demo/Worker", "type", "java/lang/String") in {(r.source_owner, r.source_member_name, r.target_type) for r in scope.type_refs.where("kind = 'type-constant'").collect()}
+
+
+def test_a_class_that_fails_is_told(annotated):
+    _, scope = annotated
+    assert [("left.jar" in r.archive_path, r.message.startswith("demo/Broken.class")) for r in scope.failures.collect()] == [(True, True)]
+    assert scope.store.read("failures", scope.archives).count() == 1 and scope.classes.where("internal_name = 'demo/Worker'").count() == 2
+
+
+def test_control_flow_of_real_code(annotated):
+    _, scope = annotated
+    chart = scope.show_cfg("demo.Worker", "pick").collect()
+    assert len(chart) == 1 and chart[0].method == "demo/Worker#pick(I)I"
+    lines = chart[0].diagram.split("\n")
+    assert lines[0] == "graph TD" and lines[1].startswith('  B0["0: ') and sum("|case|" in x for x in lines) == 2 and sum("|default|" in x for x in lines) == 1
+    guarded = scope.show_cfg("demo.Worker", "guarded", format="both").first().diagram
+    assert "|exception|" in guarded and "|finally|" in guarded and "@startuml" in guarded and guarded.endswith("@enduml") and " : finally" in guarded
+    code = scope.show_bytecode("demo.Worker").where("method = 'guarded()V'").collect()
+    assert [r.idx for r in code[:3]] == [0, 1, 2] or len(code) > 5
+    assert any((r.operand or "").startswith("demo/Worker#run") for r in code)
+
+
+def test_scopes_share_an_index_but_not_archives(spark, annotated):
+    from tessella.api import Scope
+
+    folder, both = annotated
+    one = Scope(spark, str(folder / "jars" / "right.jar"), both.store.path)
+    assert both.classes.count() == 4 and {r.internal_name for r in one.classes.collect()} == {"demo/Worker", "demo/Other"}
+    assert one.failures.count() == 0
+
+
+def test_a_crash_before_the_manifest_leaves_no_rows_twice(spark, tmp_path, monkeypatch):
+    build(tmp_path, "x", {"x/A.java": "package x; class A { void f() {} }"})
+    store = IndexStore(spark, str(tmp_path / "index"))
+    named = IndexStore._name
+    monkeypatch.setattr(IndexStore, "_name", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.refresh(str(tmp_path / "jars"))
+    assert store.manifest().count() == 0 and store.read("classes").count() == 0
+    monkeypatch.setattr(IndexStore, "_name", named)
+    store.refresh(str(tmp_path / "jars"))
+    assert store.read("classes").count() == 1 and store.read("methods").where("name = 'f'").count() == 1
+    assert store.vacuum() and store.read("classes").count() == 1
+    (tmp_path / "jars" / "x.jar").unlink()
+    build(tmp_path, "y", {"y/B.java": "package y; class B {}"})
+    store.refresh(str(tmp_path / "jars"))
+    assert [r.internal_name for r in store.read("classes").collect()] == ["y/B"]
+
+
+def test_inputs_by_kind(spark, world, tmp_path):
+    folder, _, _ = world
+    one = folder / "demo-out" / "demo" / "Base.class"
+    assert archives.class_file_root(spark, str(one)).endswith("demo-out")
+    assert archives.open_input(spark, str(one)).count() == archives.open_input(spark, str(folder / "demo-out")).count() == 4
+    assert archives.open_input(spark, str(folder / "jars" / "demo.jar")).where("entry like '%.class'").count() == 4
+    (tmp_path / "a.txt").write_text("x")
+    with pytest.raises(ValueError):
+        archives.open_input(spark, str(tmp_path / "a.txt"))
+    with pytest.raises(FileNotFoundError):
+        archives.open_input(spark, str(tmp_path / "none.jar"))
+    inner = folder / "jars" / "demo.jar"
+    for name, entry in (("app.ear", "mods/inner.jar"), ("lib.aar", "classes.jar")):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.write(inner, entry)
+        from tessella.sources.index import visible_classes
+
+        found = visible_classes(archives.open_input(spark, str(tmp_path / name)), 21).collect()
+        assert {(r.archive_path.endswith(name), r.entry) for r in found} == {(True, f"{entry}!/demo/{c}.class") for c in ("Base", "Child", "Dependency", "Main")}
+
+
+def test_folders_are_scopes_too(spark, world, tmp_path):
+    from tessella.api import Scope
+
+    folder, _, _ = world
+    shutil.copytree(folder / "demo-out", tmp_path / "in" / "classes")
+    shutil.copy(folder / "jars" / "demo.jar", tmp_path / "in")
+    scope = Scope(spark, str(tmp_path / "in"), str(tmp_path / "index"))
+    assert sorted(r.kind for r in scope.archives.collect()) == ["archive", "folder"]
+    assert scope.classes.where("internal_name = 'demo/Base'").count() == 2
+    before = {r.archive_path: r.fingerprint for r in archives.fingerprints(spark, str(tmp_path / "in")).collect()}
+    (tmp_path / "in" / "classes" / "demo" / "Base.class").write_bytes((folder / "demo-out" / "demo" / "Child.class").read_bytes())
+    after = {r.archive_path: r.fingerprint for r in archives.fingerprints(spark, str(tmp_path / "in")).collect()}
+    assert {p.endswith("demo.jar") for p in before if before[p] == after[p]} == {True} and len(before) == 2
+    skeleton = scope.build_skeleton().collect()
+    assert [tuple(r)[1:] for r in skeleton] == [("g", "a", "1.2", "jar")]
+
+
+def test_sources_and_names(spark):
+    from tessella.functions import text as fn
+
+    entries = spark.createDataFrame([("s.jar", "src/demo/A.java", 0, b"one"), ("s.jar", "x/demo/A.java", 1, b"two"), ("t.jar", "demo/A.java", 3, b"own"), ("t.jar", "a/demo/A.java", 0, b"far"), ("u.jar", "xdemo/A.java", 0, b"no")], "archive_path string, entry string, ord int, content binary")
+    assert {r.archive_path: r.source for r in archives.source_of(entries, "demo.A").collect()} == {"s.jar": "one", "t.jar": "own"}
+    names = spark.createDataFrame([("FF",), ("jd",), (None,), (" ",), ("other",)], "e string").select(fn.engine_name(F.col("e")).alias("n"))
+    assert [r.n for r in names.collect()] == ["fernflower", "jd-core-v1", "auto", "auto", None]
+    with pytest.raises(ValueError):
+        fn.checked_path(" a/../b")
+    assert fn.checked_path(" a/b ") == "a/b"
+
+
 def test_descriptors():
     from tessella.functions.descriptors import readable
 
