@@ -115,7 +115,9 @@ class Index:
 
     def pattern(self) -> str:
         """Matches a text that has an anchor of a template or an SPDX tag, whatever its case."""
-        return "(?i)spdx-license-identifier:|(?<![a-zA-Z0-9])(?:" + "|".join(sorted(set().union(*self.anchors.values()))) + ")(?![a-zA-Z0-9])"
+        words = sorted(set().union(*self.anchors.values()))
+        by_start = [f"{a}(?:{'|'.join(w[1:] for w in words if w[0] == a)})" for a in sorted({w[0] for w in words})]  # fewer to try at each place
+        return "(?i)(?<![a-zA-Z0-9])(?:" + "|".join(by_start) + ")(?![a-zA-Z0-9])|spdx-license-identifier:"
 
     def candidates(self, words: list[tuple[int, int, str]]) -> dict[int, list[str]]:
         """For each word of a text that is an anchor of any template: the templates of which enough words may stand round it. Words that aren't too common are counted."""

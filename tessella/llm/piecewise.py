@@ -46,7 +46,7 @@ def fingerprint(data: bytes) -> str:
     padded = np.zeros(n + 8, np.uint8)
     padded[8:] = np.frombuffer(data, np.uint8)
     windows = np.lib.stride_tricks.as_strided(padded[1:], (n, 8), (1, 1))
-    rolled = np.ascontiguousarray(windows).view("<u8").ravel()
+    rolled = windows.copy().view("<u8").ravel()
     rolled &= np.uint64(0xFFFFFFFFFFFFFF00)  # the last WINDOW of 8 bytes
     rolled *= _ROLL
     rolled ^= rolled >> np.uint64(32)

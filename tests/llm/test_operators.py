@@ -1,9 +1,13 @@
 """The text operators against brute force, on rows with nulls, empty and long texts, ties, repeated rows and odd columns."""
 
+import base64
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -213,6 +217,51 @@ def test_toxicity(spark, docs, rows, labels, empty):
     assert {round(r.score, 6) for r in toxicity.score_documents(docs, labels.limit(0)).collect()} == {0.1}
 
 
+def text_margin_by_hand(text, weights, bias):
+    """The largest margin of a text's words by the definition: a word's triples with gaps, as a vector of length one, times the weights."""
+    best = bias
+    words_of_text = re.sub(r"(?<!\S)(\S)[ \t](?=\S(?!\S))", r"\1", text or "").split()
+    for k, w in enumerate(words_of_text):
+        w = toxicity.plain(w)
+        for at in range(0, max(1, len(w) - toxicity.LETTERS // 2), toxicity.LETTERS // 2):
+            part, phi = w[at : at + toxicity.LETTERS], {}
+            code = [ord(c) - 97 if "a" <= c <= "z" else 26 + ((ord(c) * 2654435761 & 0xFFFFFFFF) >> 16) % (toxicity.CODES - 26) for c in part]
+            for i in range(len(code)):
+                for j in range(i + 1, len(code)):
+                    for m in range(j + 1, min(len(code), i + 3 + toxicity.GAP)):
+                        key = (code[i] * toxicity.CODES + code[j]) * toxicity.CODES + code[m]
+                        phi[key] = phi.get(key, 0) + toxicity.DECAY ** (m - i - 2)
+            length = sum(v * v for v in phi.values()) ** 0.5
+            margin = bias + (sum(v * float(weights[f]) for f, v in phi.items()) / length if length else 0)
+            best = margin if k == at == 0 else max(best, margin)
+    return best
+
+
+def test_scores_by_brute_force(spark, docs, rows, labels):
+    rng = np.random.default_rng(8)
+    weights, bias = rng.normal(size=toxicity.CODES**3).astype(np.float32), -0.25
+    texts = [t or "" for _, t, *_ in rows] + ["i d i o t here", "Idi-oooot!!", "ÉÈ ß 日本語 привет", "a" * 5000, "x y", "日", "tie tie tie"]
+    source = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shared = spark.sparkContext.broadcast((weights, bias))
+    got = toxicity._scored(source.select("doc_id", toxicity.unspaced(F.col("text")).alias("text")), shared, "doc_id long, margin double, word string").collect()
+    for r in got:
+        assert r.margin == pytest.approx(text_margin_by_hand(texts[r.doc_id], weights, bias), abs=1e-4), texts[r.doc_id][:40]
+
+
+def test_toxicity_in_other_scripts(spark):
+    rng = random.Random(4)
+    letters = "абвгдежзиклмнопрстуфхцчшщ"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9)))
+    rows, marks = [], []
+    for i in range(900):
+        bad = i % 4 == 0
+        rows.append((i, " ".join([word() for _ in range(25)] + (["дурачина"] if bad else []))))
+        marks.append((i, int(bad)))
+    scored = toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")).toPandas().set_index("doc_id")
+    held = scored[scored.held_out]
+    assert ((held.index % 4 == 0) == (held.predicted == 1)).mean() > 0.97
+
+
 def test_toxicity_finds_gapped_insults(spark):
     rng = random.Random(4)
     rows, marks = [], []
@@ -402,6 +451,47 @@ def test_piecewise(docs, rows, empty):
     assert piecewise.piecewise_fingerprints(docs.where("doc_id = 7")).first().near_next == 1.0
 
 
+def fingerprint_by_hand(data):
+    """The piecewise hash by its definition, one byte at a time, in whole numbers modulo 2**64."""
+    if not data:
+        return "0::"
+    mask, factor = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    rolled = []
+    for i in range(len(data)):
+        x = sum(data[i - 6 + k] << 8 * (k + 1) for k in range(7) if i - 6 + k >= 0) * factor & mask
+        rolled.append((x ^ x >> 32) * factor & mask)
+    cuts = lambda level: [i + 1 for i in range(len(data)) if rolled[i] >> (64 - level) == 0 or i + 1 == len(data)]
+    level = 0
+    while len(cuts(level)) > 64:
+        level += 1
+    out = []
+    for at in (cuts(level), cuts(level + 1)):
+        signs = ""
+        for start, end in zip([0, *at[:-1]], at):
+            x = sum((b + 1) * pow(0x5851F42D4C957F2D, k, 1 << 64) for k, b in enumerate(data[start:end])) & mask
+            signs += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[(x ^ x >> 33) * factor % (1 << 64) >> 58]
+        out.append(signs)
+    return f"{level}:{out[0]}:{out[1]}"
+
+
+def test_fingerprints_by_hand(rows):
+    rng = random.Random(12)
+    texts = [(r[1] or "").encode()[:3000] for r in rows] + [rng.randbytes(n) for n in (1, 6, 7, 8, 63, 64, 65, 129, 1000, 5000)] + [b"a" * 700, b"ab" * 300]
+    assert [piecewise.fingerprint(t) for t in texts] == [fingerprint_by_hand(t) for t in texts]
+
+
+def test_equal_texts_and_ties_have_equal_fingerprints():
+    rng = random.Random(3)
+    for _ in range(30):
+        data = rng.randbytes(rng.randrange(0, 4000))
+        a = piecewise.fingerprint(data)
+        level, first, second = a.split(":")
+        assert piecewise.fingerprint(bytes(data)) == a and len(first) <= piecewise.SIGNATURE and len(second) <= max(piecewise.SIGNATURE, len(first))
+        cut = data[: len(data) // 2] + b"!" + data[len(data) // 2 :]
+        if len(data) > 1500:  # one byte changes a chunk or two at either level
+            assert piecewise.likeness([a], [piecewise.fingerprint(cut)])[0] > 0.85
+
+
 def test_edit_distances_by_hand():
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -431,6 +521,121 @@ def test_quality(docs, rows, labels, empty):
     assert all(r.keep and r.evidence == 0.5 for r in unlabelled)
 
 
+def test_quality_by_brute_force(docs, rows, labels, spark):
+    """Posteriors by their definition in plain Python, from the evidence of each row; null sites and paths are their own."""
+    found = quality.quality_documents(docs, labels).collect()
+    site, path, p = [r.site for r in found], [(r.site, r.path) for r in found], np.array([r.evidence for r in found])
+    mean = p.mean()
+
+    def pool(groups, prior):
+        """Means of groups shrunk toward their priors, with the strength that moments give."""
+        members = {}
+        for i, g in enumerate(groups):
+            members.setdefault(g, []).append(i)
+        n = {g: len(m) for g, m in members.items()}
+        average = {g: p[m].mean() for g, m in members.items()}
+        inside = sum(((p[m] - average[g]) ** 2).sum() for g, m in members.items())
+        within = inside / (len(p) - len(n))
+        between = sum(n[g] * (average[g] - prior[g]) ** 2 for g in n)
+        spread = (between - (len(n) - 1) * within) / max(len(p) - sum(x * x for x in n.values()) / len(p), 1e-9)
+        k = min(max(within / spread, 1.0), 1e6) if spread > 0 else 1e6
+        return {g: (k * prior[g] + n[g] * average[g]) / (k + n[g]) for g in n}
+
+    sites = pool(site, dict.fromkeys(site, mean))
+    paths = pool(path, {g: sites[g[0]] for g in path})
+    logit = lambda x: np.log(x / (1 - x))
+    for r in found:
+        assert r.site_posterior == pytest.approx(sites[r.site], abs=1e-7) and r.path_posterior == pytest.approx(paths[r.site, r.path], abs=1e-7)
+        if 1e-9 < r.evidence < 1 - 1e-9:
+            assert logit(r.score) == pytest.approx(logit(r.evidence) + logit(min(max(paths[r.site, r.path], 1e-6), 1 - 1e-6)) - logit(mean), abs=1e-5)
+    assert {None} <= set(site) and len({(r.site is None, r.site_posterior) for r in found}) > 1
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.keep for r in found)
+
+
+def test_quality_on_rows_not_taught(spark):
+    """Held-out accuracy: clean and junk texts, a third of them never labelled."""
+    rng = random.Random(6)
+    clean = lambda: ". ".join(" ".join(rng.choice(["river", "stone", "walks", "under", "morning", "light", "quiet", "answer"]) for _ in range(9)).capitalize() for _ in range(5)) + "."
+    junk = lambda: rng.choice([lambda: "BUY!! " * 40, lambda: " | ".join("x%d" % rng.randrange(99) for _ in range(60)), lambda: "".join(rng.choice("$%&#*@") for _ in range(200))])()
+    rows = [(i, clean() if i % 4 else junk(), "en", f"s{i % 3}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(900) if i % 3], "doc_id long, quality int")
+    found = quality.quality_documents(docs, labels).where("doc_id % 3 = 0").collect()
+    assert np.mean([r.keep == (r.doc_id % 4 > 0) for r in found]) > 0.99
+
+
+class Visible(HTMLParser):
+    """Visible text as the standard library's parser sees a page."""
+
+    BLOCK, UNSEEN = set("address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table tbody td tfoot th thead tr ul".split()), {"script", "style", "noscript", "template", "svg", "title"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.depth = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in self.UNSEEN
+        self.out += ["\n"] if tag in self.BLOCK else [" "] if tag in self.UNSEEN else []
+
+    def handle_endtag(self, tag):
+        self.depth -= tag in self.UNSEEN and self.depth > 0
+        self.out += ["\n"] if tag in self.BLOCK else []
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+    def handle_data(self, data):
+        if not self.depth:
+            self.out.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_warc_derivatives_by_brute_force(spark):
+    """Every page of the table: text against the standard library's parser, identifiers and digests by hand."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r.page_id: (r.url, r.html) for r in pages.collect()}
+    derived = warc.derivatives(warc.page_responses(pages)).collect()
+    assert sorted((r.page_id, r.record_type) for r in derived) == sorted((i, k) for i in html for k in ("metadata", "conversion"))
+    responses = {r.page_id: r.record_id for r in warc.page_responses(pages).collect()}
+    named = {r.page_id: r.record_id for r in derived if r.record_type == "conversion"}
+    for r in derived:
+        url, source = html[r.page_id]
+        raw = (source or "").encode()
+        sha1 = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+        assert r.refers_to == responses[r.page_id] and r.target_uri == url and r.source_digest == sha1(raw) and r.source_headers == warc.PAGE_HEADERS
+        assert r.block_digest == sha1(r.content.encode()) and r.content_length == len(r.content.encode())
+        if r.record_type == "conversion":
+            parser = Visible()
+            parser.feed(source or "")
+            parser.close()
+            lines = (re.sub(r"\s+", " ", x).strip() for x in "".join(parser.out).split("\n"))
+            assert r.content == "\n".join(x for x in lines if x), r.page_id
+        else:
+            assert f"conversion: {named[r.page_id]}\r\n" in r.content and f"payload-length: {len(raw)}\r\n" in r.content
+
+
+def test_warc_empty_tables_and_long_pages(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.derivatives(warc.page_responses(none)).count() == 0
+    assert warc.read_responses(spark.createDataFrame([], "path string, content binary")).count() == 0
+    assert warc.read_responses(spark.createDataFrame([("a", None), ("b", bytearray(b""))], "path string, content binary")).count() == 0
+    long = "<p>" + "word " * 400_000 + "</p>" + "<b" * 50_000
+    rows = warc.derivatives(warc.page_responses(spark.createDataFrame([(1, "u", long), (1, "u", long)], "page_id long, url string, html string"))).collect()
+    assert len(rows) == 4 and len({r.record_id for r in rows}) == 2
+    assert next(r for r in rows if r.record_type == "conversion").content.startswith("word word word")
+
+
+def test_warc_reading_takes_linear_time():
+    member = warc.record_bytes("response", "<1>", [], b"HTTP/1.1 200 OK\r\n\r\n" + random.Random(1).randbytes(9000))
+    began = time.process_time()
+    assert sum(1 for _ in warc.parse_parts(member * 500)) == 500
+    few = time.process_time() - began
+    began = time.process_time()
+    assert sum(1 for _ in warc.parse_parts(member * 4000)) == 4000
+    assert time.process_time() - began < 8 * few * 3 + 1
+
+
 def test_warc(spark):
     page = '<html lang="de"><head><title>A &amp; B</title><script>var t="</p>";</script></head><body><p>One  two<br>three</p><a href="/x">link</a><!-- no --></body></html>'
     pages = spark.createDataFrame([(1, "http://h.example/d/", page), (1, "http://h.example/d/", page), (2, None, None), (None, "http://[bad", "<a href='//[x'>y</a><b")], "page_id long, url string, html string").withColumn("payload", F.lit(0))
