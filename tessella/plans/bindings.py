@@ -40,6 +40,18 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.distinct()
 
 
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field for each part that a supplier has delivered: its brand as name, its size class as type."""
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("p_partkey"))
+    own = line.join(part, "p_partkey").select(F.lit("supp").alias("archive_path"), _id("S/", "l_suppkey").alias("owner"), F.col("p_brand").alias("name"), F.when(F.col("p_size") % 2 == 0, "I").otherwise("J").alias("descriptor"))
+    return own.distinct()
+
+
+def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys as strings in the methods of their customers."""
+    return table(spark, sf_dir, "orders").select(F.lit("cust").alias("archive_path"), _id("C/", "o_custkey").alias("owner"), F.col("o_orderpriority").alias("method_name"), F.col("o_orderstatus").alias("descriptor"), _id("o", "o_orderkey").alias("text"))
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that stand on neighbouring lines of an order."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
@@ -67,6 +79,8 @@ classes AS (
   UNION ALL SELECT 'supp', 'S/' || s_suppkey, 'N/' || s_nationkey FROM supplier),
 interfaces AS (SELECT 'cust' AS archive_path, 'C/' || c_custkey AS owner, 'M/' || c_mktsegment AS interface_name FROM customer),
 methods AS (SELECT DISTINCT 'cust' AS archive_path, 'C/' || o_custkey AS owner, o_orderpriority AS name, o_orderstatus AS descriptor FROM orders),
+fields AS (SELECT DISTINCT 'supp' AS archive_path, 'S/' || l_suppkey AS owner, p_brand AS name, CASE WHEN p_size % 2 = 0 THEN 'I' ELSE 'J' END AS descriptor FROM lineitem JOIN part ON p_partkey = l_partkey),
+strings AS (SELECT 'cust' AS archive_path, 'C/' || o_custkey AS owner, o_orderpriority AS method_name, o_orderstatus AS descriptor, 'o' || o_orderkey AS text FROM orders),
 calls AS (
   SELECT DISTINCT 'parts' AS archive_path, 'P/' || a.l_partkey AS source_owner, 'run' AS source_name, '()V' AS source_desc,
          'P/' || b.l_partkey AS target_owner, 'run' AS target_name, '()V' AS target_desc

@@ -186,10 +186,45 @@ def symbol_resolution(spark, sf_dir):
     return symbols.resolution(wanted.join(m, F.col("wanted") == F.col("owner"), "left"), by_descriptor=False)
 
 
+@query(b.with_relations("""SELECT w.wanted, count(f.descriptor) AS candidates, count(DISTINCT f.archive_path) AS archives,
+CASE WHEN count(f.descriptor) = 0 THEN 'field_not_found' WHEN count(f.descriptor) = 1 THEN 'resolved'
+     WHEN count(DISTINCT f.archive_path) > 1 AND count(DISTINCT f.descriptor) = 1 THEN 'source_ambiguous' ELSE 'field_ambiguous' END AS outcome
+FROM (SELECT 'S/' || s_suppkey AS wanted FROM supplier) w LEFT JOIN fields f ON f.owner = w.wanted AND f.name = (SELECT min(p_brand) FROM part) GROUP BY w.wanted"""))
+def field_resolution(spark, sf_dir):
+    """Whether a field name resolves, and if not, why."""
+    wanted = b.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S/"), F.col("s_suppkey")).alias("wanted"))
+    least = b.table(spark, sf_dir, "part").agg(F.min("p_brand")).first()[0]
+    f = b.fields(spark, sf_dir).where(F.col("name") == least)
+    return symbols.resolution(wanted.join(f, F.col("wanted") == F.col("owner"), "left"), by_descriptor=False, kind="field")
+
+
+@query(b.with_relations("""SELECT m.archive_path, m.owner, m.name, m.descriptor, coalesce(string_agg(s.text, '|' ORDER BY s.text), '') AS strings FROM methods m
+LEFT JOIN strings s ON s.archive_path = m.archive_path AND s.owner = m.owner AND s.method_name = m.name AND s.descriptor = m.descriptor GROUP BY ALL"""))
+def method_strings(spark, sf_dir):
+    """Methods with the strings in them."""
+    found = symbols.method_strings(b.methods(spark, sf_dir), b.strings(spark, sf_dir))
+    return found.select("archive_path", "owner", "name", "descriptor", F.array_join("strings", "|").alias("strings"))
+
+
+@query(b.with_relations(""", ms AS (SELECT m.archive_path, m.owner, m.name, m.descriptor, count(s.text) AS n FROM methods m LEFT JOIN strings s ON s.owner = m.owner AND s.method_name = m.name AND s.descriptor = m.descriptor GROUP BY ALL)
+SELECT c.archive_path, c.internal_name, coalesce((SELECT string_agg(interface_name, ',' ORDER BY interface_name) FROM interfaces i WHERE i.archive_path = c.archive_path AND i.owner = c.internal_name), '') AS interfaces,
+coalesce((SELECT string_agg(name || ':' || descriptor, ',' ORDER BY name, descriptor) FROM fields f WHERE f.archive_path = c.archive_path AND f.owner = c.internal_name), '') AS fields,
+coalesce((SELECT string_agg(name || descriptor || n, ',' ORDER BY name, descriptor) FROM ms WHERE ms.archive_path = c.archive_path AND ms.owner = c.internal_name), '') AS methods,
+(SELECT count(*) FROM strings s WHERE s.archive_path = c.archive_path AND s.owner = c.internal_name) AS strings FROM classes c"""))
+def class_records(spark, sf_dir):
+    """Classes with all that belongs to them, nested and in order."""
+    found = symbols.class_records(*[f(spark, sf_dir) for f in (b.classes, b.interfaces, b.fields, b.methods, b.strings)])
+    line = lambda c, f: F.array_join(F.transform(c, f), ",").alias(c)
+    return found.select(
+        "archive_path", "internal_name", F.array_join("interfaces", ",").alias("interfaces"), line("fields", lambda x: F.concat(x["name"], F.lit(":"), x["descriptor"])),
+        line("methods", lambda x: F.concat(x["name"], x["descriptor"], F.size(x["strings"]).cast("string"))), F.size("strings").cast("long").alias("strings"),
+    )
+
+
 # --- graphs ------------------------------------------------------------------------------------------
 
 
-def _bfs_sql(edges: str, root: str, depth: int, budget: int, further: bool = False) -> str:
+def _bfs_sql(edges: str, root: str, depth: int, budget: int, further: bool = False, name: str = "l.node") -> str:
     """Breadth-first levels written out: rank new nodes of each level by their first parent, then by name.
 
     With ``further`` the root takes nothing of the budget, and one node beyond it is flagged.
@@ -197,7 +232,7 @@ def _bfs_sql(edges: str, root: str, depth: int, budget: int, further: bool = Fal
     out = f", e AS ({edges}), l0 AS (SELECT {root} AS node, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, 0 AS seq)"
     seen = "SELECT node FROM l0"
     for d in range(1, depth + 1):
-        out += f""", p{d} AS (SELECT e.dst, min(l.seq * 10 + e.ord) AS k FROM l{d - 1} l JOIN e ON e.src = l.node WHERE e.dst NOT IN ({seen}) GROUP BY e.dst),
+        out += f""", p{d} AS (SELECT e.dst, min(l.seq * 10 + e.ord) AS k FROM l{d - 1} l JOIN e ON e.src = {name} WHERE e.dst NOT IN ({seen}) GROUP BY e.dst),
         q{d} AS (SELECT dst, k, row_number() OVER (ORDER BY k, dst) + (SELECT max(seq) FROM l{d - 1}) AS seq FROM p{d}),
         l{d} AS (SELECT q.dst AS node, l.node AS parent, {d} AS depth, q.seq FROM q{d} q JOIN l{d - 1} l ON l.seq = q.k // 10 WHERE q.seq < {budget + 2 * further})"""
         seen += f" UNION ALL SELECT node FROM l{d}"
@@ -235,6 +270,26 @@ def call_chain(spark, sf_dir):
     return graph.bfs(e, _most(e), 3, graph.Budget(128))
 
 
+_KEYED = "SELECT source_owner || '#run()V' AS src, 'parts|' || target_owner || '#run()V' AS dst, 0 AS ord FROM calls"
+
+
+@query(b.with_relations(_bfs_sql(_KEYED, _MOST_CALLS[:-1].replace("SELECT source_owner", "SELECT source_owner || '#run()V'") + ")", 2, 64, name="regexp_replace(l.node, '^.*[|]', '')")))
+def call_chain_by_frontier(spark, sf_dir):
+    """The same on methods with their archives, where each level joins the calls of its own methods alone."""
+    calls, methods, classes, interfaces = b.calls(spark, sf_dir), b.methods(spark, sf_dir), b.classes(spark, sf_dir), b.interfaces(spark, sf_dir)
+    root = _most(calls.select(F.col("source_owner").alias("src")))
+    step = lambda frontier: symbols.frontier_callees(frontier, calls, methods, classes, interfaces)
+    return graph.bfs(step, f"{root}#run()V", 2, graph.Budget(64), name=lambda n: n.rsplit("|", 1)[-1])
+
+
+@query(b.with_relations(f"""SELECT source_owner, target_owner, r > 5 AS truncated FROM (SELECT *, row_number() OVER (ORDER BY source_owner) AS r FROM calls WHERE target_owner = {_MOST_CALLED}) WHERE r <= 6"""))
+def references_cut(spark, sf_dir):
+    """References in order, and one further row that says that there are more."""
+    c = b.calls(spark, sf_dir)
+    to = _most(c.select(F.col("target_owner").alias("src")))
+    return graph.first_and_further(c.where(F.col("target_owner") == to).select("source_owner", "target_owner"), ["source_owner"], 5)
+
+
 @query(b.with_relations(_bfs_sql("SELECT target_owner AS src, source_owner AS dst, 0 AS ord FROM calls", _MOST_CALLED, 4, 12)))
 def call_chain_budget(spark, sf_dir):
     """Callers under a budget that ends the search."""
@@ -423,6 +478,19 @@ def frames_resolved(spark, sf_dir):
     return logs.resolve_frames(frames, b.classes(spark, sf_dir), b.methods(spark, sf_dir), ["event_id"])
 
 
+@query(b.with_relations("""SELECT e.event_id, coalesce(string_agg(c.archive_path || '=' || c.methods, ';' ORDER BY c.archive_path), '') AS candidates FROM (
+SELECT event_id, 'C/' || user_id AS name, ['1-URGENT', '2-HIGH', '3-MEDIUM', 'none'][event_id % 4 + 1] AS method FROM events) e LEFT JOIN (
+SELECT c.archive_path, c.internal_name, w.method, coalesce(string_agg(m.descriptor, '+' ORDER BY m.descriptor), '') AS methods FROM classes c CROSS JOIN (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', 'none']) AS method) w
+LEFT JOIN methods m ON m.archive_path = c.archive_path AND m.owner = c.internal_name AND m.name = w.method GROUP BY ALL) c ON c.internal_name = e.name AND c.method = e.method GROUP BY e.event_id"""))
+def frame_candidates(spark, sf_dir):
+    """Frames with the archives that hold their class, each with the descriptors of the methods of their name; frames without any stay."""
+    method = F.element_at(F.array(*map(F.lit, ["1-URGENT", "2-HIGH", "3-MEDIUM", "none"])), (F.col("event_id") % 4 + 1).cast("int"))
+    frames = b.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("C."), F.col("user_id")).alias("class_name"), method.alias("method_name"))
+    found = logs.frame_candidates(frames, b.classes(spark, sf_dir), b.methods(spark, sf_dir), ["event_id"])
+    line = F.transform("candidates", lambda c: F.concat(c["archive_path"], F.lit("="), F.array_join(c["methods"], "+")))
+    return found.select("event_id", F.array_join(line, ";").alias("candidates"))
+
+
 # --- versions, policy, reports -----------------------------------------------------------------------
 
 
@@ -588,6 +656,13 @@ def entry_difference(spark, sf_dir):
     return gone.unionByName(side("A").join(side("R"), ["l_partkey", "l_suppkey"], "left_anti").withColumn("side", F.lit("added")))
 
 
+@query("""SELECT page_id, ['fernflower', 'jd-core-v1', 'vineflower', 'auto', 'auto', NULL, 'jd-core-v0'][page_id % 7 + 1] AS engine FROM pages""")
+def engine_names(spark, sf_dir):
+    """TX24: decompilers by any of their names."""
+    asked = F.array(*map(F.lit, ["FF", "jdcore", "vf", "  ", None, "other", "V0"]))
+    return b.table(spark, sf_dir, "pages").select("page_id", fn.engine_name(F.element_at(asked, (F.col("page_id") % 7 + 1).cast("int"))).alias("engine"))
+
+
 @query("""SELECT p_partkey, coalesce(given, sibling, inferred, 'none') AS chosen FROM (SELECT p_partkey,
 CASE WHEN p_partkey % 5 = 0 THEN 'given-' || p_partkey END AS given, CASE WHEN p_partkey % 3 = 0 THEN 'lib-' || p_partkey || '-sources.jar' END AS sibling,
 CASE WHEN p_partkey % 2 = 0 THEN p_brand || ':' || p_size END AS inferred FROM part)""")
