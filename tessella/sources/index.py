@@ -64,7 +64,8 @@ def class_hierarchy_calls(virtual: DataFrame, classes: DataFrame, interfaces: Da
     """Calls that virtual calls may also reach: declarations of the method in all subtypes, within an archive."""
     tag = lambda a, n: F.concat_ws("\0", a, n)
     up = type_edges(classes, interfaces)
-    below = closure(up.select(tag("archive_path", "parent").alias("src"), tag("archive_path", "child").alias("dst")))
+    called = virtual.select(tag("archive_path", "target_owner").alias("src"))
+    below = closure(up.select(tag("archive_path", "parent").alias("src"), tag("archive_path", "child").alias("dst")), called)
     below = below.select(F.split("src", "\0")[0].alias("archive_path"), F.split("src", "\0")[1].alias("target_owner"), F.split("dst", "\0")[1].alias("sub"))
     declared = methods.select("archive_path", F.col("owner").alias("sub"), F.col("name").alias("target_name"), F.col("descriptor").alias("target_desc"))
     found = virtual.join(below, ["archive_path", "target_owner"]).join(declared, ["archive_path", "sub", "target_name", "target_desc"])

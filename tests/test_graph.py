@@ -43,6 +43,8 @@ def test_random_graphs(spark, seed):
                 reach.add((a, b))
                 todo += [c for x, c in edges if x == b]
     assert {(r.src, r.dst) for r in graph.closure(df).collect()} == reach
+    some = spark.createDataFrame([("n1",), ("n3",), ("none",), ("n1",)], "src string")
+    assert sorted((r.src, r.dst) for r in graph.closure(df, some).collect()) == sorted(x for x in reach if x[0] in ("n1", "n3"))
 
 
 def test_versions_sort_by_value(spark):
