@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A key is heavy if it holds at least one row in so many; at most so many keys can be, which bounds what is broadcast.
 HEAVY_ONE_IN = 1024
+#: Copies of one row that a task makes at most, where others have more.
+COPIES = 1 << 16
 #: Rows that one bucket of :func:`running_offsets` holds on average in a large table.
 BUCKET_ROWS = 4096
 
@@ -123,6 +125,19 @@ def heavy_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: i
     return many.unionByName(few)
 
 
+def each_copy(rows: DataFrame, copies: str, most: int, name: str) -> DataFrame:
+    """Each row as often as ``copies`` says, with its number ``name`` from 0; ``most`` is the largest of these.
+
+    Where one row stands for more than COPIES, runs of so many are dealt out first, so that no task makes them all.
+    """
+    last = F.col(copies) - 1
+    if most <= COPIES:
+        return rows.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    runs = rows.withColumn("_start", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(COPIES).cast("long"))))
+    runs = runs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return runs.withColumn(name, F.explode(F.sequence("_start", F.least(F.col("_start") + COPIES - 1, last)))).drop("_start")
+
+
 def running_offsets(rows: DataFrame, weight: str, group: list[str], order: list[str], name: str = "offset") -> DataFrame:
     """Add ``name``: the sum of ``weight`` over the rows before each in its group, in an order that a hash of ``order`` fixes.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, WORD, materialise, running_offsets, text_of, word_count
+from .common import DOCUMENT_COLUMNS, WORD, each_copy, materialise, running_offsets, text_of, word_count
 from .feistel import permute
 
 WEIGHTS = (3, 1, 2)
@@ -147,7 +147,8 @@ def mix_blocks(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: st
     sized = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.col(source_col).alias("source"), word_count(text).alias("size"))
     counted = materialise(sized.groupBy("doc_id", "text_sha256", "source", "size").agg(F.count("*").alias("copies")).withColumn("weight", F.col("size") * F.col("copies")))
     targets = materialise(source_targets(counted.groupBy("source").agg(F.sum("weight").alias("source_size"))))
-    placed = running_offsets(counted, "weight", ["source"], ["doc_id", "text_sha256", "size"], "at").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    most = counted.agg(F.max("copies")).first()[0] or 0
+    placed = each_copy(running_offsets(counted, "weight", ["source"], ["doc_id", "text_sha256", "size"], "at"), "copies", most, "copy")
     placed = placed.select("doc_id", "text_sha256", "source", "size", "copy", (F.col("at") + F.col("copy") * F.col("size")).alias("at"))
     lengths, slots = mix_slots(targets, block, seed)
     named = targets.join(lengths, "rank").select(F.col("source").alias("target_source"), "rank", "source_size", "target", "block")

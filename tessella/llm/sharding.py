@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, running_offsets, text_of
+from .common import each_copy, materialise, running_offsets, text_of
 from .feistel import permute
 
 SHARDS = 24
@@ -33,9 +33,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     counted = materialise(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies")))
-    total = counted.agg(F.sum("copies")).first()[0] or 0
+    total, most = (x or 0 for x in counted.agg(F.sum("copies"), F.max("copies")).first())
     placed = running_offsets(counted, "copies", [], ["doc_id", "size", "text_crc32"], "first")
-    placed = placed.withColumn("position", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)))
+    placed = each_copy(placed, "copies", most, "copy").withColumn("position", F.col("first") + F.col("copy"))
 
     @F.pandas_udf("shard int, slot long")
     def shard_slot(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, exact_dedup, feistel, gray_index, licenses, mixing, piecewise, pretokens, quality, sharding, simhash, toxicity, warc
+from tessella.llm import bpe, common, exact_dedup, feistel, gray_index, licenses, mixing, piecewise, pretokens, quality, sharding, simhash, toxicity, warc
 
 INDEX = licenses.Index(licenses.TEMPLATES)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -367,6 +367,15 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_many_copies_of_one_row_are_dealt_out(spark, monkeypatch):
+    rows = [(1, "same words here", "en", "s", 5)] * 50 + [(2, "other", "en", "s", 5), (3, None, None, None, None)]
+    many = spark.createDataFrame(rows, SCHEMA)
+    before = sorted(map(str, sharding.shard_documents(many).collect())), sorted(map(str, mixing.mix_documents(many, block=4).collect()))
+    monkeypatch.setattr(common, "COPIES", 7)
+    after = sorted(map(str, sharding.shard_documents(many).collect())), sorted(map(str, mixing.mix_documents(many, block=4).collect()))
+    assert before == after and len(after[0]) == len(after[1]) == 52
+
+
 def test_licenses(spark, empty):
     text = "Prose first.\nLicensed under the Apache License, Version 2.0.\nMore.\nThis work is licensed under the GNU General Public License, version 4."
     rows = [(1, text), (2, "a licensed plumber"), (3, None), (4, "x Released under the  MIT License. y"), (4, "x Released under the  MIT License. y"), (None, "Licensed under CC BY-NC 4.0.")]
