@@ -29,6 +29,8 @@ EXTRA = {
     "META-INF/services/demo.Service": "# providers\ndemo.Child\n",
     "config/app.properties": "main=demo.Main\n",
     "blob.txt": b"a\0b",
+    "WEB-INF/web.xml": '<web-app xmlns="http://x.example/ns"><servlet><servlet-class> Plain </servlet-class><init a="demo.Base"/></servlet><note>uses demo.Child and demo.Child</note></web-app>',
+    "broken.xml": "<a><b>demo.Main</a>",
     "META-INF/maven/g/a/pom.properties": "groupId=g\nartifactId=a\nversion=1.2\n",
 }
 
@@ -96,8 +98,11 @@ def test_type_references(world):
     assert {
         ("demo/Child", "demo/Base", "extends"), ("demo/Main", "demo/Child", "new"), ("demo/Child", "java/lang/IllegalStateException", "catch"), ("demo/Main", "demo/Child", "cha-virtual"),
         ("META-INF/services/demo.Service", "demo/Service", "resource-service-interface"), ("META-INF/services/demo.Service", "demo/Child", "resource-service-provider"),
+        ("WEB-INF/web.xml", "Plain", "resource-xml-path"), ("WEB-INF/web.xml", "demo/Base", "resource-xml"), ("broken.xml", "demo/Main", "resource-xml"),
         ("config/app.properties", "demo/Main", "resource-properties"), ("demo/Main", "demo/Main", "handle-owner"),
     } <= refs
+    places = {(r.source_member_name, r.target_type) for r in store.read("type_refs").where("source_owner like '%.xml'").collect()}
+    assert places == {("web-app/servlet/servlet-class", "Plain"), ("web-app/servlet/init/@a", "demo/Base"), ("web-app/note", "demo/Child"), ("xml", "demo/Main")}
     assert [r.text_content for r in store.read("resources").where("entry_path = 'blob.txt'").collect()] == [None]
 
 
@@ -150,7 +155,7 @@ def test_scope(spark, world):
     scope = Scope(spark, str(folder / "jars"), store.path, build=False)
     hits = scope.search("value").collect()
     assert {"method", "string"} & {r.kind for r in hits} and all(r.total == len(hits) for r in hits)
-    assert [r.kind for r in scope.search("demo.main", kind="resource").collect()] == ["resource"]
+    assert [(r.kind, r.owner) for r in scope.search("demo.main", kind="resource").collect()] == [("resource", "broken.xml"), ("resource", "config/app.properties")]
     assert scope.type_lookup("demo.ch*d", "wildcard").first().internal_name == "demo/Child"
     assert {r.source_name for r in scope.find_references("method", "demo.Child", "value", "()I").collect()} >= {"run"}
     assert {r.node for r in scope.type_hierarchy("demo.Child").collect()} == {"demo/Child", "demo/Base", "java/lang/Runnable", "java/lang/Object"}
