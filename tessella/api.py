@@ -175,6 +175,16 @@ class Scope:
         found = found if include_inner else found.where(~F.col("internal_name").contains("$"))
         return paging.page(found, ["archive_path", "internal_name"], offset, limit, zero_is_all=True)
 
+    def analyze(self, pattern: str = "*") -> DataFrame:
+        """(archive_path, kind, class_count, resource_count, size) of the archives whose name a glob matches, those without classes too, in order."""
+        name = F.element_at(F.split("archive_path", "/"), -1)
+        outer = F.regexp_replace("archive_path", r"!/.*", "").alias("archive_path")
+        count = lambda df, c: df.groupBy(outer).agg(F.count("*").alias(c))
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", str(self.recursive).lower()).load(self.path).select(F.col("path").alias("archive_path"), F.col("length").alias("size"))
+        out = self.archives.where(fn.glob(name, pattern)).join(files, "archive_path", "left")
+        out = out.join(count(self.classes, "class_count"), "archive_path", "left").join(count(self.resources, "resource_count"), "archive_path", "left")
+        return out.select("archive_path", "kind", F.coalesce("class_count", F.lit(0)).alias("class_count"), F.coalesce("resource_count", F.lit(0)).alias("resource_count"), "size").orderBy("archive_path")
+
     def list_dependencies(self, limit: int = 0, offset: int = 0) -> DataFrame:
         """Coordinates of the archives that state any, a page of them or all where ``limit`` is 0."""
         return paging.page(archives.coordinates(archives.read_archives(self.spark, self.path, self.recursive)[0]), ["archive_path"], offset, limit, zero_is_all=True)

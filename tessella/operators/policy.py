@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import version_key
+
 
 def class_entries(entries: DataFrame) -> DataFrame:
     """Class entries (column entry) with internal_name and version: the release of META-INF/versions/N, else null; modules inside (``inner!/entry``) count as the archive's own."""
@@ -41,9 +43,40 @@ def refresh_plan(now: DataFrame, manifest: DataFrame) -> DataFrame:
     return now.join(known, "archive_path", "left").withColumn("state", state).drop("_known")
 
 
-def gutter(text: Column) -> Column:
-    """Lines behind their numbers."""
-    return F.array_join(F.transform(F.split(text, r"\r?\n", -1), lambda line, i: F.concat(F.when(i < 9999, F.lpad((i + 1).cast("string"), 4, " ")).otherwise((i + 1).cast("string")), F.lit(" | "), line)), "\n")
+#: What stands before a line: its number, that of the source, or both.
+GUTTERS = ("decompiled", "source", "both")
+
+
+def gutter(text: Column, mode: str | None = "decompiled", source_lines: Column | None = None) -> Column:
+    """Lines behind their numbers, behind those of the source (a map from line to source line; blank where it has none), or behind both; as they are without a mode."""
+    if not (mode or "").strip() or mode.lower() == "none":
+        return text
+    mode = mode.lower()
+    if mode not in GUTTERS:
+        raise ValueError(f"unknown mode: {mode}")
+    wide = lambda n: F.when(F.length(n) < 4, F.lpad(n, 4, " ")).otherwise(n)
+    known = F.create_map().cast("map<int,int>") if source_lines is None else source_lines
+
+    def line(content: Column, i: Column) -> Column:
+        own, source = wide((i + 1).cast("string")), wide(F.coalesce(F.try_element_at(known, i + 1).cast("string"), F.lit("")))
+        parts = {"decompiled": [own], "source": [source], "both": [own, source]}[mode]
+        return F.concat(*[x for p in parts for x in (p, F.lit(" | "))], content)
+
+    return F.array_join(F.transform(F.split(text, r"\R", -1), line), "\n")
+
+
+def ranked_containers(containers: DataFrame, keys: list[str]) -> DataFrame:
+    """Containers (keys, priority, artifact, version, name) with their rank from 1: by priority, artifact, the newest version, the least depth of the name, and name."""
+    depth = F.size(F.split(F.translate("name", "\\", "/"), "/"))
+    order = Window.partitionBy(*keys).orderBy("priority", "artifact", version_key(F.col("version")).desc(), depth, "name")
+    return containers.withColumn("rank", F.row_number().over(order))
+
+
+def checksum_of(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """``files`` (path) with the checksum that a list (checksum, file) has for their name, the first by file if several; null if it has none."""
+    base = lambda c: F.element_at(F.split(F.translate(c, "\\", "/"), "/"), -1)
+    first = listed.groupBy(base("file").alias("_base")).agg(F.min_by("checksum", "file").alias("checksum"))
+    return files.withColumn("_base", base("path")).join(first, "_base", "left").drop("_base")
 
 
 def merge_line_map(base: DataFrame, patches: DataFrame, keys: list[str]) -> DataFrame:

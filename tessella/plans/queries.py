@@ -596,12 +596,45 @@ def access_flags(spark, sf_dir):
     return b.table(spark, sf_dir, "part").select("p_partkey", F.array_join(fn.flag_names(F.col("p_size")), " ").alias("flags"))
 
 
-@query("""SELECT doc_id, string_agg(printf('%4d | %s', i, l), chr(10) ORDER BY i) AS listing FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)) GROUP BY doc_id""")
+def _gutter_sql(shown: str) -> str:
+    return f"""SELECT doc_id, string_agg({shown}, chr(10) ORDER BY i) AS listing FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS l FROM (
+SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)) GROUP BY doc_id"""
+
+
+@query(_gutter_sql("printf('%4d | %s', i, l)"))
 def line_gutter(spark, sf_dir):
     """TX16: lines with their numbers."""
     return docs(spark, sf_dir).where("text is not null").select("doc_id", policy.gutter(F.col("text")).alias("listing"))
 
 
+@query(_gutter_sql("printf('%4d | %4s | %s', i, CASE i WHEN 1 THEN '7' WHEN 3 THEN '12345' ELSE '' END, l)"))
+def line_gutter_both(spark, sf_dir):
+    """TX16: lines with their numbers and those of the source, blank where there is none."""
+    known = F.create_map(F.lit(1), F.lit(7), F.lit(3), F.lit(12345))
+    return docs(spark, sf_dir).where("text is not null").select("doc_id", policy.gutter(F.col("text"), "both", known).alias("listing"))
+
+
+@query(f"""WITH c AS (SELECT p_size AS owner, p_partkey, p_partkey % 4 AS priority, p_brand AS artifact, [{', '.join(f"'{v}'" for v in _VERSIONS)}][p_partkey % 13 + 1] AS version,
+repeat('d/', CAST(p_partkey % 3 AS INTEGER)) || p_name AS name FROM part)
+SELECT owner, p_partkey, row_number() OVER (PARTITION BY owner ORDER BY priority, artifact, list_position([{', '.join(f"'{v}'" for v in _ORDERED)}], version) DESC, len(string_split(name, '/')), name) AS rank FROM c""")
+def container_ranks(spark, sf_dir):
+    """The order in which containers are searched for a class."""
+    version = F.element_at(F.array(*map(F.lit, _VERSIONS)), (F.col("p_partkey") % 13 + 1).cast("int"))
+    name = F.concat(F.repeat(F.lit("d/"), (F.col("p_partkey") % 3).cast("int")), "p_name")
+    c = b.table(spark, sf_dir, "part").select(F.col("p_size").alias("owner"), "p_partkey", (F.col("p_partkey") % 4).alias("priority"), F.col("p_brand").alias("artifact"), version.alias("version"), name.alias("name"))
+    return policy.ranked_containers(c, ["owner"]).select("owner", "p_partkey", "rank")
+
+
+@query("""SELECT p.page_id, CASE WHEN p.page_id % 3 > 0 THEN sha1(CAST(p.page_id // 2 AS VARCHAR)) END AS checksum FROM pages p""")
+def checksum_lookup(spark, sf_dir):
+    """J15, SC17: files' checksums from a list, by file name."""
+    i = F.col("page_id")
+    pages = b.table(spark, sf_dir, "pages").select("page_id")
+    listed = pages.where("page_id % 3 > 0").select(fn.checksum_line(F.concat(F.sha1(F.floor(i / 2).cast("string").cast("binary")), F.lit("  libs/p"), i, F.lit(".jar"))).alias("c")).select("c.*")
+    files = pages.select("page_id", F.concat(F.lit("/data/x/p"), i, F.lit(".jar")).alias("path"))
+    return policy.checksum_of(files, listed).select("page_id", "checksum")
+
+
 @query("""SELECT o_orderkey, u AS line, CASE WHEN u BETWEEN 3 AND 5 THEN 100 + least(u - 3, 1) ELSE u END AS source_line FROM (SELECT o_orderkey, unnest(range(1, 8)) AS u FROM orders)""")
 def line_map(spark, sf_dir):
     """TX17: a line map in which a patched range takes the patch's lines, clamped to its span."""

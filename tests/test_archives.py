@@ -185,6 +185,21 @@ def test_references_are_cut_in_order(spark, world):
     assert scope.find_references("field", "demo.Base", "n", "I").count() == 1 and scope.find_references("field", "demo.Base", "n", "J").count() == 0
 
 
+def test_archives_in_numbers(annotated):
+    folder, scope = annotated
+    found = {r.archive_path.rsplit("/", 1)[1]: (r.kind, r.class_count, r.size) for r in scope.analyze().collect()}
+    assert found == {f"{n}.jar": ("archive", 2, (folder / "jars" / f"{n}.jar").stat().st_size) for n in ("left", "right")}
+    assert scope.analyze("le*").count() == 1
+
+
+def test_gutters_by_mode():
+    from tessella.operators import policy
+
+    with pytest.raises(ValueError):
+        policy.gutter(None, "odd")
+    assert policy.gutter("as it is", None) == policy.gutter("as it is", "none") == "as it is"
+
+
 def test_whole_results_as_text(spark, world, tmp_path):
     from tessella.api import Scope
 
