@@ -107,10 +107,7 @@ def class_file_root(spark: SparkSession, path: str) -> str:
 
 def open_input(spark: SparkSession, path: str) -> DataFrame:
     """Entries (ENTRIES) of an input: of an archive, of a folder's class files, or of all class files beside a single one."""
-    status = _status(spark, path)
-    if status is None:
-        raise FileNotFoundError(path)
-    if status.isDirectory():
+    if is_folder(spark, path):
         return read_class_folder(spark, path)
     if path.lower().endswith(".class"):
         return read_class_folder(spark, class_file_root(spark, path))
@@ -125,6 +122,13 @@ def _status(spark: SparkSession, path: str):
     return system.getFileStatus(where) if system.exists(where) else None
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    status = _status(spark, path)
+    if status is None:
+        raise FileNotFoundError(path)
+    return status.isDirectory()
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """A path as Spark names its files, with scheme."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -134,7 +138,7 @@ def qualified(spark: SparkSession, path: str) -> str:
 def scope_inputs(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(archive_path, kind) of a scope: a file is its only input; a folder has its archives, and is one itself if a class file is anywhere below it."""
     found = _files(spark, path, recursive).select(F.col("path").alias("archive_path"), F.lit("archive").alias("kind"))
-    if not _status(spark, path).isDirectory() or _class_files(spark, path).select("path").isEmpty():
+    if not is_folder(spark, path) or _class_files(spark, path).select("path").isEmpty():
         return found
     return found.unionByName(spark.createDataFrame([(qualified(spark, path), "folder")], "archive_path string, kind string"))
 
@@ -142,7 +146,7 @@ def scope_inputs(spark: SparkSession, path: str, recursive: bool = False) -> Dat
 def fingerprints(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(archive_path, fingerprint): SHA-256 of each archive's bytes; of a folder with class files, of its files' names, sizes and times in order."""
     found = _files(spark, path, recursive).select(F.col("path").alias("archive_path"), F.sha2("content", 256).alias("fingerprint"))
-    if not _status(spark, path).isDirectory() or _class_files(spark, path).select("path").isEmpty():
+    if not is_folder(spark, path) or _class_files(spark, path).select("path").isEmpty():
         return found
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     listed = files.select(F.concat_ws("\0", "path", "length", F.unix_millis("modificationTime"), F.lit("")).alias("line"))

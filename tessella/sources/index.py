@@ -161,7 +161,7 @@ class IndexStore:
         stale = [r.archive_path for r in plan.select("archive_path").toLocalIterator()]  # names alone, as Spark's own listing of files has them
         folder = archives.qualified(self.spark, scope)
         every = archives.read_entries(self.spark, [p for p in stale if p != folder], True) if set(stale) - {folder} else None
-        if folder in stale and archives._status(self.spark, scope).isDirectory():
+        if folder in stale and archives.is_folder(self.spark, scope):
             none = F.lit(None).cast("string")
             own = archives.read_class_folder(self.spark, scope).withColumns({"error_type": none, "message": none})
             every = own if every is None else every.unionByName(own)
