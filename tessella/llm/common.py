@@ -74,6 +74,16 @@ def bucketed(df: DataFrame, buckets: int, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the scratch tables that ``df`` reads, which nothing else may read any more."""
+    spark = df.sparkSession
+    used = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for entry in [e for e in _scratch if e[0] is spark and any(u.endswith(e[1].rsplit("/", 1)[1]) for u in used)]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _scratch.remove(entry)
+
+
 def release() -> None:
     """Delete every scratch table that this process has written; results that read them must be written first."""
     while _tables:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, licenses, mixing, piecewise, quality, sharding, simhash, toxicity, warc
+from . import bpe, exact_dedup, licenses, metric_join, mixing, piecewise, quality, runs, sharding, simhash, toxicity, warc, yinyang
 from .common import read
 
 
@@ -50,6 +50,18 @@ def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.piecewise_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op11_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.link_embeddings(read(spark, sf_dir, "embeddings"))
+
+
+def op12_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.encode_embeddings(read(spark, sf_dir, "embeddings"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.document_runs(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after another."""
     import corpus_pipeline
@@ -57,5 +69,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_derivatives, op2_quality, op3_exact_dedup, op4_simhash, op5_bpe, op6_toxicity, op7_mixing, op8_feistel_sharding, op9_license_scan, op10_piecewise_hash, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_derivatives, op2_quality, op3_exact_dedup, op4_simhash, op5_bpe, op6_toxicity, op7_mixing, op8_feistel_sharding, op9_license_scan, op10_piecewise_hash, op11_metric_join, op12_yinyang, op13_runs, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op11_metric_join": metric_join.ORACLE, "op12_yinyang": yinyang.ORACLE}
