@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as fn
 from .functions.descriptors import display_type
-from .operators import cfg, diff, graph, logs, paging, symbols
-from .schemas import RELATIONS
+from .operators import calls, cfg, diff, graph, logs, paging, symbols
+from .operators.graph import checkpointed
+from .schemas import ADJACENCY, RELATIONS
 from .sources import archives
 from .sources.index import IndexStore
 
@@ -82,36 +83,67 @@ class Scope:
         return out
 
     def find_references(self, kind: str, owner: str, name: str | None = None, descriptor: str | None = None, max_nodes: int = 256) -> DataFrame:
-        """Mentions of a type, callers of a method (and of its declaration in direct parents), or accesses of a field, in order, with one further row, flagged truncated, if there is one."""
+        """Mentions of a type, callers of a method (and of its declaration in direct parents), or accesses of a field, in order, with one further row, flagged truncated, if there is one.
+
+        A method or field is resolved first, with or without a descriptor. One that is not exactly one gives its candidates and the outcome, as
+        :meth:`resolve_symbol` does, and no references.
+        """
         owner = owner.replace(".", "/")
         if kind == "type":
             found, order = self.type_refs.where(F.col("target_type") == owner), ["archive_path", "source_owner", "source_member_name", "source_member_desc", "kind"]
-        elif kind == "field":
-            found = self.field_refs.where((F.col("field_owner") == owner) & (F.col("field_name") == name))
-            found, order = found if not (descriptor or "").strip() else found.where(F.col("field_desc") == descriptor), ["archive_path", "source_owner", "source_name", "source_desc", "field_desc"]
-        elif kind == "method":
-            found = symbols.callers(self.calls, owner, name, descriptor, symbols.direct_parents(self.classes, self.interfaces, owner))
-            order = ["ord", "archive_path", "source_owner", "source_name", "source_desc"]
-        else:
+            return graph.first_and_further(found.distinct(), order, max_nodes)
+        if kind not in ("field", "method"):
             raise ValueError(f"unsupported kind: {kind}")
+        named = symbols.resolve(self.fields if kind == "field" else self.methods, self.classes, owner, name, descriptor, kind)
+        first = named.where("outcome = 'resolved'").first()
+        if first is None:
+            return named
+        if kind == "field":
+            found = self.field_refs.where((F.col("field_owner") == owner) & (F.col("field_name") == name) & (F.col("field_desc") == first.descriptor))
+            order = ["archive_path", "source_owner", "source_name", "source_desc", "field_desc"]
+        else:
+            g = self.call_graph
+            parents = g.by_child.where((F.col("child") == owner) & self._bucket(g.by_child, owner)).select("parent").distinct()
+            above = checkpointed(parents.unionByName(self.spark.createDataFrame([(owner,)], "parent string")))
+            found = symbols.callers(calls.near(g.by_target, "target_owner", above, "parent"), owner, name, first.descriptor, parents)
+            order = ["ord", "archive_path", "source_owner", "source_name", "source_desc"]
         return graph.first_and_further(found.distinct(), order, max_nodes)
 
+    @staticmethod
+    def _bucket(table: DataFrame, owner: str):
+        """The folder of a stored adjacency that a type is in."""
+        return F.col("bucket") == calls.bucket_of(F.lit(owner)) if "bucket" in table.columns else F.lit(True)
+
+    @property
+    def call_graph(self) -> calls.CallGraph:
+        """The stored adjacency of the scope's archives."""
+        return calls.CallGraph(*[self.store.read(name, self.archives) for name in ADJACENCY])
+
     def type_hierarchy(self, name: str, depth: int = 8, max_nodes: int = 256) -> DataFrame:
         return graph.type_hierarchy(self.classes, self.interfaces, name.replace(".", "/"), depth, max_nodes)
 
     def method_overrides(self, owner: str, name: str, descriptor: str | None = None, depth: int = 8, max_nodes: int = 256) -> DataFrame:
-        return graph.method_overrides(self.classes, self.interfaces, self.methods, owner.replace(".", "/"), name, descriptor, depth, max_nodes)
-
-    def call_chain(self, owner: str, name: str, descriptor: str, direction: str = "callees", depth: int = 3, max_nodes: int = 128) -> DataFrame:
-        """Callees or callers by levels; nodes are ``owner#name`` with the descriptor, archive_path where they were found. ``both`` gives each, with a budget of its own."""
-        if direction == "both":
-            both = [self.call_chain(owner, name, descriptor, d, depth, max_nodes).withColumn("direction", F.lit(d)) for d in ("callers", "callees")]
-            return both[0].unionByName(both[1])
-        calls, methods, classes, interfaces = self.calls, self.methods, self.classes, self.interfaces
-        step = lambda f: symbols.frontier_callees(f, calls, methods, classes, interfaces) if direction == "callees" else symbols.frontier_callers(f, calls, classes, interfaces)
-        found = graph.bfs(step, f"{owner.replace('.', '/')}#{name}{descriptor}", max(1, depth), graph.Budget(max(1, max_nodes)), name=lambda n: n.rsplit("|", 1)[-1])
-        key = lambda c: F.substring_index(c, "|", -1)
-        return found.select(key("node").alias("node"), F.when(F.col("node").contains("|"), F.substring_index("node", "|", 1)).alias("archive_path"), key("parent").alias("parent"), "depth", "seq", "truncated")
+        """Declarations of a method in related types; without a descriptor the method must be one, else its candidates and the outcome are given."""
+        owner = owner.replace(".", "/")
+        named = symbols.resolve(self.methods, self.classes, owner, name, descriptor)
+        first = named.where("outcome in ('resolved', 'source_ambiguous')").first()
+        if first is None:
+            return named
+        return graph.method_overrides(self.classes, self.interfaces, self.methods, owner, name, first.descriptor, depth, max_nodes)
+
+    def call_chain(self, owner: str, name: str, descriptor: str | None = None, direction: str = "both", depth: int = 3, max_nodes: int = 128) -> DataFrame:
+        """Callees or callers by levels, or both, each with a budget of its own: (direction, node, archive_path, parent, depth, seq, truncated, outcome).
+
+        Nodes are ``owner#name`` with the descriptor, and archive_path where they were found. The method is resolved first; if it is not exactly one, its candidates come with the outcome.
+        """
+        root = self.spark.createDataFrame([(0, owner.replace(".", "/"), name, descriptor)], "root int, owner string, name string, descriptor string")
+        return self.call_chains(root, direction, depth, max_nodes).drop("root")
+
+    def call_chains(self, wanted: DataFrame, direction: str = "both", depth: int = 3, max_nodes: int = 128) -> DataFrame:
+        """:meth:`call_chain` of many methods at once, ``wanted`` (root, owner, name, descriptor or null), with their ``root``."""
+        found = calls.chains(self.call_graph, wanted, self.classes, direction, depth, max_nodes)
+        node = F.concat("owner", F.lit("#"), "name", F.coalesce("descriptor", F.lit("")))
+        return found.select("root", "direction", node.alias("node"), "archive_path", "parent", "depth", "seq", "truncated", "outcome")
 
     def resolve_stacktrace(self, text: str | None = None, file: str | None = None, max_frames: int = 200) -> DataFrame:
         """Log lines by kind, of a text or else of a file; frames with their candidates: archives that hold the class, each with the methods of the name. Frames after ``max_frames`` are flagged skipped."""

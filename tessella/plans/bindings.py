@@ -60,6 +60,29 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.lit("parts").alias("archive_path"), _id("P/", "l_partkey").alias("source_owner"), F.lit("run").alias("source_name"), F.lit("()V").alias("source_desc"), _id("P/", "next").alias("target_owner"), F.lit("run").alias("target_name"), F.lit("()V").alias("target_desc"))
 
 
+def mutual_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls in either direction, so that a search meets its root again."""
+    c = calls(spark, sf_dir)
+    ends = [("source", "target"), ("target", "source")]
+    back = c.select("archive_path", *[F.col(f"{b}_{x}").alias(f"{a}_{x}") for a, b in ends for x in ("owner", "name", "desc")])
+    return c.unionByName(back).distinct()
+
+
+def part_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class for each part, every fifth of them below its brand, and every eleventh once more in another archive."""
+    parent = F.when(F.col("p_partkey") % 5 == 0, _id("B/", "p_brand"))
+    p = table(spark, sf_dir, "part")
+    own = p.select(F.lit("parts").alias("archive_path"), _id("P/", "p_partkey").alias("internal_name"), parent.alias("super_name"))
+    return own.union(p.where("p_partkey % 11 = 0").select(F.lit("spare"), _id("P/", "p_partkey"), F.lit(None).cast("string")))
+
+
+def part_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``run`` of every part, a second one of every seventh, and the first again in another archive for every eleventh."""
+    p = table(spark, sf_dir, "part")
+    row = lambda df, archive, desc: df.select(F.lit(archive).alias("archive_path"), _id("P/", "p_partkey").alias("owner"), F.lit("run").alias("name"), F.lit(desc).alias("descriptor"))
+    return row(p, "parts", "()V").union(row(p.where("p_partkey % 7 = 0"), "parts", "(I)V")).union(row(p.where("p_partkey % 11 = 0"), "spare", "()V"))
+
+
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as methods and turns as instructions: every third turn jumps back two, every fifth is a switch on (the first target its default), every seventh ends."""
     t = F.col("turn")
@@ -86,6 +109,11 @@ calls AS (
          'P/' || b.l_partkey AS target_owner, 'run' AS target_name, '()V' AS target_desc
   FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
   WHERE a.l_partkey <> b.l_partkey),
+mutual AS (SELECT archive_path, source_owner, target_owner FROM calls UNION SELECT archive_path, target_owner, source_owner FROM calls),
+part_classes AS (SELECT 'parts' AS archive_path, 'P/' || p_partkey AS internal_name, CASE WHEN p_partkey % 5 = 0 THEN 'B/' || p_brand END AS super_name FROM part
+  UNION ALL SELECT 'spare', 'P/' || p_partkey, NULL FROM part WHERE p_partkey % 11 = 0),
+part_methods AS (SELECT 'parts' AS archive_path, 'P/' || p_partkey AS owner, 'run' AS name, '()V' AS descriptor FROM part
+  UNION ALL SELECT 'parts', 'P/' || p_partkey, 'run', '(I)V' FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT 'spare', 'P/' || p_partkey, 'run', '()V' FROM part WHERE p_partkey % 11 = 0),
 instructions AS (
   SELECT conv_id AS method, turn AS idx, role AS op,
          CASE WHEN turn % 3 = 2 AND turn >= 2 THEN 'jump' WHEN turn % 5 = 3 AND turn + 2 <= max(turn) OVER (PARTITION BY conv_id) THEN 'switch'

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import cfg, diff, graph, logs, paging, policy, symbols
+from ..operators import calls, cfg, diff, graph, logs, paging, policy, symbols
 from . import bindings as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,7 +224,7 @@ def class_records(spark, sf_dir):
 # --- graphs ------------------------------------------------------------------------------------------
 
 
-def _bfs_sql(edges: str, root: str, depth: int, budget: int, further: bool = False, name: str = "l.node") -> str:
+def _bfs_sql(edges: str, root: str, depth: int, budget: int, further: bool = False) -> str:
     """Breadth-first levels written out: rank new nodes of each level by their first parent, then by name.
 
     With ``further`` the root takes nothing of the budget, and one node beyond it is flagged.
@@ -232,7 +232,7 @@ def _bfs_sql(edges: str, root: str, depth: int, budget: int, further: bool = Fal
     out = f", e AS ({edges}), l0 AS (SELECT {root} AS node, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, 0 AS seq)"
     seen = "SELECT node FROM l0"
     for d in range(1, depth + 1):
-        out += f""", p{d} AS (SELECT e.dst, min(l.seq * 10 + e.ord) AS k FROM l{d - 1} l JOIN e ON e.src = {name} WHERE e.dst NOT IN ({seen}) GROUP BY e.dst),
+        out += f""", p{d} AS (SELECT e.dst, min(l.seq * 10 + e.ord) AS k FROM l{d - 1} l JOIN e ON e.src = l.node WHERE e.dst NOT IN ({seen}) GROUP BY e.dst),
         q{d} AS (SELECT dst, k, row_number() OVER (ORDER BY k, dst) + (SELECT max(seq) FROM l{d - 1}) AS seq FROM p{d}),
         l{d} AS (SELECT q.dst AS node, l.node AS parent, {d} AS depth, q.seq FROM q{d} q JOIN l{d - 1} l ON l.seq = q.k // 10 WHERE q.seq < {budget + 2 * further})"""
         seen += f" UNION ALL SELECT node FROM l{d}"
@@ -270,16 +270,74 @@ def call_chain(spark, sf_dir):
     return graph.bfs(e, _most(e), 3, graph.Budget(128))
 
 
-_KEYED = "SELECT source_owner || '#run()V' AS src, 'parts|' || target_owner || '#run()V' AS dst, 0 AS ord FROM calls"
+def _chains_sql(roots: str, step: str, depth: int, budget: int) -> str:
+    """Levels of many searches at once: ``step`` gives (root, seq, k, archive_path, owner) of the frontier ``f``; k orders what one method leads to."""
+    out = f", l0 AS (SELECT root, archive_path, owner, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, 0 AS seq FROM ({roots}))"
+    for d in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT root, archive_path, owner, seq FROM l{k}" for k in range(d))
+        out += f""", s{d} AS (SELECT root, archive_path, owner, seq FROM ({seen})), e{d} AS ({step.format(f=f"l{d - 1}")}),
+        q{d} AS (SELECT e.root, e.archive_path, e.owner, min(struct_pack(seq := e.seq, k := e.k)) AS first FROM e{d} e ANTI JOIN s{d} s ON s.root = e.root AND s.archive_path = e.archive_path AND s.owner = e.owner GROUP BY ALL),
+        n{d} AS (SELECT q.*, (SELECT max(seq) FROM s{d} s WHERE s.root = q.root) + row_number() OVER (PARTITION BY q.root ORDER BY q.first, q.archive_path, q.owner) AS seq FROM q{d} q),
+        l{d} AS (SELECT n.root, n.archive_path, n.owner, p.owner || '#run()V' AS parent, {d} AS depth, n.seq FROM n{d} n JOIN l{d - 1} p ON p.root = n.root AND p.seq = n.first.seq WHERE n.seq < {budget})"""
+    every = " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(depth + 1))
+    return out + f", chain AS (SELECT root, archive_path, owner, parent, depth, CAST(seq AS INTEGER) AS seq, seq = {budget} - 1 AS truncated FROM ({every}))"
+
+
+#: Stored calls in order, each followed by the method's declarations in direct subtypes of its owner: parts call their brands every 20th part, and parts below a brand override.
+_DOWN_CALLS = """SELECT f.root, f.seq, struct_pack(a := c.archive_path, t := c.target_owner, z := 0, x := '', o := '') AS k, c.archive_path, c.target_owner AS owner FROM {f} f JOIN every c ON c.source_owner = f.owner
+UNION ALL SELECT f.root, f.seq, struct_pack(a := c.archive_path, t := c.target_owner, z := 1, x := m.archive_path, o := m.owner), m.archive_path, m.owner FROM {f} f JOIN every c ON c.source_owner = f.owner
+JOIN (SELECT DISTINCT super_name, internal_name FROM part_classes WHERE super_name IS NOT NULL) k ON k.super_name = c.target_owner JOIN part_methods m ON m.owner = k.internal_name AND m.descriptor = '()V'"""
+_UP_CALLS = """SELECT f.root, f.seq, struct_pack(l := 0, p := '', a := c.archive_path, o := c.source_owner) AS k, c.archive_path, c.source_owner AS owner FROM {f} f JOIN every c ON c.target_owner = f.owner
+UNION ALL SELECT f.root, f.seq, struct_pack(l := 1, p := k.super_name, a := c.archive_path, o := c.source_owner), c.archive_path, c.source_owner FROM {f} f
+JOIN (SELECT DISTINCT super_name, internal_name FROM part_classes WHERE super_name IS NOT NULL) k ON k.internal_name = f.owner JOIN every c ON c.target_owner = k.super_name"""
+_EVERY_CALL = ", every AS (SELECT * FROM mutual UNION ALL SELECT 'parts', 'P/' || p_partkey, 'B/' || p_brand FROM part WHERE p_partkey % 20 = 1)"
+_WANTED = """, resolved AS (SELECT 'P/' || p_partkey AS root, p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AS one FROM part)"""
 
 
-@query(b.with_relations(_bfs_sql(_KEYED, _MOST_CALLS[:-1].replace("SELECT source_owner", "SELECT source_owner || '#run()V'") + ")", 2, 64, name="regexp_replace(l.node, '^.*[|]', '')")))
+def _part_graph(spark, sf_dir) -> calls.CallGraph:
+    """Calls of parts both ways, calls of brands by every 20th part, and parts below brands."""
+    part = b.table(spark, sf_dir, "part").where("p_partkey % 20 = 1")
+    up = part.select(F.lit("parts").alias("archive_path"), *[x for side, name in (("source", F.concat(F.lit("P/"), "p_partkey")), ("target", F.concat(F.lit("B/"), "p_brand"))) for x in (name.alias(f"{side}_owner"), F.lit("run").alias(f"{side}_name"), F.lit("()V").alias(f"{side}_desc"))])
+    every = b.mutual_calls(spark, sf_dir).unionByName(up)
+    none = b.interfaces(spark, sf_dir).limit(0)
+    made = calls.CallGraph.of(every, b.part_classes(spark, sf_dir), none, b.part_methods(spark, sf_dir))
+    # Calls are a join of line items here; a search reads them at every level, so that they are written once.
+    kept = graph.checkpointed(made.by_source)
+    return calls.CallGraph(kept, kept, made.by_parent, made.by_child, made.methods)
+
+
+@query(b.with_relations(_EVERY_CALL + _chains_sql(f"SELECT 0 AS root, 'parts' AS archive_path, {_MOST_CALLS} AS owner", _DOWN_CALLS, 2, 64) + "SELECT archive_path, owner, parent, depth, seq, truncated FROM chain"))
 def call_chain_by_frontier(spark, sf_dir):
-    """The same on methods with their archives, where each level joins the calls of its own methods alone."""
-    calls, methods, classes, interfaces = b.calls(spark, sf_dir), b.methods(spark, sf_dir), b.classes(spark, sf_dir), b.interfaces(spark, sf_dir)
-    root = _most(calls.select(F.col("source_owner").alias("src")))
-    step = lambda frontier: symbols.frontier_callees(frontier, calls, methods, classes, interfaces)
-    return graph.bfs(step, f"{root}#run()V", 2, graph.Budget(64), name=lambda n: n.rsplit("|", 1)[-1])
+    """Callees of a method that its callees call back: the root, which has its archive, does not come again."""
+    g = _part_graph(spark, sf_dir)
+    root = _most(b.calls(spark, sf_dir).select(F.col("source_owner").alias("src")))
+    roots = spark.createDataFrame([(0, "parts", root, "run", "()V")], "root int, archive_path string, owner string, name string, descriptor string")
+    return calls.search(lambda f: calls.callees(g, f), roots, 2, 64).select("archive_path", "owner", "parent", "depth", "seq", "truncated")
+
+
+def _all_parts(spark, sf_dir):
+    return b.table(spark, sf_dir, "part").select(F.concat(F.lit("P/"), "p_partkey").alias("root"), F.concat(F.lit("P/"), "p_partkey").alias("owner"), F.lit("run").alias("name"), F.lit(None).cast("string").alias("descriptor"))
+
+
+def _all_chains_sql(step: str, depth: int, budget: int) -> str:
+    """Chains of the parts whose method is one, and the candidates of the others with the outcome."""
+    body = _chains_sql("SELECT root, 'parts' AS archive_path, root AS owner FROM resolved WHERE one", step, depth, budget)
+    return b.with_relations(_EVERY_CALL + _WANTED + body + """ SELECT root, archive_path, owner, '()V' AS descriptor, parent, depth, seq, truncated, 'resolved' AS outcome FROM chain
+UNION ALL SELECT r.root, m.archive_path, m.owner, m.descriptor, NULL, NULL, NULL, false, 'overload_ambiguous' FROM resolved r JOIN part_methods m ON m.owner = r.root WHERE NOT r.one""")
+
+
+@query(_all_chains_sql(_DOWN_CALLS, 2, 24))
+def call_chains_of_all(spark, sf_dir):
+    """Callees of every part's method at once, each search with known methods and a budget of its own; methods that are not one are told."""
+    found = calls.chains(_part_graph(spark, sf_dir), _all_parts(spark, sf_dir), b.part_classes(spark, sf_dir), "callees", 2, 24)
+    return found.select("root", "archive_path", "owner", "descriptor", "parent", "depth", "seq", "truncated", "outcome")
+
+
+@query(_all_chains_sql(_UP_CALLS, 2, 16))
+def caller_chains_of_all(spark, sf_dir):
+    """Callers of every part's method at once, those of its brand's method after its own."""
+    found = calls.chains(_part_graph(spark, sf_dir), _all_parts(spark, sf_dir), b.part_classes(spark, sf_dir), "callers", 2, 16)
+    return found.select("root", "archive_path", "owner", "descriptor", "parent", "depth", "seq", "truncated", "outcome")
 
 
 @query(b.with_relations(f"""SELECT source_owner, target_owner, r > 5 AS truncated FROM (SELECT *, row_number() OVER (ORDER BY source_owner) AS r FROM calls WHERE target_owner = {_MOST_CALLED}) WHERE r <= 6"""))

@@ -1,6 +1,6 @@
 """Schemas of the symbol relations that archives are read into."""
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 #: The relation of class files' facts: one row of a kind, with the columns that the kind has.
 FACTS = (
     "archive_path string, entry string, kind string, owner string, name string, descriptor string, access int, seq int, opcode int, "
@@ -24,3 +24,12 @@ RELATIONS = {
     "annotations": "archive_path string, owner string, name string, descriptor string, seq int, annotation string",
     "failures": FAILURES,
 }
+_CALLS = f"archive_path string, {_METHOD}, target_owner string, target_name string, target_desc string"
+#: The stored adjacency, in the order of ``CallGraph``: by the type that each is sorted and cut into buckets by.
+ADJACENCY = {
+    "calls_by_source": ("source_owner", _CALLS),
+    "calls_by_target": ("target_owner", _CALLS),
+    "types_by_parent": ("parent", "archive_path string, parent string, child string"),
+    "types_by_child": ("child", "archive_path string, parent string, child string"),
+    "methods_by_owner": ("owner", "archive_path string, owner string, name string, descriptor string"),
+}

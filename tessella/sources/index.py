@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import QUALIFIED, object_types, resource_type
+from ..operators.calls import bucket_of
 from ..operators.graph import closure, type_edges
 from ..operators.policy import class_entries, multi_release, refresh_plan
-from ..schemas import FACTS, FAILURES, RELATIONS, SCHEMA_VERSION
+from ..schemas import ADJACENCY, FACTS, FAILURES, RELATIONS, SCHEMA_VERSION
 from . import archives, classfile
 from .xml_resources import xml_mentions
 
 MAX_TEXT = 1_000_000
+#: Files that a bucket of a stored adjacency is dealt out to at most, by types.
+PARTS = 4
 _TYPE_KINDS = {187: "new", 189: "anewarray", 192: "checkcast", 193: "instanceof", 197: "multi-anewarray"}
 
 
@@ -61,18 +64,37 @@ def relations_of(facts: DataFrame, resources: DataFrame) -> dict[str, DataFrame]
     }
 
 
-def class_hierarchy_calls(virtual: DataFrame, classes: DataFrame, interfaces: DataFrame, methods: DataFrame) -> DataFrame:
-    """Calls that virtual calls may also reach: declarations of the method in all subtypes, within an archive."""
+def class_hierarchy_calls(virtual: DataFrame, classes: DataFrame, interfaces: DataFrame, methods: DataFrame, split: int = 1 << 16) -> DataFrame:
+    """Calls that virtual calls may also reach: declarations of the method in all subtypes, within an archive.
+
+    What meets the type graph are distinct signatures: declarations of a name and descriptor that are called at all take the supertypes of their owner, and
+    those pairs whose supertype is called by that name and descriptor are what the calls are joined with. Calls are not multiplied by subtypes that declare
+    nothing. A signature with more than ``split`` calls is cut into so many.
+    """
+    callee = ["archive_path", "target_owner", "target_name", "target_desc"]
+    called = virtual.groupBy(*callee).agg(F.ceil(F.count("*") / split).cast("int").alias("cuts"))
     tag = lambda a, n: F.concat_ws("\0", a, n)
     up = type_edges(classes, interfaces)
-    called = virtual.select(tag("archive_path", "target_owner").alias("src"))
-    below = closure(up.select(tag("archive_path", "parent").alias("src"), tag("archive_path", "child").alias("dst")), called)
-    below = below.select(F.split("src", "\0")[0].alias("archive_path"), F.split("src", "\0")[1].alias("target_owner"), F.split("dst", "\0")[1].alias("sub"))
-    declared = methods.select("archive_path", F.col("owner").alias("sub"), F.col("name").alias("target_name"), F.col("descriptor").alias("target_desc"))
-    found = virtual.join(below, ["archive_path", "target_owner"]).join(declared, ["archive_path", "sub", "target_name", "target_desc"])
+    pairs = closure(up.select(tag("archive_path", "parent").alias("src"), tag("archive_path", "child").alias("dst")), called.select(tag("archive_path", "target_owner").alias("src")))
+    part = lambda c, k: F.split(c, "\0")[k]
+    pairs = pairs.select(part("src", 0).alias("archive_path"), part("src", 1).alias("target_owner"), part("dst", 1).alias("sub"))
+    declared = methods.select("archive_path", F.col("owner").alias("sub"), F.col("name").alias("target_name"), F.col("descriptor").alias("target_desc")).distinct()
+    declared = declared.join(called.select("archive_path", "target_name", "target_desc").distinct(), ["archive_path", "target_name", "target_desc"], "left_semi")
+    reached = declared.join(pairs, ["archive_path", "sub"]).join(called, callee)
+    reached = reached.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+    hot = called.where("cuts > 1")
+    calls = virtual.join(hot, callee, "left").withColumn("cut", F.pmod(F.xxhash64("source_owner", "source_name", "source_desc"), F.coalesce("cuts", F.lit(1))).cast("int")).drop("cuts")
+    found = calls.join(reached, [*callee, "cut"])
     return found.select("archive_path", "source_owner", "source_name", "source_desc", F.col("sub").alias("target_owner"), "target_name", "target_desc")
 
 
+def adjacency(calls: DataFrame, classes: DataFrame, interfaces: DataFrame, methods: DataFrame) -> dict[str, DataFrame]:
+    """The relations of ADJACENCY, each with its rows' ``bucket``."""
+    types = type_edges(classes, interfaces).select("archive_path", "parent", "child").distinct()
+    of = {"calls": calls, "types": types, "methods": methods}
+    return {name: of[name.split("_")[0]].select(*[c.split()[0] for c in schema.split(", ")], bucket_of(key).alias("bucket")) for name, (key, schema) in ADJACENCY.items()}
+
+
 def type_references(facts: DataFrame, resources: DataFrame, virtual: DataFrame) -> DataFrame:
     """(archive_path, source_owner, source_member_name, source_member_desc, target_type, kind): every mention of a type."""
     def rows(where: str, kind, target, method: bool = True):
@@ -146,6 +168,11 @@ class IndexStore:
 
     def _write(self, name: str, df: DataFrame, generation: int) -> DataFrame:
         rows = df.withColumn("generation", F.lit(generation).cast("long"))
+        if name in ADJACENCY:
+            key = ADJACENCY[name][0]
+            # A folder for each bucket, in which rows stand by their type: few row groups hold what is asked for.
+            rows.repartition("bucket", F.pmod(F.xxhash64(key, F.lit("part")), F.lit(PARTS))).sortWithinPartitions("bucket", key).write.mode("append").partitionBy("generation", "bucket").parquet(f"{self.path}/{name}")
+            return df
         rows.write.mode("append").partitionBy("generation").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}").where(F.col("generation") == generation).drop("generation")
 
@@ -178,6 +205,8 @@ class IndexStore:
         resources = other.where("error_type is null").select("archive_path", F.col("entry").alias("entry_path"), "resource_type", "text_content")
         found = relations_of(facts, resources)
         made = {name: self._write(name, found[name].select(*[c.split()[0] for c in schema.split(", ")]), generation) for name, schema in RELATIONS.items()}
+        for name, rows in adjacency(*[made[k] for k in ("calls", "classes", "interfaces", "methods")]).items():
+            self._write(name, rows, generation)
         bad = other.where("error_type is not null").select("archive_path", "error_type", "message")
         done = plan.join(bad, "archive_path", "left_anti").select("archive_path", "fingerprint")
         self._name(done.unionByName(gone.select("archive_path", F.lit(None).cast("string").alias("fingerprint"))), generation)
@@ -201,7 +230,7 @@ class IndexStore:
         current = self.manifest().select(F.col("archive_path").alias("_outer"), "generation")
         if scope is not None:
             current = current.join(scope.select(F.col("archive_path").alias("_outer")).distinct(), "_outer", "left_semi")
-        schema = f"{FACTS if name == 'facts' else RELATIONS[name]}, generation long"
+        schema = f"{ADJACENCY[name][1]}, generation long, bucket int" if name in ADJACENCY else f"{FACTS if name == 'facts' else RELATIONS[name]}, generation long"
         rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}").withColumn("_outer", F.regexp_replace("archive_path", r"!/.*", ""))
         return rows.join(current, ["_outer", "generation"], "left_semi").drop("_outer", "generation")
 
@@ -209,7 +238,7 @@ class IndexStore:
         """Delete the generations that no archive's newest rows are in; returns their folders. No other attempt may be under way."""
         kept = {f"generation={r.generation}" for r in self.manifest().select("generation").distinct().toLocalIterator()}
         jvm, removed = self.spark._jvm, []
-        for name in (*RELATIONS, "facts", "others", "plan"):
+        for name in (*RELATIONS, *ADJACENCY, "facts", "others", "plan"):
             where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             system = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
             for status in system.listStatus(where) if system.exists(where) else []:

@@ -182,7 +182,95 @@ def test_references_are_cut_in_order(spark, world):
     some = scope.find_references("type", "demo.Child", max_nodes=2).collect()
     assert len(every) > 3 and not any(r.truncated for r in every)
     assert [r.truncated for r in some] == [False, False, True] and [r[:-1] for r in some] == [r[:-1] for r in every[:3]]
-    assert scope.find_references("field", "demo.Base", "n", "I").count() == 1 and scope.find_references("field", "demo.Base", "n", "J").count() == 0
+    assert scope.find_references("field", "demo.Base", "n").count() == scope.find_references("field", "demo.Base", "n", "I").count() == 1
+    assert [(r.descriptor, r.outcome) for r in scope.find_references("field", "demo.Base", "n", "J").collect()] == [("I", "descriptor_mismatch")]
+    assert [r.outcome for r in scope.find_references("method", "demo.Base", "none").collect()] == ["method_not_found"]
+    without, exact = (sorted((r.source_owner, r.source_name, r.ord) for r in scope.find_references("method", "demo.Child", "value", d).collect()) for d in (None, "()I"))
+    assert without == exact == [("demo/Child", "run", 0), ("demo/Main", "run", 0)]
+
+
+@pytest.fixture(scope="module")
+def looped(spark, tmp_path_factory):
+    """Methods that call each other, through an interface too, and one that two archives have."""
+    folder = tmp_path_factory.mktemp("loops")
+    build(folder, "loop", {
+        "x/A.java": "package x; public class A implements Step { public void go() { B.go(); } public void step() { go(); } }",
+        "x/B.java": "package x; public class B { static void go() { new A().go(); C.ask(new A()); } }",
+        "x/C.java": "package x; public class C { static void ask(Step s) { s.step(); } static void ask(int n) { } }",
+        "x/Step.java": "package x; public interface Step { void step(); }",
+        "y/Twice.java": "package y; public class Twice implements x.Step { public void step() { } }",
+    })
+    build(folder, "more", {"y/Twice.java": "package y; public class Twice { public void step() { } }"})
+    from tessella.api import Scope
+
+    return folder, Scope(spark, str(folder / "jars"), str(folder / "index"))
+
+
+def test_call_chains_with_cycles(spark, looped):
+    _, scope = looped
+    down = scope.call_chain("x.A", "go", direction="callee", depth=4).orderBy("seq").collect()
+    assert [(r.node, r.depth) for r in down if "init" not in r.node] == [("x/A#go()V", 0), ("x/B#go()V", 1), ("x/C#ask(Lx/Step;)V", 2), ("x/A#step()V", 3), ("x/Step#step()V", 3), ("y/Twice#step()V", 3), ("y/Twice#step()V", 3)]
+    assert len({(r.archive_path, r.node) for r in down}) == len(down) and {r.archive_path.rsplit("/", 1)[1] for r in down if "Twice" in r.node} == {"loop.jar", "more.jar"}
+    assert all(r.archive_path for r in down) and not any(r.truncated for r in down)
+    up = scope.call_chain("x.Step", "step", direction="callers").orderBy("seq").collect()
+    assert [r.node for r in up] == ["x/Step#step()V", "x/C#ask(Lx/Step;)V", "x/B#go()V", "x/A#go()V"] and [r.parent for r in up[2:]] == ["x/C#ask(Lx/Step;)V", "x/B#go()V"]
+    cut = scope.call_chain("x.A", "go", direction="callees", depth=9, max_nodes=2).collect()
+    assert sorted((r.seq, r.truncated) for r in cut) == [(0, False), (1, True)]
+    assert [(r.outcome, r.seq) for r in scope.call_chain("x.C", "ask").collect()] == [("overload_ambiguous", None)] * 2
+    assert [r.outcome for r in scope.call_chain("x.C", "ask", "(J)V").collect()] == ["descriptor_mismatch"] * 2
+    assert [r.outcome for r in scope.call_chain("y.Twice", "step", "()V").collect()] == ["source_ambiguous"] * 2
+    assert [r.outcome for r in scope.method_overrides("x.C", "ask").collect()] == ["overload_ambiguous"] * 2
+
+
+def test_many_chains_are_the_single_ones(spark, looped):
+    _, scope = looped
+    methods = scope.methods.where("owner like 'x/%'").select("owner", "name", "descriptor").distinct().collect()
+    wanted = spark.createDataFrame([(i, *r) for i, r in enumerate(methods)], "root int, owner string, name string, descriptor string")
+    many = scope.call_chains(wanted, depth=3, max_nodes=4).collect()
+    for i, r in enumerate(methods):
+        one = {tuple(x) for x in scope.call_chain(*r, depth=3, max_nodes=4).collect()}
+        assert {tuple(x)[1:] for x in many if x.root == i} == one, r
+
+
+def test_a_level_reads_its_own_folders_alone(spark, looped):
+    from tessella.operators import calls
+
+    _, scope = looped
+    every = scope.store.read("calls_by_source", scope.archives)
+    frontier = spark.createDataFrame([("x/B",)], "owner string")
+    some = calls.near(every, "source_owner", frontier, "owner")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.split("\n") if "calls_by_source" in x)
+    assert "bucket" in scan.split("PartitionFilters:")[1].split("PushedFilters")[0] and "EqualTo(source_owner,x/B)" in scan
+    assert {r.source_owner for r in some.collect()} == {"x/B"} and some.count() == every.where("source_owner = 'x/B'").count() > 0
+    same = lambda a, b: sorted(map(tuple, a.drop("bucket").collect())) == sorted(map(tuple, b.collect()))
+    assert same(every, scope.calls) and same(scope.store.read("calls_by_target", scope.archives), scope.calls)
+
+
+@pytest.mark.parametrize("split", [1 << 16, 2])
+def test_class_hierarchy_calls_by_signature(spark, split):
+    import random
+
+    from tessella.sources.index import class_hierarchy_calls
+
+    rng = random.Random(4)
+    types = [f"T{i}" for i in range(12)]
+    up = {(a, t, rng.choice(types[:i])) for a in "ab" for i, t in enumerate(types) if i for _ in range(2)}
+    declared = {(rng.choice("ab"), rng.choice(types), rng.choice("fg"), "()V") for _ in range(30)}
+    virtual = [(rng.choice("ab"), f"S{rng.randrange(4)}", "m", "()V", rng.choice(types), rng.choice("fg"), "()V") for _ in range(60)]
+    below = set(up)
+    while True:
+        more = {(a, s, q) for a, s, p in below for b, t, q in up if a == b and t == p} | below
+        if more == below:
+            break
+        below = more
+    want = {(a, so, sn, sd, s, n, d) for a, so, sn, sd, t, n, d in virtual for b, s, p in below if a == b and p == t and (a, s, n, d) in declared}
+    classes = spark.createDataFrame([(a, t, None) for a in "ab" for t in types], "archive_path string, internal_name string, super_name string")
+    interfaces = spark.createDataFrame(sorted(up), "archive_path string, owner string, interface_name string")
+    methods = spark.createDataFrame(sorted(declared), "archive_path string, owner string, name string, descriptor string")
+    calls = spark.createDataFrame(virtual, "archive_path string, source_owner string, source_name string, source_desc string, target_owner string, target_name string, target_desc string")
+    found = class_hierarchy_calls(calls, classes, interfaces, methods, split).collect()
+    assert {tuple(r) for r in found} == want and len(found) == sum((a, so, sn, sd, t, n, d) in virtual and (b, s, p) in below and a == b and p == t and (a, s, n, d) in declared for a, so, sn, sd, t, n, d in virtual for b, s, p in below)
 
 
 def test_archives_in_numbers(annotated):

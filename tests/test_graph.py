@@ -86,13 +86,6 @@ def test_hierarchies_with_diamonds(spark, budget):
     assert near == {"B": 0, "D": 1, "E": 2}
 
 
-def test_search_by_frontier(spark):
-    df = spark.createDataFrame([("a", "x|b"), ("b", "x|c"), ("b", "y|c")], "src string, dst string").withColumn("ord", F.lit(0))
-    step = lambda frontier: df.join(F.broadcast(frontier), "src")
-    found = graph.bfs(step, "x|a", 3, graph.Budget(9), name=lambda n: n.split("|")[1]).orderBy("seq").collect()
-    assert [(r.node, r.parent) for r in found] == [("x|a", None), ("x|b", "x|a"), ("x|c", "x|b"), ("y|c", "x|b")]
-
-
 def test_wildcards_are_literal_elsewhere(spark):
     df = spark.createDataFrame([("a.b(c)",), ("axb(c)",)], "t string")
     assert [r.t for r in df.where(fn.match("t", "a.b(*", "wildcard")).collect()] == ["a.b(c)"]
