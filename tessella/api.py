@@ -181,11 +181,11 @@ class Scope:
         return out.withColumns({c: F.coalesce(c, F.array().cast(kinds[c])) for c in ("interfaces", "annotations", "fields", "methods")})
 
     def show_bytecode(self, class_name: str) -> DataFrame:
-        """A class's instructions in order: (archive_path, method, idx, opcode, operand, targets)."""
+        """A class's instructions in order: (archive_path, method, idx, opcode, instruction, operand, targets), instruction the opcode's name."""
         code = self._facts(class_name).where("kind = 'instruction'")
         member = F.concat(F.col("ref_owner"), F.when(F.col("ref_name").isNotNull(), F.concat(F.lit("#"), "ref_name", "ref_desc")).otherwise(""))
         operand = F.coalesce("text", F.when(F.col("ref_owner").isNotNull(), member).otherwise(F.concat("ref_name", "ref_desc")))
-        return code.select("archive_path", F.concat("name", "descriptor").alias("method"), F.col("seq").alias("idx"), "opcode", operand.alias("operand"), "targets").orderBy("archive_path", "method", "idx")
+        return code.select("archive_path", F.concat("name", "descriptor").alias("method"), F.col("seq").alias("idx"), "opcode", cfg.opcode_name("opcode").alias("instruction"), operand.alias("operand"), "targets").orderBy("archive_path", "method", "idx")
 
     def show_cfg(self, class_name: str, method: str, descriptor: str | None = None, format: str = "mermaid") -> DataFrame:
         """(method, diagram) of the control flow of a class's methods of a name, as mermaid or plantuml or both; a method without code is empty."""

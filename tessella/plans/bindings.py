@@ -131,7 +131,7 @@ marked AS (
 blocked AS (SELECT method, idx, op, kind, CAST(sum(leader) OVER (PARTITION BY method ORDER BY idx) - 1 AS BIGINT) AS block FROM marked),
 tails AS (SELECT b.* FROM blocked b WHERE idx = (SELECT max(idx) FROM blocked c WHERE c.method = b.method AND c.block = b.block)),
 flow AS (
-  SELECT method, from_block, to_block, arg_min(kind, ord) AS kind FROM (
+  SELECT method, from_block, to_block, arg_min(kind, ord) AS kind, min(ord) AS ord FROM (
     SELECT t.method, t.block AS from_block, b.block AS to_block, g.kind, g.ord
     FROM tails t JOIN targets g ON g.method = t.method AND g.idx = t.idx JOIN blocked b ON b.method = g.method AND b.idx = g.target
     UNION ALL

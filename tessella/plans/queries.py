@@ -418,7 +418,7 @@ def cfg_blocks(spark, sf_dir):
 @query(b.with_relations("SELECT method, from_block, to_block, kind FROM flow"))
 def cfg_edges(spark, sf_dir):
     """G14."""
-    return cfg.edges(cfg.blocks(b.instructions(spark, sf_dir)))
+    return cfg.edges(cfg.blocks(b.instructions(spark, sf_dir))).select("method", "from_block", "to_block", "kind")
 
 
 @query(b.with_relations("""SELECT method, generate_series AS from_block, h AS to_block, 'exception' AS kind FROM (
@@ -427,11 +427,11 @@ FROM blocked s JOIN blocked t ON t.method = s.method AND t.idx = 4 LEFT JOIN blo
 def cfg_exceptions(spark, sf_dir):
     """The blocks of a guarded range, or up to the method's last where its end is missing, to the handler's block."""
     blocked = cfg.blocks(b.instructions(spark, sf_dir))
-    return cfg.exception_edges(blocked, _handlers(blocked, "x/E"))
+    return cfg.exception_edges(blocked, _handlers(blocked, "x/E")).select("method", "from_block", "to_block", "kind")
 
 
 def _handlers(blocked, caught):
-    return blocked.select("method").distinct().select("method", F.lit(1).cast("long").alias("start"), F.lit(7).cast("long").alias("end"), F.lit(4).cast("long").alias("handler"), F.lit(caught).cast("string").alias("type"))
+    return blocked.select("method").distinct().select("method", F.lit(1).cast("long").alias("start"), F.lit(7).cast("long").alias("end"), F.lit(4).cast("long").alias("handler"), F.lit(caught).cast("string").alias("type"), F.lit(0).cast("long").alias("ord"))
 
 
 _LABELS = """, lines AS (SELECT method, block, string_agg(idx || ': ' || op, '\\n' ORDER BY idx) FILTER (n <= 3) AS label FROM (SELECT *, row_number() OVER (PARTITION BY method, block ORDER BY idx) AS n FROM blocked) GROUP BY ALL)"""
@@ -443,7 +443,7 @@ def cfg_labels(spark, sf_dir):
     return cfg.labels(cfg.blocks(b.instructions(spark, sf_dir)))
 
 
-_NODES, _ARROWS = "(SELECT string_agg({}, chr(10) ORDER BY block) FROM lines n WHERE n.method = m.method)", "coalesce((SELECT chr(10) || string_agg({}, chr(10) ORDER BY from_block, to_block) FROM flow f WHERE f.method = m.method), '')"
+_NODES, _ARROWS = "(SELECT string_agg({}, chr(10) ORDER BY block) FROM lines n WHERE n.method = m.method)", "coalesce((SELECT chr(10) || string_agg({}, chr(10) ORDER BY from_block, ord) FROM flow f WHERE f.method = m.method), '')"
 
 
 @query(b.with_relations(_LABELS + "SELECT method, 'graph TD' || chr(10) || " + _NODES.format("""'  B' || block || '["' || label || '"]'""") + " || " + _ARROWS.format("'  B' || from_block || ' -->|' || kind || '| B' || to_block") + " AS diagram FROM (SELECT DISTINCT method FROM blocked) m"))

@@ -96,8 +96,8 @@ def instructions(code: bytes) -> Iterator[tuple[int, int, int, list[int]]]:
                 at = p + 8 + 8 * first
             yield start, op, 0, targets
             continue
-        if op == 196:
-            n = 5 if code[at + 1] == 132 else 3
+        if op == 196:  # the instruction that it widens counts
+            n, op = (5, 132) if code[at + 1] == 132 else (3, code[at + 1])
         operand = int.from_bytes(code[at + 1 : at + 1 + min(n, 2)]) if n > 0 else 0
         if op in JUMPS:
             targets = [start + int.from_bytes(code[at + 1 : at + 1 + n], signed=True)]

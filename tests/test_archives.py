@@ -350,13 +350,29 @@ def test_control_flow_of_real_code(annotated):
     _, scope = annotated
     chart = scope.show_cfg("demo.Worker", "pick").collect()
     assert len(chart) == 1 and chart[0].method == "demo/Worker#pick(I)I"
-    lines = chart[0].diagram.split("\n")
-    assert lines[0] == "graph TD" and lines[1].startswith('  B0["0: ') and sum("|case|" in x for x in lines) == 2 and sum("|default|" in x for x in lines) == 1
+    assert chart[0].diagram.split("\n") == [
+        "graph TD", '  B0["0: ILOAD\\n1: LOOKUPSWITCH"]', '  B1["2: ICONST_5\\n3: IRETURN"]', '  B2["4: BIPUSH\\n5: IRETURN"]', '  B3["6: BIPUSH\\n7: IRETURN"]',
+        "  B0 -->|default| B3", "  B0 -->|case| B1", "  B0 -->|case| B2",
+    ]
     guarded = scope.show_cfg("demo.Worker", "guarded", format="both").first().diagram
+    kinds = [x.split("|")[1] for x in guarded.split("@startuml")[0].split("\n") if "-->" in x]
+    # Edges of exceptions come after all others, in the order of their handlers.
+    assert kinds.index("exception") < kinds.index("finally") and all(k in ("exception", "finally") for k in kinds[kinds.index("exception") :]) and "jump" in kinds
+    assert 'B0["0: ALOAD\\n1: INVOKEVIRTUAL\\n2: ALOAD"]' in guarded
     assert "|exception|" in guarded and "|finally|" in guarded and "@startuml" in guarded and guarded.endswith("@enduml") and " : finally" in guarded
     code = scope.show_bytecode("demo.Worker").where("method = 'guarded()V'").collect()
     assert [r.idx for r in code[:3]] == [0, 1, 2] or len(code) > 5
-    assert any((r.operand or "").startswith("demo/Worker#run") for r in code)
+    assert any((r.operand or "").startswith("demo/Worker#run") and r.instruction == "INVOKEVIRTUAL" for r in code)
+
+
+def test_opcode_names():
+    from tessella.operators.cfg import NAMES
+    from tessella.sources.classfile import instructions
+
+    assert sorted(NAMES) == list(range(202))
+    some = {0: "NOP", 8: "ICONST_5", 20: "LDC", 25: "ALOAD", 26: "ILOAD", 45: "ALOAD", 46: "IALOAD", 53: "SALOAD", 58: "ASTORE", 78: "ASTORE", 83: "AASTORE", 86: "SASTORE", 95: "SWAP", 99: "DADD", 119: "DNEG", 131: "LXOR", 132: "IINC", 133: "I2L", 144: "D2F", 147: "I2S", 152: "DCMPG", 153: "IFEQ", 166: "IF_ACMPNE", 171: "LOOKUPSWITCH", 177: "RETURN", 178: "GETSTATIC", 181: "PUTFIELD", 186: "INVOKEDYNAMIC", 191: "ATHROW", 197: "MULTIANEWARRAY", 199: "IFNONNULL", 200: "GOTO"}
+    assert {k: NAMES[k] for k in some} == some
+    assert [(at, op) for at, op, *_ in instructions(bytes([196, 132, 1, 0, 0, 1, 196, 21, 1, 0, 172]))] == [(0, 132), (6, 21), (10, 172)]
 
 
 def test_scopes_share_an_index_but_not_archives(spark, annotated):
