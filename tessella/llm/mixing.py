@@ -162,37 +162,49 @@ def mix_blocks(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: st
 
 
 def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, shards.
 
     size: the words of the text (null: none). A source's words stand in one row, in an order that a hash of doc_id and
     text fixes, and are cut into blocks of ``block`` words, of fewer in sources so small that whole ones would miss their target; ``taken`` counts the words of the document's blocks that
     the mix draws, 2 times its size at most. Null sources form one source, the last; texts without words
-    take nothing; repeated rows have words and draws of their own. An empty table gives an empty result. Other
+    take nothing; repeated rows have words and draws of their own. ``shards`` says in which output shards the taken words are, as ``shard:words`` in order, joined by commas. An empty table gives an empty result. Other
     columns of ``docs`` are not looked at. The draws depend on the rows and the seed alone.
     """
     rows, runs = mix_blocks(docs, block, seed)
-    taken = runs.groupBy("rank", "at").agg(F.sum("words").alias("taken"))
+    by_shard = runs.groupBy("rank", "at", "shard").agg(F.sum("words").alias("words"))
+    each = F.array_sort(F.collect_list(F.struct("shard", "words")))
+    taken = by_shard.groupBy("rank", "at").agg(F.sum("words").alias("taken"), F.array_join(F.transform(each, lambda x: F.concat_ws(":", x["shard"], x["words"])), ",").alias("shards"))
     # Documents without words share their place with the next one, and take nothing.
     found = rows.join(taken, ["rank", "at"], "left").withColumn("taken", F.when(F.col("size") > 0, F.col("taken")))
-    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.when(F.col("size") > 0, F.coalesce("shards", F.lit(""))).otherwise("").alias("shards"))
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """The mix itself, with the columns of ``documents``: for each turn, a document's drawn words in their order.
+def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED, by_shard: bool = False) -> DataFrame:
+    """The mix itself, with the columns of ``documents``: for each turn, a document's drawn words in their order; ``by_shard`` for each turn and output shard, with column shard.
 
     A document drawn whole keeps its text as it is; otherwise text holds the drawn words, joined by spaces, and
-    n_chars its length. Documents of which nothing is drawn are left out.
+    n_chars its length. Documents of which nothing is drawn, as empty and null texts, are left out. Null ids, languages and sources are values as any other.
+    Rows that agree in id, text and source are one document in as many copies; which of their languages and n_chars a copy has is fixed by these values, whatever
+    the order of the input. An empty table gives an empty result; other columns are not looked at, whatever their names.
     """
     rows, runs = mix_blocks(docs, block, seed)
-    drawn = runs.groupBy("rank", "at", "turn").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("runs"))
-    key = lambda digest: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest, F.coalesce("source", F.lit("\0null")))
-    drawn = rows.where("size > 0").join(drawn, ["rank", "at"]).select(key(F.col("text_sha256")).alias("_key"), "copy", "runs")
-    once = Window.partitionBy("_own").orderBy(F.lit(0))
-    docs = docs.select(*DOCUMENT_COLUMNS).withColumn("_own", key(F.sha2(text_of("text").cast("binary"), 256)))
-    docs = docs.withColumn("_n", (F.row_number().over(once) - 1).cast("long"))
-    both = docs.join(drawn, (F.col("_own") == F.col("_key")) & (F.col("_n") == F.col("copy")))
+    part = ["turn", "shard"] if by_shard else ["turn"]
+    drawn = runs.groupBy("rank", "at", *part).agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("runs"))
+    text_or = lambda c, none: F.coalesce(F.col(c).cast("string"), F.lit(none))
+    key = lambda digest: F.concat_ws("|", text_or("doc_id", "null"), digest, text_or("source", "\0null"))
+    drawn = rows.where("size > 0").join(drawn, ["rank", "at"]).select(key(F.col("text_sha256")).alias("_own"), "copy", *part, "runs")
+    docs = docs.select(*DOCUMENT_COLUMNS).withColumn("_own", key(F.sha2(text_of("text").cast("binary"), 256))).withColumn("_kind", F.concat_ws("|", text_or("lang", "\0"), text_or("n_chars", "\0")))
+    # Copies are numbered by kind: of equal rows one is read and all copies of its kind, however many, are made of it.
+    kinds = docs.groupBy("_own", "_kind").agg(F.count("*").alias("_many"))
+    before = Window.partitionBy("_own").orderBy("_kind").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.withColumn("_from", F.coalesce(F.sum("_many").over(before), F.lit(0)))
+    drawn = drawn.join(kinds, "_own").where("copy >= _from and copy < _from + _many").select("_own", "_kind", *part, "runs")
+    once = Window.partitionBy("_own", "_kind").orderBy("n_chars")
+    docs = docs.withColumn("_n", F.row_number().over(once)).where("_n = 1")
+    both = docs.join(drawn, ["_own", "_kind"])
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     # The outer array of one binds the words, so that they are found once for a text and not for each of its runs.
     some = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, r["start"] + 1, r["words"]))), " "))[0]
     whole = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["words"]) == word_count(F.col("text"))
-    return both.select("doc_id", F.when(whole, F.col("text")).otherwise(some).alias("text"), "lang", "source", "n_chars").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    out = both.select("doc_id", F.when(whole, F.col("text")).otherwise(some).alias("text"), "lang", "source", *part[1:])
+    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), *part[1:])

@@ -334,6 +334,43 @@ def test_small_sources_meet_their_targets(spark):
     assert all(0 < r.taken and abs(r.taken - r.target) <= max(0.5, mixing.NEAR * r.target) for r in alike)
 
 
+def test_the_draws_say_which_shard_words_are_in(spark):
+    # Each document is one block, so that the words of a source in a shard tell how many of its slots were drawn there.
+    sizes = {"a": 6000, "b": 3000, "c": 300}
+    rows = [(f"{s}{i}", "w " * 4, "en", s, 8) for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n_chars long")
+    found = mixing.mix_documents(df, block=4).collect()
+    held = {s: np.zeros(mixing.SHARDS, int) for s in sizes}
+    for r in found:
+        each = [tuple(map(int, x.split(":"))) for x in r.shards.split(",") if x]
+        assert sum(n for _, n in each) == r.taken and [k for k, _ in each] == sorted({k for k, _ in each})
+        for k, n in each:
+            held[r.doc_id[0]][k] += n // 4
+    want = np.array([held[s].sum() for s in sizes])
+    drawn = np.array([mixing.shard_counts(want, mixing.SHARDS, k, mixing.SEED)[1] for k in range(mixing.SHARDS)]).T
+    assert (np.array([held[s] for s in sizes]) == drawn).all()
+    # Shards are equally full, and their sources vary as drawn ones do: a fixed split would not vary.
+    total = sum(held.values())
+    assert total.max() - total.min() <= mixing.SHARDS
+    for s in sizes:
+        share = held[s].sum() / total.sum()
+        assert 0.8 < held[s].var() / (total.mean() * share * (1 - share)) < 4  # about 2: a draw for each halving
+    other = mixing.mix_documents(df, block=4, seed=8).collect()
+    assert {(r.doc_id, r.shards) for r in other} != {(r.doc_id, r.shards) for r in found}
+    by_shard = mixing.mixed_documents(df, block=4, by_shard=True).collect()
+    assert sorted((r.doc_id, r.shard) for r in by_shard for _ in range(1)) == sorted((r.doc_id, int(x.split(":")[0])) for r in found for x in r.shards.split(",") if x for _ in range(int(x.split(":")[1]) // 4))
+
+
+def test_the_mix_of_copies_does_not_depend_on_their_order(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", "s", 5), (1, text, "fr", "s", 5), (1, text, None, "s", None), (1, text, "fr", "s", 5), (None, text, "en", None, 9), (None, text, "de", None, 9), (2, "x " * 50, "en", "t", 1), (3, None, "en", "s", 0), (4, "", "en", "s", 0)]
+    made = [sorted(map(str, mixing.mixed_documents(spark.createDataFrame(rows[k:] + rows[:k], SCHEMA).repartition(k + 1), block=8).collect())) for k in range(4)]
+    assert made[0] and all(m == made[0] for m in made)
+    taken = sum(r.taken for r in mixing.mix_documents(spark.createDataFrame(rows, SCHEMA), block=8).collect())
+    mixed = mixing.mixed_documents(spark.createDataFrame(rows, SCHEMA), block=8).collect()
+    assert sum(len((r.text or "").split()) for r in mixed) == taken and {r.lang for r in mixed} == {"en", "fr", None, "de"}
+
+
 def test_slots_count_the_words_of_their_blocks():
     rng = np.random.default_rng(3)
     size = rng.integers(1, 3000, 400)
