@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions import text as fn
 from .functions.descriptors import display_type
-from .operators import calls, cfg, diff, graph, logs, paging, symbols
+from .operators import calls, cfg, diff, graph, logs, lookup, paging, policy, symbols
 from .operators.graph import checkpointed
 from .schemas import ADJACENCY, RELATIONS
-from .sources import archives
+from .sources import archives, sink
 from .sources.index import IndexStore
 
 
@@ -232,6 +232,89 @@ class Scope:
         every = self.archives.where("kind = 'archive'").select("archive_path", name.alias("c")).join(given, "archive_path", "left")
         return every.select("archive_path", *[F.coalesce(c, F.col(f"c.{c}")).alias(c) for c in ("group_id", "artifact_id", "version")], "c.packaging")
 
+    def save_skeleton(self, folder: str) -> DataFrame:
+        """Write pom.xml, build.gradle and mvn_deploy.bat with all archives of the scope, in order, to ``folder``; returns what was written."""
+        gav = lambda *between: F.concat(*[x for c, b in zip(("group_id", "artifact_id", "version"), between) for x in (F.lit(b), F.col(c))])
+        pom = F.concat(gav("    <dependency>\n      <groupId>", "</groupId>\n      <artifactId>", "</artifactId>\n      <version>"), F.lit("</version>\n    </dependency>"))
+        gradle = F.concat(gav("    implementation '", ":", ":"), F.lit("'"))
+        plain = F.regexp_replace("archive_path", "^file:/*", "/")
+        deploy = F.concat(F.lit("mvn install:install-file -Dfile="), plain, gav(" -DgroupId=", " -DartifactId=", " -Dversion="), F.lit(" -Dpackaging="), "packaging")
+        head = '<project xmlns="http://maven.apache.org/POM/4.0.0">\n  <modelVersion>4.0.0</modelVersion>\n  <groupId>generated</groupId>\n  <artifactId>build-skeleton</artifactId>\n  <version>1</version>\n  <dependencies>'
+        files = {
+            "pom.xml": (pom, head, "  </dependencies>\n</project>\n"), "build.gradle": (gradle, "plugins { id 'java' }\n\nrepositories { mavenCentral() }\n\ndependencies {", "}\n"), "mvn_deploy.bat": (deploy, "@echo off", ""),
+        }
+        listed = self.build_skeleton().agg(*[F.array_sort(F.collect_list(F.struct("archive_path", line.alias("line")))).alias(name.replace(".", "_")) for name, (line, _, _) in files.items()])
+        text = lambda name, first, last: F.array_join(F.concat(F.array(F.lit(first)), F.transform(name.replace(".", "_"), lambda r: r["line"]), F.array(F.lit(last))), "\n")
+        rows = F.array(*[F.struct(F.lit(name).alias("path"), text(name, first, last).cast("binary").alias("content")) for name, (_, first, last) in files.items()])
+        return sink.write_files(listed.select(F.inline(rows)), fn.checked_path(folder))
+
+    def save_sources(self, folder: str, metadata: bool = False) -> DataFrame:
+        """Write a file for each source of the scope's archives, as the archives of sources beside them have them, and for each of their resources; returns (path, saved_to, size, error).
+
+        Files stand below their archive's name where the scope has several. A resource gives way to a source of its path. With ``metadata`` each
+        source has a ``.meta.json`` beside it.
+        """
+        name = lambda c: F.element_at(F.split(c, "/"), -1)
+        every = archives.read_archives(self.spark, self.path if archives.is_folder(self.spark, self.path) else self.path.rsplit("/", 1)[0], self.recursive, nested=0)[0]
+        own = self.archives.where("kind = 'archive'").select("archive_path").where(~F.col("archive_path").endswith("-sources.jar"))
+        several = len(own.take(2)) > 1
+        owners = own.select("archive_path", fn.sources_sibling(F.col("archive_path")).alias("_sources"))
+        sources = every.withColumnRenamed("archive_path", "_sources").join(owners, "_sources").where("entry like '%.java' or entry like '%.kt' or entry like '%.groovy' or entry like '%.scala'")
+        sources = sources.select("archive_path", "entry", "content", F.col("_sources").alias("origin"))
+        resources = every.join(own, "archive_path", "left_semi").where(~F.col("entry").endswith(".class")).select("archive_path", "entry", "content", F.col("archive_path").alias("origin"))
+        resources = resources.join(sources.select("archive_path", "entry"), ["archive_path", "entry"], "left_anti")
+        path = F.concat(name(F.col("archive_path")), F.lit("/"), "entry") if several else F.col("entry")
+        made = sources.unionByName(resources).select(path.alias("path"), "content")
+        if metadata:
+            about = F.to_json(F.struct("origin", "entry", F.length("content").alias("size"), F.sha2("content", 256).alias("sha256")))
+            made = made.unionByName(sources.select(F.concat(path, F.lit(".meta.json")).alias("path"), about.cast("binary").alias("content")))
+        return sink.write_files(made, fn.checked_path(folder))
+
+    def source_lookup(self, class_name: str, given: str | None = None, repository: str | None = None, checksums: str | None = None, coordinates: tuple[str, str, str] | None = None) -> DataFrame:
+        """(id: the archive, strategy, origin, entry, source) of a class, for each archive of the scope: from the archive ``given``, the one beside it, the ``repository``'s with its coordinates, or that with its checksum.
+
+        Coordinates are ``coordinates`` or what the archive states, checksums those of the list ``checksums`` or the archive's own SHA-1.
+        """
+        folder = self.path if archives.is_folder(self.spark, self.path) else self.path.rsplit("/", 1)[0]
+        own = self.archives.where("kind = 'archive'").select("archive_path").where(~F.col("archive_path").endswith("-sources.jar"))
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", str(self.recursive).lower()).load(self.path).select(F.col("path").alias("archive_path"), F.sha1("content").alias("_sha1"))
+        if checksums:
+            lines = self.spark.read.text(fn.checked_path(checksums)).select(fn.checksum_line(F.col("value")).alias("c")).select("c.*")
+            listed = policy.checksum_of(own.select(F.col("archive_path").alias("path")), lines).select(F.col("path").alias("archive_path"), "checksum")
+        else:
+            listed = own.withColumn("checksum", F.lit(None).cast("string"))
+        stated = archives.coordinates(archives.read_archives(self.spark, self.path, self.recursive)[0])
+        wanted = own.join(files, "archive_path", "left").join(listed, "archive_path", "left").join(stated, "archive_path", "left")
+        gav = dict(zip(("group_id", "artifact_id", "version"), coordinates or (None,) * 3))
+        wanted = wanted.select(F.col("archive_path").alias("id"), F.lit(class_name).alias("class_name"), "archive_path", F.lit(archives.qualified(self.spark, given) if given else None).cast("string").alias("given"), *[F.coalesce(F.lit(v).cast("string"), F.col(c)).alias(c) for c, v in gav.items()], F.coalesce("checksum", "_sha1").alias("checksum"))
+        good = lambda df: df.where("error_type is null").drop("error_type", "message")
+        sources = good(archives.read_entries(self.spark, folder, self.recursive, nested=0, only="*-sources.jar"))
+        if given:
+            sources = sources.unionByName(good(archives.read_entries(self.spark, given, nested=0)))
+        known = self.spark.createDataFrame([], "origin string, group_id string, artifact_id string, version string, checksum string")
+        if repository:
+            sources = sources.unionByName(good(archives.read_entries(self.spark, fn.checked_path(repository), True, nested=0, only="*-sources.jar")))
+            known = archives.repository(self.spark, fn.checked_path(repository))
+        return lookup.find_sources(wanted, sources.dropDuplicates(["archive_path", "entry", "ord"]), known, checkpointed)
+
+    def resolve_types(self, named: DataFrame | None = None, platform: DataFrame | None = None) -> DataFrame:
+        """(archive_path, target_type, container, level) of every type that the scope's archives refer to: the first container that has it, null where none has.
+
+        The archive itself comes first, then those ``named`` (archive_path), those inside it, those of its folder and below, and those of the ``platform``.
+        """
+        stated = archives.coordinates(archives.read_archives(self.spark, self.path, self.recursive)[0])
+        return lookup.resolve_types(self.type_refs.select("archive_path", "target_type").distinct(), self.classes, named, platform, stated)
+
+    def match_methods(self, other: Scope) -> DataFrame:
+        """(left, right, how) of this scope's methods and another version's: by owner, name and descriptor, or by these without packages where that tells them apart."""
+        key = lambda scope: scope.methods.select(F.concat(F.lit("L"), "owner", F.lit(";"), "name", "descriptor").alias("key"))
+        return lookup.relaxed_join(key(self), key(other), "key", fn.relaxed_key)
+
+    def compare_lines(self, other: str, class_name: str) -> DataFrame:
+        """Lines (line, left, right) in which a class's source differs between the archives of sources at this scope's path and at ``other``."""
+        text = lambda path: archives.source_of(archives.read_archives(self.spark, path, self.recursive, nested=0)[0], class_name).agg(F.min_by("source", "archive_path").alias("text")).select(F.lit(class_name).alias("class_name"), F.coalesce("text", F.lit("")).alias("text"))
+        return diff.compare_lines(text(self.path), text(fn.checked_path(other)), "class_name", "text")
+
     def compare(self, other: str) -> DataFrame:
         """Entries of this scope's archive against those of the archive at ``other``; in folders, of archives of the same name."""
         name = F.element_at(F.split("archive_path", "/"), -1)

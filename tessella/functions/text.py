@@ -89,6 +89,11 @@ def resource_type(entry: Column) -> Column:
     )
 
 
+def relaxed_key(key: Column) -> Column:
+    """A member's key in which types have lost their packages: what it still has where a package could not be told."""
+    return F.regexp_replace(key, r"L(?:\w+/)+", "L")
+
+
 def object_types(descriptor: Column) -> Column:
     """Object types of a descriptor, the return type of a method first, then its arguments; arrays count as their elements."""
     found = F.regexp_extract_all(descriptor, F.lit(r"L([^;]+);"), F.lit(1))
@@ -138,6 +143,14 @@ def version_key(version: Column) -> Column:
     return F.struct(F.concat(F.aggregate(parts, start, add)["out"], end).alias("parts"), F.lower(version).alias("raw"))
 
 
+def newest_first_key(version: Column) -> Column:
+    """A key that sorts as :func:`version_key` does, but from the newest version down: numbers negative, texts by their code points from above."""
+    key, last = version_key(version), F.array(F.lit(0x110001))
+    down = lambda t: F.concat(F.transform(F.split(t, ""), lambda c: F.lit(0x110000) - F.ascii(c)), last)
+    part = lambda p: F.struct((-p["side"]).alias("side"), (-p["zeros"]).alias("zeros"), (-p["value"]).alias("value"), down(p["text"]).alias("text"))
+    return F.struct(F.transform(key["parts"], part).alias("parts"), down(key["raw"]).alias("raw"))
+
+
 def artifact_key(name: Column) -> Column:
     """A file name up to its version: what stands before the first hyphen that a digit follows."""
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
@@ -166,9 +179,13 @@ def first_matching_line(text: Column, hit) -> Column:
     return F.when(at > 0, F.struct(at.cast("long").alias("line"), F.trim(F.element_at(lines, at.cast("int"))).alias("snippet")))
 
 
+#: Endings of archives that may have their sources beside them.
+SOURCED = r"\.(jar|war|zip|aar|jmod)$"
+
+
 def sources_sibling(name: Column) -> Column:
-    """The file name under which an archive's sources usually stand beside it."""
-    return F.regexp_replace(name, r"\.(jar|war|zip|aar)$", "-sources.$1")
+    """The name under which an archive's sources usually stand beside it; null for what has none."""
+    return F.when(name.rlike(SOURCED), F.regexp_replace(name, SOURCED, "-sources.jar"))
 
 
 #: A cast of a string or character literal to its own type.

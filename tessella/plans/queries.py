@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import calls, cfg, diff, graph, logs, paging, policy, symbols
+from ..operators import calls, cfg, diff, graph, logs, lookup, paging, policy, symbols
 from . import bindings as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -754,15 +754,72 @@ def engine_names(spark, sf_dir):
     return b.table(spark, sf_dir, "pages").select("page_id", fn.engine_name(F.element_at(asked, (F.col("page_id") % 7 + 1).cast("int"))).alias("engine"))
 
 
-@query("""SELECT p_partkey, coalesce(given, sibling, inferred, 'none') AS chosen FROM (SELECT p_partkey,
-CASE WHEN p_partkey % 5 = 0 THEN 'given-' || p_partkey END AS given, CASE WHEN p_partkey % 3 = 0 THEN 'lib-' || p_partkey || '-sources.jar' END AS sibling,
-CASE WHEN p_partkey % 2 = 0 THEN p_brand || ':' || p_size END AS inferred FROM part)""")
+_FILES = """, f AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'given/g' || doc_id || '.jar' WHEN 2 THEN 'repo/r' || doc_id || '-sources.jar' WHEN 3 THEN 'repo/s' || doc_id || '-sources.jar' ELSE 'libs/l' || doc_id || '-sources.jar' END AS origin,
+CASE doc_id % 6 WHEN 1 THEN 'src/main/p/C' WHEN 4 THEN 'xp/C' ELSE 'p/C' END || doc_id || '.java' AS entry, coalesce(text, '') AS source FROM documents),
+w AS (SELECT doc_id, 'p/C' || doc_id || '.java' AS path, CASE WHEN doc_id % 6 IN (0, 5) THEN 'given/g' || doc_id || '.jar' END AS given, 'libs/l' || doc_id || '-sources.jar' AS sibling,
+CASE WHEN doc_id % 6 IN (2, 4) THEN 'repo/r' || doc_id || '-sources.jar' END AS gav, CASE WHEN doc_id % 6 = 3 THEN 'repo/s' || doc_id || '-sources.jar' END AS checksum FROM documents),
+o AS (UNPIVOT w ON given, sibling, gav, checksum INTO NAME how VALUE origin),
+m AS (SELECT o.doc_id, o.how, f.origin, f.source, row_number() OVER (PARTITION BY o.doc_id ORDER BY list_position(['given', 'sibling', 'gav', 'checksum'], o.how)) AS r
+  FROM o JOIN f ON f.origin = o.origin AND (f.entry = o.path OR f.entry LIKE '%/' || o.path))"""
+
+
+@query("WITH one AS (SELECT 1)" + _FILES + """SELECT doc_id, CASE how WHEN 'gav' THEN 'coordinates' ELSE how END AS strategy, origin, sha256(source) AS source_sha256 FROM m WHERE r = 1""")
 def source_lookup(spark, sf_dir):
-    """T24, T25, TX14: where sources come from, by precedence."""
-    i = F.col("p_partkey")
-    name = F.concat(F.lit("lib-"), i.cast("string"), F.lit(".jar"))
-    chosen = F.coalesce(F.when(i % 5 == 0, F.concat(F.lit("given-"), i.cast("string"))), F.when(i % 3 == 0, fn.sources_sibling(name)), F.when(i % 2 == 0, F.concat_ws(":", "p_brand", "p_size")), F.lit("none"))
-    return b.table(spark, sf_dir, "part").select("p_partkey", chosen.alias("chosen"))
+    """T24, J15, TX14, TX15: sources of every class by the first strategy that finds them, each on what those before it have left."""
+    d, i = docs(spark, sf_dir), F.col("doc_id")
+    name = lambda before, after="": F.concat(F.lit(before), i.cast("string"), F.lit(after))
+    kind = i % 6
+    origin = F.when(kind == 0, name("given/g", ".jar")).when(kind == 2, name("repo/r", "-sources.jar")).when(kind == 3, name("repo/s", "-sources.jar")).otherwise(name("libs/l", "-sources.jar"))
+    entry = F.when(kind == 1, name("src/main/p/C", ".java")).when(kind == 4, name("xp/C", ".java")).otherwise(name("p/C", ".java"))
+    files = d.select(origin.alias("archive_path"), entry.alias("entry"), F.lit(0).alias("ord"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    has = kind.isin(2, 4)
+    wanted = d.select(
+        i.alias("id"), name("p.C").alias("class_name"), name("libs/l", ".war").alias("archive_path"), F.when(kind.isin(0, 5), name("given/g", ".jar")).alias("given"), F.when(has, "g").alias("group_id"),
+        F.when(has, name("a")).alias("artifact_id"), F.lit("1").alias("version"), F.sha1(name("s")).alias("checksum"),
+    )
+    repository = d.where(kind.isin(2, 3)).select(origin.alias("origin"), F.when(kind == 2, "g").alias("group_id"), name("a").alias("artifact_id"), F.lit("1").alias("version"), F.when(kind == 3, F.upper(F.sha1(name("s")))).alias("checksum"))
+    found = lookup.find_sources(wanted, files, repository, graph.checkpointed)
+    return found.select(F.col("id").alias("doc_id"), "strategy", "origin", F.sha2("source", 256).alias("source_sha256"))
+
+
+_NUMBERED = [v for v in _VERSIONS if v[0].isdigit()]
+
+
+@query(f"""WITH c AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 'lib/s' || p_partkey % 30 || '/app.jar!/in/' || f WHEN 1 THEN 'lib/s' || p_partkey % 30 || '/more/' || f WHEN 2 THEN 'lib/s' || p_partkey % 30 || '/app.jar' ELSE 'jdk/' || f END AS path,
+  CASE p_partkey % 4 WHEN 2 THEN 'app' ELSE artifact END AS artifact, CASE p_partkey % 4 WHEN 2 THEN '' ELSE version END AS version, 'T/' || p_size AS type
+  FROM (SELECT *, artifact || '-' || version || '.jar' AS f FROM (SELECT *, 'a' || p_partkey % 3 AS artifact, [{', '.join(f"'{v}'" for v in _NUMBERED)}][p_partkey % 12 + 1] AS version FROM part))),
+w AS (SELECT DISTINCT 'lib/s' || l_suppkey % 30 || '/app.jar' AS archive, 'T/' || l_partkey % 60 AS type FROM lineitem),
+m AS (SELECT w.*, c.path, k.level, row_number() OVER (PARTITION BY w.archive, w.type ORDER BY k.level, c.artifact, coalesce(list_position([{', '.join(f"'{v}'" for v in _ORDERED)}], c.version), 0) DESC, len(string_split(c.path, '/')), c.path) AS r
+  FROM w LEFT JOIN (c CROSS JOIN (SELECT unnest(range(4)) AS level) k) ON c.type = w.type AND CASE k.level WHEN 0 THEN c.path = w.archive WHEN 1 THEN starts_with(c.path, w.archive || '!/')
+    WHEN 2 THEN NOT contains(c.path, '!/') AND starts_with(c.path, regexp_extract(w.archive, '^(.*/)', 1)) ELSE starts_with(c.path, 'jdk/') END)
+SELECT archive AS archive_path, type AS target_type, path AS container, ['own', 'nested', 'folder', 'platform'][level + 1] AS level FROM m WHERE r = 1""")
+def types_resolved(spark, sf_dir):
+    """The first container that has a type, for all references of all archives at once, and those that none has."""
+    p, i = b.table(spark, sf_dir, "part"), F.col("p_partkey")
+    version = F.element_at(F.array(*map(F.lit, _NUMBERED)), (i % 12 + 1).cast("int"))
+    file = F.concat(F.lit("a"), i % 3, F.lit("-"), version, F.lit(".jar"))
+    at = F.concat(F.lit("lib/s"), i % 30)
+    path = F.when(i % 4 == 0, F.concat(at, F.lit("/app.jar!/in/"), file)).when(i % 4 == 1, F.concat(at, F.lit("/more/"), file)).when(i % 4 == 2, F.concat(at, F.lit("/app.jar"))).otherwise(F.concat(F.lit("jdk/"), file))
+    classes = p.select(path.alias("archive_path"), F.concat(F.lit("T/"), "p_size").alias("internal_name"))
+    wanted = b.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("lib/s"), F.col("l_suppkey") % 30, F.lit("/app.jar")).alias("archive_path"), F.concat(F.lit("T/"), F.col("l_partkey") % 60).alias("target_type")).distinct()
+    return lookup.resolve_types(wanted, classes, platform=classes.where("archive_path like 'jdk/%'"))
+
+
+@query("""WITH a AS (SELECT 'm' || p_partkey || '(La/b/T' || p_size || ';I)V' AS k, 'm' || p_partkey || '(LT' || p_size || ';I)V' AS r FROM part),
+c AS (SELECT 'm' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '(La/b/T' WHEN 1 THEN '(LT' ELSE '(Lc/T' END || p_size || ';I)V' AS k, 'm' || p_partkey || '(LT' || p_size || ';I)V' AS r, p_partkey FROM part WHERE p_partkey % 4 < 3
+  UNION ALL SELECT 'm' || p_partkey || '(Ld/T' || p_size || ';I)V', 'm' || p_partkey || '(LT' || p_size || ';I)V', p_partkey FROM part WHERE p_partkey % 8 = 2),
+one AS (SELECT r FROM (SELECT r FROM c WHERE k NOT IN (SELECT k FROM a)) GROUP BY r HAVING count(*) = 1)
+SELECT a.k AS "left", c.k AS "right", 'exact' AS how FROM a JOIN c ON a.k = c.k
+UNION ALL SELECT a.k, c.k, 'relaxed' FROM a JOIN c ON a.r = c.r AND a.k <> c.k WHERE a.r IN (SELECT r FROM one)
+UNION ALL SELECT a.k, NULL, NULL FROM a WHERE a.k NOT IN (SELECT k FROM c) AND a.r NOT IN (SELECT r FROM one)
+UNION ALL SELECT NULL, c.k, NULL FROM c WHERE c.k NOT IN (SELECT k FROM a) AND c.r NOT IN (SELECT r FROM one)""")
+def methods_matched(spark, sf_dir):
+    """J13, TX22: methods of two versions by their exact key, and what is left by a key without packages where that tells them apart."""
+    p, i = b.table(spark, sf_dir, "part"), F.col("p_partkey")
+    key = lambda package: F.concat(F.lit("m"), i, F.lit("(L"), package, F.lit("T"), F.col("p_size"), F.lit(";I)V")).alias("key")
+    before = p.select(key(F.lit("a/b/")))
+    after = p.where("p_partkey % 4 < 3").select(key(F.when(i % 4 == 0, "a/b/").when(i % 4 == 1, "").otherwise("c/"))).union(p.where("p_partkey % 8 = 2").select(key(F.lit("d/"))))
+    return lookup.relaxed_join(before, after, "key", fn.relaxed_key)
 
 
 @query("""SELECT d.source, count(*) AS total, sum(len(string_split(d.text, chr(10)))) AS lines, max(len(string_split(d.text, chr(10)))) AS longest FROM documents d WHERE d.text IS NOT NULL GROUP BY d.source""")

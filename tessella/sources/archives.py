@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ARCHIVE
+from ..functions.text import ARCHIVE, sources_sibling
 from ..schemas import ENTRIES
 
 LIBRARIES = ("BOOT-INF/lib/", "WEB-INF/lib/", "APP-INF/lib/", "lib/", "libs/", "dependencies/")
@@ -45,13 +45,13 @@ def _members(path: str, data: bytes, depth: int, inside: str = "") -> Iterator[t
                 yield from _members(f"{path}!/{inside}{name}", content, depth - 1)
 
 
-def _files(spark: SparkSession, path: str | list[str], recursive: bool) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+def _files(spark: SparkSession, path: str | list[str], recursive: bool, only: str = "*") -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", only).load(path)
     return files.where(F.lower("path").rlike(ARCHIVE))
 
 
-def read_entries(spark: SparkSession, path: str | list[str], recursive: bool = False, nested: int = 2) -> DataFrame:
-    """Entries (ENTRIES) of the archives at ``path``, a file, a folder or several, with columns error_type and message.
+def read_entries(spark: SparkSession, path: str | list[str], recursive: bool = False, nested: int = 2, only: str = "*") -> DataFrame:
+    """Entries (ENTRIES) of the archives at ``path``, a file, a folder or several, with columns error_type and message; in a folder of those whose name the glob ``only`` fits.
 
     A task reads whole archives one at a time and passes their entries on in small frames. An archive that can't be read gives a row with
     error_type and message, after what could be read of it, and not an error. APK files without a dex file fail, as do AAR files without classes.jar.
@@ -73,7 +73,7 @@ def read_entries(spark: SparkSession, path: str | list[str], recursive: bool = F
                     rows.append((name, None, None, None, None, None, type(e).__name__, str(e)))
                 yield frame(rows)
 
-    return _files(spark, path, recursive).select("path", "content").mapInPandas(run, f"{ENTRIES}, error_type string, message string")
+    return _files(spark, path, recursive, only).select("path", "content").mapInPandas(run, f"{ENTRIES}, error_type string, message string")
 
 
 def read_archives(spark: SparkSession, path: str | list[str], recursive: bool = False, nested: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -154,6 +154,16 @@ def fingerprints(spark: SparkSession, path: str, recursive: bool = False) -> Dat
     return found.unionByName(folder.select(F.lit(qualified(spark, path)).alias("archive_path"), "fingerprint"))
 
 
+def repository(spark: SparkSession, path: str) -> DataFrame:
+    """(origin, group_id, artifact_id, version, checksum) of the archives of sources below ``path``: what the artifact beside each states, and its SHA-1."""
+    every = _files(spark, path, True)
+    artifacts = every.where(~F.col("path").endswith("-sources.jar")).select(F.col("path").alias("archive_path"), F.sha1("content").alias("checksum"), sources_sibling(F.col("path")).alias("origin"))
+    sources = every.where(F.col("path").endswith("-sources.jar")).select(F.col("path").alias("origin"))
+    stated = coordinates(read_entries(spark, path, True, nested=0).where("error_type is null and entry like '%pom.properties'").drop("error_type", "message"))
+    found = artifacts.join(sources, "origin").join(stated, "archive_path", "left")
+    return found.select("origin", "group_id", "artifact_id", "version", "checksum")
+
+
 def coordinates(entries: DataFrame) -> DataFrame:
     """(archive_path, group_id, artifact_id, version) of archives by their first complete pom.properties."""
     text = entries.where(F.col("entry").rlike(r"^META-INF/maven/.*/pom\.properties$")).select("archive_path", "ord", F.decode("content", "UTF-8").alias("t"))

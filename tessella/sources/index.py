@@ -118,17 +118,16 @@ def type_references(facts: DataFrame, resources: DataFrame, virtual: DataFrame)
     for p in parts[1:]:
         out = out.unionByName(p)
     cha = virtual.select("archive_path", "source_owner", F.col("source_name").alias("source_member_name"), F.col("source_desc").alias("source_member_desc"), F.col("target_owner").alias("target_type"), F.lit("cha-virtual").alias("kind"))
-    # Services name their interface by their path and providers by their lines; other texts any qualified name.
-    service = resources.where("resource_type = 'service'").select("archive_path", F.col("entry_path").alias("source_owner"), "text_content")
-    lines = service.select("archive_path", "source_owner", F.explode(F.split(F.coalesce("text_content", F.lit("")), r"\R")).alias("line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*", ""))).where("line <> ''")
-    plain = resources.where("resource_type not in ('service', 'xml')").select("archive_path", F.col("entry_path").alias("source_owner"), F.col("resource_type").alias("member"), F.concat(F.lit("resource-"), "resource_type").alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all("text_content", F.lit(QUALIFIED), F.lit(0)))).alias("target"))
-    xml = resources.where("resource_type = 'xml' and text_content is not null").select("archive_path", F.col("entry_path").alias("source_owner"), F.explode(xml_mentions("text_content")).alias("m")).select("archive_path", "source_owner", "m.*")
-    none = F.lit(None).cast("string")
-    found = (
-        service.select("archive_path", "source_owner", none.alias("member"), F.regexp_replace("source_owner", r"^META-INF/services/", "").alias("target"), F.lit("resource-service-interface").alias("kind"))
-        .unionByName(lines.select("archive_path", "source_owner", none.alias("member"), F.col("line").alias("target"), F.lit("resource-service-provider").alias("kind"))).unionByName(plain).unionByName(xml)
-    )
-    return out.unionByName(cha).unionByName(found.select("archive_path", "source_owner", F.col("member").alias("source_member_name"), none.alias("source_member_desc"), F.translate("target", ".", "/").alias("target_type"), "kind"))
+    # Services name their interface by their path and providers by their lines; other texts any qualified name. A blank resource refers to nothing.
+    said = resources.where(F.trim(F.regexp_replace("text_content", r"\s+", " ")) != "").withColumn("source_owner", F.concat(F.lit("resource:"), "entry_path"))
+    service = said.where("resource_type = 'service'")
+    lines = service.select("archive_path", "source_owner", F.explode(F.split("text_content", r"\R")).alias("line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> '' and line not like '#%'")
+    plain = said.where("resource_type not in ('service', 'xml')").select("archive_path", "source_owner", F.col("resource_type").alias("member"), F.concat(F.lit("resource-"), "resource_type").alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all("text_content", F.lit(QUALIFIED), F.lit(0)))).alias("target"))
+    xml = said.where("resource_type = 'xml'").select("archive_path", "source_owner", F.explode(xml_mentions("text_content")).alias("m")).select("archive_path", "source_owner", "m.*")
+    interface = service.where(F.col("entry_path").rlike("^META-INF/services/.")).select("archive_path", "source_owner", F.lit("service-interface").alias("member"), F.regexp_replace("entry_path", "^META-INF/services/", "").alias("target"), F.lit("resource-service-interface").alias("kind"))
+    provider = lines.select("archive_path", "source_owner", F.lit("service-provider").alias("member"), F.col("line").alias("target"), F.lit("resource-service-provider").alias("kind"))
+    found = interface.unionByName(provider).unionByName(plain).unionByName(xml)
+    return out.unionByName(cha).unionByName(found.select("archive_path", "source_owner", F.col("member").alias("source_member_name"), F.lit(None).cast("string").alias("source_member_desc"), F.translate("target", ".", "/").alias("target_type"), "kind"))
 
 
 def resource_text() -> Column:

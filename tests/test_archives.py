@@ -26,7 +26,8 @@ SOURCES = {
 
 
 EXTRA = {
-    "META-INF/services/demo.Service": "# providers\ndemo.Child\n",
+    "META-INF/services/demo.Service": "# providers\n  demo.Child\t\n\ndemo.Odd # not a comment\n",
+    "META-INF/services/demo.Blank": " \n\t\n",
     "config/app.properties": "main=demo.Main\n",
     "blob.txt": b"a\0b",
     "WEB-INF/web.xml": '<web-app xmlns="http://x.example/ns"><servlet><servlet-class> Plain </servlet-class><init a="demo.Base"/></servlet><note>uses demo.Child and demo.Child</note></web-app>',
@@ -97,10 +98,12 @@ def test_type_references(world):
     refs = {(r.source_owner, r.target_type, r.kind) for r in store.read("type_refs").collect()}
     assert {
         ("demo/Child", "demo/Base", "extends"), ("demo/Main", "demo/Child", "new"), ("demo/Child", "java/lang/IllegalStateException", "catch"), ("demo/Main", "demo/Child", "cha-virtual"),
-        ("META-INF/services/demo.Service", "demo/Service", "resource-service-interface"), ("META-INF/services/demo.Service", "demo/Child", "resource-service-provider"),
-        ("WEB-INF/web.xml", "Plain", "resource-xml-path"), ("WEB-INF/web.xml", "demo/Base", "resource-xml"), ("broken.xml", "demo/Main", "resource-xml"),
-        ("config/app.properties", "demo/Main", "resource-properties"), ("demo/Main", "demo/Main", "handle-owner"),
+        ("resource:META-INF/services/demo.Service", "demo/Service", "resource-service-interface"), ("resource:META-INF/services/demo.Service", "demo/Child", "resource-service-provider"),
+        ("resource:WEB-INF/web.xml", "Plain", "resource-xml-path"), ("resource:WEB-INF/web.xml", "demo/Base", "resource-xml"), ("resource:broken.xml", "demo/Main", "resource-xml"),
+        ("resource:config/app.properties", "demo/Main", "resource-properties"), ("demo/Main", "demo/Main", "handle-owner"),
     } <= refs
+    services = [(r.source_member_name, r.target_type) for r in store.read("type_refs").where("source_owner like '%services/%'").collect()]
+    assert sorted(services) == [("service-interface", "demo/Service"), ("service-provider", "demo/Child"), ("service-provider", "demo/Odd # not a comment")]
     places = {(r.source_member_name, r.target_type) for r in store.read("type_refs").where("source_owner like '%.xml'").collect()}
     assert places == {("web-app/servlet/servlet-class", "Plain"), ("web-app/servlet/init/@a", "demo/Base"), ("web-app/note", "demo/Child"), ("xml", "demo/Main")}
     assert [r.text_content for r in store.read("resources").where("entry_path = 'blob.txt'").collect()] == [None]
@@ -273,6 +276,117 @@ def test_class_hierarchy_calls_by_signature(spark, split):
     assert {tuple(r) for r in found} == want and len(found) == sum((a, so, sn, sd, t, n, d) in virtual and (b, s, p) in below and a == b and p == t and (a, s, n, d) in declared for a, so, sn, sd, t, n, d in virtual for b, s, p in below)
 
 
+@pytest.fixture(scope="module")
+def sourced(spark, tmp_path_factory):
+    """Archives with their sources given, beside them, in a repository by coordinates and by checksum, or nowhere; and one inside another."""
+    import hashlib
+
+    folder = tmp_path_factory.mktemp("sourced")
+    extra = {"note.txt": "read me"}
+    for name in ("second-1.2", "third", "fourth", "second-1.10"):
+        stem = name.split("-")[0]
+        build(folder, name, {f"s/{stem.title()}.java": f"package s; public class {stem.title()} {{ }}"}, {**extra, **({"META-INF/maven/g/a/pom.properties": "groupId=g\nartifactId=third\nversion=3\n"} if stem == "third" else {})})
+    build(folder, "first", {"s/First.java": "package s; public class First { Second other; }", "s/Second.java": "package s; public class Second { }"}, extra)
+    with zipfile.ZipFile(folder / "jars" / "first.jar", "w") as z:  # without the class that it refers to
+        z.write(folder / "first-out" / "s" / "First.class", "s/First.class")
+        z.writestr("note.txt", "read me")
+    jars, repo = folder / "jars", folder / "repo"
+    repo.mkdir()
+    zips = {jars / "first-sources.jar": {"s/First.java": "package s; public class First { }", "a/s/First.java": "far"}, repo / "third-3-sources.jar": {"src/s/Third.java": "third"}, repo / "fourth-4-sources.jar": {"s/Fourth.java": "fourth"}, folder / "given.jar": {"s/First.java": "given"}}
+    for path, files in zips.items():
+        with zipfile.ZipFile(path, "w") as z:
+            for entry, text in files.items():
+                z.writestr(entry, text)
+    for name in ("third-3", "fourth-4"):
+        shutil.copy(jars / f"{name.split('-')[0]}.jar", repo / f"{name}.jar")
+    with zipfile.ZipFile(jars / "app.war", "w") as z:
+        z.write(jars / "second-1.2.jar", "WEB-INF/lib/second-1.2.jar")
+        z.write(jars / "second-1.10.jar", "WEB-INF/lib/second-1.10.jar")
+        z.write(folder / "first-out" / "s" / "First.class", "WEB-INF/classes/s/First.class")
+    from tessella.api import Scope
+
+    return folder, Scope(spark, str(jars), str(folder / "index")), hashlib.sha1((jars / "fourth.jar").read_bytes()).hexdigest()
+
+
+def test_sources_are_looked_up_in_turn(spark, sourced):
+    folder, scope, checksum = sourced
+    found = lambda name, **k: {r.id.rsplit("/", 1)[1]: (r.strategy, r.source) for r in scope.source_lookup(name, **k).collect()}
+    assert found("s.First") == {"first.jar": ("sibling", "package s; public class First { }")}
+    assert {v for v in found("s.First", given=str(folder / "given.jar")).values()} == {("given", "given")}
+    assert found("s.Third") == {} and found("s.Third", repository=str(folder / "repo")) == {"third.jar": ("coordinates", "third")}
+    assert set(found("s.Third", repository=str(folder / "repo"), coordinates=("g", "third", "3")).values()) == {("coordinates", "third")}
+    assert found("s.Fourth", repository=str(folder / "repo")) == {"fourth.jar": ("checksum", "fourth")}
+    (folder / "sums.txt").write_text(f"{checksum.upper()}  libs/second-1.2.jar\n")
+    assert found("s.Fourth", repository=str(folder / "repo"), checksums=str(folder / "sums.txt")) == {"fourth.jar": ("checksum", "fourth"), "second-1.2.jar": ("checksum", "fourth")}
+
+
+def test_types_are_found_in_the_first_container(spark, sourced):
+    _, scope, _ = sourced
+    last = lambda p: None if p is None else p.rsplit("/jars/", 1)[1]
+    found = {(last(r.archive_path), r.target_type): (last(r.container), r.level) for r in scope.resolve_types().collect()}
+    assert found["first.jar", "s/Second"] == ("second-1.10.jar", "folder") and found["app.war", "s/Second"] == ("app.war!/WEB-INF/lib/second-1.10.jar", "nested")
+    assert found["first.jar", "s/First"] == ("first.jar", "own") if ("first.jar", "s/First") in found else True
+    assert found["first.jar", "java/lang/Object"] == (None, None)
+    named = scope.archives.where("archive_path like '%second-1.2.jar'").select("archive_path")
+    again = {(last(r.archive_path), r.target_type): (last(r.container), r.level) for r in scope.resolve_types(named).collect()}
+    assert again["app.war", "s/Second"] == ("second-1.2.jar", "named") and len(again) == len(found)
+
+
+def test_a_file_for_each_source(spark, sourced, tmp_path):
+    folder, scope, _ = sourced
+    status = {r.path: r for r in scope.save_sources(str(tmp_path / "out"), metadata=True).collect()}
+    assert (tmp_path / "out" / "first.jar" / "s" / "First.java").read_text() == "package s; public class First { }" and (tmp_path / "out" / "first.jar" / "note.txt").read_text() == "read me"
+    assert '"entry":"s/First.java"' in (tmp_path / "out" / "first.jar" / "s" / "First.java.meta.json").read_text()
+    assert all(r.error is None and r.size is not None for r in status.values()) and sum(p.endswith(".java") for p in status) == 2
+    written = scope.save_skeleton(str(tmp_path / "build")).collect()
+    assert sorted(r.path for r in written) == ["build.gradle", "mvn_deploy.bat", "pom.xml"] and all(r.error is None for r in written)
+    pom = (tmp_path / "build" / "pom.xml").read_text()
+    assert "      <groupId>g</groupId>\n      <artifactId>third</artifactId>\n      <version>3</version>\n" in pom and pom.endswith("  </dependencies>\n</project>\n")
+    assert "    implementation 'local.inferred:second:1.10'\n" in (tmp_path / "build" / "build.gradle").read_text()
+    assert f"-Dfile={folder}/jars/app.war -DgroupId=local.inferred -DartifactId=app -Dversion=0.0.0-local -Dpackaging=war\n" in (tmp_path / "build" / "mvn_deploy.bat").read_text()
+
+
+def test_what_cannot_be_written_is_told(spark, tmp_path):
+    from pyarrow import fs
+
+    from tessella.sources import sink
+
+    rows = [("a/b.txt", b"one"), ("a//b.txt", b"two"), ("../up.txt", b"x"), ("/abs.txt", b"x"), (None, b"x"), ("none.txt", None), ("empty.txt", b""), ("a", b"a folder by then, or not"), ("_status/x", b"x")]
+    found = sink.write_files(spark.createDataFrame(rows, "path string, content binary").repartition(3), str(tmp_path / "out"))
+    errors = {r.path: r.error for r in found.collect()}
+    assert errors["empty.txt"] is None and (tmp_path / "out" / "empty.txt").read_bytes() == b""
+    assert all(errors[p] for p in ("../up.txt", "/abs.txt", None, "none.txt", "_status/x")) and (errors["a/b.txt"] is None) != (errors["a//b.txt"] is None) or errors["a"] is None
+    assert not (tmp_path / "out" / "_attempts").exists() and not (tmp_path / "up.txt").exists()
+
+    class Killed(fs.LocalFileSystem):
+        def move(self, a, b):
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        sink.place(Killed(), str(tmp_path / "cut"), "attempt", "x/y.txt", b"half")
+    assert not (tmp_path / "cut" / "x" / "y.txt").exists() and (tmp_path / "cut" / "_attempts" / "attempt").exists()
+    for _ in range(2):  # a task that is run again
+        sink.place(fs.LocalFileSystem(), str(tmp_path / "cut"), "again", "x/y.txt", b"whole")
+    assert (tmp_path / "cut" / "x" / "y.txt").read_bytes() == b"whole"
+
+
+def test_methods_of_two_versions_are_matched(spark, tmp_path):
+    from tessella.api import Scope
+
+    for name, package in (("old", "p"), ("new", "q")):
+        build(tmp_path / name, name, {f"{package}/T.java": f"package {package}; public class T {{}}", "m/A.java": f"package m; public class A {{ void f({package}.T t) {{}} void g(int n) {{}} {'void h() {}' if name == 'new' else ''} }}"}) if (tmp_path / name).mkdir() is None else None
+    old, new = (Scope(spark, str(tmp_path / n / "jars"), str(tmp_path / f"{n}-index")) for n in ("old", "new"))
+    found = {(r.left, r.right, r.how) for r in old.match_methods(new).collect()}
+    assert found == {("Lm/A;f(Lp/T;)V", "Lm/A;f(Lq/T;)V", "relaxed"), ("Lm/A;g(I)V", "Lm/A;g(I)V", "exact"), ("Lm/A;<init>()V", "Lm/A;<init>()V", "exact"), ("Lp/T;<init>()V", "Lq/T;<init>()V", "relaxed"), (None, "Lm/A;h()V", None)}
+
+
+def test_lines_of_a_class_in_two_archives(spark, sourced, tmp_path):
+    folder, scope, _ = sourced
+    with zipfile.ZipFile(tmp_path / "first-sources.jar", "w") as z:
+        z.writestr("s/First.java", "package s; public class First { }\n// more")
+    assert [(r.line, r.left, r.right) for r in scope.compare_lines(str(tmp_path), "s.First").collect()] == [(2, "", "// more")]
+
+
 def test_archives_in_numbers(annotated):
     folder, scope = annotated
     found = {r.archive_path.rsplit("/", 1)[1]: (r.kind, r.class_count, r.size) for r in scope.analyze().collect()}
