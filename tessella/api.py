@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as fn
 from .functions.descriptors import display_type
-from .operators import calls, cfg, diff, graph, logs, lookup, paging, policy, symbols
+from .operators import calls, cfg, diff, graph, logs, lookup, paging, policy, postings, symbols
 from .operators.graph import checkpointed
-from .schemas import ADJACENCY, RELATIONS
+from .schemas import GRAPH, RELATIONS
 from .sources import archives, sink
 from .sources.index import IndexStore
 
@@ -38,12 +38,14 @@ class Scope:
         def rows(order: int, name, df: DataFrame, owner, member=none, desc=none, text=none) -> DataFrame:
             return df.select(F.lit(order).alias("kind_ord"), (F.lit(name) if isinstance(name, str) else name).alias("kind"), "archive_path", owner.alias("owner"), member.alias("name"), desc.alias("descriptor"), text.alias("text"))
 
-        strings = self.strings.where(hit("text"))
+        strings = self.texts_holding("strings_by_text", query, mode).where(hit("text"))
         if distinct:
             strings = paging.first_of_each(strings, ["text"], ["archive_path", "owner", F.coalesce("method_name", F.lit(""))])
         member_kind = F.when(F.col("name") == "<init>", "constructor").otherwise("method")
         line = fn.first_matching_line(F.col("text_content"), lambda x: hit(x))
-        resources = self.resources.withColumn("_hit", line).where(hit("entry_path") | F.col("_hit").isNotNull())
+        by_text = self.texts_holding("resources_by_text", query, mode).withColumn("_hit", line).where("_hit is not null").select("archive_path", "entry_path", "resource_type", "_hit")
+        by_path = self.resources.select("archive_path", "entry_path", "resource_type").where(hit("entry_path")).join(by_text.select("archive_path", "entry_path"), ["archive_path", "entry_path"], "left_anti")
+        resources = by_text.unionByName(by_path.withColumn("_hit", F.lit(None).cast(by_text.schema["_hit"].dataType)))
         every = [
             rows(0, "module", self.modules.where(hit("module_name")), F.col("module_name")), rows(1, "type", self.classes.where(hit("display_name") | hit("internal_name")), F.col("internal_name")),
             rows(2, "field", self.fields.where(hit("name")), F.col("owner"), F.col("name"), F.col("descriptor")),
@@ -59,6 +61,15 @@ class Scope:
         order = ["kind_ord", "archive_path", "owner", "name", "descriptor", "text"]
         return paging.with_total(paging.page(out, order, offset, limit, limit is None), out).drop("kind_ord")
 
+    def texts_holding(self, name: str, query: str, mode: str = "plain") -> DataFrame:
+        """The rows of ``strings_by_text`` or ``resources_by_text`` that a pattern may match: those that hold its literal trigrams. Other texts are not read; a pattern without three literal characters together reads all."""
+        table, wanted = self.store.read(name, self.archives), postings.literal_grams(query, mode)
+        if not wanted:
+            return table
+        posted = self.store.read("trigrams", self.archives).where(F.col("bucket").isin([calls.bucket_of(F.lit(g)) for g in wanted]))
+        ids = checkpointed(postings.holding(posted, wanted, "text_id"))
+        return calls.near(table, "text_id", ids, "text_id")
+
     def search_to(self, folder: str, query: str, **options) -> DataFrame:
         """Write all hits of a search, whatever their number, as tab-separated text to ``folder``; returns the first twenty."""
         hits = self.search(query, **{**options, "limit": None, "offset": 0})
@@ -116,8 +127,9 @@ class Scope:
 
     @property
     def call_graph(self) -> calls.CallGraph:
-        """The stored adjacency of the scope's archives."""
-        return calls.CallGraph(*[self.store.read(name, self.archives) for name in ADJACENCY])
+        """The stored adjacency of the scope's archives, as they are now."""
+        current = checkpointed(self.store.current(self.archives))
+        return calls.CallGraph(*[self.store.read(name, current=current) for name in GRAPH])
 
     def type_hierarchy(self, name: str, depth: int = 8, max_nodes: int = 256) -> DataFrame:
         return graph.type_hierarchy(self.classes, self.interfaces, name.replace(".", "/"), depth, max_nodes)

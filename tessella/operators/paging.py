@@ -6,27 +6,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Pages that begin further on are found by the counts of ranges; ranges of the order, and rows of a sample for each.
+DEEP, RANGES, SAMPLED = 100_000, 64, 16
+
+
 def page(df: DataFrame, order: list[str | Column], offset: int, limit: int | None, zero_is_all: bool = False) -> DataFrame:
-    """Rows ``offset`` + 1 to ``offset`` + ``limit`` of an order: a top-k of each partition, then of these.
+    """Rows ``offset`` + 1 to ``offset`` + ``limit`` of an order: a top-k of each partition, then of these; deep pages as :func:`deep_page` has them.
 
     A limit of zero or less gives no rows, or all of them where ``zero_is_all``.
     """
     limit = limit or 0
+    if limit > 0 and offset >= DEEP and all(isinstance(c, str) for c in order):
+        return deep_page(df, order, offset, limit)
     rows = df.orderBy(*order).offset(max(0, offset)) if limit <= 0 and zero_is_all else df.orderBy(*order).limit(max(0, offset) + max(0, limit)).offset(max(0, offset))
     return rows
 
 
+def deep_page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
+    """A page of an ascending order of columns that is far down: rows are counted by ranges of the order, and those ranges that hold the page are sorted alone.
+
+    The ends of ranges are those of a sample by a hash of the ordering columns; wherever they lie, the page is the same. ``df`` is read for
+    the count, the sample, the counts of ranges and the page.
+    """
+    n, hashed = df.count(), F.xxhash64(*order)
+    wanted = RANGES * SAMPLED
+    some = df.where(F.pmod(hashed, F.lit(max(1, n // wanted))) == 0).select(*order).distinct().orderBy(*order).limit(16 * wanted).collect()
+    ends = some[len(some) // RANGES :: max(1, len(some) // RANGES)][: RANGES - 1]
+    if offset >= n or not ends:
+        return df.orderBy(*order).limit(0 if offset >= n else offset + limit).offset(offset)
+    types = {f.name: f.dataType for f in df.select(*order).schema}
+    key = lambda r: F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order])
+    own = F.struct(*order)
+    # In two steps: the block of 8 ends, then the place among these.
+    blocks = [ends[k : k + 8] for k in range(0, len(ends), 8)]
+    count = lambda keys, k: F.size(F.filter(keys, lambda e: e <= k))
+    coarse, fine = F.array(*[key(b[0]) for b in blocks]), F.array(*[F.array(*[key(r) for r in b]) for b in blocks])
+    ranged = df.withColumn("_block", count(coarse, own)).withColumn("_range", F.when(F.col("_block") == 0, 0).otherwise((F.col("_block") - 1) * 8 + count(F.get(fine, F.col("_block") - 1), own)))
+    found = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}  # RANGES rows at most
+    before, first, last, skipped = 0, None, None, 0
+    for k in sorted(found):
+        if before + found[k] > offset and before < offset + limit:
+            if first is None:
+                first, skipped = k, before
+            last = k
+        before += found[k]
+    return ranged.where(F.col("_range").between(first, last)).drop("_block", "_range").orderBy(*order).limit(offset - skipped + limit).offset(offset - skipped)
+
+
 def with_total(paged: DataFrame, matches: DataFrame, name: str = "total") -> DataFrame:
     """``paged`` with the number of all matches, whatever the page."""
     return paged.join(F.broadcast(matches.agg(F.count("*").alias(name))))
 
 
 def first_of_each(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """The first row of each key: a minimum that is aggregated before the shuffle, not a sort of whole groups."""
-    names = [c for c in df.columns if c not in keys]
+    """The first row of each key: a minimum that is aggregated before the shuffle, by a digest of the key, not a sort of whole groups or long keys."""
     ranked = [F.col(c) if isinstance(c, str) else c for c in order]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(ranked)])).alias("_first"))
-    return first.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in names])
+    digest = F.sha2(F.concat_ws("\0", *[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in keys]), 256)
+    first = df.groupBy(digest.alias("_digest")).agg(F.min_by(F.struct(*df.columns), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(ranked)])).alias("_first"))
+    return first.select(*[F.col(f"_first.{c}").alias(c) for c in [*keys, *[c for c in df.columns if c not in keys]]])
 
 
 def head_of_each(df: DataFrame, keys: list[str], order: list[str | Column], limit: int) -> DataFrame:

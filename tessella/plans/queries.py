@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import calls, cfg, diff, graph, logs, lookup, paging, policy, symbols
+from ..operators import calls, cfg, diff, graph, logs, lookup, paging, policy, postings, symbols
 from . import bindings as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,27 @@ def search_plain(spark, sf_dir):
     return paging.with_total(paging.page(hits, ["source", "doc_id"], 5, 50), hits)
 
 
+@query("""SELECT p.pattern, doc_id FROM documents, (VALUES ('lIcEnSe'), ('li*nse'), ('vers.on ?[0-9]+')) p(pattern) WHERE CASE pattern WHEN 'lIcEnSe' THEN text ILIKE '%license%' WHEN 'li*nse' THEN regexp_matches(text, '(?i)li.*nse') ELSE regexp_matches(text, '(?i)vers.on ?[0-9]+') END""")
+def search_trigrams(spark, sf_dir):
+    """Texts by patterns of each mode, read only where the trigrams that a pattern holds literally have been posted."""
+    texts = docs(spark, sf_dir).select("doc_id", "text")
+    posted = graph.checkpointed(postings.postings(texts, "doc_id", "text"))
+    found = None
+    for query_, mode in (("lIcEnSe", "plain"), ("li*nse", "wildcard"), ("vers.on ?[0-9]+", "regex")):
+        ids = postings.holding(posted, postings.literal_grams(query_, mode), "doc_id")
+        hits = texts.join(ids, "doc_id", "left_semi").where(fn.match("text", query_, mode)).select(F.lit(query_).alias("pattern"), "doc_id")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity LIMIT 200 OFFSET (SELECT CAST(count(*) * 3 // 5 AS BIGINT) FROM lineitem)""")
+def deep_page(spark, sf_dir):
+    """L2, L3: a page that begins three fifths down an order, of which its own ranges are sorted alone."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    line = b.table(spark, sf_dir, "lineitem").select(*order)
+    return paging.deep_page(line, order, line.count() * 3 // 5, 200)
+
+
 @query("SELECT doc_id, source FROM documents WHERE regexp_matches(text, '(?i)vers.on ?\\d')")
 def search_regex(spark, sf_dir):
     """F7 regex."""

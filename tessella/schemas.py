@@ -25,11 +25,15 @@ RELATIONS = {
     "failures": FAILURES,
 }
 _CALLS = f"archive_path string, {_METHOD}, target_owner string, target_name string, target_desc string"
-#: The stored adjacency, in the order of ``CallGraph``: by the type that each is sorted and cut into buckets by.
+#: Relations that are stored in buckets by a column and sorted by it: first the adjacency, in the order of ``CallGraph``, then texts by an id and their trigrams.
 ADJACENCY = {
     "calls_by_source": ("source_owner", _CALLS),
     "calls_by_target": ("target_owner", _CALLS),
     "types_by_parent": ("parent", "archive_path string, parent string, child string"),
     "types_by_child": ("child", "archive_path string, parent string, child string"),
     "methods_by_owner": ("owner", "archive_path string, owner string, name string, descriptor string"),
+    "strings_by_text": ("text_id", f"{RELATIONS['strings']}, text_id long"),
+    "resources_by_text": ("text_id", f"{RELATIONS['resources']}, text_id long"),
+    "trigrams": ("gram", "archive_path string, gram string, text_id long"),
 }
+GRAPH = [name for name in ADJACENCY if name.startswith(("calls", "types", "methods"))]

@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from ..schemas import ENTRIES
 LIBRARIES = ("BOOT-INF/lib/", "WEB-INF/lib/", "APP-INF/lib/", "lib/", "libs/", "dependencies/")
 #: Bytes of content and entries of a frame at most (one entry at least).
 FRAME_BYTES, FRAME_ROWS = 16 << 20, 500
+#: Buckets of a folder's files.
+BUCKETS = 4096
 _COLUMNS = [c.split()[0] for c in ENTRIES.split(", ")] + ["error_type", "message"]
 
 
@@ -57,13 +61,19 @@ def read_entries(spark: SparkSession, path: str | list[str], recursive: bool = F
     error_type and message, after what could be read of it, and not an error. APK files without a dex file fail, as do AAR files without classes.jar.
     """
 
+    return _files(spark, path, recursive, only).select("path", "content").mapInPandas(_unzipping(nested, None), f"{ENTRIES}, error_type string, message string")
+
+
+def _unzipping(nested: int, opened: Callable[[str], bytes] | None):
+    """A task that gives the entries of archives, one archive at a time, in small frames; ``opened`` reads an archive whose content the rows don't have."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = lambda rows: pd.DataFrame(rows, columns=_COLUMNS).astype({"ord": "Int32", "size": "Int64", "crc": "Int64"})
         for batch in batches:
-            for name, data in zip(batch["path"], batch["content"]):
+            for k, name in enumerate(batch["path"]):
                 rows, held = [], 0
                 try:
-                    for row in _members(name, bytes(data), nested):
+                    for row in _members(name, bytes(batch["content"].iloc[k]) if opened is None else opened(name), nested):
                         rows.append(row)
                         held += len(row[5])
                         if held >= FRAME_BYTES or len(rows) >= FRAME_ROWS:
@@ -73,7 +83,28 @@ def read_entries(spark: SparkSession, path: str | list[str], recursive: bool = F
                     rows.append((name, None, None, None, None, None, type(e).__name__, str(e)))
                 yield frame(rows)
 
-    return _files(spark, path, recursive, only).select("path", "content").mapInPandas(run, f"{ENTRIES}, error_type string, message string")
+    return run
+
+
+def _opened(path: str) -> bytes:
+    """A file's bytes, read in a task."""
+    system, where = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(where) as f:
+        return f.read()
+
+
+def read_named(spark: SparkSession, paths: DataFrame, nested: int = 2) -> DataFrame:
+    """:func:`read_entries` of the archives that ``paths`` (archive_path) names: the names are rows, and each task opens its own.
+
+    Stores that tasks can't open but through Spark (those that have no file system in Arrow) are read by Spark's own source, for which the names are collected.
+    """
+    first = paths.first()
+    try:
+        fs.FileSystem.from_uri(first.archive_path if first else "file:///")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return read_entries(spark, [r.archive_path for r in paths.collect()], True, nested)
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return paths.select(F.col("archive_path").alias("path")).repartition(tasks, "path").mapInPandas(_unzipping(nested, _opened), f"{ENTRIES}, error_type string, message string")
 
 
 def read_archives(spark: SparkSession, path: str | list[str], recursive: bool = False, nested: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -144,14 +175,20 @@ def scope_inputs(spark: SparkSession, path: str, recursive: bool = False) -> Dat
 
 
 def fingerprints(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(archive_path, fingerprint): SHA-256 of each archive's bytes; of a folder with class files, of its files' names, sizes and times in order."""
+    """(archive_path, fingerprint): SHA-256 of each archive's bytes; of a folder with class files, of its files' names below it, sizes and times.
+
+    A folder's files are put into BUCKETS by a hash; the digest is one of the buckets' digests, each of its lines in order.
+    """
     found = _files(spark, path, recursive).select(F.col("path").alias("archive_path"), F.sha2("content", 256).alias("fingerprint"))
     if not is_folder(spark, path) or _class_files(spark, path).select("path").isEmpty():
         return found
+    root = qualified(spark, path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    listed = files.select(F.concat_ws("\0", "path", "length", F.unix_millis("modificationTime"), F.lit("")).alias("line"))
-    folder = listed.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("fingerprint"))
-    return found.unionByName(folder.select(F.lit(qualified(spark, path)).alias("archive_path"), "fingerprint"))
+    listed = files.select(F.concat_ws("\0", F.substring("path", len(root) + 2, 1 << 20), "length", F.unix_millis("modificationTime"), F.lit("")).alias("line"))
+    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    buckets = listed.groupBy(F.pmod(F.xxhash64("line"), F.lit(BUCKETS)).alias("bucket")).agg(digest("line").alias("digest"))
+    folder = buckets.agg(digest(F.concat_ws(":", "bucket", "digest")).alias("fingerprint"))
+    return found.unionByName(folder.select(F.lit(root).alias("archive_path"), "fingerprint"))
 
 
 def repository(spark: SparkSession, path: str) -> DataFrame:

@@ -206,18 +206,51 @@ def facts(archive: str, entry: str, data: bytes) -> Iterator[tuple]:
             yield row("handler", name, desc, seq=k, text=c.name(caught), targets=[index[start], index.get(end, len(code)), index[handler]])
 
 
+_NAMES = [x.split()[0] for x in FACTS.split(", ")]
+
+
+def _rows_of(archive: str, entry: str, content: bytes) -> list[tuple]:
+    try:
+        return list(facts(archive, entry, content))
+    except Exception as e:
+        return [(archive, entry, "failure", *[None] * 9, f"{type(e).__name__}: {e}", None)]
+
+
+def _frame(rows: list[tuple], more: tuple[str, ...] = ()) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[*_NAMES, *more]).astype({"access": "Int32", "seq": "Int32", "opcode": "Int32"})
+
+
 def class_facts(entries: DataFrame) -> DataFrame:
     """FACTS of every class entry, and a row of kind ``failure`` (text: what is wrong) for each that can't be read."""
-    names = [x.split()[0] for x in FACTS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive, entry, content in zip(batch["archive_path"], batch["entry"], batch["content"]):
-                try:
-                    rows = list(facts(archive, entry, bytes(content)))
-                except Exception as e:
-                    rows = [(archive, entry, "failure", None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}", None)]
-                yield pd.DataFrame(rows, columns=names).astype({"access": "Int32", "seq": "Int32", "opcode": "Int32"})
+                yield _frame(_rows_of(archive, entry, bytes(content)))
 
     classes = entries.where(F.col("entry").endswith(".class")).select("archive_path", "entry", "content")
     return classes.repartition("archive_path", "entry").mapInPandas(run, FACTS)
+
+
+#: What is read of an archive in one pass: FACTS, and besides them each class's place (kind ``entry``, seq), other entries (``resource``, with what content may be text) and failures of archives.
+PARSED = f"{FACTS}, content binary, error_type string, message string"
+
+
+def parsed(entries: DataFrame, largest: int) -> DataFrame:
+    """PARSED of entries with error_type and message, where they are unzipped: no class file is shuffled. Contents over ``largest`` bytes or with a null byte are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = (None,) * (len(_NAMES) - 3)
+        for batch in batches:
+            for archive, entry, ord_, content, error, message in zip(*[batch[c] for c in ("archive_path", "entry", "ord", "content", "error_type", "message")]):
+                if error is not None:
+                    rows = [(archive, None, "unread", *none, None, error, message)]
+                elif not entry.endswith(".class"):
+                    data = bytes(content)
+                    rows = [(archive, entry, "resource", *none, data if len(data) <= largest and b"\0" not in data else None, None, None)]
+                else:
+                    place = (archive, entry, "entry", None, None, None, None, int(ord_), *none[5:])
+                    rows = [(*r, None, None, None) for r in (place, *_rows_of(archive, entry, bytes(content)))]
+                yield _frame(rows, ("content", "error_type", "message"))
+
+    return entries.mapInPandas(run, PARSED)

@@ -11,6 +11,7 @@ from ..functions.text import QUALIFIED, object_types, resource_type
 from ..operators.calls import bucket_of
 from ..operators.graph import closure, type_edges
 from ..operators.policy import class_entries, multi_release, refresh_plan
+from ..operators.postings import postings
 from ..schemas import ADJACENCY, FACTS, FAILURES, RELATIONS, SCHEMA_VERSION
 from . import archives, classfile
 from .xml_resources import xml_mentions
@@ -88,10 +89,15 @@ def class_hierarchy_calls(virtual: DataFrame, classes: DataFrame, interfaces: Da
     return found.select("archive_path", "source_owner", "source_name", "source_desc", F.col("sub").alias("target_owner"), "target_name", "target_desc")
 
 
-def adjacency(calls: DataFrame, classes: DataFrame, interfaces: DataFrame, methods: DataFrame) -> dict[str, DataFrame]:
-    """The relations of ADJACENCY, each with its rows' ``bucket``."""
-    types = type_edges(classes, interfaces).select("archive_path", "parent", "child").distinct()
-    of = {"calls": calls, "types": types, "methods": methods}
+def adjacency(made: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The relations of ADJACENCY from the symbol relations, each with its rows' ``bucket``."""
+    strings, resources = made["strings"].withColumn("text_id", F.xxhash64("text")), made["resources"].withColumn("text_id", F.xxhash64("text_content"))
+    texts = strings.select("archive_path", "text_id", "text").unionByName(resources.where("text_content is not null").select("archive_path", "text_id", F.col("text_content").alias("text")))
+    of = {
+        "calls": made["calls"], "types": type_edges(made["classes"], made["interfaces"]).select("archive_path", "parent", "child").distinct(), "methods": made["methods"], "strings": strings, "resources": resources,
+        # Texts of one id have their trigrams together, so that none is missed.
+        "trigrams": postings(texts, "text_id", "text", "archive_path").distinct(),
+    }
     return {name: of[name.split("_")[0]].select(*[c.split()[0] for c in schema.split(", ")], bucket_of(key).alias("bucket")) for name, (key, schema) in ADJACENCY.items()}
 
 
@@ -184,31 +190,36 @@ class IndexStore:
         generation = max(time.time_ns(), (self.manifest().agg(F.max("generation")).first()[0] or 0) + 1)
         plan = refresh_plan(archives.fingerprints(self.spark, scope, recursive), self.manifest().select("archive_path", "fingerprint"))
         plan = self._write("plan", plan.where("state <> 'current'"), generation)
-        stale = [r.archive_path for r in plan.select("archive_path").toLocalIterator()]  # names alone, as Spark's own listing of files has them
-        folder = archives.qualified(self.spark, scope)
-        every = archives.read_entries(self.spark, [p for p in stale if p != folder], True) if set(stale) - {folder} else None
-        if folder in stale and archives.is_folder(self.spark, scope):
-            none = F.lit(None).cast("string")
-            own = archives.read_class_folder(self.spark, scope).withColumns({"error_type": none, "message": none})
-            every = own if every is None else every.unionByName(own)
-        gone = self.gone(scope, recursive)
-        if every is None:
-            self._name(gone.select("archive_path", F.lit(None).cast("string").alias("fingerprint")), generation)
+        folder, none = archives.qualified(self.spark, scope), F.lit(None).cast("string")
+        gone = self.gone(scope, recursive).select("archive_path", none.alias("fingerprint"))
+        if plan.isEmpty():
+            self._name(gone, generation)
             return self.spark.createDataFrame([], FAILURES)
-        entries = every.where("error_type is null").drop("error_type", "message")
-        facts = self._write("facts", entry_facts(entries, release), generation)
-        # What isn't a class: resources, and failures of archives, in one more pass.
-        other = every.where(F.col("error_type").isNotNull() | ~F.col("entry").endswith(".class"))
-        other = other.select("archive_path", "entry", resource_type(F.col("entry")).alias("resource_type"), resource_text().alias("text_content"), "error_type", "message").where("error_type is not null or resource_type is not null")
-        other = self._write("others", other, generation)
-        resources = other.where("error_type is null").select("archive_path", F.col("entry").alias("entry_path"), "resource_type", "text_content")
+        own = F.col("archive_path") == folder
+        every = None
+        if archives.is_folder(self.spark, scope):
+            if not plan.where(own).isEmpty():
+                every = archives.read_class_folder(self.spark, scope).withColumns({"error_type": none, "message": none})
+            plan_of = plan.where(~own)
+        else:
+            plan_of = plan
+        if not plan_of.isEmpty():
+            zipped = archives.read_named(self.spark, plan_of.select("archive_path"))
+            every = zipped if every is None else every.unionByName(zipped)
+        # Each archive is opened, unzipped and parsed once, by one task; what has been written is then sorted out.
+        parsed = self._write("parsed", classfile.parsed(every, MAX_TEXT), generation)
+        places = parsed.where("kind = 'entry'").select("archive_path", "entry", F.col("seq").alias("ord"))
+        hidden = places.join(visible_classes(places, release), ["archive_path", "entry"], "left_anti").select("archive_path", "entry")
+        names = [c.split()[0] for c in FACTS.split(", ")]
+        facts = self._write("facts", parsed.where("kind not in ('entry', 'resource', 'unread')").select(*names).join(hidden, ["archive_path", "entry"], "left_anti").select(*names), generation)
+        resources = self._write("others", parsed.where("kind = 'resource'").select("archive_path", F.col("entry").alias("entry_path"), resource_type(F.col("entry")).alias("resource_type"), F.decode("content", "UTF-8").alias("text_content")).where("resource_type is not null"), generation)
         found = relations_of(facts, resources)
         made = {name: self._write(name, found[name].select(*[c.split()[0] for c in schema.split(", ")]), generation) for name, schema in RELATIONS.items()}
-        for name, rows in adjacency(*[made[k] for k in ("calls", "classes", "interfaces", "methods")]).items():
+        for name, rows in adjacency(made).items():
             self._write(name, rows, generation)
-        bad = other.where("error_type is not null").select("archive_path", "error_type", "message")
+        bad = parsed.where("kind = 'unread'").select("archive_path", "error_type", "message")
         done = plan.join(bad, "archive_path", "left_anti").select("archive_path", "fingerprint")
-        self._name(done.unionByName(gone.select("archive_path", F.lit(None).cast("string").alias("fingerprint"))), generation)
+        self._name(done.unionByName(gone), generation)
         return bad.unionByName(made["failures"])
 
     def _name(self, rows: DataFrame, generation: int) -> None:
@@ -224,11 +235,14 @@ class IndexStore:
         now = archives.scope_inputs(self.spark, scope, recursive).select("archive_path")
         return self.manifest().where(below | (F.col("archive_path") == root)).select("archive_path").join(now, "archive_path", "left_anti")
 
-    def read(self, name: str, scope: DataFrame | None = None) -> DataFrame:
-        """A relation's current rows, of all archives or of those of ``scope`` (archive_path): what the newest generation of each archive has written."""
+    def current(self, scope: DataFrame | None = None) -> DataFrame:
+        """(_outer, generation): the newest generation of each archive, or of those of ``scope`` (archive_path)."""
         current = self.manifest().select(F.col("archive_path").alias("_outer"), "generation")
-        if scope is not None:
-            current = current.join(scope.select(F.col("archive_path").alias("_outer")).distinct(), "_outer", "left_semi")
+        return current if scope is None else current.join(scope.select(F.col("archive_path").alias("_outer")).distinct(), "_outer", "left_semi")
+
+    def read(self, name: str, scope: DataFrame | None = None, current: DataFrame | None = None) -> DataFrame:
+        """A relation's current rows, of all archives or of those of ``scope`` (archive_path): what the newest generation of each archive has written. ``current`` may have what :meth:`current` gives, written."""
+        current = self.current(scope) if current is None else current
         schema = f"{ADJACENCY[name][1]}, generation long, bucket int" if name in ADJACENCY else f"{FACTS if name == 'facts' else RELATIONS[name]}, generation long"
         rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}").withColumn("_outer", F.regexp_replace("archive_path", r"!/.*", ""))
         return rows.join(current, ["_outer", "generation"], "left_semi").drop("_outer", "generation")
@@ -237,7 +251,7 @@ class IndexStore:
         """Delete the generations that no archive's newest rows are in; returns their folders. No other attempt may be under way."""
         kept = {f"generation={r.generation}" for r in self.manifest().select("generation").distinct().toLocalIterator()}
         jvm, removed = self.spark._jvm, []
-        for name in (*RELATIONS, *ADJACENCY, "facts", "others", "plan"):
+        for name in (*RELATIONS, *ADJACENCY, "facts", "others", "parsed", "plan"):
             where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             system = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
             for status in system.listStatus(where) if system.exists(where) else []:

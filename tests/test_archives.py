@@ -176,6 +176,27 @@ def test_scope(spark, world):
     assert {r.status for r in scope.compare(str(folder / "jars" / "demo.jar")).collect()} == {"unchanged"}
 
 
+def test_searches_read_what_may_match(spark, world):
+    from tessella.api import Scope
+    from tessella.functions import text as fn
+
+    folder, store, _ = world
+    scope = Scope(spark, str(folder / "jars"), store.path, build=False)
+    for query, mode in (("demo", "plain"), ("DEMO.main", "plain"), ("uses*chi", "wildcard"), (r"demo\.(Main|Child)", "regex"), (r"us+es demo\.Ch", "regex"), ("wor", "plain"), ("or", "plain"), ("nothing like it", "plain")):
+        hit = fn.match("text", query, mode)
+        want = sorted(map(str, scope.strings.where(hit).collect()))
+        assert sorted(str(r) for r in scope.texts_holding("strings_by_text", query, mode).where(hit).select(*scope.strings.columns).collect()) == want
+        line = fn.match("text_content", query, mode)
+        want = {r.entry_path for r in scope.resources.where(line).collect()}
+        found = scope.texts_holding("resources_by_text", query, mode)
+        assert {r.entry_path for r in found.where(line).collect()} == want
+    # One text holds it, and no other is read.
+    assert scope.texts_holding("resources_by_text", "main=demo").count() == 1 < scope.resources.count() and scope.texts_holding("resources_by_text", "ma").count() == scope.resources.count()
+    plan = scope.texts_holding("strings_by_text", "constant")._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.split("\n") if "strings_by_text" in x)
+    assert "bucket" in scan.split("PartitionFilters:")[1].split("PushedFilters")[0] and "text_id" in scan.split("PushedFilters:")[1]
+
+
 def test_references_are_cut_in_order(spark, world):
     from tessella.api import Scope
 
@@ -227,11 +248,11 @@ def test_call_chains_with_cycles(spark, looped):
 
 def test_many_chains_are_the_single_ones(spark, looped):
     _, scope = looped
-    methods = scope.methods.where("owner like 'x/%'").select("owner", "name", "descriptor").distinct().collect()
+    methods = [("x/A", "go", "()V"), ("x/Step", "step", "()V"), ("x/C", "ask", None)]
     wanted = spark.createDataFrame([(i, *r) for i, r in enumerate(methods)], "root int, owner string, name string, descriptor string")
-    many = scope.call_chains(wanted, depth=3, max_nodes=4).collect()
+    many = scope.call_chains(wanted, depth=2, max_nodes=4).collect()
     for i, r in enumerate(methods):
-        one = {tuple(x) for x in scope.call_chain(*r, depth=3, max_nodes=4).collect()}
+        one = {tuple(x) for x in scope.call_chain(*r, depth=2, max_nodes=4).collect()}
         assert {tuple(x)[1:] for x in many if x.root == i} == one, r
 
 

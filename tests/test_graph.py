@@ -91,3 +91,41 @@ def test_wildcards_are_literal_elsewhere(spark):
     assert [r.t for r in df.where(fn.match("t", "a.b(*", "wildcard")).collect()] == ["a.b(c)"]
     assert [r.t for r in df.where(fn.match("t", "A.B(C)")).collect()] == ["a.b(c)"]
     assert df.where(fn.match("t", "A.B", case_sensitive=True)).count() == 0
+
+
+def test_what_a_pattern_holds_literally():
+    from tessella.operators.postings import literal_grams, literals
+
+    assert literals("a.b*c", "plain") == ["a.b*c"] and literals("ab*c?def", "wildcard") == ["ab", "c", "def"]
+    cases = {r"abc\d+def": ["abc", "def"], "abcd*ef": ["abc", "ef"], "ab+cd": ["ab", "cd"], "a(bcd)?ef": ["a", "ef"], "abc|def": [], "[a-z]xyz{2,3}w": ["xy", "w"], r"a\.b\(c": ["a.b(c"], r"ab\x41cd": ["ab"], "(?x)abc": [], "^abc$": ["abc"], r"\Qa.c\E": [], "x[^]]y": ["x", "y"]}
+    assert {k: literals(k, "regex") for k in cases} == cases
+    assert literal_grams("ABcd") == ["abc", "bcd"] and literal_grams("ab") == [] and len(literal_grams("".join(map(chr, range(97, 123))))) <= 16
+
+
+def test_patterns_that_match_hold_their_literals():
+    import re
+
+    from tessella.operators.postings import literal_grams
+
+    rng = random.Random(5)
+    hits = 0
+    for _ in range(20000):
+        pattern = "".join(rng.choice(["a", "b", "c", "ab", ".", "a*", "b?", "c+", "[ab]", "[^c]", r"\.", "(ab)", "(c)*", "a{1,2}", r"\w", "^", "$"]) for _ in range(rng.randrange(1, 7)))
+        text = "".join(rng.choice("abc.") for _ in range(12))
+        if re.search(pattern, text):
+            hits += 1
+            assert all(g in text for g in literal_grams(pattern, "regex")), (pattern, text)
+    assert hits > 1000
+
+
+@pytest.mark.parametrize("size,offset,limit", [(3000, 1700, 40), (3000, 2990, 40), (3000, 3000, 5), (3000, 0, 7), (40, 11, 5), (0, 3, 4)])
+def test_deep_pages_are_the_same(spark, size, offset, limit):
+    from tessella.operators import paging
+
+    rng = random.Random(size + offset)
+    rows = [(rng.choice([None, "a", "b", "c"]), rng.randrange(60), i) for i in range(size)]
+    df = spark.createDataFrame(rows, "k string, n int, i int").repartition(3)
+    order = lambda r: (r[0] is not None, r[0] or "", r[1], r[2])
+    assert [tuple(r) for r in paging.deep_page(df, ["k", "n", "i"], offset, limit).collect()] == sorted(rows, key=order)[offset : offset + limit]
+    hot = spark.createDataFrame([("x", 1, i % 2) for i in range(200)], "k string, n int, i int")
+    assert [r.i for r in paging.deep_page(hot, ["k", "n", "i"], 98, 4).collect()] == [0, 0, 1, 1]
