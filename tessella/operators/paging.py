@@ -22,35 +22,34 @@ def page(df: DataFrame, order: list[str | Column], offset: int, limit: int | Non
     return rows
 
 
-def deep_page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
-    """A page of an ascending order of columns that is far down: rows are counted by ranges of the order, and those ranges that hold the page are sorted alone.
+def deep_page(df: DataFrame, order: list[str], offset: int, limit: int, sort: list[str] | None = None) -> DataFrame:
+    """A page of an ascending order of columns that is far down: rows are counted by ranges of the first column, and those that hold the page are sorted alone.
 
-    The ends of ranges are those of a sample by a hash of the ordering columns; wherever they lie, the page is the same. ``df`` is read for
-    the count, the sample, the counts of ranges and the page.
+    A value that ends a range counts by itself; a page inside one is sought among its rows by the next column. The ends are those of a sample by a hash; wherever they
+    lie, the page is the same. ``sort`` has the columns of the whole order, where the first ones are one value.
     """
-    n, hashed = df.count(), F.xxhash64(*order)
-    wanted = RANGES * SAMPLED
-    some = df.where(F.pmod(hashed, F.lit(max(1, n // wanted))) == 0).select(*order).distinct().orderBy(*order).limit(16 * wanted).collect()
-    ends = some[len(some) // RANGES :: max(1, len(some) // RANGES)][: RANGES - 1]
+    sort, head = sort or order, F.col(order[0])
+    n, kind = df.count(), df.select(order[0]).schema[0].dataType
+    share = F.pmod(F.xxhash64(*sort), F.lit(max(1, n // (RANGES * SAMPLED)))) == 0
+    some = [r[0] for r in df.where(share & head.isNotNull()).select(order[0]).distinct().orderBy(order[0]).limit(16 * RANGES * SAMPLED).collect()]
+    ends = some[:: max(1, -(-len(some) // RANGES))]
     if offset >= n or not ends:
-        return df.orderBy(*order).limit(0 if offset >= n else offset + limit).offset(offset)
-    types = {f.name: f.dataType for f in df.select(*order).schema}
-    key = lambda r: F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order])
-    own = F.struct(*order)
-    # In two steps: the block of 8 ends, then the place among these.
-    blocks = [ends[k : k + 8] for k in range(0, len(ends), 8)]
-    count = lambda keys, k: F.size(F.filter(keys, lambda e: e <= k))
-    coarse, fine = F.array(*[key(b[0]) for b in blocks]), F.array(*[F.array(*[key(r) for r in b]) for b in blocks])
-    ranged = df.withColumn("_block", count(coarse, own)).withColumn("_range", F.when(F.col("_block") == 0, 0).otherwise((F.col("_block") - 1) * 8 + count(F.get(fine, F.col("_block") - 1), own)))
-    found = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}  # RANGES rows at most
-    before, first, last, skipped = 0, None, None, 0
-    for k in sorted(found):
-        if before + found[k] > offset and before < offset + limit:
-            if first is None:
-                first, skipped = k, before
-            last = k
-        before += found[k]
-    return ranged.where(F.col("_range").between(first, last)).drop("_block", "_range").orderBy(*order).limit(offset - skipped + limit).offset(offset - skipped)
+        return df.orderBy(*sort).limit(0 if offset >= n else offset + limit).offset(offset)
+    # Class 0 are nulls; an end has an even number, what lies below it the odd one before.
+    of = F.when(head.isNull(), 0)
+    for k, end in enumerate(ends):
+        of = of.when(head < F.lit(end).cast(kind), 2 * k + 1).when(head == F.lit(end).cast(kind), 2 * k + 2)
+    ranged = df.withColumn("_range", of.otherwise(2 * len(ends) + 1))
+    held = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}  # twice RANGES and some rows at most
+    before, some = 0, []
+    for k in sorted(held):
+        if before + held[k] > offset and before < offset + limit:
+            some.append((k, before))
+        before += held[k]
+    skipped, picked = some[0][1], ranged.where(F.col("_range").isin([k for k, _ in some])).drop("_range")
+    if len(some) == 1 and some[0][0] % 2 == 0 and order[1:]:
+        return deep_page(picked, order[1:], offset - skipped, limit, sort)
+    return picked.orderBy(*sort).limit(offset - skipped + limit).offset(offset - skipped)
 
 
 def with_total(paged: DataFrame, matches: DataFrame, name: str = "total") -> DataFrame:
