@@ -67,7 +67,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns; repeated rows come out once."""
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns, whatever their names; repeated rows come out once.
+
+    Null and empty texts are one text. Of rows that agree in id and text one stays by a hash of all columns. An empty table gives an empty result.
+    """
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(row_key("doc_id", F.col("text_sha256")).alias("_key"))
     return keep_rows(docs, row_key(id_col, text_digest(text_col)), kept)
 

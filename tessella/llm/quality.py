@@ -144,5 +144,9 @@ def quality_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names, and as often as they are there.
+
+    Null and empty texts are judged by their site and path and the figures of a text without words; null sources and languages are a site and a path of their own. Equal rows, and rows
+    that tie, have one judgement. Without labels all are kept; with labels of one kind the evidence is that kind's. An empty table gives an empty result.
+    """
     return judged(with_odds(docs, labels)).where("_keep").select("_row.*")

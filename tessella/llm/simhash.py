@@ -84,7 +84,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one_of_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest doc_id of each component, with all its columns; repeated rows come out once."""
+    """The document with the smallest doc_id of each component, with all its columns, whatever their names; repeated rows come out once.
+
+    Null and empty texts have the fingerprint zero and form a component with what is near it. Of several texts with the smallest doc_id one stays, by the digest of the text; of rows that agree in id and text,
+    one by a hash of all columns. A null id is the largest. An empty table gives an empty result.
+    """
     prints = materialise(fingerprints(docs, id_col, text_col))
     kept = simhash_components(prints).groupBy("component_id", "first_sha").agg(F.count("*")).select(row_key("component_id", F.col("first_sha")).alias("_key"))
     return keep_rows(docs, row_key(id_col, F.sha2(text_of(text_col).cast("binary"), 256)), kept)

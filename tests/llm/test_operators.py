@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import os
 import random
 import re
@@ -127,9 +128,11 @@ def test_simhash(docs, rows, empty):
     assert simhash.simhash_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("segment", [3, 2048])
-def test_gray_links_of_clusters(spark, monkeypatch, segment):
+@pytest.mark.parametrize("segment,wide", [(3, 2), (2048, 64)])
+def test_gray_links_of_clusters(spark, monkeypatch, segment, wide):
+    # Many runs of segments in the first case, none in the second.
     monkeypatch.setattr(gray_index, "SEGMENT", segment)
+    monkeypatch.setattr(gray_index, "WIDE", wide)
     rng = random.Random(2)
     codes = {rng.getrandbits(64) for _ in range(60)}
     for _ in range(4):
@@ -334,6 +337,42 @@ def test_small_sources_meet_their_targets(spark):
     assert all(0 < r.taken and abs(r.taken - r.target) <= max(0.5, mixing.NEAR * r.target) for r in alike)
 
 
+def test_word_machine_against_a_plain_kernel_machine():
+    """The factor of landmarks gives, where every word is one, the margins of a squared-hinge machine on the whole kernel matrix."""
+    rng = random.Random(3)
+    bad = ["grumble", "blister", "noxious", "vermin"]
+    words = sorted({w[:k] + rng.choice("xyz") + w[k:] for w in bad for k in range(1, len(w))} | {"".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9))) for _ in range(40)})
+    y = np.array([1.0 if any(sum(c in w for c in b) >= len(b) - 1 for b in bad) else -1.0 for w in words])
+    weight = np.array([rng.choice([0.5, 1.0, 2.0]) for _ in words])
+
+    def triples(w):
+        out = {}
+        for i in range(len(w)):
+            for b in range(2, toxicity.GAP + 3):
+                for a in range(1, b):
+                    if i + b < len(w):
+                        key = w[i] + w[i + a] + w[i + b]
+                        out[key] = out.get(key, 0) + toxicity.DECAY ** (b - 2)
+        size = math.sqrt(sum(v * v for v in out.values()))
+        return {k: v / size for k, v in out.items()}
+
+    each = [triples(w) for w in words]
+    kernel = np.array([[sum(v * b.get(k, 0) for k, v in a.items()) for b in each] for a in each])
+    # Newton's method on the dual coefficients: f = K c + bias, with the ridge on c' K c.
+    c, bias = np.zeros(len(words)), 0.0
+    for _ in range(60):
+        inside = y * (kernel @ c + bias) < 1
+        k, w = kernel[np.ix_(inside, inside)], weight[inside]
+        system = np.block([[k + np.diag(0.02 / w), np.ones((len(w), 1))], [np.ones((1, len(w))), np.zeros((1, 1))]])
+        solved = np.linalg.solve(system, np.r_[y[inside], 0])
+        c, bias = np.zeros(len(words)), solved[-1]
+        c[inside] = solved[:-1]
+    model, shift = toxicity.fit_words(words, y, weight)
+    found = toxicity.word_margins(words, model, shift)
+    assert len(words) < toxicity.LANDMARKS and np.abs(found - (kernel @ c + bias)).max() < 0.05
+    assert ((found > 0) == (kernel @ c + bias > 0)).all()
+
+
 def test_the_draws_say_which_shard_words_are_in(spark):
     # Each document is one block, so that the words of a source in a shard tell how many of its slots were drawn there.
     sizes = {"a": 6000, "b": 3000, "c": 300}
