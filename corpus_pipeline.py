@@ -2,6 +2,9 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of ``documents``.
+
+Every stage takes nulls in any column (a null text counts as empty), empty and very long texts, repeated rows and empty tables, and reads the columns of ``documents`` alone,
+so that others may have any name; what the operators do with ties is said at each of the functions that the stages call. An empty table stays one.
 """
 
 from __future__ import annotations
