@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,17 @@ from .schemas import GRAPH, RELATIONS
 from .sources import archives, sink
 from .sources.index import IndexStore
 
+# How each build file begins, the form of a dependency in it, and how it ends.
+BUILD_FILES = {
+    "pom.xml": (
+        '<project xmlns="http://maven.apache.org/POM/4.0.0">\n  <modelVersion>4.0.0</modelVersion>\n  <groupId>generated</groupId>\n  <artifactId>build-skeleton</artifactId>\n  <version>1</version>\n  <dependencies>',
+        "    <dependency>\n      <groupId>{group_id}</groupId>\n      <artifactId>{artifact_id}</artifactId>\n      <version>{version}</version>\n    </dependency>",
+        "  </dependencies>\n</project>\n",
+    ),
+    "build.gradle": ("plugins { id 'java' }\n\nrepositories { mavenCentral() }\n\ndependencies {", "    implementation '{group_id}:{artifact_id}:{version}'", "}\n"),
+    "mvn_deploy.bat": ("@echo off", "mvn install:install-file -Dfile={file} -DgroupId={group_id} -DartifactId={artifact_id} -Dversion={version} -Dpackaging={packaging}", ""),
+}
+
 
 class Scope:
     """The archives at a path and their index. With ``build`` what is new or changed is indexed first; ``failures`` has what can't be read.
@@ -246,15 +259,11 @@ class Scope:
 
     def save_skeleton(self, folder: str) -> DataFrame:
         """Write pom.xml, build.gradle and mvn_deploy.bat with all archives of the scope, in order, to ``folder``; returns what was written."""
-        gav = lambda *between: F.concat(*[x for c, b in zip(("group_id", "artifact_id", "version"), between) for x in (F.lit(b), F.col(c))])
-        pom = F.concat(gav("    <dependency>\n      <groupId>", "</groupId>\n      <artifactId>", "</artifactId>\n      <version>"), F.lit("</version>\n    </dependency>"))
-        gradle = F.concat(gav("    implementation '", ":", ":"), F.lit("'"))
         plain = F.regexp_replace("archive_path", "^file:/*", "/")
-        deploy = F.concat(F.lit("mvn install:install-file -Dfile="), plain, gav(" -DgroupId=", " -DartifactId=", " -Dversion="), F.lit(" -Dpackaging="), "packaging")
-        head = '<project xmlns="http://maven.apache.org/POM/4.0.0">\n  <modelVersion>4.0.0</modelVersion>\n  <groupId>generated</groupId>\n  <artifactId>build-skeleton</artifactId>\n  <version>1</version>\n  <dependencies>'
-        files = {
-            "pom.xml": (pom, head, "  </dependencies>\n</project>\n"), "build.gradle": (gradle, "plugins { id 'java' }\n\nrepositories { mavenCentral() }\n\ndependencies {", "}\n"), "mvn_deploy.bat": (deploy, "@echo off", ""),
-        }
+        known = {"file": plain, **{c: F.col(c) for c in ("group_id", "artifact_id", "version", "packaging")}}
+        # A form's texts and, in braces, the columns between them.
+        line = lambda form: F.concat(*[known[x[1:-1]] if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w+\})", form) if x])
+        files = {name: (line(form), first, last) for name, (first, form, last) in BUILD_FILES.items()}
         listed = self.build_skeleton().agg(*[F.array_sort(F.collect_list(F.struct("archive_path", line.alias("line")))).alias(name.replace(".", "_")) for name, (line, _, _) in files.items()])
         text = lambda name, first, last: F.array_join(F.concat(F.array(F.lit(first)), F.transform(name.replace(".", "_"), lambda r: r["line"]), F.array(F.lit(last))), "\n")
         rows = F.array(*[F.struct(F.lit(name).alias("path"), text(name, first, last).cast("binary").alias("content")) for name, (_, first, last) in files.items()])

@@ -11,6 +11,7 @@ SHOWN = 3
 
 def _names() -> dict[int, str]:
     """The mnemonic of each opcode as the JVM specification has them; forms that differ in the width or the place of their operand have one name."""
+    # Mnemonics in the order of their opcodes, those of families by the letters of their types.
     kinds = "I L F D A".split()
     runs = {
         0: "NOP ACONST_NULL ICONST_M1 ICONST_0 ICONST_1 ICONST_2 ICONST_3 ICONST_4 ICONST_5 LCONST_0 LCONST_1 FCONST_0 FCONST_1 FCONST_2 DCONST_0 DCONST_1 BIPUSH SIPUSH LDC LDC LDC".split(),
