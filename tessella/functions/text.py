@@ -200,3 +200,51 @@ def without_literal_casts(source: Column) -> Column:
 def checksum_line(line: Column) -> Column:
     """STRUCT(checksum, file) of a line of a checksum list, whether in text or in binary (``*``) form."""
     return F.struct(F.lower(F.regexp_extract(line, r"^([0-9A-Fa-f]+)\s+", 1)).alias("checksum"), F.regexp_extract(line, r"^[0-9A-Fa-f]+\s+\*?(.*)$", 1).alias("file"))
+
+
+def utf8_text(content: Column) -> Column:
+    """Bytes as text. Those that are not UTF-8 count as U+FFFD each, where a strict decoder would end the job for one file."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
+#: Lines of a property file: a comment, or a line (group 1) with those that its last backslashes join to it. All repetitions are possessive, which Java runs without recursion.
+PROPERTY_LINE = r"(?:\A|(?<=\n))(?:[ \t\f]|\\\n(?!\z))*+(?:[#!][^\n]*+|([^\\\n]*+(?:\\[\s\S][^\\\n]*+)*+(?:\\\z)?+))"
+#: Key and value of a line whose parts have been joined.
+PROPERTY = r"\A([^\\=: \t\f]*+(?:\\[\s\S][^\\=: \t\f]*+)*+)[ \t\f]*+[=:]?[ \t\f]*+([\s\S]*+)"
+#: Pieces of a key or value: runs of escaped code units that make whole characters, half of a surrogate pair, another escape, plain text.
+UNITS = r"(?:\\u(?:[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|(?![Dd][89A-Fa-f])[0-9A-Fa-f]{4}))++"
+PROPERTY_PIECE = UNITS + r"|\\u[0-9A-Fa-f]{4}|\\[\s\S]|[^\\]++"
+
+
+def _unescaped(text: Column) -> Column:
+    """A key or value without its escapes; null if a code unit is not four hexadecimal digits."""
+    letters = {"t": "\t", "n": "\n", "r": "\r", "f": "\f"}
+
+    def plain(p: Column) -> Column:
+        units = F.unhex(F.replace(p, F.lit("\\u"), F.lit("")))
+        out = F.when(~p.startswith("\\"), p).when(p.rlike(rf"\A{UNITS}\z"), F.decode(units, "UTF-16BE")).when(p == "\\u", F.lit(None)).when(p.startswith("\\u"), F.lit("\ufffd"))
+        for letter, char in letters.items():
+            out = out.when(p == f"\\{letter}", char)
+        return out.otherwise(F.substr(p, F.lit(2)))
+
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(PROPERTY_PIECE), F.lit(0)), plain)
+    return F.when(~F.exists(pieces, lambda p: p.isNull()), F.array_join(pieces, ""))
+
+
+def properties(text: Column) -> Column:
+    """ARRAY<STRUCT(key, value)> of a property file's text, in its order; null if an escape in it is malformed.
+
+    Comments and blank lines are none; a line that ends in an odd number of backslashes goes on in the next one, without its leading blanks. A key ends
+    at a blank, an equals sign or a colon without a backslash; the blanks round that are dropped, those that end a value are not.
+    """
+    unix = F.regexp_replace(text, r"\r\n?", "\n")
+    lines = F.filter(F.regexp_extract_all(unix, F.lit(PROPERTY_LINE), F.lit(1)), lambda x: x != "")
+    joined = F.transform(lines, lambda x: F.regexp_replace(x, r"(\\[^\n])|\\\n[ \t\f]*+", "$1"))
+    part = lambda x, k: _unescaped(F.regexp_extract(x, PROPERTY, k))
+    pairs = F.transform(joined, lambda x: F.struct(part(x, 1).alias("key"), part(x, 2).alias("value")))
+    return F.when(~F.exists(pairs, lambda p: p["key"].isNull() | p["value"].isNull()), pairs)
+
+
+def property_value(pairs: Column, key: str) -> Column:
+    """The value of a key in ``pairs`` of :func:`properties`: its last one; null without any."""
+    return F.try_element_at(F.filter(pairs, lambda p: p["key"] == key), F.lit(-1))["value"]

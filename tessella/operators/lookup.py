@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import artifact_key, artifact_version, newest_first_key, sources_sibling
+from ..functions.text import artifact_key, artifact_version, newest_first_key, sources_sibling, utf8_text
 
 #: Where a type is looked for, in order: the archive itself, archives that are named, those inside it, those of its folder and below, the platform's.
 LEVELS = ("own", "named", "nested", "folder", "platform")
@@ -85,7 +85,7 @@ def sources_in(asked: DataFrame, entries: DataFrame) -> DataFrame:
     both = asked.select("id", "origin", path.alias("_path")).withColumn("_simple", simple(F.col("_path"))).join(files, ["origin", "_simple"])
     exact = F.col("entry") == F.col("_path")
     fits = both.where(exact | F.col("entry").endswith(F.concat(F.lit("/"), F.col("_path"))))
-    best = fits.groupBy("id").agg(F.min_by(F.struct("origin", "entry", F.decode("content", "UTF-8").alias("source")), F.struct((~exact).alias("late"), "ord", "entry")).alias("b"))
+    best = fits.groupBy("id").agg(F.min_by(F.struct("origin", "entry", utf8_text(F.col("content")).alias("source")), F.struct((~exact).alias("late"), "ord", "entry")).alias("b"))
     return best.select("id", "b.*")
 
 

@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ARCHIVE, sources_sibling
+from ..functions.text import ARCHIVE, properties, property_value, sources_sibling, utf8_text
 from ..schemas import ENTRIES
 
 LIBRARIES = ("BOOT-INF/lib/", "WEB-INF/lib/", "APP-INF/lib/", "lib/", "libs/", "dependencies/")
@@ -203,8 +203,8 @@ def repository(spark: SparkSession, path: str) -> DataFrame:
 
 def coordinates(entries: DataFrame) -> DataFrame:
     """(archive_path, group_id, artifact_id, version) of archives by their first complete pom.properties."""
-    text = entries.where(F.col("entry").rlike(r"^META-INF/maven/.*/pom\.properties$")).select("archive_path", "ord", F.decode("content", "UTF-8").alias("t"))
-    value = lambda k: F.trim(F.regexp_extract("t", rf"(?m)^\s*{k}\s*[=:]\s*(.*?)\s*$", 1))
+    text = entries.where(F.col("entry").rlike(r"^META-INF/maven/.*/pom\.properties$")).select("archive_path", "ord", properties(F.decode("content", "ISO-8859-1")).alias("p"))
+    value = lambda k: F.trim(property_value(F.col("p"), k))
     found = text.select("archive_path", "ord", value("groupId").alias("group_id"), value("artifactId").alias("artifact_id"), value("version").alias("version"))
     found = found.where("group_id <> '' and artifact_id <> '' and version <> ''")
     return found.groupBy("archive_path").agg(F.min_by(F.struct("group_id", "artifact_id", "version"), "ord").alias("gav")).select("archive_path", "gav.*")
@@ -215,5 +215,5 @@ def source_of(entries: DataFrame, class_name: str) -> DataFrame:
     wanted = class_name.replace(".", "/") + ".java"
     exact = F.col("entry") == wanted
     found = entries.where(exact | F.col("entry").endswith("/" + wanted))
-    best = found.groupBy("archive_path").agg(F.min_by(F.struct("entry", F.decode("content", "UTF-8").alias("source")), F.struct((~exact).alias("late"), "ord")).alias("b"))
+    best = found.groupBy("archive_path").agg(F.min_by(F.struct("entry", utf8_text(F.col("content")).alias("source")), F.struct((~exact).alias("late"), "ord")).alias("b"))
     return best.select("archive_path", "b.*")

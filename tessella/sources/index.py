@@ -7,7 +7,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import QUALIFIED, object_types, resource_type
+from ..functions.text import QUALIFIED, object_types, resource_type, utf8_text
 from ..operators.calls import bucket_of
 from ..operators.graph import closure, type_edges
 from ..operators.policy import class_entries, multi_release, refresh_plan
@@ -139,7 +139,7 @@ def type_references(facts: DataFrame, resources: DataFrame, virtual: DataFrame)
 def resource_text() -> Column:
     """Text of up to a megabyte without a null byte, else null."""
     small = (F.length("content") <= MAX_TEXT) & (F.position(F.lit(b"\0"), F.col("content")) == 0)
-    return F.when(small, F.decode("content", "UTF-8"))
+    return F.when(small, utf8_text(F.col("content")))
 
 
 def resource_rows(entries: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ class IndexStore:
         hidden = places.join(visible_classes(places, release), ["archive_path", "entry"], "left_anti").select("archive_path", "entry")
         names = [c.split()[0] for c in FACTS.split(", ")]
         facts = self._write("facts", parsed.where("kind not in ('entry', 'resource', 'unread')").select(*names).join(hidden, ["archive_path", "entry"], "left_anti").select(*names), generation)
-        resources = self._write("others", parsed.where("kind = 'resource'").select("archive_path", F.col("entry").alias("entry_path"), resource_type(F.col("entry")).alias("resource_type"), F.decode("content", "UTF-8").alias("text_content")).where("resource_type is not null"), generation)
+        resources = self._write("others", parsed.where("kind = 'resource'").select("archive_path", F.col("entry").alias("entry_path"), resource_type(F.col("entry")).alias("resource_type"), utf8_text(F.col("content")).alias("text_content")).where("resource_type is not null"), generation)
         found = relations_of(facts, resources)
         made = {name: self._write(name, found[name].select(*[c.split()[0] for c in schema.split(", ")]), generation) for name, schema in RELATIONS.items()}
         for name, rows in adjacency(made).items():

@@ -1,5 +1,7 @@
 """Archives compiled at test time, read, indexed and queried."""
 
+import base64
+import random
 import shutil
 import subprocess
 import zipfile
@@ -593,3 +595,51 @@ def test_descriptors():
     assert readable("(I[[Ljava/lang/String;J)V") == "(int, java.lang.String[][], long): void"
     assert readable("(I[[Ljava/lang/String;J)V", short=True) == "(int, String[][], long): void"
     assert readable("[Z") == "boolean[]" and readable("(Q") == "(Q"
+
+
+def test_property_files_as_java_reads_them(spark, tmp_path):
+    from tessella.functions import text as fn
+
+    rng = random.Random(9)
+    parts = ["a", "b", "key", "=", ":", " ", "\t", "\f", "\\", "\\\\", "\n", "\r", "\r\n", "\\\n", "\\\r\n  ", "#", "!", "\\u0041", "\\ud83d\\ude00", "\\ud83d", "\\t", "\\n", "\\=", "\\:", "\\ ", "\\q", "\xe9"]
+    texts = ["", "\\", "\\\n", "\\\n\\\n", "a", "=x", "a=b\\\n\nc", "#c\\\na=b", "a=1\na=2", "a=\\u00", "a\\=b=c\\\\", "a = b \n  !x\n\tb:c", "a=b\\\n   # no comment\n"] + ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(1500)]
+    (tmp_path / "Load.java").write_text("""
+        import java.util.*; import java.io.*;
+        public class Load { public static void main(String[] a) throws Exception {
+            BufferedReader in = new BufferedReader(new InputStreamReader(System.in)); String line;
+            while ((line = in.readLine()) != null) {
+                Properties p = new Properties(); StringBuilder out = new StringBuilder("=");
+                try { p.load(new ByteArrayInputStream(Base64.getDecoder().decode(line))); } catch (IllegalArgumentException e) { System.out.println("!"); continue; }
+                for (String k : p.stringPropertyNames()) for (String s : new String[] {k, p.getProperty(k)}) out.append(Base64.getEncoder().encodeToString(s.getBytes("UTF-8"))).append(",");
+                System.out.println(out);
+            } } }""")
+    subprocess.run(["javac", "-d", str(tmp_path), str(tmp_path / "Load.java")], check=True)
+    lines = "\n".join(base64.b64encode(t.encode("latin-1")).decode() for t in texts) + "\n"
+    read = subprocess.run(["java", "-cp", str(tmp_path), "Load"], input=lines, capture_output=True, text=True, check=True).stdout.splitlines()
+    decoded = [[base64.b64decode(x).decode() for x in r[1:].split(",")[:-1]] for r in read]
+    # Java writes half a surrogate pair as a question mark.
+    half = lambda x: x.replace("\ufffd", "?")
+    df = spark.createDataFrame(list(enumerate(bytearray(t.encode("latin-1")) for t in texts)), "n int, c binary").repartition(4)
+    found = {r.n: r.p for r in df.select("n", fn.properties(F.decode("c", "ISO-8859-1")).alias("p")).collect()}
+    differ = []
+    for n, t in enumerate(texts):
+        want = None if read[n] == "!" else dict(zip(decoded[n][::2], decoded[n][1::2]))
+        got = None if found[n] is None else {half(p.key): half(p.value) for p in found[n]}
+        differ += [] if got == want else [(t, got, want)]
+    assert not differ
+    long = spark.createDataFrame([("a=" + "\\:" * 300_000 + "\\\n" * 1000 + "end\n" + "b" * 500_000,)], "t string").select(fn.properties(F.col("t")).alias("p")).first().p
+    assert len(long) == 2 and long[0].value == ":" * 300_000 + "end" and long[1].key == "b" * 500_000
+
+
+def test_bytes_of_other_encodings_end_no_job(spark, tmp_path):
+    from tessella.api import Scope
+
+    odd = "caf\xe9 needle".encode("latin-1")
+    build(tmp_path, "odd", {"o/Odd.java": "package o; public class Odd { }"}, {"conf/odd.txt": odd, "META-INF/maven/g/a/pom.properties": "# caf\xe9\ngroupId = g\\u0031\nartifactId:a\\\n  b\nversion 1.2\n".encode("latin-1")})
+    with zipfile.ZipFile(tmp_path / "jars" / "odd-sources.jar", "w") as z:
+        z.writestr("o/Odd.java", b"// caf\xe9\nclass Odd { }")
+    scope = Scope(spark, str(tmp_path / "jars"), str(tmp_path / "index"))
+    assert scope.failures.count() == 0
+    assert [r.text for r in scope.search("needle", kind="resource").collect()] == ["caf\ufffd needle"]
+    assert [r.source for r in scope.source_lookup("o.Odd").collect()] == ["// caf\ufffd\nclass Odd { }"]
+    assert [tuple(r)[1:] for r in scope.list_dependencies().collect()] == [("g1", "ab", "1.2")]
