@@ -19,6 +19,8 @@ HEAVY_ONE_IN = 1024
 COPIES = 1 << 16
 #: Rows that one bucket of :func:`running_offsets` holds on average in a large table.
 BUCKET_ROWS = 4096
+#: Bits of the buckets' numbers up to which one task adds up a group's bucket sums.
+LEVEL_BITS = 16
 
 _scratch: list[tuple[SparkSession, str]] = []
 _tables: list[tuple[SparkSession, str]] = []
@@ -152,15 +154,26 @@ def running_offsets(rows: DataFrame, weight: str, group: list[str], order: list[
     """Add ``name``: the sum of ``weight`` over the rows before each in its group, in an order that a hash of ``order`` fixes.
 
     No group meets in one task: a group is cut into buckets by its hash, each bucket's sum is aggregated
-    (partially before the shuffle), the few bucket sums are added up, and only within a bucket are rows sorted.
+    (partially before the shuffle), the bucket sums are added up (in two levels where they are many), and only within a bucket are rows sorted.
     ``rows`` holds each combination of ``group`` and ``order`` once. The result depends on the rows' contents alone.
     """
     n = rows.count()
     bits = max(8, (max(n, 1) // BUCKET_ROWS).bit_length())
     keyed = rows.withColumn("_h", F.xxhash64(*order)).withColumn("_bucket", F.shiftrightunsigned("_h", 64 - bits))
     sums = keyed.groupBy(*group, "_bucket").agg(F.sum(weight).alias("_sum"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    before = lambda by, order: F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if bits > LEVEL_BITS:
+        # Buckets too many for one task: they meet by the first bits of their numbers, whose sums in turn do.
+        sums = sums.withColumn("_top", F.shiftrightunsigned("_bucket", bits - (bits + 1) // 2)).withColumn("_own", before([*group, "_top"], "_bucket"))
+        tops = sums.groupBy(*group, "_top").agg(F.sum("_sum").alias("_sum"))
+        tops = tops.select(*[F.col(g).alias(f"_t{i}") for i, g in enumerate(group)], F.col("_top").alias("_t"), before(group, "_top").alias("_above"))
+        same = F.col("_top") == F.col("_t")
+        for i, g in enumerate(group):
+            same = same & F.col(g).eqNullSafe(F.col(f"_t{i}"))
+        sums = sums.join(tops, same).withColumn("_base", F.col("_own") + F.col("_above"))
+    else:
+        sums = sums.withColumn("_base", before(group, "_bucket"))
+    base = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_bucket").alias("_b"), "_base")
     on = F.col("_bucket") == F.col("_b")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))

@@ -443,6 +443,25 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_offsets_of_many_buckets_are_those_of_few(spark, monkeypatch):
+    rows = [(g, i, 1 + (7 * i) % 5) for g, n in (("hot", 700), ("cold", 3), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i long, w long").repartition(5)
+    monkeypatch.setattr(common, "BUCKET_ROWS", 1)
+    for group in ([], ["g"]):
+        offsets = lambda: {(r.g, r.i): r.offset for r in common.running_offsets(df, "w", group, ["i", "g"]).collect()}
+        one = offsets()
+        for bits in (1, 9):
+            monkeypatch.setattr(common, "LEVEL_BITS", bits)
+            assert offsets() == one
+        monkeypatch.undo()
+        monkeypatch.setattr(common, "BUCKET_ROWS", 1)
+        for g in {r[0] for r in rows} if group else {"all"}:
+            end = 0
+            for key, w in sorted(((k, w) for *k, w in rows if g in ("all", k[0])), key=lambda x: one[tuple(x[0])]):
+                assert one[tuple(key)] == end
+                end += w
+
+
 def test_many_copies_of_one_row_are_dealt_out(spark, monkeypatch):
     rows = [(1, "same words here", "en", "s", 5)] * 50 + [(2, "other", "en", "s", 5), (3, None, None, None, None)]
     many = spark.createDataFrame(rows, SCHEMA)
