@@ -129,3 +129,79 @@ def test_deep_pages_are_the_same(spark, size, offset, limit):
     assert [tuple(r) for r in paging.deep_page(df, ["k", "n", "i"], offset, limit).collect()] == sorted(rows, key=order)[offset : offset + limit]
     hot = spark.createDataFrame([("x", 1, i % 2) for i in range(200)], "k string, n int, i int")
     assert [r.i for r in paging.deep_page(hot, ["k", "n", "i"], 98, 4).collect()] == [0, 0, 1, 1]
+
+
+def chained(step, roots, depth, budget):
+    """Levels of one search after another: what the methods of a level lead to, in order, of which the first new ones are taken."""
+    out = []
+    for root, method in roots:
+        seen, level = {method: 0}, [method]
+        out.append((root, *method, None, 0, 0))
+        for d in range(1, depth + 1):
+            new = []
+            for m in level:
+                for other in step(m):
+                    if other not in seen and len(seen) < budget:
+                        seen[other] = len(seen)
+                        new.append(other)
+                        out.append((root, *other, f"{m[1]}#{m[2]}{m[3]}", d, seen[other]))
+            level = new
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("budget", [1, 3, 6, 40])
+def test_chains_of_many_roots_are_those_of_each(spark, budget):
+    from tessella.operators import calls
+
+    rng = random.Random(budget)
+    method = lambda i: (f"t{i}", "run", "()V")
+    edges = sorted({(rng.choice("ab"), rng.randrange(16), rng.randrange(16)) for _ in range(40)})
+    types = sorted({(rng.randrange(16), rng.randrange(16)) for _ in range(9)})
+    declared = sorted({(rng.choice("abc"), i) for i in range(16) for _ in range(2)})
+    df = spark.createDataFrame([(a, *method(x), *method(y)) for a, x, y in edges], "archive_path string, source_owner string, source_name string, source_desc string, target_owner string, target_name string, target_desc string")
+    up = spark.createDataFrame([(f"t{p}", f"t{c}") for p, c in types], "parent string, child string")
+    methods = spark.createDataFrame([(a, *method(i)) for a, i in declared], "archive_path string, owner string, name string, descriptor string")
+    g = calls.CallGraph(df, df, up, up, methods)
+    roots = [(i, ("a", *method(i))) for i in range(16)]
+    rows = spark.createDataFrame([(i, *m) for i, m in roots], "root int, archive_path string, owner string, name string, descriptor string")
+
+    def down(m):
+        keys = []
+        for a, x, y in edges:
+            if f"t{x}" == m[1]:
+                keys.append(((a, f"t{y}", 0, "", ""), (a, *method(y))))
+                keys += [((a, f"t{y}", 1, b, f"t{c}"), (b, *method(c))) for p, c in types if p == y for b, i in declared if i == c]
+        return [x for _, x in sorted(keys)]
+
+    def back(m):
+        keys = [((0, "", a, f"t{x}"), (a, *method(x))) for a, x, y in edges if f"t{y}" == m[1]]
+        keys += [((1, f"t{p}", a, f"t{x}"), (a, *method(x))) for p, c in types if f"t{c}" == m[1] for a, x, y in edges if y == p]
+        return [x for _, x in sorted(keys)]
+
+    for step, plain in ((calls.callees, down), (calls.callers, back)):
+        found = calls.search(lambda f, most, step=step: step(g, f, most), rows, 3, budget).collect()
+        assert sorted((tuple(r)[:-1] for r in found), key=str) == chained(plain, roots, 3, budget)
+        assert all(r.truncated == (r.seq == budget - 1) for r in found)
+
+
+@pytest.mark.parametrize("way", ["callees", "callers"])
+def test_a_level_is_no_larger_than_the_budgets(spark, way):
+    """A type with many subtypes, and a method that many call: what a step gives a search is bounded, and searches without budget left are not gone on with."""
+    from tessella.operators import calls
+
+    method = lambda o: F.concat(F.lit(o), "id").alias("owner") if o.endswith("/") else F.lit(o).alias("owner")
+    row = lambda df, o: df.select(F.lit("a").alias("archive_path"), method(o), F.lit("run").alias("name"), F.lit("()V").alias("descriptor"))
+    many = spark.range(3000)
+    c = many.select(F.lit("a").alias("archive_path"), F.concat(F.lit("c/"), "id").alias("source_owner"), F.lit("run").alias("source_name"), F.lit("()V").alias("source_desc"), F.lit("hub").alias("target_owner"), F.lit("run").alias("target_name"), F.lit("()V").alias("target_desc"))
+    types = many.select(F.lit("hub").alias("parent"), F.concat(F.lit("s/"), "id").alias("child"))
+    g = calls.CallGraph(c, c, types, types, row(many, "s/").unionByName(row(many.limit(1), "hub")))
+    roots = row(many.limit(20), "c/" if way == "callees" else "s/").withColumn("root", F.monotonically_increasing_id().cast("int"))
+    sizes = []
+
+    def step(f, most):
+        found = {"callees": calls.callees, "callers": calls.callers}[way](g, f, most)
+        sizes.append((f.count(), found.count()))
+        return found
+
+    rows = calls.search(step, roots, 3, 5).collect()
+    assert len(rows) == 20 * 5 and sizes == [(20, 20 * 5)]
