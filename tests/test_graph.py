@@ -205,3 +205,20 @@ def test_a_level_is_no_larger_than_the_budgets(spark, way):
 
     rows = calls.search(step, roots, 3, 5).collect()
     assert len(rows) == 20 * 5 and sizes == [(20, 20 * 5)]
+
+
+@pytest.mark.parametrize("split", [512, 1])
+def test_callees_are_expanded_without_a_shuffle(spark, split):
+    """Calls to several supertypes of a type lead to its declaration once, by each caller; only what is expanded from is shuffled."""
+    from tessella.operators import symbols
+
+    call = "source_owner string, source_name string, source_desc string, target_owner string, target_name string, target_desc string"
+    rows = [(s, "go", "()V", t, n, "()V") for s, t, n in (("a", "P", "run"), ("a", "I", "run"), ("a", "I", "run"), ("b", "I", "run"), ("b", "J", "run"), ("c", "J", "stop"), ("d", "Q", "run"), ("e", None, "run"))]
+    classes = spark.createDataFrame([("x", "C", "P"), ("y", "C", "P"), ("x", "D", "P"), ("x", "E", None)], "archive_path string, internal_name string, super_name string")
+    interfaces = spark.createDataFrame([("x", "C", "I"), ("x", "C", "J"), ("x", "E", "J")], "archive_path string, owner string, interface_name string")
+    methods = spark.createDataFrame([(a, o, n, "()V") for a, o, n in (("x", "C", "run"), ("y", "C", "run"), ("x", "D", "run"), ("x", "E", "stop"), ("x", "P", "run"))], "archive_path string, owner string, name string, descriptor string")
+    found = symbols.callees(spark.createDataFrame(rows, call), methods, classes, interfaces, split)
+    above = {"C": "PIJ", "D": "P", "E": "J"}
+    reach = {(s, o, n, "virtual") for s, _, _, t, n, _ in rows for _, o, m, _ in map(tuple, methods.collect()) if m == n and t and t in above.get(o, "")}
+    assert sorted(((r.source_owner, r.target_owner, r.target_name, r.via) for r in found.collect()), key=str) == sorted(reach | {(r[0], r[3], r[4], "call") for r in rows}, key=str)
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
