@@ -15,6 +15,16 @@ def compare_entries(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return a.join(b, keys, "full_outer").withColumn("status", status).drop("_l", "_r")
 
 
+def keys_on_one_side(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, side): keys that ``left`` alone has (removed) or ``right`` alone (added), each once; nulls are equal, as in EXCEPT.
+
+    Both sides meet in one aggregate, which holds a key and two flags.
+    """
+    both = left.select(*keys, F.lit(True).alias("_l")).unionByName(right.select(*keys, F.lit(False).alias("_l")))
+    met = both.groupBy(*keys).agg(F.max("_l").alias("_l"), F.min("_l").alias("_r"))
+    return met.where(F.col("_l") == F.col("_r")).select(*keys, F.when(F.col("_l"), "removed").otherwise("added").alias("side"))
+
+
 def compare_lines(left: DataFrame, right: DataFrame, key: str, text: str) -> DataFrame:
     """Lines that differ by position in two texts of a key: (key, line from 1, left, right); a side that ends counts as empty."""
     def lines(df: DataFrame, name: str) -> DataFrame:

@@ -222,3 +222,13 @@ def test_callees_are_expanded_without_a_shuffle(spark, split):
     reach = {(s, o, n, "virtual") for s, _, _, t, n, _ in rows for _, o, m, _ in map(tuple, methods.collect()) if m == n and t and t in above.get(o, "")}
     assert sorted(((r.source_owner, r.target_owner, r.target_name, r.via) for r in found.collect()), key=str) == sorted(reach | {(r[0], r[3], r[4], "call") for r in rows}, key=str)
     assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_keys_on_one_side_meet_once(spark):
+    from tessella.operators import diff
+
+    left = spark.createDataFrame([(1, 1), (1, 1), (2, None), (None, None), (3, 4)], "a int, b int")
+    right = spark.createDataFrame([(2, None), (3, 4), (3, 5), (3, 5), (None, 7)], "a int, b int")
+    found = diff.keys_on_one_side(left, right, ["a", "b"])
+    assert {tuple(r) for r in found.collect()} == {(1, 1, "removed"), (None, None, "removed"), (3, 5, "added"), (None, 7, "added")} and found.count() == 4
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
