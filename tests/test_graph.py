@@ -232,3 +232,11 @@ def test_keys_on_one_side_meet_once(spark):
     found = diff.keys_on_one_side(left, right, ["a", "b"])
     assert {tuple(r) for r in found.collect()} == {(1, 1, "removed"), (None, None, "removed"), (3, 5, "added"), (None, 7, "added")} and found.count() == 4
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_containers_rank_by_their_other_columns(spark):
+    from tessella.operators import policy
+
+    rows = [(1, i, 0, "a", "1.0", "x") for i in random.Random(4).sample(range(200), 200)]
+    df = spark.createDataFrame(rows, "owner int, id int, priority int, artifact string, version string, name string").repartition(5)
+    assert all(r["rank"] == r.id + 1 for r in policy.ranked_containers(df, ["owner"]).collect())
