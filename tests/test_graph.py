@@ -207,6 +207,37 @@ def test_a_level_is_no_larger_than_the_budgets(spark, way):
     assert len(rows) == 20 * 5 and sizes == [(20, 20 * 5)]
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_a_search_goes_on_from_no_more_methods_than_it_needs(spark, whole):
+    """Of several methods that call as many as the budget, the first is enough; what comes before it is needed, and lists made for all give the same."""
+    from dataclasses import replace
+
+    from tessella.operators import calls
+
+    name = lambda c: F.concat(F.lit(c), F.lpad(F.col("id").cast("string"), 3, "0"))
+    row = lambda df, s, t: df.select(F.lit("a").alias("archive_path"), s.alias("source_owner"), F.lit("run").alias("source_name"), F.lit("()V").alias("source_desc"), t.alias("target_owner"), F.lit("run").alias("target_name"), F.lit("()V").alias("target_desc"))
+    mids = spark.createDataFrame([("few",), ("m1",), ("m2",), ("m3",)], "mid string")
+    roots = spark.range(10)
+    every = row(roots.crossJoin(mids), name("r"), F.col("mid")).unionByName(row(mids.where("mid <> 'few'").crossJoin(spark.range(40)), F.col("mid"), F.concat(F.col("mid"), name("/"))))
+    every = every.unionByName(row(spark.range(1), F.lit("few"), F.lit("m2"))).unionByName(row(roots, name("r"), name("r")))
+    none = spark.createDataFrame([], "parent string, child string")
+    methods = spark.createDataFrame([], "archive_path string, owner string, name string, descriptor string")
+    g = calls.CallGraph(every, every, none, none, methods)
+    g = replace(g, lists=calls.lists_of(g, 8)) if whole else g
+    wanted = roots.select(F.col("id").cast("int").alias("root"), F.lit("a").alias("archive_path"), name("r").alias("owner"), F.lit("run").alias("name"), F.lit("()V").alias("descriptor"))
+    sizes = []
+
+    def step(f, most):
+        found = calls.callees(g, f, most)
+        sizes.append(found.count())
+        return found
+
+    found = calls.search(step, wanted, 3, 8).collect()
+    assert sizes == [10 * 4, 10 * (1 + 8)]
+    for i in range(10):
+        assert [(r.owner, r.parent) for r in sorted(found, key=lambda r: r.seq) if r.root == i] == [(f"r00{i}", None), *[(m, f"r00{i}#run()V") for m in ("few", "m1", "m2", "m3")], *[(f"m1/00{k}", "m1#run()V") for k in range(3)]]
+
+
 @pytest.mark.parametrize("split", [512, 1])
 def test_callees_are_expanded_without_a_shuffle(spark, split):
     """Calls to several supertypes of a type lead to its declaration once, by each caller; only what is expanded from is shuffled."""
