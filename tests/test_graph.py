@@ -255,6 +255,20 @@ def test_callees_are_expanded_without_a_shuffle(spark, split):
     assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
 
 
+def test_expansion_of_one_method_is_dealt_out(spark):
+    """Few callers of one method with many declarations below it, and no task with more than its share of the rows."""
+    from tessella.operators import symbols
+
+    calls = spark.range(8).selectExpr("concat('s', id) as source_owner", "'go' as source_name", "'()V' as source_desc", "'P' as target_owner", "'run' as target_name", "'()V' as target_desc")
+    classes = spark.range(2000).selectExpr("'x' as archive_path", "concat('C', id) as internal_name", "'P' as super_name")
+    interfaces = spark.createDataFrame([], "archive_path string, owner string, interface_name string")
+    methods = classes.selectExpr("archive_path", "internal_name as owner", "'run' as name", "'()V' as descriptor")
+    found = symbols.callees(calls, methods, classes, interfaces, 8).where("via = 'virtual'")
+    assert found.distinct().count() == 8 * 2000
+    shares = [r.n for r in found.groupBy(F.spark_partition_id().alias("at")).agg(F.count("*").alias("n")).collect()]
+    assert sum(shares) == 8 * 2000 and max(shares) < 8 * 2000 / 2
+
+
 def test_keys_on_one_side_meet_once(spark):
     from tessella.operators import diff
 
