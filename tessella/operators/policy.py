@@ -68,12 +68,13 @@ def gutter(text: Column, mode: str | None = "decompiled", source_lines: Column |
 def ranked_containers(containers: DataFrame, keys: list[str]) -> DataFrame:
     """Containers (keys, priority, artifact, version, name) with their rank from 1: by priority, artifact, the newest version, the least depth of the name, and name.
 
-    Those that are equal in all these come in the order of their other columns, so that reruns agree.
+    What one lacks comes last in each of these. Those that are equal in all come in the order of their other columns, so that reruns agree.
     """
-    depth = F.size(F.split(F.translate("name", "\\", "/"), "/"))
+    depth = F.array_size(F.split(F.translate("name", "\\", "/"), "/"))
     named = {*keys, "priority", "artifact", "version", "name"}
     rest = [c for c in containers.columns if c not in named]
-    order = Window.partitionBy(*keys).orderBy("priority", "artifact", version_key(F.col("version")).desc(), depth, "name", *rest)
+    last = [F.col(c).asc_nulls_last() for c in ("name", *rest)]
+    order = Window.partitionBy(*keys).orderBy(F.col("priority").asc_nulls_last(), F.col("artifact").asc_nulls_last(), version_key(F.col("version")).desc(), depth.asc_nulls_last(), *last)
     return containers.withColumn("rank", F.row_number().over(order))
 
 

@@ -285,3 +285,14 @@ def test_equal_containers_rank_by_their_other_columns(spark):
     rows = [(1, i, 0, "a", "1.0", "x") for i in random.Random(4).sample(range(200), 200)]
     df = spark.createDataFrame(rows, "owner int, id int, priority int, artifact string, version string, name string").repartition(5)
     assert all(r["rank"] == r.id + 1 for r in policy.ranked_containers(df, ["owner"]).collect())
+
+
+def test_containers_that_lack_something_rank_last(spark):
+    """As DuckDB's ORDER BY has it: nulls come last in each column, the version's too, which stands from the newest down."""
+    from tessella.operators import policy
+
+    rows = [(0, "a", "2", "x"), (0, "a", "1", "x"), (0, "a", "1", "d/x"), (0, "a", "1", None), (0, "a", None, "x"), (0, None, "3", "x"), (1, "a", "1", "x"), (None, "a", "1", "x"), (None, None, None, None)]
+    rows = [(k, i, *r) for k in (1, None) for i, r in enumerate(rows)] + [(k, None, None, None, None, None) for k in (1, None)]
+    df = spark.createDataFrame(rows, "owner int, id int, priority int, artifact string, version string, name string").repartition(3)
+    found = sorted(((r.owner or 0, r["rank"], r.id) for r in policy.ranked_containers(df, ["owner"]).collect()), key=str)
+    assert found == sorted(((k, i + 1, i if i < 9 else None) for k in (1, 0) for i in range(10)), key=str)
